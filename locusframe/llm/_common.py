@@ -31,8 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    # What was shuffled for it is not needed again: the written table takes its place.
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,12 +57,17 @@ def renamed_apart(df: DataFrame, *names: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
-def map_pandas(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInPandas`` after making sure, once for each application, that workers can import this package."""
-    context = df.sparkSession.sparkContext
+def ship_package(spark: SparkSession) -> None:
+    """Once for each application: workers can import this package."""
+    context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parent.parent
         archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='locusframe-')}/{package.name}", "zip", package.parent, package.name)
         context.addPyFile(archive)  # the driver serves it to executors
         _shipped.add(context.applicationId)
+
+
+def map_pandas(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInPandas`` with a function of this package."""
+    ship_package(df.sparkSession)
     return df.mapInPandas(run, schema)

@@ -155,8 +155,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_pandas(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, data binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encode and decode each text in one pass, keeping digests instead of ids and bytes."""
+def round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """Encode and decode each text in one pass: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, and ``ids`` if kept."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = codec(path, pattern)
@@ -164,16 +164,17 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = pdf["text"].fillna("").tolist()
             for a, b in batches(texts):
                 ids = bpe.encode(texts[a:b])
-                yield pd.DataFrame({
+                out = pd.DataFrame({
                     "doc_id": pdf["doc_id"].iloc[a:b].to_numpy(),
                     "n_tokens": [len(x) for x in ids],
                     "ids_sha256": [hashlib.sha256(bpe.text_of(x)[:-1]).hexdigest() for x in ids],
                     "decoded_sha256": [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids],
                 })
+                yield out.assign(ids=[x.astype(np.int32) for x in ids]) if keep_ids else out
 
     source = renamed_apart(docs, "doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    return map_pandas(source, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_pandas(source, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

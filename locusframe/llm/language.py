@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import map_pandas, read_table, renamed_apart
+from ._common import map_pandas, ship_package, read_table, renamed_apart
 
 DIMS = 1 << 14
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -122,6 +122,19 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return map_pandas(source, run, f"doc_id {kind}, lang_pred string, score double, shares map<string,double>")
 
 
+def predict_rows(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs`` with ``_lang_pred`` and ``_score`` beside them."""
+    ship_package(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang string, score double")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        found = [shared.value.predict(t) for t in texts]
+        return pd.DataFrame({"lang": [x[0] for x in found], "score": [x[1] for x in found]})
+
+    return docs.withColumn("_judged", judge("text")).withColumns({"_lang_pred": F.col("_judged.lang"), "_score": F.col("_judged.score")})
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 

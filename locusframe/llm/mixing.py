@@ -29,9 +29,10 @@ WORDS = r"[^\x20\x09-\x0D]+"
 BUCKET_DIGITS = 3
 
 
-def with_size(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size``: words of each text."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
+def with_size(docs: DataFrame, text_hash: bool = False) -> DataFrame:
+    """``doc_id, source, size``: words of each text; on demand ``_tid``, a hash that tells texts of one doc_id apart."""
+    extra = [F.xxhash64("text").alias("_tid")] if text_hash else []
+    return docs.select("doc_id", "source", *extra, F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
@@ -56,9 +57,9 @@ def targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7, text_hash: bool = False) -> DataFrame:
     """``doc_id, size, source_size, target, taken, source, epochs``; ``taken`` counts repeats."""
-    sized = with_size(docs)
+    sized = with_size(docs, text_hash)
     goal = targets(sized, weights, share, max_epochs)
     words = F.floor(F.col("target") + 0.5).cast("long")
     per_source = goal.select(
@@ -74,7 +75,26 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     known = placed.join(starts, placed["source"].eqNullSafe(starts["s"]) & (placed["bucket"] == starts["b"])).drop("s", "b")
     known = known.join(per_source, known["source"].eqNullSafe(per_source["s"])).drop("s")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("c")))
-    return known.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"), "source", F.when(F.col("size") > 0, F.col("whole") + part / F.col("size")).otherwise(0.0).alias("epochs"))
+    return known.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"), "source", F.when(F.col("size") > 0, F.col("whole") + part / F.col("size")).otherwise(0.0).alias("epochs"), *["_tid"] * text_hash)
+
+
+def repeated(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as taken; a part of an epoch keeps a text's first words.
+
+    The columns of ``docs`` stay, with ``n_chars``, where there is one, counted anew.
+    """
+    source = docs.select("*", F.xxhash64("text").alias("_tid"))
+    mixed = mix(docs.select("doc_id", "source", "text"), weights, share, max_epochs, seed, text_hash=True)
+    # Rows of one doc_id and text are alike in size; what the mix takes of them together is dealt out evenly to one row each.
+    plan = mixed.groupBy("doc_id", "_tid", "source").agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size")).where("_taken > 0")
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("_tid").alias("_t"), F.col("source").alias("_s"), "_taken", "_size")
+    one = source.dropDuplicates(["doc_id", "source", "_tid"])
+    found = one.join(plan, one["doc_id"].eqNullSafe(plan["_id"]) & one["source"].eqNullSafe(plan["_s"]) & (one["_tid"] == plan["_t"]))
+    copies = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
+    rows = found.withColumn("_copy", F.explode(copies)).withColumn("_words", F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")))
+    first = F.array_join(F.slice(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""), F.lit(1), F.col("_words").cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), first).otherwise(F.col("text")))
+    return rows.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
