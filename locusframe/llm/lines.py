@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, read_table
@@ -32,11 +32,11 @@ _TOKEN_BITS = 47  # of a word's hash; the bits above hold its frequency class
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), WHITE)), "")
+    return F.split(F.lower(line), WHITE)
 
 
 def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, _TOKEN_BITS - 1) % BUCKETS
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -49,69 +49,89 @@ def frequency_classes(docs: DataFrame) -> Column:
 
     Counts cover all lines; what reaches the driver is ``BUCKETS`` numbers, as one string.
     """
-    words = docs.select(F.explode(F.split(F.lower("text"), WHITE)).alias("w")).where("w <> ''")
-    counts = words.groupBy(_bucket(F.xxhash64("w")).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    classes = counts.select("b", F.floor(F.log2(F.col("n") + 1) * 1000).cast("long").alias("c"))
+    words = docs.select(F.explode(_words(F.col("text"))).alias("w")).where("w <> ''")
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
+    classes = counts.select("b", F.shiftleft(F.floor(F.log2(F.col("n") + 1) * 1000).cast("long"), _TOKEN_BITS).alias("c"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(classes, "b", "left").select("b", F.coalesce("c", F.lit(0)).alias("c"))
     listed = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "c"))), lambda e: e["c"].cast("string")), ",")).first()[0]
-    return F.split(F.lit(listed), ",").cast("array<long>")
+    return F.split(F.lit(listed), ",").cast("array<long>")  # folded to a literal by the optimiser
 
 
-def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Lines ``doc_id, tid, no, set_a, set_b`` with words, and class pairs with an earlier ``doc_id, tid, no`` each."""
-    source = docs.select("doc_id", "text")
-    classes = frequency_classes(source)
-    hashed = _lines(source).select("doc_id", "tid", "no", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
-    order = F.array_sort(F.transform("h", lambda h: F.shiftleft(F.get(classes, _bucket(h).cast("int")), _TOKEN_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _TOKEN_BITS) - 1)))))
+def _set_table(docs: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, tid, no, set_a, set_b`` (128 bits of the set's hash), ``n`` and the ``prefix`` of every line with words."""
+    classes = frequency_classes(docs)
+    hashes = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    hashed = _lines(docs).select("doc_id", "tid", "no", hashes.alias("h")).where(F.size("h") > 0)
+    rest = F.lit((1 << _TOKEN_BITS) - 1)
+    ordered = hashed.select("doc_id", "tid", "no", F.sort_array(F.transform("h", lambda h: F.get(classes, _bucket(h)).bitwiseOR(h.bitwiseAND(rest)))).alias("o"))
     size = F.size("o")
     prefix = size - F.ceil(size * percent / 100).cast("int") + 1
-    lines = materialise(
-        hashed.select("doc_id", "tid", "no", F.sort_array("h").alias("h"), order.alias("o")).select(
-            "doc_id", "tid", "no", F.xxhash64("h").alias("set_a"), F.xxhash64("h", F.lit(1)).alias("set_b"), size.alias("n"), F.slice("o", F.lit(1), prefix).alias("prefix")
-        )
-    )
-    place = F.struct("doc_id", "tid", "no")
-    sets = materialise(lines.groupBy("set_a", "set_b").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    # A smaller set can't be similar to a different one: n of n + 1 words are too few.
-    joined = sets.where((F.col("n") + 1) * percent <= F.col("n") * 100)
-    tokens = joined.select("set_a", "set_b", "n", F.posexplode("prefix").alias("i", "token"))
-    left, right = tokens, tokens.toDF("ra", "rb", "m", "j", "token")
-    n, m, i, j = F.col("n"), F.col("m"), F.col("i"), F.col("j")
-    pairs = materialise(
-        left.join(right, "token")
-        .where((F.col("set_a") < F.col("ra")) | ((F.col("set_a") == F.col("ra")) & (F.col("set_b") < F.col("rb"))))
-        .where((n * 100 >= m * percent) & (m * 100 >= n * percent))
-        .where((F.least(i, j) + 1 + F.least(n - i, m - j) - 1) * (100 + percent) >= (n + m) * percent)
-        .select("set_a", "set_b", "ra", "rb")
-        .distinct()
-    )
-    return lines, materialise(_verified(source, sets, pairs, percent))
-
-
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """``set_a, set_b, place`` for every set similar to an earlier one, by the words of both."""
-    wanted = pairs.select("set_a", "set_b").unionByName(pairs.select(F.col("ra").alias("set_a"), F.col("rb").alias("set_b"))).distinct()
-    places = sets.select("set_a", "set_b", "place").join(wanted, ["set_a", "set_b"], "left_semi")
-    by_doc = places.select("place.doc_id", "place.tid", F.struct("place.no", "set_a", "set_b").alias("x")).groupBy("doc_id", "tid").agg(F.collect_list("x").alias("x"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.split("text", "\n").alias("lines"))
-    same = rows["doc_id"].eqNullSafe(by_doc["doc_id"]) & (rows["tid"] == by_doc["tid"])
-    found = rows.join(by_doc, same).select(rows["doc_id"], rows["tid"], "lines", F.explode("x").alias("x"))
-    full = found.select("x.set_a", "x.set_b", F.struct("doc_id", "tid", "x.no").alias("place"), _words(F.get("lines", F.col("x.no"))).alias("words")).groupBy("set_a", "set_b").agg(F.first("place").alias("place"), F.first("words").alias("words"))
-    full = materialise(full)
-    other = full.select(F.col("set_a").alias("ra"), F.col("set_b").alias("rb"), F.col("place").alias("rplace"), F.col("words").alias("rwords"))
-    both = pairs.join(full, ["set_a", "set_b"]).join(other, ["ra", "rb"])
-    shared = F.size(F.array_intersect("words", "rwords"))
-    alike = both.where(shared * 100 >= (F.size("words") + F.size("rwords") - shared) * percent)
-    late = F.col("place") > F.col("rplace")
-    return alike.select(F.when(late, F.col("set_a")).otherwise(F.col("ra")).alias("set_a"), F.when(late, F.col("set_b")).otherwise(F.col("rb")).alias("set_b")).distinct()
+    return ordered.select("doc_id", "tid", "no", F.xxhash64("o").alias("set_a"), F.xxhash64("o", F.lit(1)).alias("set_b"), size.alias("n"), F.slice("o", F.lit(1), prefix).alias("prefix"))
+
+
+_PLACE = ("doc_id", "tid", "no")
+_EARLIER = ("edoc", "etid", "eno")
+
+
+def _may_match(percent: int) -> Column:
+    """Length and positional filter for sizes ``n, m`` that share the words at ``i`` and ``j``."""
+    n, m, i, j = (F.col(c) for c in "nmij")
+    most = F.least(i, j) + F.least(n - i, m - j)
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (most * (100 + percent) >= (n + m) * percent)
+
+
+def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All lines with words and, as ``doc_id, tid, no``, the first lines of classes that an earlier line is similar to.
+
+    Each member of a word's posting list first meets the list's earliest member only.  Those that
+    it settles are done; the rest meet all earlier members, so a group of many similar lines never
+    pairs off within itself and no match is missed.
+    """
+    source = docs.select("doc_id", "text")
+    lines = materialise(_set_table(source, percent))
+    sets = lines.groupBy("set_a", "set_b").agg(F.min(F.struct(*_PLACE)).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    # n of n + 1 words must be enough, or no different set can be similar.
+    tokens = sets.where((F.col("n") + 1) * percent <= F.col("n") * 100).select(*[F.col(f"place.{c}") for c in _PLACE], "n", F.posexplode("prefix").alias("i", "token"))
+    of_word = Window.partitionBy("token")
+    posted = tokens.withColumns({"first": F.min(F.struct(*_PLACE, "n", "i")).over(of_word), "members": F.count("*").over(of_word)})
+    shared = materialise(posted.where("members > 1").drop("members"))
+    own = F.struct(*_PLACE)
+
+    heads = [F.col(f"first.{c}").alias(e) for c, e in zip((*_PLACE, "n", "i"), (*_EARLIER, "m", "j"), strict=True)]
+    met = shared.select(*_PLACE, "n", "i", *heads).where(own > F.struct(*_EARLIER)).where(_may_match(percent))
+    settled = _verified(source, met.select(*_PLACE, *_EARLIER).distinct(), percent)
+
+    open_ = shared.join(settled.toDF(*_EARLIER), _same(_PLACE, _EARLIER), "left_anti")
+    other = shared.select(*[F.col(c).alias(e) for c, e in zip((*_PLACE, "n", "i"), (*_EARLIER, "m", "j"), strict=True)], "token")
+    pairs = open_.join(other, "token").where((own > F.struct(*_EARLIER)) & (F.struct(*_EARLIER) > F.struct(*[f"first.{c}" for c in _PLACE]))).where(_may_match(percent))
+    return lines, settled.unionByName(_verified(source, pairs.select(*_PLACE, *_EARLIER).distinct(), percent)).distinct()
+
+
+def _same(a: Sequence[str], b: Sequence[str]) -> Column:
+    return F.col(a[0]).eqNullSafe(F.col(b[0])) & (F.col(a[1]) == F.col(b[1])) & (F.col(a[2]) == F.col(b[2]))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Places of those lines in ``pairs`` whose words are similar enough to the earlier line's."""
+    pairs = materialise(pairs)
+    wanted = pairs.select(*_PLACE).unionByName(pairs.select(*[F.col(e).alias(c) for c, e in zip(_PLACE, _EARLIER, strict=True)])).distinct()
+    by_doc = wanted.groupBy("doc_id", "tid").agg(F.collect_list("no").alias("wanted")).toDF("wdoc", "wtid", "wanted")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
+    found = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("wdoc")) & (F.col("tid") == F.col("wtid"))).select("doc_id", "tid", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("no"))
+    words = F.array_remove(F.array_distinct(_words(F.get("lines", F.col("no")))), "")
+    full = materialise(found.select(*_PLACE, words.alias("words")).dropDuplicates(_PLACE))
+    earlier = full.toDF(*_EARLIER, "ewords")
+    both = pairs.join(full.toDF("pdoc", "ptid", "pno", "words"), _same(_PLACE, ("pdoc", "ptid", "pno"))).join(earlier.toDF("qdoc", "qtid", "qno", "ewords"), _same(_EARLIER, ("qdoc", "qtid", "qno")))
+    shared = F.size(F.array_intersect("words", "ewords"))
+    return materialise(both.where(shared * 100 >= (F.size("words") + F.size("ewords") - shared) * percent).select(*_PLACE).distinct())
 
 
 def without_similar_lines(docs: DataFrame, percent: int = PERCENT, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``columns`` of every row, ``text`` without the later matches, ``n_lines`` and ``n_removed``."""
     lines, late = similar_lines(docs, percent)
     place = F.struct("doc_id", "tid", "no")
-    firsts = lines.groupBy("set_a", "set_b").agg(F.min(place).alias("first"))
-    marked = firsts.join(late.withColumn("late", F.lit(True)), ["set_a", "set_b"], "left")
+    firsts = lines.groupBy("set_a", "set_b").agg(F.min(place).alias("first")).select("*", *[F.col(f"first.{c}").alias(f"f{c}") for c in _PLACE])
+    marked = firsts.join(late.withColumn("late", F.lit(True)), _same([f"f{c}" for c in _PLACE], _PLACE), "left").select("set_a", "set_b", "first", "late")
     gone = lines.join(marked, ["set_a", "set_b"]).where(F.coalesce("late", F.lit(False)) | (place > F.col("first")))
     removed = materialise(gone.groupBy("doc_id", "tid").agg(F.collect_set("no").alias("_removed"))).toDF("_id", "_rtid", "_removed")
     rows = docs.select(*columns, F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.xxhash64("text").alias("_tid"))
