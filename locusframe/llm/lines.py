@@ -66,18 +66,31 @@ def _set_table(docs: DataFrame, percent: int) -> DataFrame:
     ordered = hashed.select("doc_id", "tid", "no", F.sort_array(F.transform("h", lambda h: F.get(classes, _bucket(h)).bitwiseOR(h.bitwiseAND(rest)))).alias("o"))
     size = F.size("o")
     prefix = size - F.ceil(size * percent / 100).cast("int") + 1
-    return ordered.select("doc_id", "tid", "no", F.xxhash64("o").alias("set_a"), F.xxhash64("o", F.lit(1)).alias("set_b"), size.alias("n"), F.slice("o", F.lit(1), prefix).alias("prefix"))
+    return ordered.select("doc_id", "tid", "no", F.xxhash64("o").alias("set_a"), F.xxhash64("o", F.lit(1)).alias("set_b"), size.alias("n"), F.slice("o", F.lit(1), prefix).alias("prefix"), *[_bitmap(F.col("o"), k).alias(f"bits{k}") for k in range(2)])
+
+
+def _bitmap(tokens: Column, half: int) -> Column:
+    """64 of 128 bits; a set has those that its words hash to."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    mine = lambda x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, bit(x)).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(mine(x)))
 
 
 _PLACE = ("doc_id", "tid", "no")
 _EARLIER = ("edoc", "etid", "eno")
+#: What the filters look at, of a line and of the earlier one.
+_SHAPE, _ESHAPE = ("n", "i", "bits0", "bits1"), ("m", "j", "ebits0", "ebits1")
 
 
 def _may_match(percent: int) -> Column:
-    """Length and positional filter for sizes ``n, m`` that share the words at ``i`` and ``j``."""
+    """Length, positional and bitmap filter for sizes ``n, m`` that share the words at ``i`` and ``j``.
+
+    Bits that differ are at most as many as words that differ, so no similar pair is lost.
+    """
     n, m, i, j = (F.col(c) for c in "nmij")
     most = F.least(i, j) + F.least(n - i, m - j)
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (most * (100 + percent) >= (n + m) * percent)
+    differ = sum(F.bit_count(F.col(f"bits{k}").bitwiseXOR(F.col(f"ebits{k}"))) for k in range(2))
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (most * (100 + percent) >= (n + m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -89,20 +102,20 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     """
     source = docs.select("doc_id", "text")
     lines = materialise(_set_table(source, percent))
-    sets = lines.groupBy("set_a", "set_b").agg(F.min(F.struct(*_PLACE)).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = lines.groupBy("set_a", "set_b").agg(F.min(F.struct(*_PLACE)).alias("place"), *[F.first(c).alias(c) for c in (*_SHAPE[:1], "prefix", *_SHAPE[2:])])
     # n of n + 1 words must be enough, or no different set can be similar.
-    tokens = sets.where((F.col("n") + 1) * percent <= F.col("n") * 100).select(*[F.col(f"place.{c}") for c in _PLACE], "n", F.posexplode("prefix").alias("i", "token"))
+    tokens = sets.where((F.col("n") + 1) * percent <= F.col("n") * 100).select(*[F.col(f"place.{c}") for c in _PLACE], "n", "bits0", "bits1", F.posexplode("prefix").alias("i", "token"))
     of_word = Window.partitionBy("token")
-    posted = tokens.withColumns({"first": F.min(F.struct(*_PLACE, "n", "i")).over(of_word), "members": F.count("*").over(of_word)})
+    posted = tokens.withColumns({"first": F.min(F.struct(*_PLACE, *_SHAPE)).over(of_word), "members": F.count("*").over(of_word)})
     shared = materialise(posted.where("members > 1").drop("members"))
     own = F.struct(*_PLACE)
 
-    heads = [F.col(f"first.{c}").alias(e) for c, e in zip((*_PLACE, "n", "i"), (*_EARLIER, "m", "j"), strict=True)]
-    met = shared.select(*_PLACE, "n", "i", *heads).where(own > F.struct(*_EARLIER)).where(_may_match(percent))
+    heads = [F.col(f"first.{c}").alias(e) for c, e in zip((*_PLACE, *_SHAPE), (*_EARLIER, *_ESHAPE), strict=True)]
+    met = shared.select(*_PLACE, *_SHAPE, *heads).where(own > F.struct(*_EARLIER)).where(_may_match(percent))
     settled = _verified(source, met.select(*_PLACE, *_EARLIER).distinct(), percent)
 
     open_ = shared.join(settled.toDF(*_EARLIER), _same(_PLACE, _EARLIER), "left_anti")
-    other = shared.select(*[F.col(c).alias(e) for c, e in zip((*_PLACE, "n", "i"), (*_EARLIER, "m", "j"), strict=True)], "token")
+    other = shared.select(*[F.col(c).alias(e) for c, e in zip((*_PLACE, *_SHAPE), (*_EARLIER, *_ESHAPE), strict=True)], "token")
     pairs = open_.join(other, "token").where((own > F.struct(*_EARLIER)) & (F.struct(*_EARLIER) > F.struct(*[f"first.{c}" for c in _PLACE]))).where(_may_match(percent))
     return lines, settled.unionByName(_verified(source, pairs.select(*_PLACE, *_EARLIER).distinct(), percent)).distinct()
 
