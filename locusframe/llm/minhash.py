@@ -31,6 +31,8 @@ from .components import connected_components
 
 SHINGLE = 5
 ROWS, BANDS = 4, 32
+BLOCK = 256  # documents of a family on one side of a meeting
+PART = 8  # members of a torn bucket that meet one drawn head
 #: A signature of 128 minima of a pair at similarity 0.75 agrees on fewer than this share once in a million times.
 SIGNATURE_LEAST = 0.55
 
@@ -110,13 +112,8 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([float(np.mean(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32))) for x, y in zip(a, b, strict=True)])
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``a, b`` whose signatures agree and whose full sets are similar enough."""
-    sig = classes.select("doc", "sig")
-    close = materialise(
-        pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").where(_agreement("sig_a", "sig_b") >= SIGNATURE_LEAST).select("a", "b")
-    )
-    wanted = close.select(F.col("a").alias("doc_id")).unionByName(close.select(F.col("b").alias("doc_id"))).distinct()
+def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc, items``: the packed shingle hashes of the documents in ``wanted``."""
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -124,7 +121,59 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     full = map_pandas(renamed_apart(docs, "doc_id", "text").join(wanted, "doc_id", "left_semi"), sets, f"doc {kind}, items binary")
-    full = materialise(full.groupBy("doc").agg(F.min("items").alias("items")))
+    return materialise(full.groupBy("doc").agg(F.min("items").alias("items")))
+
+
+def _across_families(torn: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` across components, from all pairs of documents that torn buckets hold together.
+
+    Such documents form families; a family is cut into blocks and each block meets each other one.
+    Only pairs that look similar enough leave a meeting, and of those only what joins components.
+    """
+    families = connected_components(torn.select(F.col("doc").alias("a"), F.col("head").alias("b"))).toDF("doc", "family")
+    sizes = families.groupBy("family").agg(F.count("*").alias("size"))
+    full = _full_sets(docs, families.select(F.col("doc").alias("doc_id")))
+    members = families.join(sizes, "family").join(torn.select("doc", "group").distinct(), "doc").join(classes.select("doc", "sig"), "doc").join(full, "doc")
+    placed = members.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc", "group", "sig", "items")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf[pdf["part"] == pdf[c].iloc[0]] for c in "ij"]
+        (docs_a, group_a, items_a), (docs_b, group_b, items_b) = ([x[c].to_list() for c in ("doc", "group", "items")] for x in sides)
+        sig_a, sig_b = (np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(-1, ROWS * BANDS) for x in sides)
+        root: dict = {}
+
+        def top(x):
+            while x in root:
+                x = root[x]
+            return x
+
+        out = []
+        for k in range(len(docs_a)):
+            for m in np.flatnonzero((sig_b == sig_a[k]).mean(1) >= SIGNATURE_LEAST).tolist():
+                x, y = top(group_a[k]), top(group_b[m])
+                if x == y:
+                    continue
+                p, q = np.frombuffer(items_a[k], np.uint64), np.frombuffer(items_b[m], np.uint64)
+                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+                    continue
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    root[x] = y
+                    out.append((min(docs_a[k], docs_b[m]), max(docs_a[k], docs_b[m])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    kind = torn.schema["doc"].dataType.simpleString()
+    return met.groupBy("family", "i", "j").applyInPandas(meet, f"a {kind}, b {kind}").distinct()
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Those of ``a, b`` whose signatures agree and whose full sets are similar enough."""
+    sig = classes.select("doc", "sig")
+    close = materialise(
+        pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").where(_agreement("sig_a", "sig_b") >= SIGNATURE_LEAST).select("a", "b")
+    )
+    full = _full_sets(docs, close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -138,6 +187,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     return close.join(full.toDF("a", "items_a"), "a").join(full.toDF("b", "items_b"), "b").where(alike("items_a", "items_b")).select("a", "b")
 
 
+def _torn(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, doc, head, group, members`` of those buckets whose members are in several components."""
+    labelled = shared.join(labels, "doc", "left").withColumn("group", F.coalesce("group", "doc"))
+    split = labelled.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("members")).where("low < high")
+    return materialise(labelled.join(split.select("key", "members"), "key").select("key", "doc", "head", "group", "members"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     every = materialise(signatures(docs))
@@ -148,18 +204,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     keyed = materialise(_bands(classes))
     heads = keyed.groupBy("key").agg(F.min("doc").alias("head"), F.count("*").alias("n")).where("n > 1")
     shared = materialise(keyed.join(heads, "key").select("key", "doc", "head"))  # buckets with more than one member
-    first = materialise(_verified(shared.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct(), classes, docs, percent))
-    grouped = materialise(connected_components(first))
-
-    # Members of a bucket in different components: pairs across components that were not yet compared.
-    labelled = shared.join(grouped.toDF("doc", "group"), "doc", "left").withColumn("group", F.coalesce("group", "doc"))
-    torn = labelled.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    rest = materialise(labelled.join(torn, "key", "left_semi").select("key", "doc", "head", "group"))
-    left, right = rest.toDF("key", "a", "head", "ga"), rest.select("key", "doc", "group").toDF("key", "b", "gb")
-    across = left.join(right, "key").where("a < b and ga <> gb and a <> head").select("a", "b").distinct()
-    second = _verified(across, classes, docs, percent)
-    links = grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
-    groups = connected_components(links)
+    met = shared.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
+    labels = materialise(connected_components(_verified(met, classes, docs, percent)).toDF("doc", "group"))
+
+    # Members of a bucket in different components: first each meets one drawn head of a small part of
+    # the bucket, then all pairs across components that are left are compared.
+    for salt in (1, 2, None):
+        torn = _torn(shared, labels)
+        if salt is None:
+            pairs = _across_families(torn, classes, docs, percent)
+        else:
+            part = F.pmod(F.xxhash64("doc", "key", F.lit(salt)), F.ceil(F.col("members") / PART))
+            parts = torn.withColumn("part", part)
+            heads = parts.groupBy("key", "part").agg(F.min(F.struct(F.xxhash64("doc", F.lit(salt)), F.col("doc").alias("b"), F.col("group").alias("gb"))).alias("x")).select("key", "part", "x.b", "x.gb")
+            drawn = parts.join(heads, ["key", "part"]).where("group <> gb")
+            pairs = drawn.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
+        found = _verified(pairs, classes, docs, percent)
+        ends = [labels.toDF(x, f"g{x}") for x in "ab"]
+        links = found.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
+        merged = connected_components(links).toDF("group", "merged")
+        nodes = labels.unionByName(found.select(F.explode(F.array("a", "b")).alias("doc")).select("doc", F.col("doc").alias("group")).join(labels, "doc", "left_anti").distinct())
+        labels = materialise(nodes.join(merged, "group", "left").select("doc", F.coalesce("merged", "group").alias("group")))
+    groups = labels.toDF("node", "component")
 
     of_class = classes.select("set_a", "set_b", F.col("doc").alias("node")).join(groups, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     member = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
