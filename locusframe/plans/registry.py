@@ -1,11 +1,225 @@
-"""All queries on the driver tables, by name."""
+"""All queries on the driver tables, by name, each with its DuckDB text where SQL can state it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from locusframe.operators import compare, contacts, intervals, nullmodel, scores, sequence
 
-def oracle_sql() -> dict:
-    return {}
+from . import views as V
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+C, B, W = V.contacts_sql(), V.BINS, 5
+SIZE, NB = V.MUT_BINSIZE, V.MUT_BINS
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+        _queries[name] = run
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+# Statements shared by several texts.
+SPINE = f"sp AS (SELECT run, bin::INT AS bin FROM (SELECT DISTINCT run FROM c), range({B}) r(bin))"
+INS = f"""{C}, {SPINE}, raw AS (SELECT run, i AS bin, avg(value) * {2 * W + 1} AS raw FROM c WHERE abs(i - j) <= {W} GROUP BY ALL),
+inn AS (SELECT sp.run, sp.bin, CASE WHEN sp.bin BETWEEN {W} AND {B - W - 1} THEN raw END AS x FROM sp LEFT JOIN raw USING (run, bin)),
+ins AS (SELECT run, bin, coalesce(x, avg(x) OVER (PARTITION BY run)) AS value FROM inn)"""
+EXPECT = f"{C}, e AS (SELECT run, distance, CASE WHEN distance = 0 THEN 1.0 ELSE x END AS expected FROM (SELECT run, abs(i - j) AS distance, avg(value) AS x FROM c GROUP BY ALL))"
+OE = f"{EXPECT}, oe AS (SELECT c.run, i, j, CASE WHEN expected <> 0 THEN value / expected END AS value FROM c JOIN e ON c.run = e.run AND e.distance = abs(i - j))"
+SIGNED = f"{INS}, sg AS (SELECT run, bin, round(value - avg(value) OVER (PARTITION BY run), 9) AS value FROM ins), s3 AS (SELECT *, CASE WHEN value > 0 THEN 1 ELSE -1 END AS s FROM sg)"
+LABELS = f"""{SIGNED}, isl AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY bin) - row_number() OVER (PARTITION BY run, s ORDER BY bin) AS g FROM s3),
+lab AS (SELECT run, bin, CASE WHEN count(*) OVER (PARTITION BY run, s, g) < 3 THEN 'U' WHEN s > 0 THEN 'A' ELSE 'B' END AS label FROM isl)"""
+DEV = f"{INS}, dev AS (SELECT x.run, x.bin, x.value, y.value AS reference, x.value - y.value AS deviation FROM ins x JOIN ins y USING (bin) WHERE x.run <> 'N' AND y.run = 'N')"
+
+
+def _insulation(s, d):
+    return scores.insulation(V.contacts(s, d), B, W)
+
+
+def _centred(s, d):
+    from pyspark.sql import Window
+
+    return _insulation(s, d).withColumn("value", F.round(F.col("value") - F.avg("value").over(Window.partitionBy("run")), 9))
+
+
+def _deviation(s, d):
+    return compare.score_deviation(_insulation(s, d), "N")
+
+
+# Contact maps.
+query("mat01_spine", f"WITH {C}, {SPINE} SELECT run, bin FROM sp")(lambda s, d: scores.spine(V.contacts(s, d), B))
+query("mat01_symmetrise", f"WITH {C} SELECT run, i, j, round(value, 6) AS value FROM c WHERE i <= j UNION ALL SELECT run, j, i, value FROM c WHERE i < j")(lambda s, d: contacts.symmetrise(V.contacts(s, d)))
+query("mat03_expected", f"WITH {EXPECT} SELECT run, distance, round(expected, 6) AS expected FROM e")(lambda s, d: contacts.expected_by_distance(V.contacts(s, d)))
+query("mat04_obs_over_exp", f"WITH {OE} SELECT run, i, j, round(value, 6) AS value FROM oe")(lambda s, d: contacts.obs_over_exp(V.contacts(s, d)))
+query("mat05_geometric", f"""WITH {C}, p AS (SELECT *, CASE WHEN i = j THEN -1 ELSE floor(ln(abs(i - j)::DOUBLE) / ln(1.5::DOUBLE) + 1e-9)::INT END AS level FROM c)
+SELECT run, i, j, round(value / (sum(value) OVER w / count(value) OVER w), 6) AS value FROM p WINDOW w AS (PARTITION BY run, level)""")(lambda s, d: contacts.obs_over_exp_geometric(V.contacts(s, d), 1.5))
+query("prj20_log_obs", f"WITH {C} SELECT run, i, j, round(CASE WHEN value > 0 THEN ln(value) ELSE 0 END, 6) AS value FROM c")(lambda s, d: contacts.log_obs(V.contacts(s, d)))
+query("mat06_reconstruct", f"WITH {C} SELECT run, i, j, round(CASE WHEN i = j THEN value ELSE value END, 6) AS value FROM c")(
+    lambda s, d: contacts.reconstruct_obs(contacts.obs_over_exp(V.contacts(s, d)).withColumn("value", F.log("value")), contacts.expected_by_distance(V.contacts(s, d)))
+)
+query("mat07_balance", f"WITH {C}, {V.TRACK} SELECT run, i, j, round(value * x.track * y.track, 6) AS value FROM c JOIN t x ON x.bin = i JOIN t y ON y.bin = j")(lambda s, d: contacts.balance(V.contacts(s, d), V.track(s, d)).select("run", "i", "j", "value"))
+query("mat09_fill_cells", f"""WITH {C}, h AS (SELECT run, i, j, CASE WHEN (i + j) % 7 = 0 THEN NULL ELSE value END AS value FROM c)
+SELECT a.run, a.i, a.j, round(coalesce(any_value(a.value), avg(n.value)), 6) AS value FROM h a LEFT JOIN h n ON a.run = n.run AND abs(a.i - n.i) <= 1 AND abs(a.j - n.j) <= 1 AND (a.i, a.j) <> (n.i, n.j) GROUP BY a.run, a.i, a.j""")(
+    lambda s, d: contacts.fill_cells(V.contacts(s, d).withColumn("value", F.when((F.col("i") + F.col("j")) % 7 != 0, F.col("value"))))
+)
+query("mat10_fill_bins", f"""WITH {INS}, h AS (SELECT run, bin, CASE WHEN bin % 6 <> 2 THEN value END AS value FROM ins)
+SELECT run, bin, round(coalesce(value, avg(value) OVER (PARTITION BY run ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)), 6) AS value FROM h""")(
+    lambda s, d: contacts.fill_neighbours(_insulation(s, d).withColumn("value", F.when(F.col("bin") % 6 != 2, F.col("value"))), B)
+)
+query("mat12_row_correlation", f"""WITH {C}, w AS (SELECT run, i, j, value, sum(value) OVER (PARTITION BY run, i) / {B} AS m, sum(value * value) OVER (PARTITION BY run, i) AS ss FROM c)
+SELECT run, i, j, round((xy - mx * my * {B}) / (sqrt(sx - mx * mx * {B}) * sqrt(sy - my * my * {B})), 6) AS value FROM (
+SELECT x.run, x.i, y.i AS j, sum(x.value * y.value) AS xy, any_value(x.m) AS mx, any_value(y.m) AS my, any_value(x.ss) AS sx, any_value(y.ss) AS sy FROM w x JOIN w y ON x.run = y.run AND x.j = y.j WHERE abs(x.i - y.i) <= 5 GROUP BY x.run, x.i, y.i)""")(
+    lambda s, d: contacts.row_correlation(V.contacts(s, d), B, 5)
+)
+_TRI = f"{C}, a AS (SELECT * FROM c WHERE run = 'A'), r AS (SELECT * FROM c WHERE run = 'R')"
+
+
+def _two(s, d):
+    c = V.contacts(s, d)
+    return c.where("run = 'A'"), c.where("run = 'R'")
+
+
+query("mat13_join_triangles", f"WITH {_TRI}, z AS (SELECT i, j, CASE WHEN i <= j THEN a.value ELSE r.value END AS value FROM a JOIN r USING (i, j)) SELECT i, j, round(CASE WHEN i = j THEN (SELECT avg(value) FROM z) ELSE value END, 6) AS value FROM z")(lambda s, d: contacts.join_triangles(*_two(s, d)))
+query("mat14_subtract", f"WITH {_TRI} SELECT i, j, round(r.value - a.value, 6) AS value FROM a JOIN r USING (i, j)")(lambda s, d: contacts.subtract(*_two(s, d)))
+query("mat15_check_square", f"WITH {C} SELECT run, max(i) AS max_i, max(j) AS max_j, count(*) AS cells, max(i) = max(j) AND count(*) = (max(i) + 1) * (max(j) + 1) AS square FROM c GROUP BY run")(lambda s, d: contacts.check_square(V.contacts(s, d)))
+MINMAX = f"{C}, mm AS (SELECT run, i, j, (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) AS value FROM c WINDOW w AS (PARTITION BY run))"
+query("prj19_minmax", f"WITH {MINMAX} SELECT run, i, j, round(value, 6) AS value FROM mm")(lambda s, d: contacts.minmax(V.contacts(s, d)))
+query("mat11_gaussian")(lambda s, d: contacts.gaussian_smooth(V.contacts(s, d), B, 1.0))
+
+# Scores.
+query("scr01_insulation", f"WITH {INS} SELECT run, bin, round(value, 6) AS value FROM ins")(_insulation)
+query("scr02_insulation_correl")(lambda s, d: scores.insulation_correl(V.contacts(s, d), B, W))
+query("scr03_insulation_exp", "WITH " + INS.replace(C, f"{MINMAX}, k AS (SELECT run, i, j, exp(value) AS value FROM mm)").replace("avg(value) * ", "avg(value) * ").replace("FROM c WHERE abs", "FROM k WHERE abs") + " SELECT run, bin, round(value, 6) AS value FROM ins")(lambda s, d: scores.insulation_exp(V.contacts(s, d), B, W))
+
+
+def _power_sql(iters: int = 8) -> str:
+    steps = [f"x0 AS (SELECT DISTINCT run, i, 1.0 + i / {float(B)}::DOUBLE AS x FROM oe)"]
+    for k in range(iters):
+        steps.append(f"y{k} AS (SELECT a.run, a.i, sum((a.value - 1) * x.x) AS y FROM oe a JOIN x{k} x ON a.run = x.run AND a.j = x.i GROUP BY ALL)")
+        steps.append(f"x{k + 1} AS (SELECT run, i, y / sqrt(sum(y * y) OVER (PARTITION BY run)) AS x FROM y{k})")
+    return f"WITH {OE}, {', '.join(steps)} SELECT run, i AS bin, round(x, 6) AS value FROM x{iters}"
+
+
+query("scr04_pc1", _power_sql())(lambda s, d: scores.pc1(contacts.obs_over_exp(V.contacts(s, d)), B, 8))
+query("scr05_phase", f"""WITH {INS}, {V.TRACK}, k AS (SELECT run, rank() OVER (PARTITION BY run ORDER BY value) + (count(*) OVER (PARTITION BY run, value) - 1) / 2.0 AS rv, rank() OVER (PARTITION BY run ORDER BY track) + (count(*) OVER (PARTITION BY run, track) - 1) / 2.0 AS rt FROM (SELECT run, bin, round(value, 9) AS value, track FROM ins JOIN t USING (bin))),
+g AS (SELECT run, sign(corr(rv, rt)) AS sg FROM k GROUP BY run) SELECT run, bin, round(round(value, 9) * sg, 6) AS value FROM ins JOIN g USING (run)""")(lambda s, d: scores.phase(_insulation(s, d).withColumn("value", F.round("value", 9)), V.track(s, d)))
+query("scr06_compartments", f"WITH {LABELS} SELECT run, bin, label FROM lab")(lambda s, d: scores.compartments(_centred(s, d)))
+query("scr07_compartments_window", f"""WITH {SIGNED}, z AS (SELECT run, bin, CASE WHEN bin = 0 THEN sum(s) OVER (o ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) WHEN bin = {B - 1} THEN sum(s) OVER (o ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) ELSE sum(s) OVER (o ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS n FROM s3 WINDOW o AS (PARTITION BY run ORDER BY bin))
+SELECT run, bin, CASE n WHEN 3 THEN 'A' WHEN -3 THEN 'B' ELSE 'U' END AS label FROM z""")(lambda s, d: scores.compartments_window(_centred(s, d)))
+query("scr08_saddle", f"""WITH {INS.replace(C, OE)}, cu AS (SELECT run, quantile_cont(value, [0.2, 0.4, 0.6, 0.8]) AS e FROM ins GROUP BY run), g AS (SELECT run, bin, len(list_filter(e, lambda x: x < value)) AS g FROM ins JOIN cu USING (run))
+SELECT oe.run, r.g AS rq, k.g AS cq, round(ln(avg(value)), 6) AS value FROM oe JOIN g r ON oe.run = r.run AND oe.i = r.bin JOIN g k ON oe.run = k.run AND oe.j = k.bin GROUP BY ALL""")(lambda s, d: scores.saddle(contacts.obs_over_exp(V.contacts(s, d)), _insulation(s, d)).withColumns({"rq": F.col("rq").cast("long"), "cq": F.col("cq").cast("long")}))
+query("scr09_saddle_order", f"WITH {INS} SELECT run, bin, row_number() OVER (PARTITION BY run ORDER BY round(value, 9) DESC, bin) AS place FROM ins")(lambda s, d: scores.saddle_order(_insulation(s, d).withColumn("value", F.round("value", 9))))
+query("scr10_borders", f"WITH {LABELS}, p AS (SELECT *, lag(label) OVER (PARTITION BY run ORDER BY bin) AS before FROM lab) SELECT run, bin, before, label FROM p WHERE before <> label AND before <> 'U' AND label <> 'U'")(lambda s, d: scores.borders(scores.compartments(_centred(s, d))))
+query("scr11_restore", f"WITH {INS} SELECT run, {B - 1} - bin AS bin, round(value, 6) AS value FROM ins")(
+    lambda s, d: scores.restore_positions(_insulation(s, d), _insulation(s, d).select("run").distinct().withColumn("bin_order", F.sequence(F.lit(B - 1), F.lit(0), F.lit(-1))))
+)
+query("scr12_all_scores", f"WITH {INS} SELECT run, bin, round(value, 6) AS value, 'insulation' AS score_type FROM ins UNION ALL SELECT run, bin, round(value - avg(value) OVER (PARTITION BY run), 6), 'centred' FROM ins")(lambda s, d: scores.all_scores({"insulation": _insulation(s, d), "centred": _centred(s, d)}))
+
+# Comparison.
+query("cmp01_score_deviation", f"WITH {DEV} SELECT run, bin, round(value, 6) AS value, round(reference, 6) AS reference, round(deviation, 6) AS deviation FROM dev")(_deviation)
+query("cmp02_matrix_deviation", f"WITH {C} SELECT x.run, i, j, round(x.value, 6) AS value, round(y.value, 6) AS reference, round(x.value - y.value, 6) AS deviation FROM c x JOIN c y USING (i, j) WHERE x.run <> 'N' AND y.run = 'N'")(lambda s, d: compare.score_deviation(V.contacts(s, d), "N", ("i", "j")))
+FIT = "regr_slope(value, reference) AS slope, regr_intercept(value, reference) AS intercept"
+query("cmp04_regress", f"WITH {DEV} SELECT run, round(regr_slope(value, reference), 6) AS slope, round(regr_intercept(value, reference), 6) AS intercept, round(corr(value, reference), 6) AS r, round(regr_syy(value, reference) - regr_sxy(value, reference) ^ 2 / regr_sxx(value, reference), 6) AS ssd FROM dev GROUP BY run")(lambda s, d: compare.regress(_insulation(s, d), "N"))
+query("cmp05_regress_wanted", f"WITH {DEV}, f AS (SELECT {FIT} FROM dev WHERE run = 'A') SELECT run, bin, round(reference, 6) AS x, round(value, 6) AS value, round(slope * reference + intercept, 6) AS predicted, round(value - slope * reference - intercept, 6) AS residual FROM dev, f")(lambda s, d: compare.regress_wanted(_insulation(s, d), "N", "A"))
+query("cmp10_dispersion", f"""WITH {DEV} SELECT run, {', '.join(f'round(quantile_cont(deviation, {p}), 6) AS p{round(p * 1000):03d}' for p in (.125, .25, .5, .75, .875))},
+round(min(deviation), 6) AS low, round(max(deviation), 6) AS high, round(avg(deviation), 6) AS mean, round(stddev_samp(deviation), 6) AS sd, count(deviation) AS n FROM dev GROUP BY run""")(lambda s, d: compare.dispersion(_deviation(s, d), "deviation", ["run"]))
+query("cmp14_pair_scores", f"WITH {INS} SELECT bin, round(x.value, 6) AS first, round(y.value, 6) AS second FROM ins x JOIN ins y USING (bin) WHERE x.run = 'N' AND y.run = 'A'")(lambda s, d: compare.pair_scores(_insulation(s, d), "N", "A"))
+query("cmp17_value_range", f"WITH {DEV} SELECT run, round(min(deviation) * CASE WHEN min(deviation) < 0 THEN 1.1 ELSE 0.9 END, 6) AS low, round(max(deviation) * CASE WHEN max(deviation) > 0 THEN 1.1 ELSE 0.9 END, 6) AS high FROM dev GROUP BY run")(lambda s, d: compare.value_range(_deviation(s, d).select("run", F.col("deviation").alias("value")), ["run"]))
+query("cmp18_union_runs", f"WITH {INS} SELECT run, bin, round(value, 6) AS value, run = 'N' AS is_ref FROM ins")(lambda s, d: (lambda x: x.where("run = 'N'").withColumn("is_ref", F.lit(True)).unionByName(x.where("run <> 'N'").withColumn("is_ref", F.lit(False))))(_insulation(s, d)))
+query("cmp08_consistency", "SELECT o_orderpriority AS chrom, count(DISTINCT o_orderstatus) AS n_o_orderstatus FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")(lambda s, d: compare.check_consistency(V.table(s, d, "orders").withColumnRenamed("o_orderpriority", "chrom"), ["chrom"], ["o_orderstatus"]))
+query("cmp12_pool_experiments", f"WITH {DEV} SELECT CASE run WHEN 'A' THEN 'wanted' ELSE run END AS hue_name, run AS run_name, bin, round(deviation, 6) AS value FROM dev")(lambda s, d: compare.name_map("A:wanted", _deviation(s, d).select(F.col("run").alias("hue_name"), F.col("run").alias("run_name"), "bin", F.col("deviation").alias("value")), "hue_name"))
+
+# Intervals.
+IV = f"{V.INTERVALS}"
+_cols = ["chrom", "start", "end", "name"]
+query("prj01_rebase", f"WITH {IV} SELECT 'fake_' || chrom AS chrom, start - 5000 AS start, \"end\" - 5000 AS \"end\", name, strand FROM v WHERE chrom = '2-HIGH' AND start >= 5000 AND \"end\" <= 900000")(lambda s, d: intervals.rebase(V.intervals(s, d), "2-HIGH", 5000, 900000))
+query("prj03_pos_to_bin", f"WITH {IV} SELECT name, floor((start - 12345) / 1000)::BIGINT AS bin, floor((start - 12345) / 1000)::BIGINT * 1000 + 12345 AS low, (floor((start - 12345) / 1000)::BIGINT + 1) * 1000 + 12344 AS high FROM v")(
+    lambda s, d: V.intervals(s, d).select("name", intervals.pos_to_bin(F.col("start"), 12345, 1000).alias("bin")).select("name", "bin", *[c.alias(n) for n, c in zip(("low", "high"), intervals.bin_to_span(F.col("bin"), 12345, 1000), strict=True)])
+)
+query("prj11_parse_region", f"WITH {IV} SELECT name, chrom, start, \"end\" FROM v")(lambda s, d: V.intervals(s, d).select("name", intervals.parse_region(F.concat("chrom", F.lit(":"), "start", F.lit("-"), "end")).alias("r")).select("name", "r.chrom", "r.start", "r.end"))
+query("prj12_humanise", f"WITH {IV} SELECT name, CASE WHEN start > 1e6 THEN printf('%.1f', start / 1e6) || 'Mb' WHEN start > 1e3 THEN printf('%.1f', start / 1e3) || 'kb' ELSE start || 'pb' END AS bp FROM v")(lambda s, d: V.intervals(s, d).select("name", compare.humanise_bp(F.col("start")).alias("bp")))
+query("prj13_natural_key", r"SELECT p_brand, p_partkey, 'brand#' || lpad(regexp_extract(p_brand, '(\d+)$', 1), 12, '0') AS key FROM part")(lambda s, d: V.table(s, d, "part").select("p_brand", "p_partkey", compare.natural_key(F.col("p_brand")).alias("key")))
+query("prj14_windows", f"WITH {IV}, {V.SIZES}, w AS (SELECT chrom, start AS pos, greatest(0, least(floor((start - 16000) / 1000)::BIGINT * 1000, floor((size - 32000) / 1000)::BIGINT * 1000)) AS wstart FROM v JOIN s USING (chrom)) SELECT chrom, pos, wstart, wstart + 32000 AS wend, pos - wstart AS wpos FROM w")(
+    lambda s, d: intervals.place_windows(V.intervals(s, d).select("chrom", F.col("start").alias("pos")), V.sizes(s, d), 32000, 1000)
+)
+REACH = f"{IV}, x AS (SELECT *, max(\"end\") OVER (PARTITION BY chrom ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v)"
+query("int01_complement", f"WITH {REACH}, {V.SIZES} SELECT chrom, coalesce(reach, 0) AS start, start AS \"end\" FROM x WHERE start > coalesce(reach, 0) UNION ALL SELECT chrom, max(\"end\"), any_value(size) FROM v JOIN s USING (chrom) GROUP BY chrom HAVING max(\"end\") < any_value(size)")(lambda s, d: intervals.complement(V.intervals(s, d), V.sizes(s, d)))
+query("int02_overlaps", f"WITH {REACH} SELECT chrom, start, \"end\", name, reach FROM x WHERE start < reach")(lambda s, d: intervals.find_overlaps(V.intervals(s, d).select(*_cols)))
+ON = "v.chrom = d.chrom AND v.start < d.\"end\" AND d.start < v.\"end\""
+query("int03_exclude", f"WITH {IV}, {V.DOMAINS} SELECT chrom, start, \"end\", name FROM v WHERE NOT EXISTS (SELECT 1 FROM d WHERE {ON})")(lambda s, d: intervals.exclude(V.intervals(s, d).select(*_cols), V.domains(s, d), 1000))
+query("int04_include", f"WITH {IV}, {V.DOMAINS} SELECT chrom, start, \"end\", name FROM v WHERE EXISTS (SELECT 1 FROM d WHERE v.chrom = d.chrom AND d.start <= v.start AND v.\"end\" <= d.\"end\")")(lambda s, d: intervals.include(V.intervals(s, d).select(*_cols), V.domains(s, d), 1000))
+query("int05_overlap_join", f"WITH {IV}, {V.DOMAINS} SELECT v.chrom, v.start, v.\"end\", name, d.start AS ostart, d.\"end\" AS oend FROM v JOIN d ON {ON}")(lambda s, d: intervals.overlap_join(V.intervals(s, d).select(*_cols), V.domains(s, d), 1000).select(*_cols, "ostart", "oend"))
+MB = f"{V.MUTATIONS}, k AS (SELECT m.*, unnest(range(floor(start / {SIZE})::BIGINT, floor((\"end\" - 1) / {SIZE})::BIGINT + 1)) AS bin FROM m), kk AS (SELECT * FROM k WHERE bin BETWEEN 0 AND {NB - 1}), msp AS (SELECT run, bin::BIGINT AS bin FROM (SELECT DISTINCT run FROM m), range({NB}) r(bin))"
+_mut = (0, SIZE, NB)
+FRACTION = f"{MB}, fr AS (SELECT msp.run, msp.bin, coalesce(sum(least(\"end\", (kk.bin + 1) * {SIZE}) - greatest(start, kk.bin * {SIZE})), 0) / {float(SIZE)} AS value FROM msp LEFT JOIN kk USING (run, bin) GROUP BY ALL)"
+query("int06_fraction", f"WITH {FRACTION} SELECT run, bin, round(value, 6)::DOUBLE AS value FROM fr")(lambda s, d: intervals.mutated_fraction(V.mutations(s, d), *_mut))
+query("int07_counts", f"WITH {MB} SELECT run, bin, count(*) AS n FROM kk GROUP BY ALL")(lambda s, d: intervals.mutation_counts(V.mutations(s, d), *_mut))
+query("int08_nearest", f"""WITH {MB}, ed AS (SELECT run, floor(start / {SIZE})::BIGINT AS e FROM m UNION SELECT run, floor("end" / {SIZE})::BIGINT FROM m) SELECT run, bin, min(abs(bin - e)) AS distance FROM msp JOIN ed USING (run) GROUP BY ALL""")(lambda s, d: intervals.nearest_distance(V.mutations(s, d), *_mut))
+query("int09_mutated_bp", f"WITH {V.MUTATIONS} SELECT run, sum(\"end\" - start + 1)::BIGINT AS bp FROM m WHERE start >= 1000 AND \"end\" <= 100000 GROUP BY run")(lambda s, d: intervals.mutated_bp(V.mutations(s, d), 1000, 100000, closed=True))
+query("int10_assign_bins", f"""WITH {IV}, a AS (SELECT name, start, "end", CASE WHEN floor(start / 250) = floor(("end" - 1) / 250) OR ((floor(start / 250) + 1) * 250 - start) * 2 >= "end" - start THEN floor(start / 250)::BIGINT ELSE floor(("end" - 1) / 250)::BIGINT END AS bin FROM v)
+SELECT name, start, "end", bin, greatest(0, bin * 250 - start) AS spill_left, greatest(0, "end" - (bin + 1) * 250) AS spill_right FROM a""")(lambda s, d: intervals.assign_bins(V.intervals(s, d).select("name", "start", "end"), 250))
+query("int11_valid_experiments", "SELECT n_name AS experiment, n_regionkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)")(lambda s, d: intervals.valid_experiments(V.table(s, d, "nation").select(F.col("n_nationkey").alias("experiment"), "n_name", "n_regionkey"), V.table(s, d, "customer").select(F.col("c_nationkey").alias("experiment"))).select(F.col("n_name").alias("experiment"), "n_regionkey"))
+query("int12_mutated_bins", f"WITH {MB} SELECT DISTINCT run, bin FROM kk")(lambda s, d: intervals.mutated_bins(V.mutations(s, d), *_mut))
+query("int13_oversize", f"WITH {IV} SELECT chrom, max(\"end\" - start) AS longest, max(\"end\" - start) > 250 AS too_long FROM v GROUP BY chrom")(lambda s, d: intervals.oversize(V.intervals(s, d), 250))
+query("cmp09_equal_bp", f"WITH {V.MUTATIONS}, z AS (SELECT run, sum(\"end\" - start)::BIGINT AS bp FROM m GROUP BY run) SELECT 'all' AS experiment, min(bp) AS low, max(bp) AS high FROM z HAVING min(bp) <> max(bp)")(lambda s, d: compare.check_equal(intervals.mutated_bp(V.mutations(s, d), -1, 1 << 60).withColumn("experiment", F.lit("all")), "bp", ["experiment"]))
+query("cmp06_run_set", f"WITH {V.MUTATIONS} SELECT 'all' AS experiment, count(DISTINCT CASE WHEN run = 'Wtd_mut' THEN run END) AS wanted, count(DISTINCT CASE WHEN run <> 'Wtd_mut' THEN run END) AS random, 0::BIGINT AS others FROM m HAVING wanted <> 1 OR random < 1")(lambda s, d: compare.check_run_set(V.mutations(s, d).select("run").distinct().withColumn("experiment", F.lit("all"))))
+query("cmp15_repartition", f"WITH {FRACTION} SELECT run, bin, round(value, 6)::DOUBLE AS value, CASE WHEN run = 'Wtd_mut' THEN 'wtd' ELSE 'rdm' END AS role, round(max(value) OVER (), 6)::DOUBLE AS most FROM fr")(lambda s, d: compare.repartition_of_mutations(intervals.mutated_fraction(V.mutations(s, d), *_mut)))
+query("prj08_merge_runs", f"WITH {V.MUTATIONS} SELECT CASE WHEN run LIKE '%Rdm%' THEN 'merged_Rdm' ELSE run END AS run, run AS run_name, start, \"end\" FROM m")(lambda s, d: compare.merge_runs(V.mutations(s, d), "Rdm"))
+
+# Sequences.
+Q = V.SEQUENCES
+H = lambda key: f"('0x' || substr(md5({key}), 1, 8))::BIGINT"
+query("seq02_revcomp", f"WITH {Q} SELECT seq_id, reverse(translate(seq, 'ACGTNacgtn', 'TGCANtgcan')) AS seq FROM q")(lambda s, d: V.sequences(s, d).select("seq_id", sequence.revcomp(F.col("seq")).alias("seq")))
+query("seq03_mask", f"WITH {Q} SELECT seq_id, repeat('N', length(seq)) AS seq FROM q")(lambda s, d: V.sequences(s, d).select("seq_id", sequence.mask(F.col("seq")).alias("seq")))
+query("seq04_shuffle", f"WITH {Q} SELECT seq_id, coalesce(list_reduce(list_transform(list_sort(list_transform(range(1, length(seq) + 1), lambda i: md5(seq_id || ':' || i) || seq[i])), lambda x: x[33:33]), lambda a, b: a || b), '') AS seq FROM q WHERE length(seq) > 0")(lambda s, d: V.sequences(s, d).where("seq <> ''").select("seq_id", sequence.shuffle_seq(F.col("seq"), F.col("seq_id").cast("string")).alias("seq")))
+query("seq05_rep_fill", f"WITH {Q} SELECT seq_id, left(repeat('ACGGT', ceil(length(seq) / 5)::INT), length(seq)) AS seq FROM q")(lambda s, d: V.sequences(s, d).select("seq_id", sequence.rep_fill(F.lit("ACGGT"), F.length("seq")).alias("seq")))
+query("seq10_replace", f"WITH {Q} SELECT seq_id, CASE WHEN length(seq) >= 9 THEN left(seq, 3) || 'NNNNNN' || substr(seq, 10) END AS seq FROM q")(lambda s, d: V.sequences(s, d).select("seq_id", sequence.replace_substring(F.col("seq"), F.lit("NNNNNN"), F.lit(3), F.lit(9)).alias("seq")))
+query("seq13_gc", f"WITH {Q} SELECT seq_id, round(CASE WHEN length(seq) > 0 THEN (length(seq) - length(translate(seq, 'GC', '')))::DOUBLE / length(seq) END, 6) AS gc FROM q")(lambda s, d: V.sequences(s, d).select("seq_id", sequence.gc_fraction(F.col("seq")).alias("gc")))
+query("seq06_permute_within")(lambda s, d: V.sequences(s, d).select("seq_id", sequence.permute_within(F.col("seq"), 4, F.col("seq_id").cast("string")).alias("seq")))
+query("seq07_permute_between", f"WITH {IV}, k AS (SELECT chrom, name AS id, row_number() OVER (PARTITION BY chrom ORDER BY md5('23:' || name), name) AS r, count(*) OVER (PARTITION BY chrom) AS n FROM v) SELECT a.chrom, a.id, b.id AS donor, b.id AS new_seq FROM k a JOIN k b ON a.chrom = b.chrom AND a.r = b.r % b.n + 1")(lambda s, d: sequence.permute_between(V.intervals(s, d).select("chrom", F.col("name").alias("id"), F.col("name").alias("seq")), 23))
+query("seq01_fetch", f"WITH {Q} SELECT seq_id AS id, seq_id, length(seq) // 4 AS start, length(seq) // 2 AS \"end\", substr(seq, length(seq) // 4 + 1, length(seq) // 2 - length(seq) // 4) AS found FROM q WHERE length(seq) >= 4")(
+    lambda s, d: sequence.fetch_sequences(V.sequences(s, d).where(F.length("seq") >= 4).select(F.col("seq_id").alias("id"), "seq_id", F.floor(F.length("seq") / 4).alias("start"), F.floor(F.length("seq") / 2).alias("end")), sequence.chunked(V.sequences(s, d), 256), 256)
+)
+
+
+def _mutated(s, d):
+    seqs = V.sequences(s, d).where(F.length("seq") >= 4)
+    a, b = F.floor(F.length("seq") / 4).cast("int"), F.floor(F.length("seq") / 2).cast("int")
+    op = F.get(F.array(*map(F.lit, ["mask", "inversion", "insertion"])), (F.col("seq_id") % 3).cast("int"))
+    rows = seqs.select("seq_id", a.alias("start"), b.alias("end"), F.substr("seq", a + 1, b - a).alias("ref_seq"), op.alias("op"), F.lit("A").alias("sequence"), F.lit("-").alias("strand"))
+    return seqs, sequence.mutate(rows, F.col("seq_id").cast("string"))
+
+
+VAR = f"{Q}, mu AS (SELECT seq_id, seq, length(seq) // 4 AS a, length(seq) // 2 AS b FROM q WHERE length(seq) >= 4), va AS (SELECT *, CASE seq_id % 3 WHEN 0 THEN repeat('N', b - a) WHEN 1 THEN reverse(translate(substr(seq, a + 1, b - a), 'ACGTN', 'TGCAN')) ELSE repeat('T', b - a) END AS variant_seq FROM mu)"
+query("seq08_apply", f"WITH {VAR} SELECT seq_id, a::INT AS start, b::INT AS \"end\", variant_seq FROM va")(lambda s, d: _mutated(s, d)[1].select("seq_id", "start", "end", "variant_seq"))
+query("seq09_splice", f"WITH {VAR} SELECT seq_id, left(seq, a::INT) || variant_seq || substr(seq, b + 1) AS seq FROM va")(lambda s, d: sequence.splice(*_mutated(s, d)))
+query("seq15_random", f"WITH {V.MUTATIONS}, z AS (SELECT DISTINCT run, start, (\"end\" - start)::INT AS n FROM m) SELECT run, start, list_reduce(list_transform(range(1, n + 1), lambda i: CASE WHEN {H("run || start || ':' || i")} < 0.22 * 4294967296 THEN 'A' WHEN {H("run || start || ':' || i")} < 0.5 * 4294967296 THEN 'C' WHEN {H("run || start || ':' || i")} < 0.78 * 4294967296 THEN 'G' ELSE 'T' END), lambda a, b: a || b) AS seq FROM z")(
+    lambda s, d: V.mutations(s, d).select("run", "start", (F.col("end") - F.col("start")).cast("int").alias("n")).distinct().select("run", "start", sequence.random_sequence(F.col("n"), F.concat("run", F.col("start").cast("string"))).alias("seq"))
+)
+
+# Random replicates.
+query("smp01_fan_out", f"WITH {V.MUTATIONS} SELECT start, \"end\", r::INT AS replicate, CASE WHEN r < 0 THEN 'Wtd_mut' ELSE 'Rdm_mut_' || r END AS run FROM m, range(-1, 10) t(r)")(lambda s, d: nullmodel.fan_out(V.mutations(s, d).drop("run"), 10))
+query("smp02_rotate_bins")(lambda s, d: nullmodel.rotate_bins(V.domains(s, d).where("chrom = '2-HIGH'"), 5, 35_000, 410, 3).select("replicate", "shift", "start", "end"))
+query("smp07_random_intervals", f"""WITH {IV}, {V.SIZES}, p AS (SELECT chrom, r::INT AS draw, {H("'5:' || chrom || ':' || r")} % (size - 311) AS start FROM s, range(200) t(r))
+SELECT chrom, draw, start, start + 312 AS "end" FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE a.chrom = b.chrom AND b.draw < a.draw AND abs(a.start - b.start) < 312)""")(lambda s, d: nullmodel.random_intervals(V.sizes(s, d), 312, 200, 5))
