@@ -31,7 +31,7 @@ from .components import connected_components
 
 SHINGLE = 5
 ROWS, BANDS = 4, 32
-BLOCK = 256  # documents of a family on one side of a meeting
+BLOCK = 1024  # documents of a family on one side of a meeting
 PART = 8  # members of a torn bucket that meet one drawn head
 #: A signature of 128 minima of a pair at similarity 0.75 agrees on fewer than this share once in a million times.
 SIGNATURE_LEAST = 0.55
