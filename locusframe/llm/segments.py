@@ -28,7 +28,7 @@ class SegmentEncoder:
     whatever the texts hold.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable], limit: int = 400_000, longest: int = 64):
+    def __init__(self, encode_many: Callable[[list[str]], Iterable], limit: int = 1_000_000, longest: int = 64):
         self.encode_many, self.limit, self.longest = encode_many, limit, longest
         self.known: dict[str, bytes] = {}
 

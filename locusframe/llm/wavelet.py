@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,24 +104,25 @@ class WaveletMatrix:
 
     def restore(self) -> np.ndarray:
         """All ids, by undoing the stable partitions from the lowest plane up."""
-        now = None
+        now, kind = None, np.uint16 if len(self.planes) <= 16 else np.uint32
         for level in range(len(self.planes) - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.size, bitorder="little").view(bool)
-            bit = np.uint32(1 << len(self.planes) - 1 - level)
+            bit = kind(1 << len(self.planes) - 1 - level)
             if now is None:
-                now = np.where(ones, bit, np.uint32(0))
+                now = np.where(ones, bit, kind(0))
                 continue
             up = np.empty_like(now)
             up[~ones] = now[: self.zeros[level]]
             up[ones] = now[self.zeros[level] :] | bit
             now = up
-        return now if now is not None else np.zeros(0, np.uint32)
+        return now if now is not None else np.zeros(0, kind)
 
     def to_bytes(self, starts: np.ndarray, doc_ids: list) -> bytes:
         """Header, document offsets and planes; each plane compressed for itself."""
-        body = [zlib.compress(p.tobytes(), 1) for p in self.planes]
-        offsets = zlib.compress(np.asarray(starts, dtype="<u8").tobytes(), 1)
-        names = zlib.compress(json.dumps(doc_ids).encode(), 1)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        body = [pack(p.tobytes()) for p in self.planes]
+        offsets = pack(np.asarray(starts, dtype="<u8").tobytes())
+        names = pack(json.dumps(doc_ids).encode())
         head = json.dumps({"size": self.size, "zeros": self.zeros, "planes": [len(x) for x in body], "offsets": len(offsets), "docs": len(names)}).encode()
         return b"WVM1" + struct.pack("<I", len(head)) + head + offsets + names + b"".join(body)
 
@@ -128,13 +130,14 @@ class WaveletMatrix:
     def from_bytes(cls, blob: bytes) -> tuple[WaveletMatrix, np.ndarray, list]:
         if blob[:4] != b"WVM1":
             raise ValueError("not a wavelet-matrix shard")
+        unpack = zstandard.ZstdDecompressor().decompress
         at = 8 + struct.unpack("<I", blob[4:8])[0]
         head = json.loads(blob[8:at])
-        starts = np.frombuffer(zlib.decompress(blob[at : (at := at + head["offsets"])]), dtype="<u8").astype(np.int64)
-        docs = json.loads(zlib.decompress(blob[at : (at := at + head["docs"])]))
+        starts = np.frombuffer(unpack(blob[at : (at := at + head["offsets"])]), dtype="<u8").astype(np.int64)
+        docs = json.loads(unpack(blob[at : (at := at + head["docs"])]))
         planes = []
         for n in head["planes"]:
-            planes.append(np.frombuffer(zlib.decompress(blob[at : (at := at + n)]), dtype=np.uint8))
+            planes.append(np.frombuffer(unpack(blob[at : (at := at + n)]), dtype=np.uint8))
         return cls(head["size"], planes, head["zeros"], [cls._counts(p) for p in planes]), starts, docs
 
 
