@@ -81,11 +81,11 @@ class ByteBpe:
         ranks = read_ranks(path)
         order = sorted(ranks.items(), key=lambda x: x[1])
         self.pieces = [p for p, _ in order]
-        self.ids = np.array([r for _, r in order], dtype=np.uint32)
+        self.ids = [r for _, r in order]
         self.pattern = regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
         self.characters = byte_characters()
-        size = int(self.ids[-1]) + 1
+        size = self.ids[-1] + 1
         table = [b""] * size
         for p, r in order:
             table[r] = p
@@ -93,14 +93,14 @@ class ByteBpe:
         self.text_of = _Spliced([b"%d " % i for i in range(size)])
         self.encode = SegmentEncoder(self._encode_segments)
 
-    def _encode_segments(self, segments: list[str]) -> Iterator[np.ndarray]:
+    def _encode_segments(self, segments: list[str]) -> Iterator[list[int]]:
         tokens = [self.pattern.findall(s) for s in segments]
         chars = self.characters
         flat = ["".join([chars[b] for b in t.encode()]) for ts in tokens for t in ts]
         found = iter(self.model.encode(flat, out_type=int, num_threads=1) if flat else [])
+        ids = self.ids
         for ts in tokens:
-            at = [i - 1 for _ in ts for i in next(found)]
-            yield self.ids[at] if at else self.ids[:0]
+            yield [ids[i - 1] for _ in ts for i in next(found)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self.bytes_of(ids)

@@ -8,6 +8,7 @@ something else, and after a run of Latin letters that a blank or ASCII punctuati
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable
 from itertools import chain
 
@@ -33,7 +34,7 @@ class SegmentEncoder:
         self.known: dict[str, bytes] = {}
 
     def _packed(self, segments: list[str]) -> Iterable[bytes]:
-        return (np.asarray(ids, dtype="<u4").tobytes() for ids in self.encode_many(segments))
+        return (array("I", ids).tobytes() for ids in self.encode_many(segments))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         cut = [SEGMENT.findall(t) for t in texts]
@@ -45,7 +46,7 @@ class SegmentEncoder:
         self.known.update(zip(new, self._packed(new)))
         long = [s for s in wanted if len(s) > self.longest]
         look = self.known if not long else {**{s: self.known[s] for s in wanted if len(s) <= self.longest}, **dict(zip(long, self._packed(long)))}
-        return [np.frombuffer(b"".join(map(look.__getitem__, segments)), dtype="<u4") for segments in cut]
+        return [np.frombuffer(b"".join(map(look.__getitem__, segments)), dtype="u4") for segments in cut]
 
 
 def batches(texts: list[str], most_chars: int = 2_000_000) -> Iterable[tuple[int, int]]:
