@@ -19,6 +19,7 @@ empty table; other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from ._common import materialise, read_table
 WHITE = r"[\x20\x09-\x0D]+"
 PERCENT = 80
 BUCKETS = 1 << 16
+PASSES = 4
 _TOKEN_BITS = 47  # of a word's hash; the bits above hold its frequency class
 
 
@@ -70,10 +72,10 @@ def _set_table(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _bitmap(tokens: Column, half: int) -> Column:
-    """64 of 128 bits; a set has those that its words hash to."""
+    """64 of 128 bits, each the parity of how many words of the set hash to it."""
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
     mine = lambda x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, bit(x)).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(mine(x)))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(mine(x)))
 
 
 _PLACE = ("doc_id", "tid", "no")
@@ -85,7 +87,7 @@ _SHAPE, _ESHAPE = ("n", "i", "bits0", "bits1"), ("m", "j", "ebits0", "ebits1")
 def _may_match(percent: int) -> Column:
     """Length, positional and bitmap filter for sizes ``n, m`` that share the words at ``i`` and ``j``.
 
-    Bits that differ are at most as many as words that differ, so no similar pair is lost.
+    Each word that differs flips one bit, so no similar pair is lost; parity does not fill up in long lines.
     """
     n, m, i, j = (F.col(c) for c in "nmij")
     most = F.least(i, j) + F.least(n - i, m - j)
@@ -98,30 +100,41 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
 
     Each member of a word's posting list first meets the list's earliest member only.  Those that
     it settles are done; the rest meet all earlier members, so a group of many similar lines never
-    pairs off within itself and no match is missed.
+    pairs off within itself and no match is missed.  Both steps take the words in ``PASSES`` parts
+    by hash, so that only a part of the posting lists is on disk at a time.
     """
     source = docs.select("doc_id", "text")
     lines = materialise(_set_table(source, percent))
     sets = lines.groupBy("set_a", "set_b").agg(F.min(F.struct(*_PLACE)).alias("place"), *[F.first(c).alias(c) for c in (*_SHAPE[:1], "prefix", *_SHAPE[2:])])
     # n of n + 1 words must be enough, or no different set can be similar.
-    tokens = sets.where((F.col("n") + 1) * percent <= F.col("n") * 100).select(*[F.col(f"place.{c}") for c in _PLACE], "n", "bits0", "bits1", F.posexplode("prefix").alias("i", "token"))
-    of_word = Window.partitionBy("token")
-    posted = tokens.withColumns({"first": F.min(F.struct(*_PLACE, *_SHAPE)).over(of_word), "members": F.count("*").over(of_word)})
-    shared = materialise(posted.where("members > 1").drop("members"))
-    own = F.struct(*_PLACE)
-
+    sets = materialise(sets.where((F.col("n") + 1) * percent <= F.col("n") * 100).select(*[F.col(f"place.{c}") for c in _PLACE], "n", "bits0", "bits1", "prefix"))
+    renamed = [F.col(c).alias(e) for c, e in zip((*_PLACE, *_SHAPE), (*_EARLIER, *_ESHAPE), strict=True)]
     heads = [F.col(f"first.{c}").alias(e) for c, e in zip((*_PLACE, *_SHAPE), (*_EARLIER, *_ESHAPE), strict=True)]
-    met = shared.select(*_PLACE, *_SHAPE, *heads).where(own > F.struct(*_EARLIER)).where(_may_match(percent))
-    settled = _verified(source, met.select(*_PLACE, *_EARLIER).distinct(), percent)
+    earlier = F.struct(*_PLACE) > F.struct(*_EARLIER)
+
+    def postings(of: DataFrame, part: int) -> DataFrame:
+        return of.select(*_PLACE, "n", "bits0", "bits1", F.posexplode("prefix").alias("i", "token")).where(F.pmod("token", F.lit(PASSES)) == part)
+
+    def pairs(found: DataFrame) -> DataFrame:
+        return materialise(found.where(earlier & _may_match(percent)).select(*_PLACE, *_EARLIER).distinct())
+
+    def with_first(part: int) -> DataFrame:
+        first = F.min(F.struct(*_PLACE, *_SHAPE)).over(Window.partitionBy("token"))
+        return postings(sets, part).withColumn("first", first).select(*_PLACE, *_SHAPE, *heads)
+
+    met = [pairs(with_first(part)) for part in range(PASSES)]
+    settled = _verified(source, reduce(DataFrame.unionByName, met).distinct(), percent)
 
-    open_ = shared.join(settled.toDF(*_EARLIER), _same(_PLACE, _EARLIER), "left_anti")
-    other = shared.select(*[F.col(c).alias(e) for c, e in zip((*_PLACE, *_SHAPE), (*_EARLIER, *_ESHAPE), strict=True)], "token")
-    pairs = open_.join(other, "token").where((own > F.struct(*_EARLIER)) & (F.struct(*_EARLIER) > F.struct(*[f"first.{c}" for c in _PLACE]))).where(_may_match(percent))
-    return lines, settled.unionByName(_verified(source, pairs.select(*_PLACE, *_EARLIER).distinct(), percent)).distinct()
+    unsettled = materialise(sets.join(settled.toDF(*_EARLIER), _same(_PLACE, _EARLIER), "left_anti"))
+    left = [pairs(postings(unsettled, part).join(postings(sets, part).select(*renamed, "token"), "token")) for part in range(PASSES)]
+    fresh = reduce(DataFrame.unionByName, left).distinct().join(reduce(DataFrame.unionByName, met).toDF(*[f"met_{c}" for c in (*_PLACE, *_EARLIER)]), _same((*_PLACE, *_EARLIER), [f"met_{c}" for c in (*_PLACE, *_EARLIER)]), "left_anti")
+    return lines, settled.unionByName(_verified(source, fresh, percent)).distinct()
 
 
 def _same(a: Sequence[str], b: Sequence[str]) -> Column:
-    return F.col(a[0]).eqNullSafe(F.col(b[0])) & (F.col(a[1]) == F.col(b[1])) & (F.col(a[2]) == F.col(b[2]))
+    """Places (or pairs of places) are equal; only a ``doc_id`` may be null."""
+    equal = [F.col(x).eqNullSafe(F.col(y)) if x.endswith("doc_id") or x == "edoc" else F.col(x) == F.col(y) for x, y in zip(a, b, strict=True)]
+    return reduce(Column.__and__, equal)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
