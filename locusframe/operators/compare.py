@@ -109,3 +109,33 @@ def natural_key(text: Column) -> Column:
     """Sort key in which runs of digits compare as numbers of up to 12 digits."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 12, "0")).otherwise(p)), "")
+
+
+def analysis_table(deviations: DataFrame, distances: DataFrame, score_type: str, resolution: str, first_row_only: bool = False) -> DataFrame:
+    """Long table of deviations with the distance of their bin (``i`` for cells) to a mutation.
+
+    ``first_row_only`` keeps row 0 of a matrix alone, as tables made elsewhere may hold it.
+    """
+    bin_ = "i" if "i" in deviations.columns else "bin"
+    rows = deviations.where("i = 0") if first_row_only and bin_ == "i" else deviations
+    near = distances.select(F.col("bin").cast("int").alias(bin_), F.col("distance").alias("mutation_distance"))
+    return rows.join(near, bin_, "left").select(
+        F.col("run").alias("name"), F.lit(resolution).alias("resolution"), F.lit(score_type).alias("score_type"), bin_, F.col("deviation").alias("values"), "reference", "mutation_distance"
+    )
+
+
+def dispersion_by_distance(table: DataFrame, value: str = "values", keys: Sequence[str] = ("name",)) -> DataFrame:
+    """``dispersion`` of each group at each mutation distance."""
+    return dispersion(table, value, [*keys, "mutation_distance"])
+
+
+def bp_report(mutated: DataFrame) -> DataFrame:
+    """Bases mutated by each random run, ``run, bp``, with their readable form."""
+    return mutated.where(role(F.col("run")) == "rdm").select("run", "bp", humanise_bp(F.col("bp")).alias("readable"))
+
+
+def ensure_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columns`` as doubles (NULL where they are no numbers) and in ``bad`` how many of a row's are not."""
+    cast = {c: F.col(c).try_cast("double") for c in columns}
+    bad = sum((F.col(c).isNotNull() & number.isNull()).cast("int") for c, number in cast.items())
+    return df.withColumn("bad", bad).withColumns(cast)

@@ -129,3 +129,18 @@ def gaussian_smooth(contacts: DataFrame, bins: int, sigma: float = 1.0, keys: Se
         placed = moved.select(*keys, other, F.when(at >= bins, 2 * bins - 1 - at).otherwise(at).alias(axis), (F.col("value") * F.col("k.w")).alias("value"))
         out = placed.groupBy(*keys, "i", "j").agg(F.sum("value").alias("value"))
     return out
+
+
+def coarsegrain(contacts: DataFrame, cutoff: float, levels: int = 12, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Each cell's ``value`` as the mean of its smallest block of ``2**level`` bins whose ``raw`` counts reach ``cutoff``.
+
+    NULL where no block has enough.  Blocks are summed before the shuffle, so that a large one costs no more.
+    """
+    at = [F.floor(F.col(c) / F.pow(F.lit(2), "level")).cast("int").alias(f"block_{c}") for c in "ij"]
+    cells = contacts.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    cells = cells.select(*keys, "i", "j", "level", *at, "value", "raw")
+    block = [*keys, "level", "block_i", "block_j"]
+    means = cells.groupBy(*block).agg(F.avg("value").alias("mean"), F.sum("raw").alias("count"))
+    found = cells.drop("value", "raw").join(means, block)
+    enough = F.col("count") >= cutoff
+    return found.groupBy(*keys, "i", "j").agg(F.min_by("mean", F.when(enough, F.col("level"))).alias("value"))

@@ -145,3 +145,12 @@ def place_windows(loci: DataFrame, sizes: DataFrame, length: int, align: int) ->
     start = F.floor((F.col("pos") - length // 2) / align) * align
     placed = found.withColumn("wstart", F.greatest(F.lit(0), F.least(start, F.floor((F.col("size") - length) / align) * align)))
     return placed.select("chrom", "pos", "wstart", (F.col("wstart") + length).alias("wend"), (F.col("pos") - F.col("wstart")).alias("wpos"))
+
+
+def extent_range(df: DataFrame, sizes: DataFrame, extend_to: int) -> DataFrame:
+    """Per chromosome the range its intervals span, widened evenly to at least ``extend_to`` and kept on it."""
+    spans = df.groupBy("chrom").agg(F.min("start").alias("low"), F.max("end").alias("high"), F.max(F.col("end") - F.col("start")).alias("longest"))
+    short = F.greatest(F.lit(extend_to) - (F.col("high") - F.col("low")), F.lit(0))
+    low = F.greatest(F.col("low") - F.floor(short / 2), F.lit(0))
+    wide = spans.join(sizes, "chrom").withColumns({"start": low, "wanted": F.col("high") - F.col("low") + short})
+    return wide.select("chrom", "start", F.least(F.col("start") + F.col("wanted"), F.col("size")).alias("end"), "longest")

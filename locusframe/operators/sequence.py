@@ -100,3 +100,41 @@ def splice(seqs: DataFrame, mutations: DataFrame) -> DataFrame:
     head = pieces.groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "p"))), lambda x: x["p"]), "").alias("head"), F.max("end").alias("reach"))
     rest = seqs.join(head, "seq_id", "left")
     return rest.select("seq_id", F.when(F.col("head").isNull(), F.col("seq")).otherwise(F.concat("head", F.substr("seq", (F.col("reach") + 1).cast("int"), F.length("seq")))).alias("seq"))
+
+
+OPERATIONS = ("mask", "inversion", "shuffle", "insertion")
+
+
+def validate_mutations(df: DataFrame) -> DataFrame:
+    """Rows ``op, sequence, start, end`` with the ``reason`` for which one is rejected, else NULL."""
+    text = F.coalesce("sequence", F.lit(""))
+    unknown = ~F.coalesce(F.col("op").isin(*OPERATIONS), F.lit(False))
+    inserted = F.col("op") == "insertion"
+    reason = F.when(unknown, "unknown operation").when(inserted & ~text.rlike("^[ACGTNacgtn]+$"), "not a sequence").when(inserted & (F.length(text) > F.col("end") - F.col("start")), "longer than its interval")
+    return df.withColumn("reason", reason)
+
+
+def verify_splice(before: DataFrame, after: DataFrame, mutations: DataFrame) -> DataFrame:
+    """Stretches between mutations, ``seq_id, start, end``, that a splice has changed though it should not."""
+    by = Window.partitionBy("seq_id").orderBy("start")
+    gaps = mutations.select("seq_id", F.coalesce(F.lag("end").over(by), F.lit(0)).alias("a"), F.col("start").alias("b"))
+    tails = mutations.groupBy("seq_id").agg(F.max("end").alias("a")).select("seq_id", "a", F.lit(None).cast("int").alias("b"))
+    both = before.select("seq_id", F.col("seq").alias("old")).join(after.select("seq_id", F.col("seq").alias("new")), "seq_id")
+    end = F.coalesce("b", F.greatest(F.length("old"), F.length("new")))
+    part = lambda c: F.substr(c, (F.col("a") + 1).cast("int"), (F.col("end") - F.col("a")).cast("int"))
+    found = gaps.unionByName(tails).join(both, "seq_id").withColumn("end", end).where("end > a")
+    return found.where(part("old") != part("new")).select("seq_id", F.col("a").alias("start"), "end")
+
+
+def revert(mutated: DataFrame, trace: DataFrame) -> DataFrame:
+    """Sequences with each ``ref_seq`` of the trace back in its place."""
+    return splice(mutated, trace.drop("variant_seq").withColumnRenamed("ref_seq", "variant_seq"))
+
+
+def extract_region(chunks: DataFrame, seq_id, start: int, end: int) -> DataFrame:
+    """The chunks of ``[start, end)`` of one sequence, cut at its ends, in upper case, with starts relative to it."""
+    stop = F.col("chunk_start") + F.length("seq")
+    touched = chunks.where((F.col("seq_id") == seq_id) & (F.col("chunk_start") < end) & (stop > start))
+    a = F.greatest(F.lit(start) - F.col("chunk_start"), F.lit(0))
+    b = F.least(F.lit(end) - F.col("chunk_start"), F.length("seq"))
+    return touched.select("seq_id", (F.col("chunk_start") + a - start).alias("chunk_start"), F.upper(F.substr("seq", (a + 1).cast("int"), (b - a).cast("int"))).alias("seq"))

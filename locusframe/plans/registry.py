@@ -223,3 +223,45 @@ query("smp01_fan_out", f"WITH {V.MUTATIONS} SELECT start, \"end\", r::INT AS rep
 query("smp02_rotate_bins")(lambda s, d: nullmodel.rotate_bins(V.domains(s, d).where("chrom = '2-HIGH'"), 5, 35_000, 410, 3).select("replicate", "shift", "start", "end"))
 query("smp07_random_intervals", f"""WITH {IV}, {V.SIZES}, p AS (SELECT chrom, r::INT AS draw, {H("'5:' || chrom || ':' || r")} % (size - 311) AS start FROM s, range(200) t(r))
 SELECT chrom, draw, start, start + 312 AS "end" FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE a.chrom = b.chrom AND b.draw < a.draw AND abs(a.start - b.start) < 312)""")(lambda s, d: nullmodel.random_intervals(V.sizes(s, d), 312, 200, 5))
+
+
+# Coarse maps, analysis tables and checks of mutations.
+query("mat08_coarsegrain", f"""WITH {C}, k AS (SELECT run, i, j, l::INT AS level, i // (2 ** l)::INT AS bi, j // (2 ** l)::INT AS bj, value FROM c, range(5) t(l)), n AS (SELECT run, level, bi, bj, avg(value) AS mean, sum(value) AS cnt FROM k GROUP BY ALL)
+SELECT run, i, j, round(min_by(mean, CASE WHEN cnt >= 40 THEN level END), 6) AS value FROM k JOIN n USING (run, level, bi, bj) GROUP BY run, i, j""")(lambda s, d: contacts.coarsegrain(V.contacts(s, d).withColumn("raw", F.col("value")), 40, 5))
+_WIDE = SIZE * NB // B
+NEAR = f"{V.MUTATIONS}, big AS (SELECT * FROM m WHERE run = 'Wtd_mut' AND \"end\" - start >= 576), eb AS (SELECT floor(start / {_WIDE})::BIGINT AS e FROM big UNION SELECT floor(\"end\" / {_WIDE})::BIGINT FROM big), nd AS (SELECT b::INT AS bin, min(abs(b - e)) AS distance FROM range({B}) t(b), eb GROUP BY b)"
+LONG = f"{DEV}, {NEAR}, lt AS (SELECT run AS name, '32Mb' AS resolution, 'insulation' AS score_type, bin, deviation AS \"values\", reference, distance AS mutation_distance FROM dev LEFT JOIN nd USING (bin))"
+
+
+def _long(s, d):
+    big = V.mutations(s, d).where("run = 'Wtd_mut' and end - start >= 576")
+    return compare.analysis_table(_deviation(s, d), intervals.nearest_distance(big, 0, _WIDE, B), "insulation", "32Mb")
+
+
+query("cmp03_analysis_table", f"WITH {LONG} SELECT name, resolution, score_type, bin, round(\"values\", 6) AS \"values\", round(reference, 6) AS reference, mutation_distance FROM lt")(_long)
+query("cmp11_dispersion_by_distance", f"""WITH {LONG} SELECT name, mutation_distance, {', '.join(f'round(quantile_cont("values", {p}), 6) AS p{round(p * 1000):03d}' for p in (.125, .25, .5, .75, .875))},
+round(min("values"), 6) AS low, round(max("values"), 6) AS high, round(avg("values"), 6) AS mean, round(stddev_samp("values"), 6) AS sd, count("values") AS n FROM lt GROUP BY ALL""")(lambda s, d: compare.dispersion_by_distance(_long(s, d)))
+query("cmp16_bp_report", f"WITH {V.MUTATIONS}, r AS (SELECT run, sum(\"end\" - start)::BIGINT AS bp FROM m WHERE start >= 0 AND \"end\" <= 1000000 AND run <> 'Wtd_mut' GROUP BY run) SELECT run, bp, CASE WHEN bp > 1e6 THEN printf('%.1f', bp / 1e6) || 'Mb' WHEN bp > 1e3 THEN printf('%.1f', bp / 1e3) || 'kb' ELSE bp || 'pb' END AS readable FROM r")(
+    lambda s, d: compare.bp_report(intervals.mutated_bp(V.mutations(s, d), 0, 1000000))
+)
+query("prj18_numeric", "SELECT o_orderkey, try_cast(o_orderpriority AS DOUBLE) AS p, try_cast(o_custkey AS DOUBLE) AS c, (o_orderpriority IS NOT NULL AND try_cast(o_orderpriority AS DOUBLE) IS NULL)::INT AS bad FROM orders")(
+    lambda s, d: compare.ensure_numeric(V.table(s, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("p"), F.col("o_custkey").cast("string").alias("c")), ["p", "c"])
+)
+query("prj16_validate", f"""WITH {Q} SELECT seq_id, CASE WHEN seq_id % 5 = 4 THEN 'unknown operation' WHEN seq_id % 5 = 3 AND seq = '' THEN 'not a sequence' WHEN seq_id % 5 = 3 AND length(seq) > 500 THEN 'longer than its interval' END AS reason FROM q""")(
+    lambda s, d: sequence.validate_mutations(V.sequences(s, d).select("seq_id", F.col("seq").alias("sequence"), F.get(F.array(*map(F.lit, ["mask", "inversion", "shuffle", "insertion", "deletion"])), (F.col("seq_id") % 5).cast("int")).alias("op"), F.lit(100).alias("start"), F.lit(600).alias("end"))).select("seq_id", "reason")
+)
+
+
+def _verified(s, d):
+    seqs, rows = _mutated(s, d)
+    broken = sequence.splice(seqs, rows).withColumn("seq", F.when(F.col("seq_id") % 4 == 0, F.concat("seq", F.lit("A"))).otherwise(F.col("seq")))
+    return sequence.verify_splice(seqs, broken, rows)
+
+
+query("seq11_verify_splice", f"WITH {VAR} SELECT seq_id, b::INT AS start, (length(seq) + 1)::INT AS \"end\" FROM va WHERE seq_id % 4 = 0")(_verified)
+query("seq12_revert", f"WITH {VAR} SELECT seq_id, seq FROM va")(lambda s, d: (lambda m: sequence.revert(sequence.splice(*m), m[1]))(_mutated(s, d)))
+query("smp06_extent_range", f"""WITH {IV}, {V.SIZES}, w AS (SELECT chrom, min(start) AS low, max("end") AS high, max("end" - start) AS longest, any_value(size) AS size FROM v JOIN s USING (chrom) GROUP BY chrom), x AS (SELECT *, greatest(8000000 - (high - low), 0) AS short FROM w)
+SELECT chrom, greatest(low - short // 2, 0) AS start, least(greatest(low - short // 2, 0) + high - low + short, size) AS "end", longest FROM x""")(lambda s, d: intervals.extent_range(V.intervals(s, d), V.sizes(s, d), 8_000_000))
+query("seq14_extract_region", f"WITH {Q}, r AS (SELECT seq_id, substr(seq, 101, 300) AS seq FROM q WHERE seq_id = (SELECT max(seq_id) FROM q WHERE length(seq) >= 400)), t AS (SELECT * FROM (VALUES (0, 28), (28, 128), (156, 128), (284, 16)) x(a, n)) SELECT seq_id, a::INT AS chunk_start, substr(seq, a + 1, n) AS seq FROM r, t")(
+    lambda s, d: (lambda q: sequence.extract_region(sequence.chunked(q, 128), q.where(F.length("seq") >= 400).agg(F.max("seq_id")).scalar(), 100, 400))(V.sequences(s, d))
+)
