@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterable
-from itertools import chain
 
 import numpy as np
 
@@ -36,17 +35,22 @@ class SegmentEncoder:
     def _packed(self, segments: list[str]) -> Iterable[bytes]:
         return (array("I", ids).tobytes() for ids in self.encode_many(segments))
 
+    def _encode(self, text: str) -> np.ndarray:
+        segments = SEGMENT.findall(text)
+        packed = list(map(self.known.get, segments))
+        if None in packed:
+            new = list({s for s, p in zip(segments, packed, strict=True) if p is None})
+            fresh = dict(zip(new, self._packed(new), strict=True))
+            packed = [fresh[s] if p is None else p for s, p in zip(segments, packed, strict=True)]
+            short = {s: p for s, p in fresh.items() if len(s) <= self.longest}
+            if len(self.known) + len(short) > self.limit:
+                self.known.clear()
+            if len(short) <= self.limit:
+                self.known.update(short)
+        return np.frombuffer(b"".join(packed), dtype="u4")
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [SEGMENT.findall(t) for t in texts]
-        wanted = set(chain.from_iterable(cut))
-        new = [s for s in wanted.difference(self.known) if len(s) <= self.longest]
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = [s for s in wanted if len(s) <= self.longest]
-        self.known.update(zip(new, self._packed(new)))
-        long = [s for s in wanted if len(s) > self.longest]
-        look = self.known if not long else {**{s: self.known[s] for s in wanted if len(s) <= self.longest}, **dict(zip(long, self._packed(long)))}
-        return [np.frombuffer(b"".join(map(look.__getitem__, segments)), dtype="u4") for segments in cut]
+        return [self._encode(t) for t in texts]
 
 
 def batches(texts: list[str], most_chars: int = 2_000_000) -> Iterable[tuple[int, int]]:
