@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEYS = ("run",)
@@ -144,3 +144,27 @@ def coarsegrain(contacts: DataFrame, cutoff: float, levels: int = 12, keys: Sequ
     found = cells.drop("value", "raw").join(means, block)
     enough = F.col("count") >= cutoff
     return found.groupBy(*keys, "i", "j").agg(F.min_by("mean", F.when(enough, F.col("level"))).alias("value"))
+
+
+def matrix_kind(source: Column, use: str) -> Column:
+    """Which matrix a use reads: ratios to the expected for ``heatmap`` and ``regression``, counts otherwise.
+
+    ``predicted`` and ``measured`` sources are in logarithms, but for ``aif``; ``plain`` ones never are.
+    """
+    base = "obs_o_exp" if use in ("heatmap", "regression") else "obs"
+    logged = source.isin("predicted", "measured") & F.lit(use != "aif")
+    return F.when(logged, f"log_{base}").otherwise(base)
+
+
+def for_use(contacts: DataFrame, source: Column, use: str) -> DataFrame:
+    """``run, i, j, kind, value`` with the values that ``use`` reads."""
+    kind = matrix_kind(source, use)
+    cells = obs_over_exp(contacts) if use in ("heatmap", "regression") else contacts
+    value = F.when(kind.startswith("log_"), F.ln("value")).otherwise(F.col("value"))
+    return cells.select("run", "i", "j", kind.alias("kind"), value.alias("value"))
+
+
+def levels(spark: SparkSession, regions: dict[str, tuple[str, int, int]], offset: int = 0) -> DataFrame:
+    """``resol, chrom, start, end`` of a region map, shifted by ``offset``."""
+    rows = [(resol, chrom, start + offset, end + offset) for resol, (chrom, start, end) in regions.items()]
+    return spark.createDataFrame(rows, "resol string, chrom string, start long, end long")

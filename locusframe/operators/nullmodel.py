@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import assign_bins, find_overlaps
-from .sequence import draw
+from locusframe.functions.lineage import cut
+
+from .intervals import assign_bins, exclude, find_overlaps, include, overlap_join
+from .sequence import draw, random_sequence
 
 
 def fan_out(mutations: DataFrame, n: int) -> DataFrame:
@@ -23,10 +27,10 @@ def rotations(df: DataFrame, binsize: int, bins: int) -> DataFrame:
     return placed.withColumns({"start": F.col("start") + moved, "end": F.col("end") + moved})
 
 
-def valid_arrangements(moved: DataFrame, binsize: int, bins: int, key: str = "shift") -> DataFrame:
+def valid_arrangements(moved: DataFrame, binsize: int, bins: int, keys: Sequence[str] = ("shift",)) -> DataFrame:
     """Arrangements without an overlap, a negative start or an end past the last bin."""
-    bad = find_overlaps(moved, [key]).select(key).unionByName(moved.where((F.col("start") < 0) | (F.col("end") > binsize * bins)).select(key)).distinct()
-    return moved.select(key).distinct().join(bad, key, "left_anti")
+    bad = find_overlaps(moved, keys).select(*keys).unionByName(moved.where((F.col("start") < 0) | (F.col("end") > binsize * bins)).select(*keys)).distinct()
+    return moved.select(*keys).distinct().join(bad, list(keys), "left_anti")
 
 
 def rotate_bins(df: DataFrame, n: int, binsize: int, bins: int, seed: int) -> DataFrame:
@@ -46,3 +50,83 @@ def random_intervals(sizes: DataFrame, size: int, tries: int, seed: int) -> Data
     other = near.select("chrom", "cell", F.col("draw").alias("odraw"), F.col("start").alias("ostart"))
     lost = near.join(other, ["chrom", "cell"]).where((F.col("odraw") < F.col("draw")) & (F.abs(F.col("ostart") - F.col("start")) < size)).select("chrom", "draw").distinct()
     return placed.join(lost, ["chrom", "draw"], "left_anti")
+
+
+def shuffle_bins(df: DataFrame, n: int, binsize: int, bins: int, seed: int, candidates: int = 4, rounds: int = 250_000) -> DataFrame:
+    """``n`` replicates, each the first valid one of its drawn orders of all bins; in-bin offsets stay.
+
+    A round tries ``candidates`` orders of each replicate still without one.  Only the numbers of
+    the chosen orders, ``n`` at most, reach the driver.
+    """
+    spark = df.sparkSession
+    placed = cut(assign_bins(df, binsize))
+    if not placed.where(~F.col("bin").between(0, bins - 1)).isEmpty():
+        raise ValueError("intervals outside of the bins")
+
+    def moved(orders: DataFrame) -> DataFrame:
+        every = orders.select("replicate", "candidate", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+        drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), "replicate", "candidate", "bin"))
+        place = F.row_number().over(Window.partitionBy("replicate", "candidate").orderBy(drawn, "bin")) - 1
+        shift = (F.col("place") - F.col("bin")) * binsize
+        return placed.join(every.withColumn("place", place), "bin").withColumns({"start": F.col("start") + shift, "end": F.col("end") + shift})
+
+    def orders(rows: list) -> DataFrame:
+        return spark.createDataFrame(rows, "replicate int, candidate int")
+
+    chosen: dict[int, int] = {}
+    for k in range(rounds):
+        left = [r for r in range(n) if r not in chosen]
+        if not left or (k == 0 and placed.isEmpty()):
+            break
+        tried = moved(orders([(r, c) for r in left for c in range(k * candidates, (k + 1) * candidates)]))
+        valid = valid_arrangements(tried, binsize, bins, ("replicate", "candidate"))
+        chosen |= {r.replicate: r.candidate for r in valid.groupBy("replicate").agg(F.min("candidate").alias("candidate")).collect()}
+    else:
+        raise RuntimeError("no valid order of bins was drawn for every replicate")
+    return moved(orders(sorted(chosen.items())))
+
+
+def global_shuffle(df: DataFrame, sizes: DataFrame, seed: int, excl: DataFrame | None = None, incl: DataFrame | None = None, cell: int = 1000, rounds: int = 60) -> DataFrame:
+    """Intervals of the same lengths at uniform places of the genome that overlap no other one.
+
+    ``df`` has ``chrom, start, end, name`` with a unique name; ``sizes`` has a row for each
+    chromosome.  A draw is lost if it passes the chromosome's end, touches ``excl``, lies in no
+    domain of ``incl``, or overlaps a placed interval or a draw of smaller name; lost ones are drawn anew.
+    """
+    edges, total = [], 0
+    for r in sizes.orderBy("chrom").collect():
+        edges.append(F.struct(F.lit(r["chrom"]).alias("chrom"), F.lit(total).cast("long").alias("base"), F.lit(r["size"]).cast("long").alias("size")))
+        total += r["size"]
+    names = df.columns
+    waiting, placed = cut(df), None
+    for k in range(rounds):
+        if waiting.isEmpty():
+            return df.limit(0) if placed is None else placed
+        at = draw(F.concat(F.lit(f"{seed}:{k}:"), F.col("name"))) % total
+        on = F.element_at(F.filter(F.array(*edges), lambda e: e["base"] <= F.col("at")), -1)
+        drawn = waiting.withColumn("at", at).withColumn("on", on).withColumn("length", F.col("end") - F.col("start"))
+        drawn = drawn.withColumns({"chrom": F.col("on.chrom"), "start": F.col("at") - F.col("on.base")}).withColumn("end", F.col("start") + F.col("length"))
+        fits = drawn.where(F.col("end") <= F.col("on.size")).select(*names)
+        fits = exclude(fits, excl, cell) if excl is not None else include(fits, incl, cell) if incl is not None else fits
+        fits = exclude(fits, placed.select("chrom", "start", "end"), cell) if placed is not None else fits
+        fits = cut(fits)
+        other = fits.select("chrom", "start", "end", F.col("name").alias("oname"))
+        lost = overlap_join(fits, other, cell).where("oname < name").select("name").distinct()
+        kept = fits.join(lost, "name", "left_anti").select(*names)
+        placed = cut(kept if placed is None else placed.unionByName(kept))
+        waiting = cut(waiting.join(placed.select("name"), "name", "left_anti").select(*names))
+    raise RuntimeError("some intervals found no place")
+
+
+def random_content(df: DataFrame, seed: int, sequence: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """The same places with random letters (or ``sequence``) inserted and names led by ``rdm_``.
+
+    A list (rows of equal ``keys``) that only permutes between intervals keeps its operation.
+    """
+    alone = F.min(F.col("op").eqNullSafe("permutations_inter")).over(Window.partitionBy(*keys))
+    name = F.concat(F.lit("rdm_"), F.coalesce(F.nullif("name", F.lit("")), F.concat_ws("_", "chrom", "start", "end")))
+    key = F.concat_ws(":", F.lit(str(seed)), *keys, "chrom", "start", "end", F.coalesce("name", F.lit("")))
+    letters = F.lit(sequence) if sequence else random_sequence((F.col("end") - F.col("start")).cast("int"), key)
+    # The letters come first: they are drawn by the old name.
+    lettered = df.withColumn("_alone", alone).withColumn("sequence", F.when(F.col("_alone"), F.lit(sequence).cast("string")).otherwise(letters))
+    return lettered.withColumns({"op": F.when(F.col("_alone"), F.col("op")).otherwise("insertion"), "name": name}).drop("_alone")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.operators import compare, contacts, intervals, nullmodel, scores, sequence
@@ -265,3 +265,29 @@ SELECT chrom, greatest(low - short // 2, 0) AS start, least(greatest(low - short
 query("seq14_extract_region", f"WITH {Q}, r AS (SELECT seq_id, substr(seq, 101, 300) AS seq FROM q WHERE seq_id = (SELECT max(seq_id) FROM q WHERE length(seq) >= 400)), t AS (SELECT * FROM (VALUES (0, 28), (28, 128), (156, 128), (284, 16)) x(a, n)) SELECT seq_id, a::INT AS chunk_start, substr(seq, a + 1, n) AS seq FROM r, t")(
     lambda s, d: (lambda q: sequence.extract_region(sequence.chunked(q, 128), q.where(F.length("seq") >= 400).agg(F.max("seq_id")).scalar(), 100, 400))(V.sequences(s, d))
 )
+
+# Shuffled bins and places, random contents, matrix kinds, levels and references.
+query("smp03_shuffle_bins", f"""WITH {V.DOMAINS}, a AS (SELECT start, "end", CASE WHEN floor(start / 35000) = floor(("end" - 1) / 35000) OR ((floor(start / 35000) + 1) * 35000 - start) * 2 >= "end" - start THEN floor(start / 35000)::BIGINT ELSE floor(("end" - 1) / 35000)::BIGINT END AS bin FROM d WHERE chrom = '2-HIGH'),
+p AS (SELECT r, k, b AS bin, row_number() OVER (PARTITION BY r, k ORDER BY md5('3:' || r || ':' || k || ':' || b), b) - 1 AS place FROM range(5) t(r), range(4) u(k), range(410) w(b)),
+mv AS (SELECT r, k, start + (place - bin) * 35000 AS start, "end" + (place - bin) * 35000 AS "end" FROM a JOIN p USING (bin)),
+x AS (SELECT *, max("end") OVER (PARTITION BY r, k ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM mv),
+ok AS (SELECT r, min(k) AS k FROM (SELECT r, k FROM x GROUP BY r, k HAVING NOT bool_or(coalesce(start < reach, false) OR start < 0 OR "end" > 35000 * 410)) GROUP BY r)
+SELECT r::INT AS replicate, start, "end" FROM mv JOIN ok USING (r, k)""")(lambda s, d: nullmodel.shuffle_bins(V.domains(s, d).where("chrom = '2-HIGH'"), 5, 35_000, 410, 3).select("replicate", "start", "end"))
+query("smp05_global_shuffle")(lambda s, d: nullmodel.global_shuffle(V.intervals(s, d).select(*_cols), V.sizes(s, d).withColumn("size", F.col("size") * 4), 7, excl=V.domains(s, d)))
+_letter = f"list_reduce(list_transform(range(1, (\"end\" - start)::INT + 1), lambda i: CASE WHEN {H('key || i')} < 0.22 * 4294967296 THEN 'A' WHEN {H('key || i')} < 0.5 * 4294967296 THEN 'C' WHEN {H('key || i')} < 0.78 * 4294967296 THEN 'G' ELSE 'T' END), lambda a, b: a || b)"
+query("smp08_random_content", f"""WITH {V.MUTATIONS}, o AS (SELECT DISTINCT run, run AS chrom, start, "end", CASE WHEN run LIKE '%1' OR start % 2 = 0 THEN 'permutations_inter' ELSE 'mask' END AS op FROM m),
+k AS (SELECT *, bool_and(op = 'permutations_inter') OVER (PARTITION BY run) AS alone, '9:' || run || ':' || chrom || ':' || start || ':' || "end" || '::' AS key FROM o)
+SELECT run, start, "end", 'rdm_' || chrom || '_' || start || '_' || "end" AS name, CASE WHEN alone THEN op ELSE 'insertion' END AS op, CASE WHEN NOT alone THEN {_letter} END AS sequence FROM k""")(
+    lambda s, d: nullmodel.random_content(
+        V.mutations(s, d).distinct().select("run", F.col("run").alias("chrom"), "start", "end", F.lit(None).cast("string").alias("name"), F.when(F.col("run").endswith("1") | (F.col("start") % 2 == 0), "permutations_inter").otherwise("mask").alias("op")), 9, keys=("run",)
+    ).drop("chrom")
+)
+query("prj10_matrix_kind", f"WITH {OE} SELECT run, i, j, CASE WHEN run = 'R' THEN 'obs_o_exp' ELSE 'log_obs_o_exp' END AS kind, round(CASE WHEN run = 'R' THEN value ELSE ln(value) END, 6) AS value FROM oe")(
+    lambda s, d: contacts.for_use(V.contacts(s, d), F.when(F.col("run") == "R", "plain").when(F.col("run") == "N", "measured").otherwise("predicted"), "heatmap")
+)
+query("prj15_levels", f"WITH {IV}, l AS (SELECT * FROM (VALUES ('1Mb', 101000, 201000), ('2Mb', 51000, 401000)) t(resol, low, high)) SELECT resol, low::BIGINT AS low, high::BIGINT AS high, count(*) AS n FROM v JOIN l ON chrom = '2-HIGH' AND start >= low AND \"end\" <= high GROUP BY ALL")(
+    lambda s, d: V.intervals(s, d).join(F.broadcast(contacts.levels(s, {"1Mb": ("2-HIGH", 100_000, 200_000), "2Mb": ("2-HIGH", 50_000, 400_000)}, 1000).withColumnsRenamed({"start": "low", "end": "high"})), "chrom").where("start >= low and end <= high").groupBy("resol", "low", "high").agg(F.count("*").alias("n"))
+)
+query("cmp07_references", "WITH r AS (SELECT *, o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) AS is_ref FROM orders) SELECT a.o_custkey AS experiment, a.o_orderkey AS run FROM r a JOIN r b USING (o_custkey) WHERE NOT a.is_ref AND b.is_ref AND (a.o_orderpriority IS DISTINCT FROM b.o_orderpriority OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus)")(
+    lambda s, d: compare.check_references(V.table(s, d, "orders").select(F.col("o_custkey").alias("experiment"), F.col("o_orderkey").alias("run"), "o_orderpriority", "o_orderstatus").withColumn("is_ref", F.col("run") == F.min("run").over(Window.partitionBy("experiment"))), ["o_orderpriority", "o_orderstatus"])
+)

@@ -99,3 +99,35 @@ def pixels_at(pixels: DataFrame, bins: DataFrame, resolution: int, chrom: str, s
     side = lambda k, name: inside.select(F.col("bin_id").alias(f"bin{k}_id"), at.alias(name), F.col("weight").alias(f"w{k}"))
     found = pixels.where(F.col("resolution") == resolution).join(side(1, "i"), "bin1_id").join(side(2, "j"), "bin2_id")
     return found.select("i", "j", (F.col("count") * F.col("w1") * F.col("w2")).alias("value"), F.col("count").alias("raw"))
+
+
+def read_fasta(spark: SparkSession, path: str, chunk: int = 128_000) -> DataFrame:
+    """``seq_id, chunk_id, chunk_start, seq`` of FASTA files, in pieces of ``chunk`` letters.
+
+    Lines are placed inside the file blocks that Spark reads, then by totals of the blocks before:
+    no task sees more than a block or a chunk, however long a chromosome is.
+    """
+    line = F.trim(F.col("value"))
+    read = spark.read.text(path).select(line.alias("v"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("no"))
+    head = F.col("v").startswith(">")
+    lines = read.select("path", "block", "no", "v", head.alias("head"), F.when(head, F.split(F.substring("v", 2, 1 << 20), r"\s+")[0]).alias("name"), F.when(head, 0).otherwise(F.length("v")).cast("long").alias("n"))
+    blocks, up_to = Window.partitionBy("path", "block").orderBy("no"), Window.unboundedPreceding
+    marked = lines.withColumns({"part": F.count("name").over(blocks), "own": F.last("name", ignorenulls=True).over(blocks)})
+    within = marked.withColumn("at", F.sum("n").over(Window.partitionBy("path", "block", "part").orderBy("no").rowsBetween(up_to, 0)) - F.col("n"))
+
+    totals = marked.groupBy("path", "block", "part").agg(F.sum("n").alias("letters"), F.max("own").alias("own"))
+    tail = totals.groupBy("path", "block").agg(F.max(F.struct("part", "letters", "own")).alias("t")).select("path", "block", "t.*")
+    order = Window.partitionBy("path").orderBy("block")
+    grouped = tail.withColumns({"run": F.count("own").over(order), "seen": F.last("own", ignorenulls=True).over(order)})
+    summed = grouped.withColumn("sum", F.sum("letters").over(Window.partitionBy("path", "run").orderBy("block")))
+    before = summed.select("path", "block", F.lag("seen").over(order).alias("carried"), F.lag("sum").over(order).alias("letters"))
+
+    first = F.col("part") == 0
+    start = F.col("at") + F.when(first, F.coalesce("letters", F.lit(0))).otherwise(0)
+    placed = within.where("n > 0").join(before, ["path", "block"]).select(F.when(first, F.col("carried")).otherwise(F.col("own")).alias("seq_id"), start.alias("start"), "n", "v")
+    cells = placed.where("seq_id is not null").select("*", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("start") + F.col("n") - 1) / chunk))).alias("chunk_id"))
+    low = F.greatest(F.col("chunk_id") * chunk - F.col("start"), F.lit(0))
+    high = F.least((F.col("chunk_id") + 1) * chunk - F.col("start"), F.col("n"))
+    pieces = cells.select("seq_id", F.col("chunk_id").cast("int").alias("chunk_id"), (F.col("start") + low).alias("a"), F.substr("v", (low + 1).cast("int"), (high - low).cast("int")).alias("s"))
+    letters = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", "s"))), lambda x: x["s"]), "")
+    return pieces.groupBy("seq_id", "chunk_id").agg(letters.alias("seq")).select("seq_id", "chunk_id", (F.col("chunk_id") * chunk).alias("chunk_start"), "seq")

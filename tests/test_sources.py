@@ -54,3 +54,19 @@ def test_sinks(spark, tmp_path):
     scores = spark.createDataFrame([("a", "ins", 1, None), ("a", "ins", 0, 0.5)], "run string, score_type string, bin int, value double")
     sinks.write_scores_wide(scores, str(tmp_path / "w"))
     assert spark.read.text(str(tmp_path / "w")).first().value == "a\tins\t0.5\tnan"
+
+
+def test_fasta(spark, tmp_path):
+    put(tmp_path / "a.fa", ">c1 first\n" + "\n".join(["ACGTACGTAC"] * 23 + ["GGT"]) + "\n>c2\nTTAA\n\n>c3\n" + "\n".join(["CCCCCGGGGG"] * 31) + "\n")
+    want = {"c1": "ACGTACGTAC" * 23 + "GGT", "c2": "TTAA", "c3": "CCCCCGGGGG" * 31}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for size in ("37b", "64b", "1m"):  # lines in many blocks, blocks without a header
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = text.read_fasta(spark, str(tmp_path / "a.fa"), 33).orderBy("seq_id", "chunk_id").collect()
+            assert {k: "".join(r.seq for r in got if r.seq_id == k) for k in want} == want
+            assert all(r.chunk_start == r.chunk_id * 33 for r in got)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
