@@ -83,6 +83,37 @@ def test_near_vectors(spark):
     assert neighbours.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_near_vectors_in_a_hot_bucket(spark):
+    """Small groups in one sign bucket of the whole table, beside a hot group: nearly all of their links are found."""
+    rng = np.random.default_rng(8)
+    mean = np.full(32, 3.0 / np.sqrt(32))
+    base = mean + rng.standard_normal((1500, 32)) * 1.6 / np.sqrt(32)
+    near = base + rng.standard_normal((1500, 32)) * 0.55 / np.sqrt(32)
+    hot = base[0] * 1.0 + mean + rng.standard_normal((1500, 32)) * 0.02
+    x = np.concatenate([base, near, hot])
+    got = rows(neighbours.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), threshold=0.97), "vec_id")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.97
+    np.fill_diagonal(hit, False)
+    small = [i for i in range(3000) if 0 < hit[i].sum() < 4]
+    assert len(small) > 500
+    assert sum(got[i].n_links for i in small) >= 0.98 * hit[small].sum()
+
+
+def test_audit_sees_split_components(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((61, 16))
+    x = np.concatenate([base[:60], base[:60] + 0.01, base[60] + rng.standard_normal((400, 16)) * 0.01])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, v.tobytes(), 1) for i, v in enumerate(unit)], "node long, unit binary, copies long")
+    sample = neighbours.audit_sample(nodes, len(unit))
+    hot = [(i, 120) for i in range(120, 520)]
+    pairs = [(i + 60 * k, i) for i in range(60) for k in (0, 1)]
+    table = lambda r: spark.createDataFrame(r, "node long, component long")
+    assert neighbours.audit(nodes, table(hot + pairs), sample, 0.9) == 1
+    assert neighbours.audit(nodes, table(hot + pairs[:80]), sample, 0.9) < 0.98
+
+
 def _shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 4 else ({tuple(words)} if words else set())
