@@ -2,7 +2,8 @@
 
 A stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and read as the next
 one's ``docs``.  All but the last return the columns of ``documents``.  Every stage works on an
-empty table and on null or empty texts: such a text has no language and leaves at the first stage.
+empty table and on null or empty texts: such a text has no language and leaves at the first stage,
+unless no row has a language label.
 """
 
 from __future__ import annotations
@@ -13,32 +14,30 @@ from pyspark.sql import functions as F
 from locusframe.llm import byte_bpe, language, lines, minhash, mixing
 from locusframe.llm._common import materialise, read_table
 
-#: A document stays if one language has at least this share of it.
-LEAST_SHARE = 0.5
-
 
 def _same_columns(docs: DataFrame, changed: DataFrame) -> DataFrame:
     return changed.select(*docs.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in which no language has half of the text, go."""
+    """Documents without letters go, in whatever languages the others are; where nothing could be learnt all stay."""
     model = language.learn(docs)
-    judged = language.predict_rows(docs, model)
-    return _same_columns(docs, judged.where((F.col("_lang_pred") != "und") & (F.col("_score") >= LEAST_SHARE)))
+    if not model.languages:
+        return docs
+    return _same_columns(docs, language.predict_rows(docs, model).where(F.col("_lang_pred") != "und"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later matches of a line go; a document goes if it had words and none are left."""
+    """Later matches of a line go; a document goes if lines were removed and no words are left."""
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    rest = lines.without_similar_lines(docs, columns=others).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    rest = lines.without_similar_lines(docs, columns=others).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return _same_columns(docs, rest.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return _same_columns(docs, docs.join(kept, "doc_id", "left_semi"))
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id; rows without doc_id stay."""
+    ids = minhash.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    return _same_columns(docs, docs.join(ids.where("not kept"), "doc_id", "left_anti"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

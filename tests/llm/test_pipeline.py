@@ -22,3 +22,22 @@ def test_stages(spark, rows):
         assert counts[0] == 200 and counts[1] > 150 and counts[2] > 150 and counts[3] > counts[2] and counts[4] == counts[3]
     else:
         assert counts == [0] * 5
+
+
+def test_clean_documents_stay(spark):
+    """Rows without doc_id, mixed languages, blank texts and unlabelled corpora are not lost on the way."""
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    en, de, fr = "the house and the garden with the old tree " * 9, "das haus und der garten mit dem alten baum " * 9, "la maison et le jardin avec le vieil arbre " * 9
+    data = [(1, en, "en", "a", 0), (2, de, "de", "a", 0), (3, fr, "fr", "a", 0), (None, "a text without any id but with words of its own", None, "b", 0)]
+    data += [(4, en[:86] + de[:86] + fr[:86], None, "b", 0), (5, en, None, "b", 0), (6, "12 34", None, "b", 0), (7, None, None, "b", 0)]
+    docs = spark.createDataFrame(data, schema)
+
+    def ids(df):
+        return sorted(r.doc_id or 0 for r in df.collect())
+
+    assert ids(corpus_pipeline.identify_language(spark, docs, SF)) == [0, 1, 2, 3, 4, 5]
+    unlabelled = docs.selectExpr("doc_id", "text", "string(null) lang", "source", "n_chars")
+    assert ids(corpus_pipeline.identify_language(spark, unlabelled, SF)) == [0, 1, 2, 3, 4, 5, 6, 7]
+    assert ids(corpus_pipeline.drop_near_duplicates(spark, docs, SF)) == [0, 1, 2, 3, 4, 6, 7]
+    lines = spark.createDataFrame([(1, "one two", None, "a", 0), (2, "one two", None, "a", 0), (3, " ", None, "a", 0), (4, None, None, "a", 0)], schema)
+    assert ids(corpus_pipeline.drop_repeated_lines(spark, lines, SF)) == [1, 3, 4]
