@@ -4,6 +4,7 @@ Each distinct term of a text hashes to 64 signed bits that vote with the term's
 its count); the signs of the sums are the fingerprint.  The search cuts fingerprints in
 ``radius + 1`` and more blocks: two within the radius agree on at least ``blocks - radius`` of
 them, so equality joins on every such choice of blocks (the permuted tables) find all of them.
+The query searches every hundredth document's fingerprint in those of all documents.
 
 Defined cases: a null text counts as empty; a text without terms has fingerprint 0; equal texts
 have equal fingerprints; repeated rows are fingerprinted each for itself; an empty table gives an
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from ._common import map_pandas, materialise, read_table, renamed_apart
 
 BITS = 64
+QUERY_STEP = 100  # documents whose id it divides are searched for
+HOT = 256  # fingerprints that share a key before it is cut further
 _TERM = re.compile(r"\w+")
 
 
@@ -64,21 +67,79 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_pandas(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fingerprint long")
 
 
+def _edges(blocks: int) -> list[int]:
+    return [BITS * i // blocks for i in range(blocks + 1)]
+
+
+def _tables(radius: int, blocks: int) -> list[int]:
+    """Masks of the permuted tables: every choice of ``blocks - radius`` blocks."""
+    if not 0 <= radius < blocks <= BITS:
+        raise ValueError("blocks must exceed the radius")
+    edges = _edges(blocks)
+    return [sum(((1 << edges[i + 1] - edges[i]) - 1) << edges[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+
+
+def _keys(prints: DataFrame, masks: list[int], name: str) -> DataFrame:
+    """``t, key`` and the fingerprint as ``name``, one row for each mask; ``t`` numbers the masks."""
+    table = F.array(*[F.struct(F.lit(k).alias("t"), F.lit(_signed(m)).alias("m")) for k, m in enumerate(masks)])
+    return prints.select(F.col("fingerprint").alias(name), F.explode(table).alias("x")).select(name, F.col("x.t").alias("t"), F.col(name).bitwiseAND(F.col("x.m")).alias("key"))
+
+
+def _finer(mask: int, radius: int, parts: int) -> list[int]:
+    """``mask`` with every choice of ``parts - radius`` of ``parts`` about equal cuts of the other bits."""
+    rest = [i for i in range(BITS) if not mask >> i & 1]
+    cuts = [sum(1 << i for i in rest[len(rest) * k // parts : len(rest) * (k + 1) // parts]) for k in range(parts)]
+    return [mask | sum(cuts[i] for i in chosen) for chosen in combinations(range(parts), parts - radius)]
+
+
+def search(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int = 6, most: int = HOT) -> DataFrame:
+    """``a, b, distance``: for each query fingerprint ``a`` all fingerprints ``b`` at most ``radius`` bits apart, itself too.
+
+    Both tables have one row for each distinct ``fingerprint``.  A key that more than ``most``
+    fingerprints share is cut further: two within the radius that agree on its blocks differ by as
+    few bits in the others, so the same choice of blocks is made among these, with longer keys.
+    """
+    masks = _tables(radius, blocks)
+    keyed = _keys(prints, masks, "b")
+    asked = _keys(queries, masks, "a")
+    # Only keys that a query has can meet; those that are too large are known before any pair is made.
+    hot = keyed.join(asked.select("t", "key").distinct(), ["t", "key"], "left_semi").groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n")
+    hot = materialise(hot)
+    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance")
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right, ["t", "key"]).select("a", "b", distance).where(F.col("distance") <= radius)
+
+    found = pairs(asked.join(hot, ["t", "key"], "left_anti"), keyed)
+    finer = F.array(*[F.array(*[F.lit(_signed(m)) for m in _finer(mask, radius, blocks)]) for mask in masks])
+
+    def cut(side: DataFrame, name: str) -> DataFrame:
+        rows = side.join(hot, ["t", "key"], "left_semi").select(name, "t", F.posexplode(F.get(finer, F.col("t"))).alias("u", "m"))
+        return rows.select(name, (F.col("t") * 1000 + F.col("u")).alias("t"), F.col(name).bitwiseAND(F.col("m")).alias("key"))
+
+    return found.unionByName(pairs(cut(asked, "a"), cut(keyed, "b"))).distinct()
+
+
 def within_radius(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     """Pairs ``a < b, distance`` of different fingerprints at most ``radius`` bits apart.
 
     ``prints`` has one row for each distinct fingerprint (column ``fingerprint``), so copies form
     one class however many they are.
     """
-    if not 0 <= radius < blocks <= BITS:
-        raise ValueError("blocks must exceed the radius")
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    masks = [sum(((1 << edges[i + 1] - edges[i]) - 1) << edges[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
-    table = F.array(*[F.struct(F.lit(k).alias("t"), F.lit(_signed(m)).alias("m")) for k, m in enumerate(masks)])
-    keyed = prints.select("fingerprint", F.explode(table).alias("x")).select("fingerprint", F.col("x.t").alias("t"), F.col("fingerprint").bitwiseAND(F.col("x.m")).alias("key"))
-    left, right = keyed.withColumnRenamed("fingerprint", "a"), keyed.withColumnRenamed("fingerprint", "b")
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return left.join(right, ["t", "key"]).where(F.col("a") < F.col("b")).select("a", "b", distance.alias("distance")).where(F.col("distance") <= radius).distinct()
+    return search(prints, prints, radius, blocks).where("a < b")
+
+
+def count_near(rows: DataFrame, radius: int = 3) -> DataFrame:
+    """``rows`` with ``n_near``: for query documents how many other rows of the table are within the radius, else null.
+
+    Queries are the rows whose ``doc_id`` is divisible by ``QUERY_STEP``; every row is searched.
+    """
+    prints = materialise(rows.groupBy(F.conv("fingerprint", 16, -10).cast("long").alias("fingerprint")).agg(F.count("*").alias("copies"), F.coalesce(F.bool_or(F.col("doc_id") % QUERY_STEP == 0), F.lit(False)).alias("asked")))
+    met = search(prints.where("asked").select("fingerprint"), prints.select("fingerprint"), radius)
+    near = met.join(prints.select(F.col("fingerprint").alias("b"), "copies"), "b").groupBy("a").agg((F.sum("copies") - 1).alias("near"))
+    asked = rows.where(F.col("doc_id") % QUERY_STEP == 0).withColumn("a", F.conv("fingerprint", 16, -10).cast("long"))
+    rest = rows.where(F.coalesce(F.col("doc_id") % QUERY_STEP != 0, F.lit(True))).withColumn("n_near", F.lit(None).cast("long"))
+    return asked.join(near, "a").drop("a").withColumnRenamed("near", "n_near").unionByName(rest)
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
@@ -139,4 +200,4 @@ def compare_edits(docs: DataFrame) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_edits(read_table(spark, sf_dir, "documents"))
+    return count_near(materialise(compare_edits(read_table(spark, sf_dir, "documents"))))

@@ -226,6 +226,20 @@ def test_simhash(spark, docs, empty):
     assert found == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
 
 
+def test_simhash_search(spark):
+    """op7 searches its queries in all rows; keys that many fingerprints share are cut further and lose nothing."""
+    got = simhash.op7_simhash(spark, SF).collect()
+    prints = [int(r.fingerprint, 16) for r in got]
+    assert {r.doc_id for r in got if r.n_near is not None} == {r.doc_id for r in got if r.doc_id % simhash.QUERY_STEP == 0}
+    assert all(r.n_near == sum((int(r.fingerprint, 16) ^ p).bit_count() <= 3 for p in prints) - 1 for r in got if r.n_near is not None)
+    one = random.getrandbits(64)
+    near = sorted({simhash._signed(one ^ sum(1 << b for b in random.sample(range(64), random.randrange(5)))) for _ in range(300)})
+    table = spark.createDataFrame([(p,) for p in near], "fingerprint long")
+    found = {(r.a, r.b) for r in simhash.search(table.limit(20), table, most=4).collect()}
+    asked = [r.fingerprint for r in table.limit(20).collect()]
+    assert found == {(a, b) for a in asked for b in near if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+
+
 def test_sharding(docs, empty):
     got = sharding.shard_by_bytes(docs, 4).collect()
     text = dict(ROWS)
