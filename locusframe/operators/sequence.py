@@ -82,29 +82,44 @@ def fetch_sequences(intervals: DataFrame, chunks: DataFrame, chunk: int) -> Data
     return found.groupBy("id", "seq_id", "start", "end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", part.alias("p")))), lambda x: x["p"]), "").alias("found"))
 
 
-def mutate(df: DataFrame, key: Column) -> DataFrame:
-    """``variant_seq`` of rows ``op, ref_seq, sequence, strand``, NULL with a ``reason`` where the mutation is not valid."""
+OPERATIONS = ("mask", "inversion", "shuffle", "insertion", "permutations_inter", "permutations_intra")
+
+
+def mutate(df: DataFrame, key: Column, binsize: int = 128_000, seed: int = 0, group=("seq_id",)) -> DataFrame:
+    """``variant_seq`` of rows ``op, ref_seq, sequence, strand, start``, NULL with a ``reason`` where the mutation is not valid.
+
+    ``permutations_inter`` puts the pieces of ``binsize`` letters of an interval in a drawn order;
+    ``permutations_intra`` exchanges the intervals of a ``group`` that have this operation.
+    """
     given = F.when(F.col("strand") == "-", revcomp(F.col("sequence"))).otherwise(F.col("sequence"))
     valid = given.rlike("^[ACGTNacgtn]+$") & (F.length(given) <= F.length("ref_seq"))
     op = F.col("op")
-    new = F.when(op == "mask", mask(F.col("ref_seq"))).when(op == "inversion", revcomp(F.col("ref_seq"))).when(op == "shuffle", shuffle_seq(F.col("ref_seq"), key)).when((op == "insertion") & valid, rep_fill(given, F.length("ref_seq")))
-    reason = F.when(~op.isin("mask", "inversion", "shuffle", "insertion"), "unknown operation").when((op == "insertion") & ~F.coalesce(valid, F.lit(False)), "invalid insertion")
-    return df.withColumns({"variant_seq": new, "reason": reason})
+    moved = op.eqNullSafe("permutations_intra")
+    pieces = permute_within(F.col("ref_seq"), binsize, key)
+    new = F.when(op == "mask", mask(F.col("ref_seq"))).when(op == "inversion", revcomp(F.col("ref_seq"))).when(op == "shuffle", shuffle_seq(F.col("ref_seq"), key)).when((op == "insertion") & valid, rep_fill(given, F.length("ref_seq"))).when(op == "permutations_inter", pieces)
+    reason = F.when(~F.coalesce(op.isin(*OPERATIONS), F.lit(False)), "unknown operation").when((op == "insertion") & ~F.coalesce(valid, F.lit(False)), "invalid insertion").when((op == "permutations_inter") & pieces.isNull(), "bin size does not divide the interval")
+    alone = df.where(~moved).withColumns({"variant_seq": new, "reason": reason})
+    # The next interval in a drawn order gives its letters; the first gives them to the last.
+    order = Window.partitionBy(*group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *group, "start")), "start")
+    donor = F.coalesce(F.lead("ref_seq").over(order), F.first("ref_seq").over(order))
+    exchanged = df.where(moved).withColumns({"variant_seq": donor, "reason": F.lit(None).cast("string")})
+    return alone.unionByName(exchanged)
 
 
 def splice(seqs: DataFrame, mutations: DataFrame) -> DataFrame:
-    """Sequences with each mutation's ``variant_seq`` in place of ``[start, end)``; mutations of a sequence don't overlap."""
+    """Sequences with each mutation's ``variant_seq`` in place of ``[start, end)``; mutations of a sequence don't overlap.
+
+    A mutation that was rejected (``variant_seq`` NULL) keeps the letters that are there.
+    """
     by = Window.partitionBy("seq_id").orderBy("start")
     kept = F.coalesce(F.lag("end").over(by), F.lit(0))
-    pieces = mutations.join(seqs, "seq_id").select("seq_id", "start", F.concat(F.substr("seq", (kept + 1).cast("int"), (F.col("start") - kept).cast("int")), "variant_seq").alias("p"), "end")
+    new = F.coalesce("variant_seq", F.substr("seq", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
+    pieces = mutations.join(seqs, "seq_id").select("seq_id", "start", F.concat(F.substr("seq", (kept + 1).cast("int"), (F.col("start") - kept).cast("int")), new).alias("p"), "end")
     head = pieces.groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "p"))), lambda x: x["p"]), "").alias("head"), F.max("end").alias("reach"))
     rest = seqs.join(head, "seq_id", "left")
     return rest.select("seq_id", F.when(F.col("head").isNull(), F.col("seq")).otherwise(F.concat("head", F.substr("seq", (F.col("reach") + 1).cast("int"), F.length("seq")))).alias("seq"))
 
 
-OPERATIONS = ("mask", "inversion", "shuffle", "insertion")
-
-
 def validate_mutations(df: DataFrame) -> DataFrame:
     """Rows ``op, sequence, start, end`` with the ``reason`` for which one is rejected, else NULL."""
     text = F.coalesce("sequence", F.lit(""))
