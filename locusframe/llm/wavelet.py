@@ -7,7 +7,8 @@ read (``access``), occurrences counted (``rank``) and found (``select``), or all
 
 Defined cases: a null text counts as empty (only the end id is stored); null ``doc_id`` comes
 before all others; of rows with equal ``doc_id`` the order is that of their texts; an empty table
-gives no shard and no row; other columns are not looked at.
+gives no shard and no row; other columns are not looked at.  The string of an added token in a text
+is that token, as the library has it by default; no segment is cut inside of it.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
+        if len(ids) and int(np.max(ids)) >> width:
+            raise ValueError(f"id {int(np.max(ids))} does not fit {width} bits")
         now = np.asarray(ids, dtype=np.uint16 if width <= 16 else np.uint32)
         planes, zeros, counts = [], [], []
         for bit in range(width - 1, -1, -1):
@@ -147,7 +150,6 @@ def encoder(path: str) -> SegmentEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
     return SegmentEncoder(lambda xs: (e.ids for e in many(xs, add_special_tokens=False)) if xs else ())
 

@@ -265,6 +265,18 @@ def test_wavelet(docs, empty):
     assert wavelet.read_shards(wavelet.write_shards(empty, path)).count() == 0
 
 
+def test_wavelet_added_token_and_width():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "x1<|endoftext|>\n\ny", "word<|endoftext|><|endoftext|>word", "<|endoftext", "so  <|endoftext|>  it's"]
+    plain = Tokenizer.from_file(path)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0] and [x.tolist() for x in wavelet.encoder(path)(texts)] == want
+    with pytest.raises(ValueError):
+        wavelet.WaveletMatrix.build(np.array([1, 65_536]), 16)
+
+
 def test_wavelet_queries():
     ids = np.random.default_rng(2).integers(0, 50, 9000)
     matrix, _, names = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids, 16).to_bytes(np.array([0]), [7]))
