@@ -60,7 +60,7 @@ STAGES = [
     ("byte_bpe", encode_tokens),
 ]
 
-#: Language models, MinHash components and BPE merges have no SQL form; tests hold the stages against brute force.
+#: Language models, MinHash components and BPE merges have no SQL form; the operators, not the stages, are tested against brute force.
 ORACLE_SQL = None
 
 
