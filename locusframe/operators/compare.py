@@ -88,27 +88,92 @@ def name_map(text: str, df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.try_element_at(listed, F.col(column)), F.col(column)))
 
 
-def pair_scores(scores: DataFrame, a: str, b: str) -> DataFrame:
-    """Two runs side by side: ``bin, first, second``."""
+#: Resolutions at which a score is read unless others are named.
+DEFAULT_RESOLUTIONS = {"insulation": ("1Mb", "2Mb", "4Mb"), "PC1": ("8Mb", "16Mb", "32Mb")}
+
+
+def select_runs(df: DataFrame, runs: Sequence[str] | None = None, resolutions: Sequence[str] | None = None) -> DataFrame:
+    """Rows ``run, resolution, score_type`` of the named runs and resolutions.
+
+    Without runs all stay; without resolutions each score keeps its default ones, and other scores all.
+    """
+    chosen = df if runs is None else df.where(F.col("run").isin(*runs))
+    if resolutions is not None:
+        return chosen.where(F.col("resolution").isin(*resolutions))
+    wanted = F.lit(False)
+    for score, own in DEFAULT_RESOLUTIONS.items():
+        wanted = wanted | (F.col("score_type").startswith(score) & F.col("resolution").isin(*own))
+    known = F.lit(False)
+    for score in DEFAULT_RESOLUTIONS:
+        known = known | F.col("score_type").startswith(score)
+    return chosen.where(wanted | ~known)
+
+
+def with_binsize(meta: DataFrame, bins: int = 250) -> DataFrame:
+    """``binsize`` of each row's region ``start, end``, cut in ``bins`` bins."""
+    return meta.withColumn("binsize", F.floor((F.col("end") - F.col("start")) / bins).cast("long"))
+
+
+def pool_experiments(scores: DataFrame, resolution: str, reference: str, names: str = "") -> DataFrame:
+    """Deviations of all experiments from their references at one resolution, by score: ``experiment, hue_name, score_type, run, bin, value``.
+
+    ``scores`` has ``experiment, resolution, score_type, run, bin, value``; ``names`` (``a:b,c:d``)
+    relabels experiments in ``hue_name``.  The resolution is selected before anything is joined.
+    """
+    at = scores.where(F.col("resolution") == resolution)
+    on = ["experiment", "score_type", "bin"]
+    ref = at.where(F.col("run") == reference).select(*on, F.col("value").alias("reference"))
+    moved = at.where(F.col("run") != reference).join(ref, on)
+    out = moved.select("experiment", F.col("experiment").alias("hue_name"), "score_type", "run", "bin", (F.col("value") - F.col("reference")).alias("value"))
+    return name_map(names, out, "hue_name") if names else out
+
+
+def pair_scores(scores: DataFrame, a: str, b: str, check: bool = True) -> DataFrame:
+    """Two runs side by side: ``bin, first, second``; runs of different lengths are an error."""
     left, right = (scores.where(F.col("run") == x) for x in (a, b))
+    if check and left.count() != right.count():
+        raise ValueError("the runs have different numbers of bins")
     return left.select("bin", F.col("value").alias("first")).join(right.select("bin", F.col("value").alias("second")), "bin")
 
 
 def repartition_of_mutations(fractions: DataFrame) -> DataFrame:
-    """Mutated fraction per bin and role beside the greatest of all."""
-    return fractions.withColumns({"role": role(F.col("run")), "most": F.max("value").over(Window.partitionBy())})
+    """Mutated fraction per bin and role beside the greatest of all, a sum of one row."""
+    return fractions.withColumns({"role": role(F.col("run")), "most": fractions.agg(F.max("value")).scalar()})
 
 
 def humanise_bp(bp: Column) -> Column:
     """``1.2Mb``, ``3.4kb`` or ``56pb``."""
-    text = lambda x, unit: F.concat(F.format_string("%.1f", x), F.lit(unit))
-    return F.when(bp > 1e6, text(bp / 1e6, "Mb")).when(bp > 1e3, text(bp / 1e3, "kb")).otherwise(F.concat(bp.cast("string"), F.lit("pb")))
+    text = lambda unit, name: F.concat(_one_digit(bp, unit), F.lit(name))
+    return F.when(bp > 1e6, text(1_000_000, "Mb")).when(bp > 1e3, text(1_000, "kb")).otherwise(F.concat(bp.cast("string"), F.lit("pb")))
+
+
+def _one_digit(bp: Column, unit: int) -> Column:
+    """``bp / unit`` with one digit after the point, as the double's exact value rounds; halves go to even.
+
+    Only where ``bp`` lies half way between two tenths does the double's own error decide: it is
+    compared with the half as whole numbers, both times 20 and a power of two.
+    """
+    whole = bp.cast("long") * 10
+    tenths, rest = F.floor(whole / unit).cast("long"), whole % unit
+    x = bp.cast("double") / unit
+    shift = F.lit(52) - F.floor(F.log2(x)).cast("int")
+    scale = F.call_function("shiftleft", F.lit(1).cast("long"), shift)
+    error = (x * scale).cast("long") * 20 - (tenths * 2 + 1) * scale
+    half = F.when(error > 0, tenths + 1).when(error < 0, tenths).otherwise(tenths + tenths % 2)
+    rounded = F.when(rest * 2 == unit, half).otherwise(F.when(rest * 2 > unit, tenths + 1).otherwise(tenths))
+    return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"))
 
 
 def natural_key(text: Column) -> Column:
-    """Sort key in which runs of digits compare as numbers of up to 12 digits."""
+    """Sort key in which runs of digits compare as numbers: those of over 12 digits by their length first."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 12, "0")).otherwise(p)), "")
+
+    def number(p: Column) -> Column:
+        plain = F.ltrim(p, F.lit("0"))
+        # A colon sorts after all digits.
+        return F.when(F.length(plain) > 12, F.concat(F.lit(":"), F.lpad(F.length(plain).cast("string"), 9, "0"), plain)).otherwise(F.lpad(plain, 12, "0"))
+
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(p)), "")
 
 
 def analysis_table(deviations: DataFrame, distances: DataFrame, score_type: str, resolution: str, first_row_only: bool = False) -> DataFrame:

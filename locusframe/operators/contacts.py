@@ -28,6 +28,14 @@ def expected_by_distance(contacts: DataFrame, keys: Sequence[str] = KEYS) -> Dat
     return means.withColumn("expected", F.when(F.col("distance") == 0, 1.0).otherwise(F.col("expected")))
 
 
+def expand_expected(expected: DataFrame, bins: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The matrix ``keys, i, j, value`` whose diagonals hold the values of a distance vector."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))
+    cells = expected.select(*keys).distinct().select(*keys, every.alias("i")).select(*keys, "i", every.alias("j"))
+    placed = cells.withColumn("distance", F.abs(F.col("i") - F.col("j"))).join(expected, [*keys, "distance"])
+    return placed.select(*keys, "i", "j", F.col("expected").alias("value"))
+
+
 def obs_over_exp(contacts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """``value`` divided by the expected one at its distance; the small table of diagonals joins back."""
     found = contacts.withColumn("distance", F.abs(F.col("i") - F.col("j"))).join(expected_by_distance(contacts, keys), [*keys, "distance"])
@@ -35,7 +43,9 @@ def obs_over_exp(contacts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def obs_over_exp_geometric(contacts: DataFrame, ratio: float = 1.03, keys: Sequence[str] = KEYS) -> DataFrame:
-    """O/E with distances pooled in bins that grow by ``ratio``."""
+    """O/E with distances pooled in bins that grow by ``ratio``; rows and columns without any contact are left out."""
+    seen = contacts.groupBy(*keys, "i").agg(F.sum("value").alias("total")).where("total > 0").select(*keys, "i")
+    contacts = contacts.join(seen, [*keys, "i"], "left_semi").join(seen.withColumnRenamed("i", "j"), [*keys, "j"], "left_semi")
     d = F.abs(F.col("i") - F.col("j"))
     level = F.when(d == 0, F.lit(-1)).otherwise(F.floor(F.log(d.cast("double")) / F.log(F.lit(ratio)) + 1e-9)).cast("int")
     placed = contacts.withColumn("level", level)
@@ -70,14 +80,29 @@ def minmax(contacts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def fill_neighbours(scores: DataFrame, bins: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """NULL values of a vector become the mean of up to three bins before and two after."""
-    near = Window.partitionBy(*keys).orderBy("bin").rowsBetween(-3, 2)
-    return scores.select(*keys, "bin", F.coalesce("value", F.avg("value").over(near)).alias("value"))
+    """NULL values of a vector become the mean of up to three bins before and two after, fewer near the ends.
+
+    The first and last bin take their only inner neighbour.  ``scores`` has a row for every bin;
+    each keeps its neighbours' original values.
+    """
+    order = Window.partitionBy(*keys).orderBy("bin")
+    near = lambda h: F.avg("value").over(order.rowsBetween(-h, h - 1))
+    inner = F.least(F.col("bin"), bins - 1 - F.col("bin"))
+    edge = F.when(F.col("bin") == 0, F.lead("value").over(order)).otherwise(F.lag("value").over(order))
+    mean = F.when(inner >= 3, near(3)).when(inner == 2, near(2)).when(inner == 1, near(1)).otherwise(edge)
+    return scores.select(*keys, "bin", F.coalesce("value", mean).alias("value"))
+
 
+def fill_cells(contacts: DataFrame, bins: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """NULL cells become the mean of the cells around them; each keeps its neighbours' original values.
 
-def fill_cells(contacts: DataFrame, half: int = 1, keys: Sequence[str] = KEYS) -> DataFrame:
-    """NULL cells become the mean of the cells up to ``half`` away; each keeps its neighbours' original values."""
-    steps = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in range(-half, half + 1) for b in range(-half, half + 1) if a or b])
+    A cell at least ``h`` bins inside of every edge looks ``h`` bins back and ``h - 1`` ahead on
+    both axes, with ``h`` up to 4; one on an edge looks at the four cells beside it.
+    """
+    h = F.least(F.lit(4), "i", "j", bins - 1 - F.col("i"), bins - 1 - F.col("j"))
+    step = lambda a, b: F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"))
+    squares = [F.array(*[step(a, b) for a in range(-k, k) for b in range(-k, k)]) for k in range(1, 5)]
+    steps = F.when(h == 1, squares[0]).when(h == 2, squares[1]).when(h == 3, squares[2]).when(h == 4, squares[3]).otherwise(F.array(step(-1, 0), step(1, 0), step(0, -1), step(0, 1)))
     holes = contacts.where("value is null").select(*keys, F.col("i").alias("hi"), F.col("j").alias("hj"), F.explode(steps).alias("s"))
     near = holes.select(*keys, "hi", "hj", (F.col("hi") + F.col("s.di")).alias("i"), (F.col("hj") + F.col("s.dj")).alias("j"))
     means = near.join(contacts, [*keys, "i", "j"]).groupBy(*keys, "hi", "hj").agg(F.avg("value").alias("mean")).withColumnsRenamed({"hi": "i", "hj": "j"})
@@ -91,8 +116,11 @@ def row_correlation(contacts: DataFrame, bins: int, band: int | None = None, key
     norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(row) - mean * mean * bins)
     rows = contacts.select(*keys, "i", "j", "value", mean.alias("mean"), norm.alias("norm"))
     left, right = rows.toDF(*keys, "i", "c", "x", "mx", "nx"), rows.toDF(*keys, "j", "c", "y", "my", "ny")
-    near = F.lit(True) if band is None else F.abs(F.col("i") - F.col("j")) <= band
-    pairs = left.join(right, [*keys, "c"]).where(near)
+    if band is None:
+        pairs = left.join(right, [*keys, "c"])
+    else:  # only rows of the band meet
+        around = F.sequence(F.greatest(F.col("i") - band, F.lit(0)), F.least(F.col("i") + band, F.lit(bins - 1)))
+        pairs = left.withColumn("j", F.explode(around)).join(right, [*keys, "c", "j"])
     sums = pairs.groupBy(*keys, "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.first("mx").alias("mx"), F.first("my").alias("my"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
     return sums.select(*keys, "i", "j", F.try_divide(F.col("xy") - F.col("mx") * F.col("my") * bins, F.col("nx") * F.col("ny")).alias("value"))
 

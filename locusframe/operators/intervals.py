@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rebase(df: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
-    """Intervals inside a region, relative to its start, on a chromosome named ``fake_<chrom>``."""
+def rebase(df: DataFrame, chrom: str, start: int, end: int, rename: str = "fake_{}") -> DataFrame:
+    """Intervals inside a region, relative to its start, on a chromosome named by ``rename``, such as ``fake_chr({})``."""
     inside = df.where((F.col("chrom") == chrom) & (F.col("start") >= start) & (F.col("end") <= end))
-    return inside.withColumns({"chrom": F.concat(F.lit("fake_"), "chrom"), "start": F.col("start") - start, "end": F.col("end") - start})
+    return inside.withColumns({"chrom": F.lit(rename.format(chrom)), "start": F.col("start") - start, "end": F.col("end") - start})
 
 
 def pos_to_bin(pos: Column, start: int | Column, binsize: int) -> Column:
@@ -71,14 +72,21 @@ def _touching(a: DataFrame, b: DataFrame, size: int, inside: bool) -> DataFrame:
     return _spread(a, size).join(right, ["chrom", "cell"]).where(rule).select(*a.columns).distinct()
 
 
+def _matched(df: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Rows of ``df`` that are (not) among ``found``; a NULL in any column equals a NULL."""
+    other = found.toDF(*[f"found_{k}" for k in range(len(df.columns))])
+    same = reduce(Column.__and__, [df[c].eqNullSafe(other[f"found_{k}"]) for k, c in enumerate(df.columns)])
+    return df.join(other, same, how)
+
+
 def exclude(df: DataFrame, domains: DataFrame, size: int) -> DataFrame:
     """Intervals that overlap no domain."""
-    return df.join(_touching(df, domains, size, False), df.columns, "left_anti")
+    return _matched(df, _touching(df, domains, size, False), "left_anti")
 
 
 def include(df: DataFrame, domains: DataFrame, size: int) -> DataFrame:
     """Intervals that lie inside a domain."""
-    return df.join(_touching(df, domains, size, True), df.columns, "left_semi")
+    return _matched(df, _touching(df, domains, size, True), "left_semi")
 
 
 def _per_bin(mutations: DataFrame, start: int, binsize: int, bins: int) -> DataFrame:

@@ -37,7 +37,9 @@ def rotate_bins(df: DataFrame, n: int, binsize: int, bins: int, seed: int) -> Da
     """``n`` replicates, each a different valid rotation in drawn order."""
     moved = rotations(df, binsize, bins)
     rank = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("shift").cast("string")))))
-    chosen = valid_arrangements(moved, binsize, bins).select("shift", (rank - 1).alias("replicate")).where(F.col("replicate") < n)
+    chosen = cut(valid_arrangements(moved, binsize, bins).select("shift", (rank - 1).alias("replicate")).where(F.col("replicate") < n))
+    if (found := chosen.count()) < n and not df.isEmpty():
+        raise ValueError(f"only {found} of {n} rotations are valid")
     return moved.join(chosen, "shift")
 
 
@@ -68,7 +70,10 @@ def shuffle_bins(df: DataFrame, n: int, binsize: int, bins: int, seed: int, cand
         drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), "replicate", "candidate", "bin"))
         place = F.row_number().over(Window.partitionBy("replicate", "candidate").orderBy(drawn, "bin")) - 1
         shift = (F.col("place") - F.col("bin")) * binsize
-        return placed.join(every.withColumn("place", place), "bin").withColumns({"start": F.col("start") + shift, "end": F.col("end") + shift})
+        every = every.withColumn("place", place)
+        # The order that all bins have now is none.
+        other = every.where("place <> bin").select("replicate", "candidate").distinct()
+        return placed.join(every.join(other, ["replicate", "candidate"], "left_semi"), "bin").withColumns({"start": F.col("start") + shift, "end": F.col("end") + shift})
 
     def orders(rows: list) -> DataFrame:
         return spark.createDataFrame(rows, "replicate int, candidate int")

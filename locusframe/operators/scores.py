@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .contacts import KEYS, minmax, row_correlation, spine
+from .contacts import KEYS, fill_cells, minmax, row_correlation, spine
 
 
 def insulation(contacts: DataFrame, bins: int, w: int = 5, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -24,27 +26,28 @@ def insulation_exp(contacts: DataFrame, bins: int, w: int = 5, keys: Sequence[st
 
 
 def insulation_correl(contacts: DataFrame, bins: int, w: int = 5, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Insulation of the row correlations, of which only the band is computed."""
-    return insulation(row_correlation(minmax(contacts, keys), bins, w, keys), bins, w, keys)
+    """Insulation of the row correlations of the filled map, of which only the band is computed."""
+    return insulation(row_correlation(minmax(fill_cells(contacts, bins, keys), keys), bins, w, keys), bins, w, keys)
 
 
-def pc1(contacts: DataFrame, bins: int, iters: int = 8, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Leading eigenvector of ``value - 1`` by power iteration in one expression.
+def pc1(contacts: DataFrame, bins: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Unit eigenvector of ``value - 1`` whose eigenvalue is largest in size; its largest entry is positive.
 
-    A map has ``bins`` squared cells, a bounded row; all maps of a table run side by side.
+    A map of ``bins`` squared cells is decomposed as a whole in one task; all maps of a table run
+    side by side.  Absent and NULL cells count as 0 after the subtraction; fill them before.
     """
-    cells = contacts.groupBy(*keys, "i").agg(F.map_from_entries(F.collect_list(F.struct("j", F.col("value") - 1.0))).alias("m"))
-    row = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0)))
-    rows = cells.select(*keys, F.struct("i", row.alias("x")).alias("r")).groupBy(*keys).agg(F.sort_array(F.collect_list("r")).alias("rows"))
-    start = F.transform("rows", lambda r: F.lit(1.0) + r["i"] / F.lit(float(bins)))
+    kinds = {f.name: f.dataType.simpleString() for f in contacts.schema.fields}
 
-    def step(x, _):
-        raw = F.transform("rows", lambda r: F.aggregate(F.zip_with(F.transform("rows", lambda s: F.get(r["x"], s["i"])), x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-        size = lambda y: F.sqrt(F.aggregate(y, F.lit(0.0), lambda s, v: s + v * v))
-        return F.element_at(F.transform(F.array(raw), lambda y: F.transform(y, lambda v: v / size(y))), 1)
+    def decompose(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((bins, bins))
+        filled = pdf[pdf["value"].notna()]
+        a[filled["i"].to_numpy(), filled["j"].to_numpy()] = filled["value"].to_numpy() - 1
+        values, vectors = np.linalg.eigh((a + a.T) / 2)
+        v = vectors[:, np.argmax(np.abs(values))]
+        v = v * np.sign(v[np.argmax(np.abs(v))])
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "bin": np.arange(bins), "value": v})
 
-    vector = F.aggregate(F.sequence(F.lit(1), F.lit(iters)), start, step)
-    return rows.select(*keys, F.explode(F.arrays_zip(F.transform("rows", lambda r: r["i"]).alias("bin"), vector.alias("value"))).alias("z")).select(*keys, "z.bin", "z.value")
+    return contacts.groupBy(*keys).applyInPandas(decompose, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "bin int, value double"]))
 
 
 def phase(scores: DataFrame, track: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -88,7 +91,7 @@ def borders(labels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return labels.withColumn("before", before).where("before <> label and before <> 'U' and label <> 'U'").select(*keys, "bin", "before", "label")
 
 
-def saddle(contacts: DataFrame, scores: DataFrame, q: int = 5, keys: Sequence[str] = KEYS) -> DataFrame:
+def saddle(contacts: DataFrame, scores: DataFrame, q: int = 48, keys: Sequence[str] = KEYS) -> DataFrame:
     """Log of the mean cell for each pair of score quantile groups."""
     cuts = scores.groupBy(*keys).agg(F.percentile("value", F.array(*[F.lit(k / q) for k in range(1, q)])).alias("edges"))
     groups = scores.join(cuts, list(keys)).select(*keys, "bin", F.size(F.filter("edges", lambda e: e < F.col("value"))).alias("g"))

@@ -72,6 +72,17 @@ def chunked(seqs: DataFrame, chunk: int) -> DataFrame:
     return seqs.where(F.length("seq") > 0).select("seq_id", "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_id")).select("seq_id", "chunk_id", (F.col("chunk_id") * chunk).alias("chunk_start"), F.substr("seq", F.col("chunk_id") * chunk + 1, F.lit(chunk)).alias("seq"))
 
 
+def gc_track(chunks: DataFrame, binsize: int) -> DataFrame:
+    """``seq_id, bin, gc``: share of G and C in each bin, from the chunks that touch it."""
+    last = F.col("chunk_start") + F.length("seq") - 1
+    touched = chunks.where(F.length("seq") > 0).withColumn("bin", F.explode(F.sequence(F.floor(F.col("chunk_start") / binsize).cast("int"), F.floor(last / binsize).cast("int"))))
+    a = F.greatest(F.col("bin") * binsize - F.col("chunk_start"), F.lit(0))
+    b = F.least((F.col("bin") + 1) * binsize - F.col("chunk_start"), F.length("seq"))
+    parts = touched.select("seq_id", "bin", F.substr("seq", (a + 1).cast("int"), (b - a).cast("int")).alias("p"))
+    found = F.length("p") - F.length(F.translate("p", "GCgc", ""))
+    return parts.groupBy("seq_id", "bin").agg((F.sum(found).cast("double") / F.sum(F.length("p"))).alias("gc"))
+
+
 def fetch_sequences(intervals: DataFrame, chunks: DataFrame, chunk: int) -> DataFrame:
     """The letters of ``[start, end)`` for intervals ``id, seq_id, start, end``: only the chunks touched meet."""
     touched = intervals.withColumn("chunk_id", F.explode(F.sequence(F.floor(F.col("start") / chunk).cast("int"), F.floor((F.col("end") - 1) / chunk).cast("int"))))

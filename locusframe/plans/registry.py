@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,18 +76,24 @@ query("mat04_obs_over_exp", f"WITH {OE} SELECT run, i, j, round(value, 6) AS val
 query("mat05_geometric", f"""WITH {C}, p AS (SELECT *, CASE WHEN i = j THEN -1 ELSE floor(ln(abs(i - j)::DOUBLE) / ln(1.5::DOUBLE) + 1e-9)::INT END AS level FROM c)
 SELECT run, i, j, round(value / (sum(value) OVER w / count(value) OVER w), 6) AS value FROM p WINDOW w AS (PARTITION BY run, level)""")(lambda s, d: contacts.obs_over_exp_geometric(V.contacts(s, d), 1.5))
 query("prj20_log_obs", f"WITH {C} SELECT run, i, j, round(CASE WHEN value > 0 THEN ln(value) ELSE 0 END, 6) AS value FROM c")(lambda s, d: contacts.log_obs(V.contacts(s, d)))
-query("mat06_reconstruct", f"WITH {C} SELECT run, i, j, round(CASE WHEN i = j THEN value ELSE value END, 6) AS value FROM c")(
-    lambda s, d: contacts.reconstruct_obs(contacts.obs_over_exp(V.contacts(s, d)).withColumn("value", F.log("value")), contacts.expected_by_distance(V.contacts(s, d)))
+query("mat06_reconstruct", f"""WITH {OE}, z AS (SELECT run, distance, CASE WHEN distance % 5 = 3 THEN 0 ELSE expected END AS expected FROM e), f AS (SELECT run, distance, CASE WHEN expected > 0 THEN expected ELSE 0.01::DOUBLE * avg(expected) OVER (PARTITION BY run) END AS expected FROM z)
+SELECT run, i, j, round(value * expected, 6) AS value FROM oe JOIN f USING (run) WHERE distance = abs(i - j)""")(
+    lambda s, d: contacts.reconstruct_obs(
+        contacts.obs_over_exp(V.contacts(s, d)).withColumn("value", F.log("value")),
+        contacts.expected_by_distance(V.contacts(s, d)).withColumn("expected", F.when(F.col("distance") % 5 == 3, 0.0).otherwise(F.col("expected"))),
+    )
 )
 query("mat07_balance", f"WITH {C}, {V.TRACK} SELECT run, i, j, round(value * x.track * y.track, 6) AS value FROM c JOIN t x ON x.bin = i JOIN t y ON y.bin = j")(lambda s, d: contacts.balance(V.contacts(s, d), V.track(s, d)).select("run", "i", "j", "value"))
-query("mat09_fill_cells", f"""WITH {C}, h AS (SELECT run, i, j, CASE WHEN (i + j) % 7 = 0 THEN NULL ELSE value END AS value FROM c)
-SELECT a.run, a.i, a.j, round(coalesce(any_value(a.value), avg(n.value)), 6) AS value FROM h a LEFT JOIN h n ON a.run = n.run AND abs(a.i - n.i) <= 1 AND abs(a.j - n.j) <= 1 AND (a.i, a.j) <> (n.i, n.j) GROUP BY a.run, a.i, a.j""")(
-    lambda s, d: contacts.fill_cells(V.contacts(s, d).withColumn("value", F.when((F.col("i") + F.col("j")) % 7 != 0, F.col("value"))))
+_H = f"least(4, h.i, h.j, {B - 1} - h.i, {B - 1} - h.j)"
+query("mat09_fill_cells", f"""WITH {C}, h AS (SELECT run, i, j, CASE WHEN (i * 3 + j) % 7 = 0 THEN NULL ELSE value END AS value FROM c)
+SELECT h.run, h.i, h.j, round(coalesce(any_value(h.value), avg(n.value)), 6) AS value FROM h LEFT JOIN h n ON h.run = n.run AND CASE WHEN {_H} = 0 THEN abs(h.i - n.i) + abs(h.j - n.j) = 1 ELSE n.i BETWEEN h.i - {_H} AND h.i + {_H} - 1 AND n.j BETWEEN h.j - {_H} AND h.j + {_H} - 1 END GROUP BY h.run, h.i, h.j""")(
+    lambda s, d: contacts.fill_cells(V.contacts(s, d).withColumn("value", F.when((F.col("i") * 3 + F.col("j")) % 7 != 0, F.col("value"))), B)
 )
-query("mat10_fill_bins", f"""WITH {INS}, h AS (SELECT run, bin, CASE WHEN bin % 6 <> 2 THEN value END AS value FROM ins)
-SELECT run, bin, round(coalesce(value, avg(value) OVER (PARTITION BY run ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)), 6) AS value FROM h""")(
-    lambda s, d: contacts.fill_neighbours(_insulation(s, d).withColumn("value", F.when(F.col("bin") % 6 != 2, F.col("value"))), B)
+query("mat10_fill_bins", f"""WITH {INS}, h AS (SELECT run, bin, CASE WHEN bin % 6 NOT IN (0, 2) THEN value END AS value FROM ins), k AS (SELECT *, least(bin, {B - 1} - bin) AS inner_ FROM h)
+SELECT run, bin, round(coalesce(value, CASE WHEN inner_ >= 3 THEN avg(value) OVER (o ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) WHEN inner_ = 2 THEN avg(value) OVER (o ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) WHEN inner_ = 1 THEN lag(value) OVER o WHEN bin = 0 THEN lead(value) OVER o ELSE lag(value) OVER o END), 6) AS value FROM k WINDOW o AS (PARTITION BY run ORDER BY bin)""")(
+    lambda s, d: contacts.fill_neighbours(_insulation(s, d).withColumn("value", F.when(~(F.col("bin") % 6).isin(0, 2), F.col("value"))), B)
 )
+query("mat02_expand_expected", f"WITH {EXPECT} SELECT e.run, x.i::INT AS i, y.j::INT AS j, round(expected, 6) AS value FROM e, range({B}) x(i), range({B}) y(j) WHERE distance = abs(x.i - y.j)")(lambda s, d: contacts.expand_expected(contacts.expected_by_distance(V.contacts(s, d)), B))
 query("mat12_row_correlation", f"""WITH {C}, w AS (SELECT run, i, j, value, sum(value) OVER (PARTITION BY run, i) / {B} AS m, sum(value * value) OVER (PARTITION BY run, i) AS ss FROM c)
 SELECT run, i, j, round((xy - mx * my * {B}) / (sqrt(sx - mx * mx * {B}) * sqrt(sy - my * my * {B})), 6) AS value FROM (
 SELECT x.run, x.i, y.i AS j, sum(x.value * y.value) AS xy, any_value(x.m) AS mx, any_value(y.m) AS my, any_value(x.ss) AS sx, any_value(y.ss) AS sy FROM w x JOIN w y ON x.run = y.run AND x.j = y.j WHERE abs(x.i - y.i) <= 5 GROUP BY x.run, x.i, y.i)""")(
@@ -110,31 +117,49 @@ query("mat11_gaussian")(lambda s, d: contacts.gaussian_smooth(V.contacts(s, d),
 # Scores.
 query("scr01_insulation", f"WITH {INS} SELECT run, bin, round(value, 6) AS value FROM ins")(_insulation)
 query("scr02_insulation_correl")(lambda s, d: scores.insulation_correl(V.contacts(s, d), B, W))
-query("scr03_insulation_exp", "WITH " + INS.replace(C, f"{MINMAX}, k AS (SELECT run, i, j, exp(value) AS value FROM mm)").replace("avg(value) * ", "avg(value) * ").replace("FROM c WHERE abs", "FROM k WHERE abs") + " SELECT run, bin, round(value, 6) AS value FROM ins")(lambda s, d: scores.insulation_exp(V.contacts(s, d), B, W))
+query("scr03_insulation_exp", "WITH " + INS.replace(C, f"{MINMAX}, k AS (SELECT run, i, j, exp(value) AS value FROM mm)").replace("FROM c WHERE abs", "FROM k WHERE abs") + " SELECT run, bin, round(value, 6) AS value FROM ins")(lambda s, d: scores.insulation_exp(V.contacts(s, d), B, W))
 
 
-def _power_sql(iters: int = 8) -> str:
-    steps = [f"x0 AS (SELECT DISTINCT run, i, 1.0 + i / {float(B)}::DOUBLE AS x FROM oe)"]
-    for k in range(iters):
-        steps.append(f"y{k} AS (SELECT a.run, a.i, sum((a.value - 1) * x.x) AS y FROM oe a JOIN x{k} x ON a.run = x.run AND a.j = x.i GROUP BY ALL)")
-        steps.append(f"x{k + 1} AS (SELECT run, i, y / sqrt(sum(y * y) OVER (PARTITION BY run)) AS x FROM y{k})")
-    return f"WITH {OE}, {', '.join(steps)} SELECT run, i AS bin, round(x, 6) AS value FROM x{iters}"
+def _eigen_sql(squarings: int = 16) -> str:
+    """``pc``: the leading eigenvector of O/E less one, from the matrix squared so often that nothing else is left."""
+    steps = ["p0 AS MATERIALIZED (SELECT run, i, j, value - 1 AS x FROM oe)"]
+    for k in range(squarings):
+        steps.append(f"q{k} AS MATERIALIZED (SELECT a.run, a.i, b.j, sum(a.x * b.x) AS x FROM p{k} a JOIN p{k} b ON a.run = b.run AND a.j = b.i GROUP BY ALL)")
+        steps.append(f"p{k + 1} AS MATERIALIZED (SELECT run, i, j, x / max(abs(x)) OVER (PARTITION BY run) AS x FROM q{k})")
+    best = f"cx AS (SELECT run, arg_max(j, x) AS j FROM p{squarings} WHERE i = j GROUP BY run), cv AS (SELECT p.run, p.i AS bin, p.x FROM p{squarings} p JOIN cx ON p.run = cx.run AND p.j = cx.j)"
+    return f"{OE}, {', '.join(steps)}, {best}, pc AS (SELECT run, bin, x * sign(arg_max(x, abs(x)) OVER w) / sqrt(sum(x * x) OVER w) AS value FROM cv WINDOW w AS (PARTITION BY run))"
 
 
-query("scr04_pc1", _power_sql())(lambda s, d: scores.pc1(contacts.obs_over_exp(V.contacts(s, d)), B, 8))
+PC = _eigen_sql()
+
+
+def _pc1(s, d):
+    return scores.pc1(contacts.obs_over_exp(V.contacts(s, d)), B)
+
+
+query("scr04_pc1", f"WITH {PC} SELECT run, bin, round(value, 6) AS value FROM pc")(_pc1)
 query("scr05_phase", f"""WITH {INS}, {V.TRACK}, k AS (SELECT run, rank() OVER (PARTITION BY run ORDER BY value) + (count(*) OVER (PARTITION BY run, value) - 1) / 2.0 AS rv, rank() OVER (PARTITION BY run ORDER BY track) + (count(*) OVER (PARTITION BY run, track) - 1) / 2.0 AS rt FROM (SELECT run, bin, round(value, 9) AS value, track FROM ins JOIN t USING (bin))),
 g AS (SELECT run, sign(corr(rv, rt)) AS sg FROM k GROUP BY run) SELECT run, bin, round(round(value, 9) * sg, 6) AS value FROM ins JOIN g USING (run)""")(lambda s, d: scores.phase(_insulation(s, d).withColumn("value", F.round("value", 9)), V.track(s, d)))
 query("scr06_compartments", f"WITH {LABELS} SELECT run, bin, label FROM lab")(lambda s, d: scores.compartments(_centred(s, d)))
 query("scr07_compartments_window", f"""WITH {SIGNED}, z AS (SELECT run, bin, CASE WHEN bin = 0 THEN sum(s) OVER (o ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) WHEN bin = {B - 1} THEN sum(s) OVER (o ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) ELSE sum(s) OVER (o ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS n FROM s3 WINDOW o AS (PARTITION BY run ORDER BY bin))
 SELECT run, bin, CASE n WHEN 3 THEN 'A' WHEN -3 THEN 'B' ELSE 'U' END AS label FROM z""")(lambda s, d: scores.compartments_window(_centred(s, d)))
-query("scr08_saddle", f"""WITH {INS.replace(C, OE)}, cu AS (SELECT run, quantile_cont(value, [0.2, 0.4, 0.6, 0.8]) AS e FROM ins GROUP BY run), g AS (SELECT run, bin, len(list_filter(e, lambda x: x < value)) AS g FROM ins JOIN cu USING (run))
-SELECT oe.run, r.g AS rq, k.g AS cq, round(ln(avg(value)), 6) AS value FROM oe JOIN g r ON oe.run = r.run AND oe.i = r.bin JOIN g k ON oe.run = k.run AND oe.j = k.bin GROUP BY ALL""")(lambda s, d: scores.saddle(contacts.obs_over_exp(V.contacts(s, d)), _insulation(s, d)).withColumns({"rq": F.col("rq").cast("long"), "cq": F.col("cq").cast("long")}))
+query("scr08_saddle", f"""WITH {PC}, cu AS (SELECT run, quantile_cont(round(value, 9), [k / 48.0 for k in range(1, 48)]) AS e FROM pc GROUP BY run), g AS (SELECT run, bin, len(list_filter(e, lambda x: x < round(value, 9))) AS g FROM pc JOIN cu USING (run))
+SELECT oe.run, r.g AS rq, k.g AS cq, round(ln(avg(value)), 6) AS value FROM oe JOIN g r ON oe.run = r.run AND oe.i = r.bin JOIN g k ON oe.run = k.run AND oe.j = k.bin GROUP BY ALL""")(
+    lambda s, d: scores.saddle(contacts.obs_over_exp(V.contacts(s, d)), _pc1(s, d).withColumn("value", F.round("value", 9))).withColumns({"rq": F.col("rq").cast("long"), "cq": F.col("cq").cast("long")})
+)
 query("scr09_saddle_order", f"WITH {INS} SELECT run, bin, row_number() OVER (PARTITION BY run ORDER BY round(value, 9) DESC, bin) AS place FROM ins")(lambda s, d: scores.saddle_order(_insulation(s, d).withColumn("value", F.round("value", 9))))
 query("scr10_borders", f"WITH {LABELS}, p AS (SELECT *, lag(label) OVER (PARTITION BY run ORDER BY bin) AS before FROM lab) SELECT run, bin, before, label FROM p WHERE before <> label AND before <> 'U' AND label <> 'U'")(lambda s, d: scores.borders(scores.compartments(_centred(s, d))))
 query("scr11_restore", f"WITH {INS} SELECT run, {B - 1} - bin AS bin, round(value, 6) AS value FROM ins")(
     lambda s, d: scores.restore_positions(_insulation(s, d), _insulation(s, d).select("run").distinct().withColumn("bin_order", F.sequence(F.lit(B - 1), F.lit(0), F.lit(-1))))
 )
-query("scr12_all_scores", f"WITH {INS} SELECT run, bin, round(value, 6) AS value, 'insulation' AS score_type FROM ins UNION ALL SELECT run, bin, round(value - avg(value) OVER (PARTITION BY run), 6), 'centred' FROM ins")(lambda s, d: scores.all_scores({"insulation": _insulation(s, d), "centred": _centred(s, d)}))
+ALL_SCORES = f"{PC}, {INS.removeprefix(C + ', ')}, al AS (SELECT run, bin, value, 'insulation' AS score_type FROM ins UNION ALL SELECT run, bin, value, 'PC1' FROM pc)"
+
+
+def _all_scores(s, d):
+    return scores.all_scores({"insulation": _insulation(s, d), "PC1": _pc1(s, d)})
+
+
+query("scr12_all_scores", f"WITH {ALL_SCORES} SELECT run, bin, round(value, 6) AS value, score_type FROM al")(_all_scores)
 
 # Comparison.
 query("cmp01_score_deviation", f"WITH {DEV} SELECT run, bin, round(value, 6) AS value, round(reference, 6) AS reference, round(deviation, 6) AS deviation FROM dev")(_deviation)
@@ -148,12 +173,25 @@ query("cmp14_pair_scores", f"WITH {INS} SELECT bin, round(x.value, 6) AS first,
 query("cmp17_value_range", f"WITH {DEV} SELECT run, round(min(deviation) * CASE WHEN min(deviation) < 0 THEN 1.1 ELSE 0.9 END, 6) AS low, round(max(deviation) * CASE WHEN max(deviation) > 0 THEN 1.1 ELSE 0.9 END, 6) AS high FROM dev GROUP BY run")(lambda s, d: compare.value_range(_deviation(s, d).select("run", F.col("deviation").alias("value")), ["run"]))
 query("cmp18_union_runs", f"WITH {INS} SELECT run, bin, round(value, 6) AS value, run = 'N' AS is_ref FROM ins")(lambda s, d: (lambda x: x.where("run = 'N'").withColumn("is_ref", F.lit(True)).unionByName(x.where("run <> 'N'").withColumn("is_ref", F.lit(False))))(_insulation(s, d)))
 query("cmp08_consistency", "SELECT o_orderpriority AS chrom, count(DISTINCT o_orderstatus) AS n_o_orderstatus FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")(lambda s, d: compare.check_consistency(V.table(s, d, "orders").withColumnRenamed("o_orderpriority", "chrom"), ["chrom"], ["o_orderstatus"]))
-query("cmp12_pool_experiments", f"WITH {DEV} SELECT CASE run WHEN 'A' THEN 'wanted' ELSE run END AS hue_name, run AS run_name, bin, round(deviation, 6) AS value FROM dev")(lambda s, d: compare.name_map("A:wanted", _deviation(s, d).select(F.col("run").alias("hue_name"), F.col("run").alias("run_name"), "bin", F.col("deviation").alias("value")), "hue_name"))
+#: Experiments and resolutions of the score tables: bins of one parity are an experiment, and each bin has one of three resolutions.
+_LEVELS = ["1Mb", "4Mb", "8Mb"]
+SWEEP = f"{ALL_SCORES}, sw AS (SELECT 'exp' || (bin % 2) AS experiment, ({_LEVELS})[bin % 3 + 1] AS resolution, * FROM al)"
+
+
+def _sweep(s, d):
+    return _all_scores(s, d).select(F.concat(F.lit("exp"), F.col("bin") % 2).alias("experiment"), F.get(F.array(*map(F.lit, _LEVELS)), F.col("bin") % 3).alias("resolution"), "*")
+
+
+query("prj09_select_runs", f"WITH {SWEEP} SELECT experiment, resolution, run, bin, round(value, 6) AS value, score_type FROM sw WHERE run IN ('A', 'N') AND resolution IN ('1Mb', '8Mb') AND (score_type = 'PC1') = (resolution = '8Mb') OR run IN ('A', 'N') AND score_type = 'insulation' AND resolution = '4Mb'")(lambda s, d: compare.select_runs(_sweep(s, d), ["A", "N"]))
+query("cmp12_pool_experiments", f"WITH {SWEEP} SELECT x.experiment, CASE x.experiment WHEN 'exp1' THEN 'odd' ELSE x.experiment END AS hue_name, x.score_type, x.run, x.bin, round(x.value - y.value, 6) AS value FROM sw x JOIN sw y USING (experiment, score_type, bin) WHERE x.resolution = '4Mb' AND y.resolution = '4Mb' AND x.run <> 'N' AND y.run = 'N'")(lambda s, d: compare.pool_experiments(_sweep(s, d), "4Mb", "N", "exp1:odd"))
 
 # Intervals.
 IV = f"{V.INTERVALS}"
 _cols = ["chrom", "start", "end", "name"]
 query("prj01_rebase", f"WITH {IV} SELECT 'fake_' || chrom AS chrom, start - 5000 AS start, \"end\" - 5000 AS \"end\", name, strand FROM v WHERE chrom = '2-HIGH' AND start >= 5000 AND \"end\" <= 900000")(lambda s, d: intervals.rebase(V.intervals(s, d), "2-HIGH", 5000, 900000))
+query("prj02_rebase_table", f"WITH {IV} SELECT 'fake_chr(' || chrom || ')' AS chrom, start - 5000 AS start, \"end\" - 5000 AS \"end\", name, strand FROM v WHERE chrom = '2-HIGH' AND start >= 5000 AND \"end\" <= 900000")(lambda s, d: intervals.rebase(V.intervals(s, d), "2-HIGH", 5000, 900000, rename="fake_chr({})"))
+query("prj05_binsize", f"WITH {V.DOMAINS} SELECT chrom, min(start) AS start, max(\"end\") AS \"end\", (max(\"end\") - min(start)) // 250 AS binsize FROM d GROUP BY chrom")(lambda s, d: compare.with_binsize(V.domains(s, d).groupBy("chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"))))
+query("prj21_parse_order", f"WITH {IV} SELECT name, [start, \"end\" % 100, 7]::INT[]::VARCHAR AS parsed FROM v")(lambda s, d: V.intervals(s, d).select("name", intervals.parse_order(F.concat(F.lit("["), "start", F.lit(","), F.col("end") % 100, F.lit(", 7]"))).cast("string").alias("parsed")))
 query("prj03_pos_to_bin", f"WITH {IV} SELECT name, floor((start - 12345) / 1000)::BIGINT AS bin, floor((start - 12345) / 1000)::BIGINT * 1000 + 12345 AS low, (floor((start - 12345) / 1000)::BIGINT + 1) * 1000 + 12344 AS high FROM v")(
     lambda s, d: V.intervals(s, d).select("name", intervals.pos_to_bin(F.col("start"), 12345, 1000).alias("bin")).select("name", "bin", *[c.alias(n) for n, c in zip(("low", "high"), intervals.bin_to_span(F.col("bin"), 12345, 1000), strict=True)])
 )
@@ -183,7 +221,7 @@ query("int11_valid_experiments", "SELECT n_name AS experiment, n_regionkey FROM
 query("int12_mutated_bins", f"WITH {MB} SELECT DISTINCT run, bin FROM kk")(lambda s, d: intervals.mutated_bins(V.mutations(s, d), *_mut))
 query("int13_oversize", f"WITH {IV} SELECT chrom, max(\"end\" - start) AS longest, max(\"end\" - start) > 250 AS too_long FROM v GROUP BY chrom")(lambda s, d: intervals.oversize(V.intervals(s, d), 250))
 query("cmp09_equal_bp", f"WITH {V.MUTATIONS}, z AS (SELECT run, sum(\"end\" - start)::BIGINT AS bp FROM m GROUP BY run) SELECT 'all' AS experiment, min(bp) AS low, max(bp) AS high FROM z HAVING min(bp) <> max(bp)")(lambda s, d: compare.check_equal(intervals.mutated_bp(V.mutations(s, d), -1, 1 << 60).withColumn("experiment", F.lit("all")), "bp", ["experiment"]))
-query("cmp06_run_set", f"WITH {V.MUTATIONS} SELECT 'all' AS experiment, count(DISTINCT CASE WHEN run = 'Wtd_mut' THEN run END) AS wanted, count(DISTINCT CASE WHEN run <> 'Wtd_mut' THEN run END) AS random, 0::BIGINT AS others FROM m HAVING wanted <> 1 OR random < 1")(lambda s, d: compare.check_run_set(V.mutations(s, d).select("run").distinct().withColumn("experiment", F.lit("all"))))
+query("cmp06_run_set", f"WITH {V.MUTATIONS}, x AS (SELECT DISTINCT run, 'e' || start // 4000 AS experiment FROM m) SELECT experiment, count(*) FILTER (run = 'Wtd_mut') AS wanted, count(*) FILTER (run <> 'Wtd_mut') AS random, 0::BIGINT AS others FROM x GROUP BY experiment HAVING wanted <> 1 OR random < 1")(lambda s, d: compare.check_run_set(V.mutations(s, d).select("run", F.concat(F.lit("e"), F.floor(F.col("start") / 4000)).alias("experiment")).distinct()))
 query("cmp15_repartition", f"WITH {FRACTION} SELECT run, bin, round(value, 6)::DOUBLE AS value, CASE WHEN run = 'Wtd_mut' THEN 'wtd' ELSE 'rdm' END AS role, round(max(value) OVER (), 6)::DOUBLE AS most FROM fr")(lambda s, d: compare.repartition_of_mutations(intervals.mutated_fraction(V.mutations(s, d), *_mut)))
 query("prj08_merge_runs", f"WITH {V.MUTATIONS} SELECT CASE WHEN run LIKE '%Rdm%' THEN 'merged_Rdm' ELSE run END AS run, run AS run_name, start, \"end\" FROM m")(lambda s, d: compare.merge_runs(V.mutations(s, d), "Rdm"))
 
@@ -196,6 +234,7 @@ query("seq04_shuffle", f"WITH {Q} SELECT seq_id, coalesce(list_reduce(list_trans
 query("seq05_rep_fill", f"WITH {Q} SELECT seq_id, left(repeat('ACGGT', ceil(length(seq) / 5)::INT), length(seq)) AS seq FROM q")(lambda s, d: V.sequences(s, d).select("seq_id", sequence.rep_fill(F.lit("ACGGT"), F.length("seq")).alias("seq")))
 query("seq10_replace", f"WITH {Q} SELECT seq_id, CASE WHEN length(seq) >= 9 THEN left(seq, 3) || 'NNNNNN' || substr(seq, 10) END AS seq FROM q")(lambda s, d: V.sequences(s, d).select("seq_id", sequence.replace_substring(F.col("seq"), F.lit("NNNNNN"), F.lit(3), F.lit(9)).alias("seq")))
 query("seq13_gc", f"WITH {Q} SELECT seq_id, round(CASE WHEN length(seq) > 0 THEN (length(seq) - length(translate(seq, 'GC', '')))::DOUBLE / length(seq) END, 6) AS gc FROM q")(lambda s, d: V.sequences(s, d).select("seq_id", sequence.gc_fraction(F.col("seq")).alias("gc")))
+query("seq13_gc_track", f"WITH {Q}, p AS (SELECT seq_id, b::INT AS bin, substr(seq, b * 100 + 1, 100) AS x FROM q, unnest(range(0, (length(seq) + 99) // 100)) t(b)) SELECT seq_id, bin, round((length(x) - length(translate(x, 'GC', '')))::DOUBLE / length(x), 6) AS gc FROM p")(lambda s, d: sequence.gc_track(sequence.chunked(V.sequences(s, d), 256), 100))
 query("seq06_permute_within")(lambda s, d: V.sequences(s, d).select("seq_id", sequence.permute_within(F.col("seq"), 4, F.col("seq_id").cast("string")).alias("seq")))
 query("seq07_permute_between", f"WITH {IV}, k AS (SELECT chrom, name AS id, row_number() OVER (PARTITION BY chrom ORDER BY md5('23:' || name), name) AS r, count(*) OVER (PARTITION BY chrom) AS n FROM v) SELECT a.chrom, a.id, b.id AS donor, b.id AS new_seq FROM k a JOIN k b ON a.chrom = b.chrom AND a.r = b.r % b.n + 1")(lambda s, d: sequence.permute_between(V.intervals(s, d).select("chrom", F.col("name").alias("id"), F.col("name").alias("seq")), 23))
 query("seq01_fetch", f"WITH {Q} SELECT seq_id AS id, seq_id, length(seq) // 4 AS start, length(seq) // 2 AS \"end\", substr(seq, length(seq) // 4 + 1, length(seq) // 2 - length(seq) // 4) AS found FROM q WHERE length(seq) >= 4")(
@@ -220,7 +259,24 @@ query("seq15_random", f"WITH {V.MUTATIONS}, z AS (SELECT DISTINCT run, start, (\
 
 # Random replicates.
 query("smp01_fan_out", f"WITH {V.MUTATIONS} SELECT start, \"end\", r::INT AS replicate, CASE WHEN r < 0 THEN 'Wtd_mut' ELSE 'Rdm_mut_' || r END AS run FROM m, range(-1, 10) t(r)")(lambda s, d: nullmodel.fan_out(V.mutations(s, d).drop("run"), 10))
-query("smp02_rotate_bins")(lambda s, d: nullmodel.rotate_bins(V.domains(s, d).where("chrom = '2-HIGH'"), 5, 35_000, 410, 3).select("replicate", "shift", "start", "end"))
+DSIZE = 35_000
+_DB = f"(SELECT ceil(max(\"end\") / {float(DSIZE)})::BIGINT FROM d)"
+PLACED = f"{V.DOMAINS}, a AS (SELECT chrom, start, \"end\", CASE WHEN floor(start / {DSIZE}) = floor((\"end\" - 1) / {DSIZE}) OR ((floor(start / {DSIZE}) + 1) * {DSIZE} - start) * 2 >= \"end\" - start THEN floor(start / {DSIZE})::BIGINT ELSE floor((\"end\" - 1) / {DSIZE})::BIGINT END AS bin FROM d)"
+
+
+def _every_chrom(s, d, f):
+    """``f(domains of a chromosome, bins)`` for each chromosome; bins reach the end of the last domain."""
+    table = V.domains(s, d)
+    bins = int(table.agg(F.ceil(F.max("end") / DSIZE)).first()[0])
+    return reduce(DataFrame.unionByName, [f(table.where(F.col("chrom") == c), bins).withColumn("chrom", F.lit(c)) for c in V.CHROMS])
+
+
+query("smp02_rotate_bins", f"""WITH {PLACED}, mv AS (SELECT chrom, k AS shift, start + ((bin - k + {_DB}) % {_DB} - bin) * {DSIZE} AS start, "end" + ((bin - k + {_DB}) % {_DB} - bin) * {DSIZE} AS "end" FROM a, unnest(range(1, {_DB})) t(k)),
+x AS (SELECT *, max("end") OVER (PARTITION BY chrom, shift ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM mv),
+ok AS (SELECT chrom, shift, row_number() OVER (PARTITION BY chrom ORDER BY md5('3:' || shift)) - 1 AS replicate FROM (SELECT chrom, shift FROM x GROUP BY ALL HAVING NOT bool_or(coalesce(start < reach, false) OR start < 0 OR "end" > {DSIZE} * {_DB})))
+SELECT chrom, replicate::INT AS replicate, shift::INT AS shift, start, "end" FROM mv JOIN ok USING (chrom, shift) WHERE replicate < 2""")(
+    lambda s, d: _every_chrom(s, d, lambda x, bins: nullmodel.rotate_bins(x, 2, DSIZE, bins, 3).select("replicate", "shift", "start", "end"))
+)
 query("smp07_random_intervals", f"""WITH {IV}, {V.SIZES}, p AS (SELECT chrom, r::INT AS draw, {H("'5:' || chrom || ':' || r")} % (size - 311) AS start FROM s, range(200) t(r))
 SELECT chrom, draw, start, start + 312 AS "end" FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE a.chrom = b.chrom AND b.draw < a.draw AND abs(a.start - b.start) < 312)""")(lambda s, d: nullmodel.random_intervals(V.sizes(s, d), 312, 200, 5))
 
@@ -267,12 +323,14 @@ query("seq14_extract_region", f"WITH {Q}, r AS (SELECT seq_id, substr(seq, 101,
 )
 
 # Shuffled bins and places, random contents, matrix kinds, levels and references.
-query("smp03_shuffle_bins", f"""WITH {V.DOMAINS}, a AS (SELECT start, "end", CASE WHEN floor(start / 35000) = floor(("end" - 1) / 35000) OR ((floor(start / 35000) + 1) * 35000 - start) * 2 >= "end" - start THEN floor(start / 35000)::BIGINT ELSE floor(("end" - 1) / 35000)::BIGINT END AS bin FROM d WHERE chrom = '2-HIGH'),
-p AS (SELECT r, k, b AS bin, row_number() OVER (PARTITION BY r, k ORDER BY md5('3:' || r || ':' || k || ':' || b), b) - 1 AS place FROM range(5) t(r), range(4) u(k), range(410) w(b)),
-mv AS (SELECT r, k, start + (place - bin) * 35000 AS start, "end" + (place - bin) * 35000 AS "end" FROM a JOIN p USING (bin)),
-x AS (SELECT *, max("end") OVER (PARTITION BY r, k ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM mv),
-ok AS (SELECT r, min(k) AS k FROM (SELECT r, k FROM x GROUP BY r, k HAVING NOT bool_or(coalesce(start < reach, false) OR start < 0 OR "end" > 35000 * 410)) GROUP BY r)
-SELECT r::INT AS replicate, start, "end" FROM mv JOIN ok USING (r, k)""")(lambda s, d: nullmodel.shuffle_bins(V.domains(s, d).where("chrom = '2-HIGH'"), 5, 35_000, 410, 3).select("replicate", "start", "end"))
+query("smp03_shuffle_bins", f"""WITH {PLACED},
+p AS (SELECT r, k, b AS bin, row_number() OVER (PARTITION BY r, k ORDER BY md5('3:' || r || ':' || k || ':' || b), b) - 1 AS place FROM range(2) t(r), range(16) u(k), unnest(range(0, {_DB})) w(b)),
+mv AS (SELECT chrom, r, k, start + (place - bin) * {DSIZE} AS start, "end" + (place - bin) * {DSIZE} AS "end" FROM a JOIN p USING (bin)),
+x AS (SELECT *, max("end") OVER (PARTITION BY chrom, r, k ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM mv),
+ok AS (SELECT chrom, r, min(k) AS k FROM (SELECT chrom, r, k FROM x GROUP BY ALL HAVING NOT bool_or(coalesce(start < reach, false) OR start < 0 OR "end" > {DSIZE} * {_DB})) GROUP BY ALL)
+SELECT chrom, r::INT AS replicate, start, "end" FROM mv JOIN ok USING (chrom, r, k)""")(
+    lambda s, d: _every_chrom(s, d, lambda x, bins: nullmodel.shuffle_bins(x, 2, DSIZE, bins, 3, candidates=16).select("replicate", "start", "end"))
+)
 query("smp05_global_shuffle")(lambda s, d: nullmodel.global_shuffle(V.intervals(s, d).select(*_cols), V.sizes(s, d).withColumn("size", F.col("size") * 4), 7, excl=V.domains(s, d)))
 _letter = f"list_reduce(list_transform(range(1, (\"end\" - start)::INT + 1), lambda i: CASE WHEN {H('key || i')} < 0.22 * 4294967296 THEN 'A' WHEN {H('key || i')} < 0.5 * 4294967296 THEN 'C' WHEN {H('key || i')} < 0.78 * 4294967296 THEN 'G' ELSE 'T' END), lambda a, b: a || b)"
 query("smp08_random_content", f"""WITH {V.MUTATIONS}, o AS (SELECT DISTINCT run, run AS chrom, start, "end", CASE WHEN run LIKE '%1' OR start % 2 = 0 THEN 'permutations_inter' ELSE 'mask' END AS op FROM m),
