@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scores import phase
+
 
 def score_deviation(scores: DataFrame, reference: str, on: Sequence[str] = ("bin",)) -> DataFrame:
     """``value - reference`` of every other run, bin by bin (or cell by cell)."""
@@ -14,8 +16,25 @@ def score_deviation(scores: DataFrame, reference: str, on: Sequence[str] = ("bin
     return scores.where(F.col("run") != reference).join(ref, list(on)).select("run", *on, "value", "reference", (F.col("value") - F.col("reference")).alias("deviation"))
 
 
-def regress(scores: DataFrame, reference: str) -> DataFrame:
-    """Linear fit of each run on the reference: ``slope, intercept, r, ssd``; pairs with a NULL are left out."""
+def union_runs(ref: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows of the reference and of the compared runs with ``is_ref``."""
+    return ref.withColumn("is_ref", F.lit(True)).unionByName(comp.withColumn("is_ref", F.lit(False)))
+
+
+def phase_to(scores: DataFrame, reference: str) -> DataFrame:
+    """Runs turned so that each goes up and down with the reference by rank; the reference stays."""
+    ref = scores.where(F.col("run") == reference)
+    track = ref.select("bin", F.col("value").alias("track"))
+    rest = phase(scores.where(F.col("run") != reference).select("run", "bin", "value"), track)
+    return ref.select("run", "bin", "value").unionByName(rest)
+
+
+def regress(scores: DataFrame, reference: str, phased: bool = False) -> DataFrame:
+    """Linear fit of each run on the reference: ``slope, intercept, r, ssd``; pairs with a NULL are left out.
+
+    ``phased`` turns each run towards the reference first.
+    """
+    scores = phase_to(scores, reference) if phased else scores
     ref = scores.where(F.col("run") == reference).select("bin", F.col("value").alias("x"))
     both = scores.where(F.col("run") != reference).join(ref, "bin").where("value is not null and x is not null")
     ssd = F.expr("regr_syy(value, x) - regr_sxy(value, x) * regr_sxy(value, x) / regr_sxx(value, x)")
@@ -41,6 +60,28 @@ def merge_runs(df: DataFrame, pattern: str) -> DataFrame:
     return df.withColumn("run_name", F.col("run")).withColumn("run", F.when(F.col("run").contains(pattern), f"merged_{pattern}").otherwise(F.col("run")))
 
 
+def relabel_experiments(df: DataFrame) -> DataFrame:
+    """``hue_name``: the experiment, led by nothing for wanted runs and followed by ``_rdm`` for random ones; ``run_name`` keeps the run."""
+    kind = role(F.col("run"))
+    hue = F.when(kind == "rdm", F.concat("experiment", F.lit("_rdm"))).otherwise(F.col("experiment"))
+    return df.withColumns({"run_name": F.col("run"), "hue_name": hue})
+
+
+def pair_order(df: DataFrame) -> DataFrame:
+    """``hue_name, place``: experiments in natural order, each followed by its random runs' name."""
+    plain = F.regexp_replace("hue_name", "_rdm$", "")
+    names = df.select("hue_name").distinct()  # one for each experiment and role
+    order = Window.orderBy(natural_key(plain), plain, F.col("hue_name"))
+    return names.select("hue_name", F.row_number().over(order).alias("place"))
+
+
+def check_mutation_lists(mutations: DataFrame, keys: Sequence[str] = ("run",), level: str = "resolution") -> DataFrame:
+    """Groups whose mutations (``start, end``) are not the same at every ``level``: by count and two checksums of each."""
+    at = mutations.groupBy(*keys, level).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("start", "end")).alias("x"), F.bit_xor(F.xxhash64("end", "start")).alias("y"))
+    lists = F.count_distinct(F.struct("n", "x", "y"))
+    return at.groupBy(*keys).agg(F.count("*").alias("levels"), lists.alias("lists")).where("lists > 1")
+
+
 def check_run_set(runs: DataFrame, experiment: str = "experiment") -> DataFrame:
     """Experiments without exactly one wanted and at least one random run, or with others."""
     kind = role(F.col("run"))
@@ -68,8 +109,12 @@ def check_equal(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high")).where("low <> high")
 
 
-def dispersion(df: DataFrame, value: str, keys: Sequence[str], probs: Sequence[float] = (0.125, 0.25, 0.5, 0.75, 0.875)) -> DataFrame:
-    """Exact letter values, extremes, mean, standard deviation and count of each group."""
+def dispersion(df: DataFrame, value: str, keys: Sequence[str], probs: Sequence[float] = (0.125, 0.25, 0.5, 0.75, 0.875), merged_by: str | None = None) -> DataFrame:
+    """Exact letter values, extremes, mean, standard deviation and count of each group.
+
+    ``merged_by`` puts all runs whose names hold it in one group.
+    """
+    df = merge_runs(df, merged_by) if merged_by else df
     names = [f"p{round(p * 1000):03d}" for p in probs]
     stats = df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, probs))).alias("p"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
     return stats.select(*keys, *[F.get("p", k).alias(n) for k, n in enumerate(names)], "low", "high", "mean", "sd", "n")
@@ -128,8 +173,12 @@ def pool_experiments(scores: DataFrame, resolution: str, reference: str, names:
     return name_map(names, out, "hue_name") if names else out
 
 
-def pair_scores(scores: DataFrame, a: str, b: str, check: bool = True) -> DataFrame:
-    """Two runs side by side: ``bin, first, second``; runs of different lengths are an error."""
+def pair_scores(scores: DataFrame, a: str, b: str, check: bool = True, phased: bool = False) -> DataFrame:
+    """Two runs side by side: ``bin, first, second``; runs of different lengths are an error.
+
+    ``phased`` turns the second towards the first.
+    """
+    scores = phase_to(scores.where(F.col("run").isin(a, b)), a) if phased else scores
     left, right = (scores.where(F.col("run") == x) for x in (a, b))
     if check and left.count() != right.count():
         raise ValueError("the runs have different numbers of bins")

@@ -58,6 +58,12 @@ def log_obs(contacts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return contacts.select(*keys, "i", "j", F.when(F.col("value") > 0, F.log("value")).otherwise(0.0).alias("value"))
 
 
+def log_oe(contacts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Log of observed over expected; a cell that is NULL or not positive gets the log of 1."""
+    ratio = obs_over_exp(contacts, keys)
+    return ratio.select(*keys, "i", "j", F.when(F.col("value") > 0, F.log("value")).otherwise(0.0).alias("value"))
+
+
 def reconstruct_obs(log_oe: DataFrame, expected: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Observed values from log O/E and the expected vector; one of 0 or less counts as 1 % of their mean."""
     whole = Window.partitionBy(*keys)
@@ -126,7 +132,13 @@ def row_correlation(contacts: DataFrame, bins: int, band: int | None = None, key
 
 
 def join_triangles(upper: DataFrame, lower: DataFrame) -> DataFrame:
-    """Upper triangle of one map, lower of the other; the diagonal is the mean of all joined cells."""
+    """Upper triangle of one map, lower of the other; the diagonal is the mean of all joined cells.
+
+    Maps of different shapes are an error.
+    """
+    shapes = [df.agg(F.max("i"), F.max("j")).first() for df in (upper, lower)]
+    if shapes[0] != shapes[1]:
+        raise ValueError(f"maps of different shapes: {tuple(shapes[0])} and {tuple(shapes[1])}")
     both = upper.select("i", "j", F.col("value").alias("a")).join(lower.select("i", "j", F.col("value").alias("b")), ["i", "j"])
     joined = both.select("i", "j", F.when(F.col("i") <= F.col("j"), F.col("a")).otherwise(F.col("b")).alias("value"))
     mean = joined.agg(F.avg("value")).scalar()

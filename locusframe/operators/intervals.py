@@ -142,14 +142,26 @@ def oversize(df: DataFrame, binsize: int, keys: Sequence[str] = ("chrom",)) -> D
     return df.groupBy(*keys).agg(F.max(F.col("end") - F.col("start")).alias("longest")).withColumn("too_long", F.col("longest") > binsize)
 
 
-def valid_experiments(experiments: DataFrame, mutations: DataFrame) -> DataFrame:
-    """Experiments that have a mutation."""
+def in_region(low: int | Column, high: int | Column, mode: str = "end") -> Column:
+    """Whether a mutation counts as inside: by its ``end`` alone, as shares of bins do, or by ``both`` ends, as counts of bases do."""
+    ends = (F.col("end") >= low) & (F.col("end") <= high)
+    return ends if mode == "end" else ends & (F.col("start") >= low) & (F.col("start") <= high)
+
+
+def valid_experiments(experiments: DataFrame, mutations: DataFrame, region: tuple[str, int, int] | None = None) -> DataFrame:
+    """Experiments that have a mutation, in the ``region`` (chrom, start, end) if one is given."""
+    if region is not None:
+        mutations = mutations.where((F.col("chrom") == region[0]) & in_region(region[1], region[2], "both"))
     return experiments.join(mutations.select("experiment").distinct(), "experiment", "left_semi")
 
 
-def place_windows(loci: DataFrame, sizes: DataFrame, length: int, align: int) -> DataFrame:
-    """A window of ``length`` around each locus ``chrom, pos``: start on the grid, inside the chromosome where it fits."""
+def place_windows(loci: DataFrame, sizes: DataFrame, length: int, align: int, strict: bool = False) -> DataFrame:
+    """A window of ``length`` around each locus ``chrom, pos``: start on the grid, inside the chromosome where it fits.
+
+    ``strict`` leaves out loci whose window would not start on the grid by itself.
+    """
     found = loci.join(sizes, "chrom")
+    found = found.where(F.pmod(F.col("pos") - length // 2, F.lit(align)) == 0) if strict else found
     start = F.floor((F.col("pos") - length // 2) / align) * align
     placed = found.withColumn("wstart", F.greatest(F.lit(0), F.least(start, F.floor((F.col("size") - length) / align) * align)))
     return placed.select("chrom", "pos", "wstart", (F.col("wstart") + length).alias("wend"), (F.col("pos") - F.col("wstart")).alias("wpos"))

@@ -14,9 +14,11 @@ from .sequence import draw, random_sequence
 
 
 def fan_out(mutations: DataFrame, n: int) -> DataFrame:
-    """The wanted set and ``n`` replicates: ``run, replicate`` (-1 for the wanted one) beside each row."""
+    """The wanted set and ``n`` replicates: ``run, replicate`` (-1 for the wanted one) and ``seed`` beside each row."""
     which = F.explode(F.sequence(F.lit(-1), F.lit(n - 1)))
     fanned = mutations.select("*", which.alias("replicate"))
+    base = F.col("replicate").cast("long") + 3
+    fanned = fanned.withColumn("seed", F.when(F.col("replicate") >= 0, base * base * base))
     return fanned.withColumn("run", F.when(F.col("replicate") < 0, "Wtd_mut").otherwise(F.concat(F.lit("Rdm_mut_"), F.col("replicate").cast("string"))))
 
 
@@ -43,15 +45,21 @@ def rotate_bins(df: DataFrame, n: int, binsize: int, bins: int, seed: int) -> Da
     return moved.join(chosen, "shift")
 
 
-def random_intervals(sizes: DataFrame, size: int, tries: int, seed: int) -> DataFrame:
-    """``tries`` drawn intervals of fixed length on each chromosome; of overlapping ones the earlier draw stays."""
-    drawn = sizes.where(F.col("size") >= size).select("chrom", "size", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("draw"))
+def random_intervals(sizes: DataFrame, size: int, seed: int, domains: DataFrame | None = None, attempts: int = 10, cell: int = 1000) -> DataFrame:
+    """``wanted`` intervals of fixed length on each chromosome (``chrom, size, wanted``): ``chrom, draw, start, end``.
+
+    ``attempts`` times as many are drawn.  Draws that touch a domain or an earlier draw outside of
+    the domains are lost; of the others the first ``wanted`` stay, all if there are fewer.
+    """
+    drawn = sizes.where((F.col("size") >= size) & (F.col("wanted") > 0)).select("chrom", "size", "wanted", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wanted") * attempts - 1)).alias("draw"))
     start = draw(F.concat(F.lit(f"{seed}:"), F.col("chrom"), F.lit(":"), F.col("draw").cast("string"))) % (F.col("size") - size + 1)
-    placed = drawn.select("chrom", "draw", start.alias("start"), (start + size).alias("end"))
+    placed = drawn.select("chrom", "draw", "wanted", start.alias("start"), (start + size).alias("end"))
+    placed = placed if domains is None else exclude(placed, domains, cell)
     near = placed.withColumn("cell", F.explode(F.array(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size)))).dropDuplicates(["chrom", "draw", "cell"])
     other = near.select("chrom", "cell", F.col("draw").alias("odraw"), F.col("start").alias("ostart"))
     lost = near.join(other, ["chrom", "cell"]).where((F.col("odraw") < F.col("draw")) & (F.abs(F.col("ostart") - F.col("start")) < size)).select("chrom", "draw").distinct()
-    return placed.join(lost, ["chrom", "draw"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("chrom").orderBy("draw"))
+    return placed.join(lost, ["chrom", "draw"], "left_anti").withColumn("rank", rank).where("rank <= wanted").select("chrom", "draw", "start", "end")
 
 
 def shuffle_bins(df: DataFrame, n: int, binsize: int, bins: int, seed: int, candidates: int = 4, rounds: int = 250_000) -> DataFrame:

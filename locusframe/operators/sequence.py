@@ -39,11 +39,21 @@ def replace_substring(seq: Column, new: Column, start: Column, end: Column) -> C
     return F.when(ok, F.overlay(seq, new, start + 1, end - start))
 
 
-def permute_within(seq: Column, binsize: int, key: Column) -> Column:
-    """Pieces of ``binsize`` letters in a drawn order; NULL if the length doesn't divide."""
+def drawn_order(pieces: Column, key: Column) -> Column:
+    """The numbers from 0 to ``pieces - 1`` in an order drawn by the key."""
+    each = F.transform(F.sequence(F.lit(0), F.greatest(pieces - 1, F.lit(0)).cast("int")), lambda b: F.struct(F.md5(F.concat(key, F.lit(":"), b.cast("string"))).alias("h"), b.alias("b")))
+    return F.transform(F.array_sort(each), lambda x: x["b"])
+
+
+def permute_within(seq: Column, binsize: int, key: Column | None = None, order: Column | None = None) -> Column:
+    """Pieces of ``binsize`` letters in a drawn or given ``order``; NULL if the length doesn't divide or the order isn't one of the pieces."""
     n = F.length(seq)
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(n / binsize) - 1, F.lit(0)).cast("int")), lambda b: F.struct(F.md5(F.concat(key, F.lit(":"), b.cast("string"))).alias("h"), F.substr(seq, b * binsize + 1, F.lit(binsize)).alias("c")))
-    return F.when((n > 0) & (n % binsize == 0), F.array_join(F.transform(F.array_sort(pieces), lambda x: x["c"]), ""))
+    count = F.floor(n / binsize).cast("int")
+    placed = drawn_order(count, key) if order is None else order
+    ok = (n > 0) & (n % binsize == 0)
+    if order is not None:
+        ok = ok & (F.array_sort(order) == F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))))
+    return F.when(ok, F.array_join(F.transform(placed, lambda b: F.substr(seq, b * binsize + 1, F.lit(binsize))), ""))
 
 
 def permute_between(df: DataFrame, seed: int, keys=("chrom",)) -> DataFrame:
@@ -99,6 +109,8 @@ OPERATIONS = ("mask", "inversion", "shuffle", "insertion", "permutations_inter",
 def mutate(df: DataFrame, key: Column, binsize: int = 128_000, seed: int = 0, group=("seq_id",)) -> DataFrame:
     """``variant_seq`` of rows ``op, ref_seq, sequence, strand, start``, NULL with a ``reason`` where the mutation is not valid.
 
+    ``bin_order`` records the order of the pieces of ``permutations_inter``.
+
     ``permutations_inter`` puts the pieces of ``binsize`` letters of an interval in a drawn order;
     ``permutations_intra`` exchanges the intervals of a ``group`` that have this operation.
     """
@@ -107,16 +119,52 @@ def mutate(df: DataFrame, key: Column, binsize: int = 128_000, seed: int = 0, gr
     op = F.col("op")
     moved = op.eqNullSafe("permutations_intra")
     pieces = permute_within(F.col("ref_seq"), binsize, key)
+    order = F.when(op.eqNullSafe("permutations_inter") & pieces.isNotNull(), drawn_order(F.floor(F.length("ref_seq") / binsize).cast("int"), key))
     new = F.when(op == "mask", mask(F.col("ref_seq"))).when(op == "inversion", revcomp(F.col("ref_seq"))).when(op == "shuffle", shuffle_seq(F.col("ref_seq"), key)).when((op == "insertion") & valid, rep_fill(given, F.length("ref_seq"))).when(op == "permutations_inter", pieces)
     reason = F.when(~F.coalesce(op.isin(*OPERATIONS), F.lit(False)), "unknown operation").when((op == "insertion") & ~F.coalesce(valid, F.lit(False)), "invalid insertion").when((op == "permutations_inter") & pieces.isNull(), "bin size does not divide the interval")
-    alone = df.where(~moved).withColumns({"variant_seq": new, "reason": reason})
+    alone = df.where(~moved).withColumns({"variant_seq": new, "reason": reason, "bin_order": order})
     # The next interval in a drawn order gives its letters; the first gives them to the last.
-    order = Window.partitionBy(*group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *group, "start")), "start")
-    donor = F.coalesce(F.lead("ref_seq").over(order), F.first("ref_seq").over(order))
-    exchanged = df.where(moved).withColumns({"variant_seq": donor, "reason": F.lit(None).cast("string")})
+    along = Window.partitionBy(*group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *group, "start")), "start")
+    donor = F.coalesce(F.lead("ref_seq").over(along), F.first("ref_seq").over(along))
+    exchanged = df.where(moved).withColumns({"variant_seq": donor, "reason": F.lit(None).cast("string"), "bin_order": F.lit(None).cast("array<int>")})
     return alone.unionByName(exchanged)
 
 
+def mutation_counts(mutations: DataFrame, keys=("seq_id",)) -> DataFrame:
+    """Mutations of each sequence and operation that were applied, and those that were rejected."""
+    done = F.col("variant_seq").isNotNull()
+    return mutations.groupBy(*keys, "op").agg(F.count_if(done).alias("applied"), F.count_if(~done).alias("rejected"))
+
+
+def splice_chunks(chunks: DataFrame, mutations: DataFrame, chunk: int) -> DataFrame:
+    """Chunks ``seq_id, chunk_id, chunk_start, seq`` with each ``variant_seq`` in place of ``[start, end)``, cut anew to ``chunk`` letters.
+
+    Mutations do not overlap; one whose ``variant_seq`` is NULL keeps the letters.  A chunk meets only the mutations
+    that touch it, and only places and lengths of pieces, not letters, are summed along a sequence.
+    """
+    done = mutations.where("variant_seq is not null").select("seq_id", "start", "end", "variant_seq")
+    last = F.floor(F.greatest(F.col("end") - 1, F.col("start")) / chunk).cast("int")
+    touched = done.select("seq_id", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / chunk).cast("int"), last)).alias("chunk_id"))
+    cuts = touched.groupBy("seq_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    whole = chunks.join(cuts, ["seq_id", "chunk_id"], "left").withColumn("stop", F.col("chunk_start") + F.length("seq"))
+    own = F.coalesce("cuts", F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    lows = F.concat(F.array(F.col("chunk_start").cast("long")), F.transform(own, lambda c: c["end"].cast("long")))
+    highs = F.concat(F.transform(own, lambda c: c["start"].cast("long")), F.array(F.col("stop").cast("long")))
+    kept = whole.select("seq_id", "chunk_start", "stop", "seq", F.explode(F.arrays_zip(lows.alias("a"), highs.alias("b"))).alias("k"))
+    a, b = F.greatest("k.a", "chunk_start"), F.least("k.b", "stop")
+    pieces = kept.where(b > a).select("seq_id", a.alias("at"), F.lit(1).alias("kind"), F.substr("seq", (a - F.col("chunk_start") + 1).cast("int"), (b - a).cast("int")).alias("p"))
+    pieces = pieces.unionByName(done.where("variant_seq <> ''").select("seq_id", F.col("start").cast("long").alias("at"), F.lit(0).alias("kind"), F.col("variant_seq").alias("p")))
+    along = Window.partitionBy("seq_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    places = pieces.select("seq_id", "at", "kind", F.length("p").alias("n")).withColumn("to", F.coalesce(F.sum("n").over(along), F.lit(0))).drop("n")
+    moved = pieces.join(places, ["seq_id", "at", "kind"])
+    cells = moved.withColumn("chunk_id", F.explode(F.sequence(F.floor(F.col("to") / chunk).cast("int"), F.floor((F.col("to") + F.length("p") - 1) / chunk).cast("int"))))
+    low = F.greatest(F.col("chunk_id") * chunk - F.col("to"), F.lit(0))
+    high = F.least((F.col("chunk_id") + 1) * chunk - F.col("to"), F.length("p"))
+    part = cells.select("seq_id", "chunk_id", F.struct((F.col("to") + low).alias("a"), F.substr("p", (low + 1).cast("int"), (high - low).cast("int")).alias("s")).alias("x"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "")
+    return part.groupBy("seq_id", "chunk_id").agg(joined.alias("seq")).select("seq_id", "chunk_id", (F.col("chunk_id") * chunk).alias("chunk_start"), "seq")
+
+
 def splice(seqs: DataFrame, mutations: DataFrame) -> DataFrame:
     """Sequences with each mutation's ``variant_seq`` in place of ``[start, end)``; mutations of a sequence don't overlap.
 

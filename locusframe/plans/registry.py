@@ -83,6 +83,7 @@ SELECT run, i, j, round(value * expected, 6) AS value FROM oe JOIN f USING (run)
         contacts.expected_by_distance(V.contacts(s, d)).withColumn("expected", F.when(F.col("distance") % 5 == 3, 0.0).otherwise(F.col("expected"))),
     )
 )
+query("prj20_log_oe", f"WITH {OE} SELECT run, i, j, round(CASE WHEN value > 0 THEN ln(value) ELSE 0 END, 6) AS value FROM oe")(lambda s, d: contacts.log_oe(V.contacts(s, d)))
 query("mat07_balance", f"WITH {C}, {V.TRACK} SELECT run, i, j, round(value * x.track * y.track, 6) AS value FROM c JOIN t x ON x.bin = i JOIN t y ON y.bin = j")(lambda s, d: contacts.balance(V.contacts(s, d), V.track(s, d)).select("run", "i", "j", "value"))
 _H = f"least(4, h.i, h.j, {B - 1} - h.i, {B - 1} - h.j)"
 query("mat09_fill_cells", f"""WITH {C}, h AS (SELECT run, i, j, CASE WHEN (i * 3 + j) % 7 = 0 THEN NULL ELSE value END AS value FROM c)
@@ -171,7 +172,13 @@ query("cmp10_dispersion", f"""WITH {DEV} SELECT run, {', '.join(f'round(quantile
 round(min(deviation), 6) AS low, round(max(deviation), 6) AS high, round(avg(deviation), 6) AS mean, round(stddev_samp(deviation), 6) AS sd, count(deviation) AS n FROM dev GROUP BY run""")(lambda s, d: compare.dispersion(_deviation(s, d), "deviation", ["run"]))
 query("cmp14_pair_scores", f"WITH {INS} SELECT bin, round(x.value, 6) AS first, round(y.value, 6) AS second FROM ins x JOIN ins y USING (bin) WHERE x.run = 'N' AND y.run = 'A'")(lambda s, d: compare.pair_scores(_insulation(s, d), "N", "A"))
 query("cmp17_value_range", f"WITH {DEV} SELECT run, round(min(deviation) * CASE WHEN min(deviation) < 0 THEN 1.1 ELSE 0.9 END, 6) AS low, round(max(deviation) * CASE WHEN max(deviation) > 0 THEN 1.1 ELSE 0.9 END, 6) AS high FROM dev GROUP BY run")(lambda s, d: compare.value_range(_deviation(s, d).select("run", F.col("deviation").alias("value")), ["run"]))
-query("cmp18_union_runs", f"WITH {INS} SELECT run, bin, round(value, 6) AS value, run = 'N' AS is_ref FROM ins")(lambda s, d: (lambda x: x.where("run = 'N'").withColumn("is_ref", F.lit(True)).unionByName(x.where("run <> 'N'").withColumn("is_ref", F.lit(False))))(_insulation(s, d)))
+query("cmp18_union_runs", f"WITH {INS} SELECT run, bin, round(value, 6) AS value, run = 'N' AS is_ref FROM ins")(lambda s, d: (lambda x: compare.union_runs(x.where("run = 'N'"), x.where("run <> 'N'")))(_insulation(s, d)))
+query("cmp08_mutation_lists", f"WITH {V.MUTATIONS}, l AS (SELECT run, l.r AS resolution, start, \"end\" FROM m, (VALUES (1), (2), (4)) l(r) WHERE l.r < 4 OR run NOT LIKE '%2' OR start % 3 <> 0), h AS (SELECT run, resolution, count(*) AS n, list(start || ':' || \"end\" ORDER BY start, \"end\") AS x FROM l GROUP BY ALL) SELECT run, count(*) AS levels, count(DISTINCT x) AS lists FROM h GROUP BY run HAVING count(DISTINCT x) > 1")(
+    lambda s, d: compare.check_mutation_lists(V.mutations(s, d).withColumn("resolution", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4)))).where("resolution < 4 or run not like '%2' or start % 3 <> 0"))
+)
+query("cmp13_pair_order", f"WITH {V.MUTATIONS}, n AS (SELECT DISTINCT 'exp' || start % 12 || CASE WHEN run = 'Wtd_mut' THEN '' ELSE '_rdm' END AS hue_name FROM m) SELECT hue_name, row_number() OVER (ORDER BY regexp_extract(hue_name, '[0-9]+')::INT, hue_name)::INT AS place FROM n")(
+    lambda s, d: compare.pair_order(compare.relabel_experiments(V.mutations(s, d).withColumn("experiment", F.concat(F.lit("exp"), F.col("start") % 12))))
+)
 query("cmp08_consistency", "SELECT o_orderpriority AS chrom, count(DISTINCT o_orderstatus) AS n_o_orderstatus FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")(lambda s, d: compare.check_consistency(V.table(s, d, "orders").withColumnRenamed("o_orderpriority", "chrom"), ["chrom"], ["o_orderstatus"]))
 #: Experiments and resolutions of the score tables: bins of one parity are an experiment, and each bin has one of three resolutions.
 _LEVELS = ["1Mb", "4Mb", "8Mb"]
@@ -218,6 +225,12 @@ query("int09_mutated_bp", f"WITH {V.MUTATIONS} SELECT run, sum(\"end\" - start +
 query("int10_assign_bins", f"""WITH {IV}, a AS (SELECT name, start, "end", CASE WHEN floor(start / 250) = floor(("end" - 1) / 250) OR ((floor(start / 250) + 1) * 250 - start) * 2 >= "end" - start THEN floor(start / 250)::BIGINT ELSE floor(("end" - 1) / 250)::BIGINT END AS bin FROM v)
 SELECT name, start, "end", bin, greatest(0, bin * 250 - start) AS spill_left, greatest(0, "end" - (bin + 1) * 250) AS spill_right FROM a""")(lambda s, d: intervals.assign_bins(V.intervals(s, d).select("name", "start", "end"), 250))
 query("int11_valid_experiments", "SELECT n_name AS experiment, n_regionkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)")(lambda s, d: intervals.valid_experiments(V.table(s, d, "nation").select(F.col("n_nationkey").alias("experiment"), "n_name", "n_regionkey"), V.table(s, d, "customer").select(F.col("c_nationkey").alias("experiment"))).select(F.col("n_name").alias("experiment"), "n_regionkey"))
+query("int11_in_region", f"WITH {V.DOMAINS}, e AS (SELECT n_nationkey AS experiment, n_name, ({V.CHROMS})[n_nationkey % 5 + 1] AS chrom FROM nation) SELECT n_name AS experiment FROM e WHERE EXISTS (SELECT 1 FROM d WHERE d.chrom = e.chrom AND d.chrom = '2-HIGH' AND d.start BETWEEN 10000 AND 90000 AND d.\"end\" BETWEEN 10000 AND 90000)")(
+    lambda s, d: intervals.valid_experiments(
+        V.table(s, d, "nation").select(F.get(F.array(*map(F.lit, V.CHROMS)), (F.col("n_nationkey") % 5).cast("int")).alias("experiment"), "n_name"), V.domains(s, d).withColumn("experiment", F.col("chrom")), ("2-HIGH", 10_000, 90_000)
+    ).select(F.col("n_name").alias("experiment"))
+)
+query("prj06_in_region", f"WITH {IV} SELECT name, \"end\" BETWEEN 50000 AND 700000 AS share, start BETWEEN 50000 AND 700000 AND \"end\" BETWEEN 50000 AND 700000 AS bases FROM v")(lambda s, d: V.intervals(s, d).select("name", intervals.in_region(50_000, 700_000).alias("share"), intervals.in_region(50_000, 700_000, "both").alias("bases")))
 query("int12_mutated_bins", f"WITH {MB} SELECT DISTINCT run, bin FROM kk")(lambda s, d: intervals.mutated_bins(V.mutations(s, d), *_mut))
 query("int13_oversize", f"WITH {IV} SELECT chrom, max(\"end\" - start) AS longest, max(\"end\" - start) > 250 AS too_long FROM v GROUP BY chrom")(lambda s, d: intervals.oversize(V.intervals(s, d), 250))
 query("cmp09_equal_bp", f"WITH {V.MUTATIONS}, z AS (SELECT run, sum(\"end\" - start)::BIGINT AS bp FROM m GROUP BY run) SELECT 'all' AS experiment, min(bp) AS low, max(bp) AS high FROM z HAVING min(bp) <> max(bp)")(lambda s, d: compare.check_equal(intervals.mutated_bp(V.mutations(s, d), -1, 1 << 60).withColumn("experiment", F.lit("all")), "bp", ["experiment"]))
@@ -235,7 +248,7 @@ query("seq05_rep_fill", f"WITH {Q} SELECT seq_id, left(repeat('ACGGT', ceil(leng
 query("seq10_replace", f"WITH {Q} SELECT seq_id, CASE WHEN length(seq) >= 9 THEN left(seq, 3) || 'NNNNNN' || substr(seq, 10) END AS seq FROM q")(lambda s, d: V.sequences(s, d).select("seq_id", sequence.replace_substring(F.col("seq"), F.lit("NNNNNN"), F.lit(3), F.lit(9)).alias("seq")))
 query("seq13_gc", f"WITH {Q} SELECT seq_id, round(CASE WHEN length(seq) > 0 THEN (length(seq) - length(translate(seq, 'GC', '')))::DOUBLE / length(seq) END, 6) AS gc FROM q")(lambda s, d: V.sequences(s, d).select("seq_id", sequence.gc_fraction(F.col("seq")).alias("gc")))
 query("seq13_gc_track", f"WITH {Q}, p AS (SELECT seq_id, b::INT AS bin, substr(seq, b * 100 + 1, 100) AS x FROM q, unnest(range(0, (length(seq) + 99) // 100)) t(b)) SELECT seq_id, bin, round((length(x) - length(translate(x, 'GC', '')))::DOUBLE / length(x), 6) AS gc FROM p")(lambda s, d: sequence.gc_track(sequence.chunked(V.sequences(s, d), 256), 100))
-query("seq06_permute_within")(lambda s, d: V.sequences(s, d).select("seq_id", sequence.permute_within(F.col("seq"), 4, F.col("seq_id").cast("string")).alias("seq")))
+query("seq06_permute_within", f"WITH {Q} SELECT seq_id, CASE WHEN length(seq) > 0 AND length(seq) % 4 = 0 THEN list_reduce(list_transform(list_sort(list_transform(range(0, length(seq) // 4), lambda b: md5(seq_id || ':' || b) || substr(seq, b * 4 + 1, 4))), lambda x: x[33:]), lambda a, b: a || b) END AS seq FROM q")(lambda s, d: V.sequences(s, d).select("seq_id", sequence.permute_within(F.col("seq"), 4, F.col("seq_id").cast("string")).alias("seq")))
 query("seq07_permute_between", f"WITH {IV}, k AS (SELECT chrom, name AS id, row_number() OVER (PARTITION BY chrom ORDER BY md5('23:' || name), name) AS r, count(*) OVER (PARTITION BY chrom) AS n FROM v) SELECT a.chrom, a.id, b.id AS donor, b.id AS new_seq FROM k a JOIN k b ON a.chrom = b.chrom AND a.r = b.r % b.n + 1")(lambda s, d: sequence.permute_between(V.intervals(s, d).select("chrom", F.col("name").alias("id"), F.col("name").alias("seq")), 23))
 query("seq01_fetch", f"WITH {Q} SELECT seq_id AS id, seq_id, length(seq) // 4 AS start, length(seq) // 2 AS \"end\", substr(seq, length(seq) // 4 + 1, length(seq) // 2 - length(seq) // 4) AS found FROM q WHERE length(seq) >= 4")(
     lambda s, d: sequence.fetch_sequences(V.sequences(s, d).where(F.length("seq") >= 4).select(F.col("seq_id").alias("id"), "seq_id", F.floor(F.length("seq") / 4).alias("start"), F.floor(F.length("seq") / 2).alias("end")), sequence.chunked(V.sequences(s, d), 256), 256)
@@ -253,12 +266,16 @@ def _mutated(s, d):
 VAR = f"{Q}, mu AS (SELECT seq_id, seq, length(seq) // 4 AS a, length(seq) // 2 AS b FROM q WHERE length(seq) >= 4), va AS (SELECT *, CASE seq_id % 3 WHEN 0 THEN repeat('N', b - a) WHEN 1 THEN reverse(translate(substr(seq, a + 1, b - a), 'ACGTN', 'TGCAN')) ELSE repeat('T', b - a) END AS variant_seq FROM mu)"
 query("seq08_apply", f"WITH {VAR} SELECT seq_id, a::INT AS start, b::INT AS \"end\", variant_seq FROM va")(lambda s, d: _mutated(s, d)[1].select("seq_id", "start", "end", "variant_seq"))
 query("seq09_splice", f"WITH {VAR} SELECT seq_id, left(seq, a::INT) || variant_seq || substr(seq, b + 1) AS seq FROM va")(lambda s, d: sequence.splice(*_mutated(s, d)))
+query("seq09_splice_chunks", f"WITH {VAR}, z AS (SELECT seq_id, left(seq, a::INT) || CASE WHEN seq_id % 2 = 0 THEN variant_seq || 'ACGT' ELSE left(variant_seq, 3) END || substr(seq, b + 1) AS seq FROM va) SELECT seq_id, b::INT AS chunk_id, (b * 64)::INT AS chunk_start, substr(seq, b * 64 + 1, 64) AS seq FROM z, unnest(range(0, (length(seq) + 63) // 64)) t(b)")(
+    lambda s, d: (lambda m: sequence.splice_chunks(sequence.chunked(m[0], 64), m[1].withColumn("variant_seq", F.when(F.col("seq_id") % 2 == 0, F.concat("variant_seq", F.lit("ACGT"))).otherwise(F.substring("variant_seq", 1, 3))), 64))(_mutated(s, d))
+)
+query("seq08_counts", f"WITH {VAR} SELECT (['mask', 'inversion', 'insertion'])[seq_id % 3 + 1] AS op, count(*) AS applied, 0::BIGINT AS rejected FROM va GROUP BY ALL")(lambda s, d: sequence.mutation_counts(_mutated(s, d)[1], ()))
 query("seq15_random", f"WITH {V.MUTATIONS}, z AS (SELECT DISTINCT run, start, (\"end\" - start)::INT AS n FROM m) SELECT run, start, list_reduce(list_transform(range(1, n + 1), lambda i: CASE WHEN {H("run || start || ':' || i")} < 0.22 * 4294967296 THEN 'A' WHEN {H("run || start || ':' || i")} < 0.5 * 4294967296 THEN 'C' WHEN {H("run || start || ':' || i")} < 0.78 * 4294967296 THEN 'G' ELSE 'T' END), lambda a, b: a || b) AS seq FROM z")(
     lambda s, d: V.mutations(s, d).select("run", "start", (F.col("end") - F.col("start")).cast("int").alias("n")).distinct().select("run", "start", sequence.random_sequence(F.col("n"), F.concat("run", F.col("start").cast("string"))).alias("seq"))
 )
 
 # Random replicates.
-query("smp01_fan_out", f"WITH {V.MUTATIONS} SELECT start, \"end\", r::INT AS replicate, CASE WHEN r < 0 THEN 'Wtd_mut' ELSE 'Rdm_mut_' || r END AS run FROM m, range(-1, 10) t(r)")(lambda s, d: nullmodel.fan_out(V.mutations(s, d).drop("run"), 10))
+query("smp01_fan_out", f"WITH {V.MUTATIONS} SELECT start, \"end\", r::INT AS replicate, CASE WHEN r >= 0 THEN ((r + 3) ** 3)::BIGINT END AS seed, CASE WHEN r < 0 THEN 'Wtd_mut' ELSE 'Rdm_mut_' || r END AS run FROM m, range(-1, 10) t(r)")(lambda s, d: nullmodel.fan_out(V.mutations(s, d).drop("run"), 10))
 DSIZE = 35_000
 _DB = f"(SELECT ceil(max(\"end\") / {float(DSIZE)})::BIGINT FROM d)"
 PLACED = f"{V.DOMAINS}, a AS (SELECT chrom, start, \"end\", CASE WHEN floor(start / {DSIZE}) = floor((\"end\" - 1) / {DSIZE}) OR ((floor(start / {DSIZE}) + 1) * {DSIZE} - start) * 2 >= \"end\" - start THEN floor(start / {DSIZE})::BIGINT ELSE floor((\"end\" - 1) / {DSIZE})::BIGINT END AS bin FROM d)"
@@ -277,8 +294,13 @@ ok AS (SELECT chrom, shift, row_number() OVER (PARTITION BY chrom ORDER BY md5('
 SELECT chrom, replicate::INT AS replicate, shift::INT AS shift, start, "end" FROM mv JOIN ok USING (chrom, shift) WHERE replicate < 2""")(
     lambda s, d: _every_chrom(s, d, lambda x, bins: nullmodel.rotate_bins(x, 2, DSIZE, bins, 3).select("replicate", "shift", "start", "end"))
 )
-query("smp07_random_intervals", f"""WITH {IV}, {V.SIZES}, p AS (SELECT chrom, r::INT AS draw, {H("'5:' || chrom || ':' || r")} % (size - 311) AS start FROM s, range(200) t(r))
-SELECT chrom, draw, start, start + 312 AS "end" FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE a.chrom = b.chrom AND b.draw < a.draw AND abs(a.start - b.start) < 312)""")(lambda s, d: nullmodel.random_intervals(V.sizes(s, d), 312, 200, 5))
+query("smp07_random_intervals", f"""WITH {IV}, {V.SIZES}, {V.DOMAINS}, w AS (SELECT chrom, count(*) // 4 AS wanted FROM v GROUP BY chrom),
+p AS (SELECT chrom, r AS draw, wanted, {H("'5:' || chrom || ':' || r")} % (size - 311) AS start FROM s JOIN w USING (chrom), unnest(range(0, wanted * 10)) t(r)),
+f AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.chrom = p.chrom AND d.start < p.start + 312 AND p.start < d."end")),
+k AS (SELECT chrom, draw, start, wanted, row_number() OVER (PARTITION BY chrom ORDER BY draw) AS rank FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE a.chrom = b.chrom AND b.draw < a.draw AND abs(a.start - b.start) < 312))
+SELECT chrom, draw, start, start + 312 AS "end" FROM k WHERE rank <= wanted""")(
+    lambda s, d: nullmodel.random_intervals(V.sizes(s, d).join(V.intervals(s, d).groupBy("chrom").agg(F.floor(F.count("*") / 4).cast("long").alias("wanted")), "chrom"), 312, 5, V.domains(s, d))
+)
 
 
 # Coarse maps, analysis tables and checks of mutations.

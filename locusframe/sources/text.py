@@ -57,6 +57,13 @@ def parse_header(line: Column) -> Column:
     return F.str_to_map(F.regexp_replace(line, r"^#\s*", ""), F.lit(" "), F.lit("="))
 
 
+def typed_header(meta: Column) -> Column:
+    """The words of ``parse_header`` that matrices need, with their types."""
+    word = lambda k: F.try_element_at(meta, F.lit(k))
+    numbers = [word(k).try_cast("long").alias(k) for k in ("start", "end", "mpos", "wpos", "width", "chromlen")]
+    return F.struct(word("resol").alias("resol"), word("chrom").alias("chrom"), *numbers, word("nbins").try_cast("int").alias("nbins"), word("genome").alias("genome"), word("mutation").alias("mutation"))
+
+
 def read_matrix_meta(spark: SparkSession, path: str) -> DataFrame:
     """``file, meta`` of every matrix file."""
     return spark.read.text(path).where("value like '#%'").select(F.input_file_name().alias("file"), parse_header(F.col("value")).alias("meta"))
@@ -74,6 +81,19 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return cells.select("file", "i", "j", F.when(~F.isnan(number), number).alias("value"))
 
 
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """``folder, resol, i, j, value, expected`` of the files ``pred_predictions_<resol>.txt`` in ``path``.
+
+    Each is paired with ``pred_normmats_<resol>.txt`` beside it; where a matrix has no such file ``expected`` is NULL.
+    """
+    name = r"^(.*)/pred_(predictions|normmats)_([^/]+)\.txt$"
+    part = lambda k: F.regexp_extract("file", name, k)
+    cells = read_matrix(spark, path).select(part(1).alias("folder"), part(2).alias("what"), part(3).alias("resol"), "i", "j", "value")
+    on = ["folder", "resol", "i", "j"]
+    expected = cells.where("what = 'normmats'").select(*on, F.col("value").alias("expected"))
+    return cells.where("what = 'predictions'").drop("what").join(expected, on, "left")
+
+
 def read_levels(spark: SparkSession, path: str) -> DataFrame:
     """The level table with the ``rank`` of each level, from the narrowest region."""
     levels = _table(spark, path, LEVELS)
@@ -87,8 +107,38 @@ def read_runs(spark: SparkSession, path: str, is_ref: bool = False) -> DataFrame
     return _table(spark, path, RUNS).withColumns({"trace_path": trace, "is_ref": F.lit(is_ref)})
 
 
-def read_experiments(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=True)
+def read_manifests(spark: SparkSession, ref_path: str, comp_path: str, offset: int = 0) -> DataFrame:
+    """Reference and compared runs, one row for each of their resolutions, with the region there and whether they have a trace.
+
+    The first row of the reference file is the reference.  ``list_resol`` names resolutions (``1Mb,2Mb``); regions
+    are read from the level table ``pred.log`` in a run's folder and shifted by ``offset``.
+    """
+    first = Window.partitionBy(F.lit(0)).orderBy("no")  # a manifest has a few rows
+    refs = read_runs(spark, ref_path).withColumn("no", F.monotonically_increasing_id())
+    refs = refs.withColumn("is_ref", F.row_number().over(first) == 1).drop("no")
+    runs = refs.unionByName(read_runs(spark, comp_path)).withColumn("has_trace", F.col("trace_path").isNotNull())
+    each = runs.withColumn("resol", F.explode(F.split("list_resol", r"[,\s]+")))
+    paths = [f"{r['path'].rstrip('/')}/pred.log" for r in runs.select("path").distinct().collect()]  # one for each run
+    schema = "resol string, chrom string, start long, end long, padding_chr string"
+    levels = spark.read.csv(paths, schema=schema, sep="\t", comment="#").select(F.regexp_extract(F.input_file_name(), r"^(?:[a-z]+:/*)?(/.*)/pred\.log$", 1).alias("folder"), "resol", "chrom", (F.col("start") + offset).alias("start"), (F.col("end") + offset).alias("end"))
+    folder = F.regexp_extract("path", r"^(?:[a-z]+:/*)?(/.*?)/?$", 1)
+    return each.withColumn("folder", folder).join(levels, ["folder", "resol"], "left").drop("folder")
+
+
+def read_run_traces(spark: SparkSession, runs: DataFrame) -> DataFrame:
+    """The mutations of every run with a trace: ``name`` of the run, ``start, end, operation``."""
+    paths = [r["trace_path"] for r in runs.select("trace_path").distinct().where("trace_path is not null").collect()]
+    if not paths:
+        return spark.createDataFrame([], "name string, start long, end long, operation string")
+    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
+    rows = _table(spark, paths, TRACE).select(plain(F.input_file_name()).alias("from"), "start", "end", "operation")
+    return runs.select("name", plain(F.col("trace_path")).alias("from")).distinct().join(rows, "from").drop("from")
+
+
+def read_experiments(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
+    """The experiment sheet; columns in ``types`` are cast, the others are strings."""
+    sheet = spark.read.csv(path, sep="\t", header=True)
+    return sheet.withColumns({c: F.col(c).cast(t) for c, t in (types or {}).items()})
 
 
 def pixels_at(pixels: DataFrame, bins: DataFrame, resolution: int, chrom: str, start: int, end: int) -> DataFrame:
@@ -97,7 +147,10 @@ def pixels_at(pixels: DataFrame, bins: DataFrame, resolution: int, chrom: str, s
     inside = bins.where((F.col("resolution") == resolution) & F.col("chrom").isin(chrom, named) & (F.col("start") >= start) & (F.col("end") <= end))
     at = ((F.col("start") - start) / resolution).cast("int")
     side = lambda k, name: inside.select(F.col("bin_id").alias(f"bin{k}_id"), at.alias(name), F.col("weight").alias(f"w{k}"))
-    found = pixels.where(F.col("resolution") == resolution).join(side(1, "i"), "bin1_id").join(side(2, "j"), "bin2_id")
+    # Bins are numbered along a chromosome, so the region's numbers bound what is read of the pixels.
+    low, high = inside.agg(F.min("bin_id")).scalar(), inside.agg(F.max("bin_id")).scalar()
+    near = F.col("bin1_id").between(low, high) & F.col("bin2_id").between(low, high)
+    found = pixels.where((F.col("resolution") == resolution) & near).join(side(1, "i"), "bin1_id").join(side(2, "j"), "bin2_id")
     return found.select("i", "j", (F.col("count") * F.col("w1") * F.col("w2")).alias("value"), F.col("count").alias("raw"))
 
 

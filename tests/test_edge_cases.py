@@ -74,3 +74,41 @@ def test_six_operations(spark):
     assert sorted(pieces[k : k + 2] for k in range(0, 8, 2)) == ["AA", "CC", "GG", "TT"]
     assert got["permutations_intra", 50].variant_seq == "TTGGCCAA" and got["permutations_intra", 60].variant_seq == "AACCGGTT"
     assert got["other", 70].variant_seq is None and got["other", 70].reason == "unknown operation"
+
+
+def test_splice_of_chunks(spark):
+    """Pieces that grow, shrink, vanish, cross chunks and are rejected, against plain slices."""
+    seq = "ACGTTGCA" * 20
+    rows = [(1, 0, 3, "TT"), (1, 10, 10, "GGGG"), (1, 30, 75, None), (1, 80, 130, ""), (1, 155, 160, "ACGTACGTAC" * 5)]
+    edits = spark.createDataFrame(rows, "seq_id int, start long, end long, variant_seq string")
+    want, at = "", 0
+    for _, a, b, v in rows:
+        want, at = want + seq[at:a] + (seq[a:b] if v is None else v), b
+    want += seq[at:]
+    chunks = sequence.chunked(spark.createDataFrame([(1, seq), (2, "AC")], "seq_id int, seq string"), 16)
+    got = sequence.splice_chunks(chunks, edits, 16).orderBy("seq_id", "chunk_id").collect()
+    assert "".join(r.seq for r in got if r.seq_id == 1) == want and "".join(r.seq for r in got if r.seq_id == 2) == "AC"
+    assert all(r.chunk_start == 16 * r.chunk_id for r in got)
+
+
+def test_given_order(spark):
+    row = spark.createDataFrame([("AACCGG",)], "s string")
+    order = lambda *x: F.array(*map(F.lit, x))
+    got = row.select(sequence.permute_within(F.col("s"), 2, order=order(2, 0, 1)).alias("a"), sequence.permute_within(F.col("s"), 2, order=order(2, 2, 1)).alias("b")).first()
+    assert tuple(got) == ("GGAACC", None)
+
+
+def test_phased_fits(spark):
+    rows = [("n", k, float(k)) for k in range(9)] + [("a", k, -2.0 * k) for k in range(9)]
+    table = spark.createDataFrame(rows, "run string, bin int, value double")
+    assert compare.regress(table, "n").first().slope == -2 and compare.regress(table, "n", phased=True).first().slope == 2
+    assert all(r.second == 2 * r.first for r in compare.pair_scores(table, "n", "a", phased=True).collect())
+
+
+def test_strict_windows_and_shapes(spark):
+    loci = spark.createDataFrame([("c", 500), ("c", 510)], "chrom string, pos long")
+    sizes = spark.createDataFrame([("c", 10_000)], "chrom string, size long")
+    assert [r.pos for r in intervals.place_windows(loci, sizes, 200, 100, strict=True).collect()] == [500]
+    small, large = (spark.createDataFrame([(i, i, 1.0) for i in range(n)], "i int, j int, value double") for n in (2, 3))
+    with pytest.raises(ValueError):
+        contacts.join_triangles(small, large)

@@ -70,3 +70,46 @@ def test_fasta(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_predictions_and_manifests(spark, tmp_path):
+    run, other = tmp_path / "run", tmp_path / "other"
+    for folder, shift in ((run, 0), (other, 100)):
+        folder.mkdir()
+        put(folder / "pred_predictions_1Mb.txt", "# resol=1Mb chrom=chr9 start=5 end=25 nbins=2 genome=g\n1\t2\n3\t4\n")
+        put(folder / "pred.log", f"# levels\n1Mb\tchr9\t{shift}\t{shift + 10}\tchr1\n2Mb\tchr9\t{shift}\t{shift + 20}\tchr1\n")
+    put(run / "pred_normmats_1Mb.txt", "# resol=1Mb\n5\t6\n6\t5\n")
+    rows = text.read_predictions(spark, str(tmp_path / "*" / "pred_*.txt")).collect()
+    assert {(r.resol, r.i, r.j, r.value, r.expected) for r in rows if r.folder.endswith("run")} == {("1Mb", 0, 0, 1, 5), ("1Mb", 0, 1, 2, 6), ("1Mb", 1, 0, 3, 6), ("1Mb", 1, 1, 4, 5)}
+    assert all(r.expected is None for r in rows if r.folder.endswith("other")) and len(rows) == 8
+    meta = text.read_matrix_meta(spark, str(run / "pred_predictions_1Mb.txt")).select(text.typed_header(text.F.col("meta")).alias("m")).first().m
+    assert (meta.resol, meta.start, meta.end, meta.nbins, meta.width) == ("1Mb", 5, 25, 2, None)
+
+    trace = put(tmp_path / "t.tsv", "chrom\tname\tstart\tend\tstrand\toperation\tref_seq\tvariant_seq\nchr9\ta\t5\t8\t+\tmask\tACG\tNNN\n")
+    head = "name\tlist_resol\tpath\tgtype\tgenome\tobj_type\trefgenome\tmtype\ttrace_path\n"
+    ref = put(tmp_path / "ref.tsv", head + f"n\t1Mb,2Mb\t{run}\tg\tx\to\tr\tm\t_\nm\t1Mb\t{run}\tg\tx\to\tr\tm\t_\n")
+    comp = put(tmp_path / "comp.tsv", head + f"a\t2Mb\t{other}\tg\tx\to\tr\tm\t{trace}\n")
+    runs = text.read_manifests(spark, ref, comp, offset=1000)
+    assert sorted((r["name"], r.resol, r.start, r.end, r.is_ref, r.has_trace) for r in runs.collect()) == [
+        ("a", "2Mb", 1100, 1120, False, True), ("m", "1Mb", 1000, 1010, False, False), ("n", "1Mb", 1000, 1010, True, False), ("n", "2Mb", 1000, 1020, True, False)
+    ]
+    assert [tuple(r) for r in text.read_run_traces(spark, runs).collect()] == [("a", 5, 8, "mask")]
+
+
+def test_more_sinks(spark, tmp_path):
+    scores = spark.createDataFrame([("a", "ins", "1Mb", 0, 0.5)], "run string, score_type string, resolution string, bin int, value double")
+    names = [sinks.write_scores_wide(scores, str(tmp_path / "w")) for _ in range(3)]
+    assert names == [str(tmp_path / x) for x in ("w", "w_1", "w_2")]
+    sinks.write_scores_long(scores, str(tmp_path / "l"), "overwrite")
+    sinks.write_scores_long(scores.withColumn("run", text.F.lit("b")), str(tmp_path / "l"))
+    assert sorted(r.run for r in spark.read.parquet(str(tmp_path / "l")).collect()) == ["a", "b"]
+    trace = spark.createDataFrame([("e", "r", "chr9", "a", 5, 8, "+", "mask", "ACG", "NNN")], "experiment string, run string, " + text.TRACE)
+    sinks.write_trace(trace, str(tmp_path / "t"))
+    assert [tuple(r)[:4] for r in text.read_trace(spark, str(tmp_path / "t" / "experiment=e" / "run=r")).collect()] == [("chr9", "a", 5, 8)]
+    runs = spark.createDataFrame([("n", "1Mb", "/p", "g", "x", "o", "r", "m", None)], text.RUNS)
+    sinks.write_runs(runs, str(tmp_path / "r"))
+    assert text.read_runs(spark, str(tmp_path / "r")).first().trace_path is None
+    p = put(tmp_path / "d.bed", "chr9 10 20 x\nchr9\t30\t41\n")
+    assert sorted(map(tuple, text.read_domains(spark, p).collect())) == [("chr9", 10, 20), ("chr9", 30, 41)]
+    p = put(tmp_path / "e.tsv", "id\tname\n7\tx\n")
+    assert text.read_experiments(spark, p, {"id": "int"}).first().id == 7
