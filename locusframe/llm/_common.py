@@ -5,10 +5,12 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +20,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as named in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, one machine) a folder of our own is set.
+    Only where that setting is absent on one machine (tests) a folder of our own is set; on a
+    cluster its absence is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     set_dir = spark.sparkContext.getCheckpointDir()
     if set_dir is None:
-        named = named or tempfile.mkdtemp(prefix="locusframe-")
+        if named is None:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="locusframe-")
         spark.sparkContext.setCheckpointDir(named)
     return named or set_dir
 
@@ -40,7 +46,43 @@ def materialise(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    for tables in _tracked:
+        tables.append(out)
+    return out
+
+
+_tracked: list[list[DataFrame]] = []
+
+
+@contextmanager
+def tracked() -> Iterator[list[DataFrame]]:
+    """The tables that ``materialise`` writes meanwhile, so that they can be discarded later."""
+    tables: list[DataFrame] = []
+    _tracked.append(tables)
+    try:
+        yield tables
+    finally:
+        _tracked.remove(tables)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``tables``; nothing may read them again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stage_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """The columns of ``df`` as one struct ``row``: their names can't clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in (df.columns if columns is None else columns)]).alias("row")
+
+
+def unpacked(columns: Sequence[str], **changed: Column) -> list[Column]:
+    """The columns of a struct ``row`` again, some of them ``changed``."""
+    return [changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in columns]
 
 
 def cut(df: DataFrame) -> DataFrame:

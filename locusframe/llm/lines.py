@@ -1,11 +1,11 @@
 """Near-duplicate lines by an exact set-similarity join (operator 4), in DataFrame operations only.
 
-A line is the set of its lower-cased words.  Lines of equal sets form a class; classes are joined
-by Jaccard similarity.  Words are ordered from rare to frequent, so that two similar sets share a
-word among their first few (prefix filter); sizes and the place of the shared word rule out most
-pairs (length and positional filters); the rest is verified on the words themselves.  A line goes
-if a line that comes earlier, in a document of smaller ``doc_id`` or before it in its own, is
-similar enough; earlier lines count whether they stay or not.
+A line is the set of its lower-cased words.  Equal lower-cased lines form a class, and only its
+first line goes on.  Words are ordered from rare to frequent, so that two similar sets share a word
+among their first few (prefix filter); sizes and the place of the shared word rule out most pairs
+(length and positional filters), a lossless bitmap of the set most others; the rest is verified on
+the words themselves.  A line goes if a line that comes earlier, in a document of smaller
+``doc_id`` or before it in its own, is similar enough; earlier lines count whether they stay or not.
 
 Any order of words that is the same for all lines gives exact results.  Rarity is the count of the
 word's hash bucket, so that the table of counts has a fixed size however large the vocabulary is.
@@ -13,160 +13,228 @@ word's hash bucket, so that the table of counts has a fixed size however large t
 Defined cases: lines without words stay and match nothing; a null text stays null with no lines; an
 empty text is one line without words; rows of equal ``doc_id`` are ordered by a hash of their text,
 and equal rows keep and lose the same lines; null ``doc_id`` comes first; an empty table gives an
-empty table; other columns are not looked at.
+empty table; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, read_table
+from ._common import discard, materialise, packed, read_table
 
-WHITE = r"[\x20\x09-\x0D]+"
 PERCENT = 80
-BUCKETS = 1 << 16
-PASSES = 4
+BUCKETS = 1 << 17
+PASSES = 8
+DRAWN = 6  # neighbours in a list that a line meets first
+TRIES = 8  # matches of a line that are verified before it meets all members of its lists
+PART = 4096  # postings of a word that are expected in one part of its list
+WIDE = 24  # words of sets that have the wider bitmap too
 _TOKEN_BITS = 47  # of a word's hash; the bits above hold its frequency class
+_STEPS = 1000  # frequency classes for each doubling
+
+
+def _lowered(text: Column) -> Column:
+    """Lower-cased, with a blank for every white-space character but the line end."""
+    return F.regexp_replace(F.lower(text), r"[\t\x0B\x0C\r]", " ")
 
 
 def _words(line: Column) -> Column:
-    return F.split(F.lower(line), WHITE)
+    """The distinct words of a lowered line."""
+    return F.array_remove(F.array_distinct(F.split(line, " ")), "")
 
 
 def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, tid, no, line``: ``tid`` tells rows of equal doc_id apart."""
-    return docs.select("doc_id", F.xxhash64("text").alias("tid"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-
-
 def frequency_classes(docs: DataFrame) -> Column:
     """A constant array: for each hash bucket a class that grows with the bucket's count of words.
 
     Counts cover all lines; what reaches the driver is ``BUCKETS`` numbers, as one string.
     """
-    words = docs.select(F.explode(_words(F.col("text"))).alias("w")).where("w <> ''")
+    words = docs.select(F.explode(F.split(_lowered(F.col("text")), "[ \n]")).alias("w")).where("w <> ''")
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
-    classes = counts.select("b", F.shiftleft(F.floor(F.log2(F.col("n") + 1) * 1000).cast("long"), _TOKEN_BITS).alias("c"))
+    classes = counts.select("b", F.floor(F.log2(F.col("n") + 1) * _STEPS).cast("long").alias("c"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(classes, "b", "left").select("b", F.coalesce("c", F.lit(0)).alias("c"))
-    listed = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "c"))), lambda e: e["c"].cast("string")), ",")).first()[0]
+    listed = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "c"))), lambda e: F.shiftleft(e["c"], _TOKEN_BITS).cast("string")), ",")).first()[0]
     return F.split(F.lit(listed), ",").cast("array<long>")  # folded to a literal by the optimiser
 
 
-def _set_table(docs: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, tid, no, set_a, set_b`` (128 bits of the set's hash), ``n`` and the ``prefix`` of every line with words."""
+def _probe_length(n: Column, percent: int) -> Column:
+    """So many of a set's rarest words hold one of any similar set's."""
+    return n - F.ceil(n * percent / 100).cast("int") + 1
+
+
+def _index_length(n: Column, percent: int) -> Column:
+    """So many are enough against sets that are not smaller."""
+    return n - F.ceil(n * (2 * percent) / (100 + percent)).cast("int") + 1
+
+
+_PLACE = ("doc_id", "tid", "no")
+_BITS = ("bits", "low", "high")
+_OTHER = {"id": "eid", "n": "m", "i": "j", **{x: f"e{x}" for x in _BITS}}  # columns of the other line of a pair
+
+
+def _line_table(docs: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, tid, no, key, n, bits, low, high, prefix`` of every line with words.
+
+    ``tid`` tells rows of equal doc_id apart, ``key`` is a digest of the lowered line, ``n`` the
+    size of its set, ``prefix`` its rarest words, and ``bits`` has for each place the parity of how
+    many words hash to it; so have ``low`` and ``high``, for sets of ``WIDE`` words and more.
+    """
     classes = frequency_classes(docs)
-    hashes = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    hashed = _lines(docs).select("doc_id", "tid", "no", hashes.alias("h")).where(F.size("h") > 0)
+    lines = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.posexplode(F.split(_lowered(F.col("text")), "\n")).alias("no", "line"))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    hashed = lines.select(*_PLACE, F.unhex(F.md5("line")).alias("key"), hashes.alias("h")).where(F.size("h") > 0)
     rest = F.lit((1 << _TOKEN_BITS) - 1)
-    ordered = hashed.select("doc_id", "tid", "no", F.sort_array(F.transform("h", lambda h: F.get(classes, _bucket(h)).bitwiseOR(h.bitwiseAND(rest)))).alias("o"))
-    size = F.size("o")
-    prefix = size - F.ceil(size * percent / 100).cast("int") + 1
-    return ordered.select("doc_id", "tid", "no", F.xxhash64("o").alias("set_a"), F.xxhash64("o", F.lit(1)).alias("set_b"), size.alias("n"), F.slice("o", F.lit(1), prefix).alias("prefix"), *[_bitmap(F.col("o"), k).alias(f"bits{k}") for k in range(2)])
+    ordered = F.sort_array(F.transform("h", lambda h: F.get(classes, _bucket(h)).bitwiseOR(h.bitwiseAND(rest))))
+    n = F.size("h")
+    wide = [F.when(n >= WIDE, _parity(lambda h, k=k: F.when(h.bitwiseAND(F.lit(64)) == 64 * k, _bit(h.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long")))) for k in range(2)]
+    bits = [c.alias(x) for c, x in zip([_parity(lambda h: _bit(F.hash(h))), *wide], _BITS, strict=True)]
+    return hashed.select(*_PLACE, "key", n.alias("n"), *bits, F.slice(ordered, F.lit(1), _probe_length(n, percent)).alias("prefix"))
 
 
-def _bitmap(tokens: Column, half: int) -> Column:
-    """64 of 128 bits, each the parity of how many words of the set hash to it."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    mine = lambda x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, bit(x)).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(mine(x)))
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
-_PLACE = ("doc_id", "tid", "no")
-_EARLIER = ("edoc", "etid", "eno")
-#: What the filters look at, of a line and of the earlier one.
-_SHAPE, _ESHAPE = ("n", "i", "bits0", "bits1"), ("m", "j", "ebits0", "ebits1")
+def _parity(bit: Callable[[Column], Column]) -> Column:
+    return F.aggregate("h", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(bit(h)))
 
 
 def _may_match(percent: int) -> Column:
     """Length, positional and bitmap filter for sizes ``n, m`` that share the words at ``i`` and ``j``.
 
-    Each word that differs flips one bit, so no similar pair is lost; parity does not fill up in long lines.
+    Each word that differs flips one bit of a bitmap, so no similar pair is lost.
     """
     n, m, i, j = (F.col(c) for c in "nmij")
     most = F.least(i, j) + F.least(n - i, m - j)
-    differ = sum(F.bit_count(F.col(f"bits{k}").bitwiseXOR(F.col(f"ebits{k}"))) for k in range(2))
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (most * (100 + percent) >= (n + m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (most * (100 + percent) >= (n + m) * percent) & (_differ() * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """All lines with words and, as ``doc_id, tid, no``, the first lines of classes that an earlier line is similar to.
+def _differ() -> Column:
+    """At least so many words are in one of two sets only."""
+    flipped = [F.bit_count(F.col(x).bitwiseXOR(F.col(f"e{x}"))) for x in _BITS]
+    return F.greatest(flipped[0], F.coalesce(flipped[1] + flipped[2], F.lit(0)))
+
+
+def _postings(of: DataFrame, part: int) -> DataFrame:
+    """``id, doc_id, n, i, token`` and the bitmaps: a part of the posting lists, so that only that part is on disk at a time."""
+    return of.select("id", "doc_id", "n", *_BITS, F.posexplode("prefix").alias("i", "token")).where(F.pmod("token", F.lit(PASSES)) == part)
+
+
+def _near_heads(firsts: DataFrame, percent: int, part: int) -> DataFrame:
+    """``id, d, eid``: for each line the likeliest ``TRIES`` matches before it, among the first members of its words' lists and its neighbours there.
 
-    Each member of a word's posting list first meets the list's earliest member only.  Those that
-    it settles are done; the rest meet all earlier members, so a group of many similar lines never
-    pairs off within itself and no match is missed.  Both steps take the words in ``PASSES`` parts
-    by hash, so that only a part of the posting lists is on disk at a time.
+    Each list stands in a random order of its own, so lists of the same lines give different
+    neighbours.  Long lists are cut by hash into parts; the class of a word bounds its list's length.
     """
-    source = docs.select("doc_id", "text")
-    lines = materialise(_set_table(source, percent))
-    sets = lines.groupBy("set_a", "set_b").agg(F.min(F.struct(*_PLACE)).alias("place"), *[F.first(c).alias(c) for c in (*_SHAPE[:1], "prefix", *_SHAPE[2:])])
-    # n of n + 1 words must be enough, or no different set can be similar.
-    sets = materialise(sets.where((F.col("n") + 1) * percent <= F.col("n") * 100).select(*[F.col(f"place.{c}") for c in _PLACE], "n", "bits0", "bits1", "prefix"))
-    renamed = [F.col(c).alias(e) for c, e in zip((*_PLACE, *_SHAPE), (*_EARLIER, *_ESHAPE), strict=True)]
-    heads = [F.col(f"first.{c}").alias(e) for c, e in zip((*_PLACE, *_SHAPE), (*_EARLIER, *_ESHAPE), strict=True)]
-    earlier = F.struct(*_PLACE) > F.struct(*_EARLIER)
+    parts = F.ceil(F.pow(F.lit(2.0), F.shiftright("token", _TOKEN_BITS) / _STEPS) / PART).cast("long")
+    postings = _postings(firsts, part).withColumn("salt", F.pmod(F.xxhash64("id"), parts))
+    listed = Window.partitionBy("token", "salt")
+    mixed = listed.orderBy(F.xxhash64("token", "id"))
+    line = F.struct("doc_id", "id", "n", "i", *_BITS)
+    heads = F.array(F.min(line).over(listed), *[F.lag(line, k).over(mixed) for k in range(1, DRAWN + 1)])
+    met = postings.select(line.alias("x"), heads.alias("heads")).select("x", F.explode("heads").alias("e")).where("e.id <> x.id")
+    pairs = met.select(F.greatest("x", "e").alias("x"), F.least("x", "e").alias("e")).select(*[F.col(f"x.{a}").alias(a) for a in _OTHER], *[F.col(f"e.{a}").alias(b) for a, b in _OTHER.items()])
+    likely = pairs.where(_may_match(percent))
+    return _likeliest(likely.select("id", (_differ() / (F.col("n") + F.col("m"))).alias("d"), "eid"))
+
 
-    def postings(of: DataFrame, part: int) -> DataFrame:
-        return of.select(*_PLACE, "n", "bits0", "bits1", F.posexplode("prefix").alias("i", "token")).where(F.pmod("token", F.lit(PASSES)) == part)
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    best = pairs.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "eid"))), 1, TRIES).alias("best"))
+    return best.select("id", F.explode("best").alias("e")).select("id", "e.d", "e.eid")
 
-    def pairs(found: DataFrame) -> DataFrame:
-        return materialise(found.where(earlier & _may_match(percent)).select(*_PLACE, *_EARLIER).distinct())
 
-    def with_first(part: int) -> DataFrame:
-        first = F.min(F.struct(*_PLACE, *_SHAPE)).over(Window.partitionBy("token"))
-        return postings(sets, part).withColumn("first", first).select(*_PLACE, *_SHAPE, *heads)
+def _open_pairs(unsettled: DataFrame, firsts: DataFrame, percent: int, part: int) -> DataFrame:
+    """``id, eid`` that may match: lines of ``unsettled`` with any that do not come in later documents.
 
-    met = [pairs(with_first(part)) for part in range(PASSES)]
-    settled = _verified(source, reduce(DataFrame.unionByName, met).distinct(), percent)
+    Sizes are dealt to classes so wide that similar sets are at most one apart.  The smaller of two
+    sets need only show the words that it has in front of all sets that are not smaller.
+    """
+    def size_class(n: Column) -> Column:
+        return F.floor(F.log(n) / F.log(F.lit(100.1 / percent))).cast("int")
 
-    unsettled = materialise(sets.join(settled.toDF(*_EARLIER), _same(_PLACE, _EARLIER), "left_anti"))
-    left = [pairs(postings(unsettled, part).join(postings(sets, part).select(*renamed, "token"), "token")) for part in range(PASSES)]
-    fresh = reduce(DataFrame.unionByName, left).distinct().join(reduce(DataFrame.unionByName, met).toDF(*[f"met_{c}" for c in (*_PLACE, *_EARLIER)]), _same((*_PLACE, *_EARLIER), [f"met_{c}" for c in (*_PLACE, *_EARLIER)]), "left_anti")
-    return lines, settled.unionByName(_verified(source, fresh, percent)).distinct()
+    def shown(postings: DataFrame) -> DataFrame:
+        return postings.withColumn("shown", F.col("i") < _index_length(F.col("n"), percent))
 
+    own = size_class(F.col("n"))
+    classes = F.when(F.col("shown"), F.array(own - 1, own, own + 1)).otherwise(F.array(own - 1, own))
+    left = shown(_postings(unsettled, part)).withColumn("c", F.explode(classes))
+    right = shown(_postings(firsts, part)).select(F.col("doc_id").alias("edoc"), *[F.col(a).alias(b) for a, b in _OTHER.items()], "token", F.col("shown").alias("eshown"), own.alias("c"))
+    n, m = F.col("n"), F.col("m")
+    reach = ((n >= m) & F.col("eshown")) | ((n <= m) & F.col("shown"))
+    order = (F.col("id") != F.col("eid")) & (F.struct("doc_id") >= F.struct("edoc"))
+    return left.join(right, ["token", "c"]).where(order & reach & _may_match(percent)).select("id", "eid").distinct()
 
-def _same(a: Sequence[str], b: Sequence[str]) -> Column:
-    """Places (or pairs of places) are equal; only a ``doc_id`` may be null."""
-    equal = [F.col(x).eqNullSafe(F.col(y)) if x.endswith("doc_id") or x == "edoc" else F.col(x) == F.col(y) for x, y in zip(a, b, strict=True)]
-    return reduce(Column.__and__, equal)
 
+def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All lines with words (``doc_id, tid, no, key``) and the ``key`` of each class that an earlier line is similar to.
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Places of those lines in ``pairs`` whose words are similar enough to the earlier line's."""
+    First each line meets a few members of each of its words' lists, and the likeliest of them are
+    verified.  Only lines that are not settled so meet all members, so a group of many similar
+    lines never pairs off within itself and no match is missed.
+    """
+    source = docs.select("doc_id", "text")
+    wide = materialise(_line_table(source, percent))
+    place = F.min(F.struct(*_PLACE)).alias("place")
+    grouped = wide.groupBy("key").agg(place, *[F.first(c).alias(c) for c in ("n", *_BITS, "prefix")])
+    firsts = materialise(grouped.select(F.monotonically_increasing_id().alias("id"), *[F.col(f"place.{c}") for c in _PLACE], "key", "n", *_BITS, "prefix"))
+    lines = materialise(wide.select(*_PLACE, "key"))
+    discard(wide)
+    heads = [materialise(_near_heads(firsts, percent, part)) for part in range(PASSES)]
+    settled = _verified(source, firsts, _likeliest(reduce(DataFrame.unionByName, heads)).select("id", "eid"), percent)
+    discard(*heads)
+    unsettled = materialise(firsts.join(settled, "id", "left_anti"))
+    met = [materialise(_open_pairs(unsettled, firsts, percent, part)) for part in range(PASSES)]
+    discard(unsettled)
+    rest = _verified(source, firsts, reduce(DataFrame.unionByName, met).distinct(), percent)
+    discard(*met)
+    late = settled.unionByName(rest).distinct()
+    return lines, firsts.select("id", *_PLACE, "key").join(late, "id", "left_semi").select("key")
+
+
+def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """``id`` of the later line of those ``pairs`` (``id, eid``) whose words are similar enough."""
     pairs = materialise(pairs)
-    wanted = pairs.select(*_PLACE).unionByName(pairs.select(*[F.col(e).alias(c) for c, e in zip(_PLACE, _EARLIER, strict=True)])).distinct()
-    by_doc = wanted.groupBy("doc_id", "tid").agg(F.collect_list("no").alias("wanted")).toDF("wdoc", "wtid", "wanted")
+    wanted = pairs.select("id").unionByName(pairs.select(F.col("eid").alias("id"))).distinct()
+    by_doc = firsts.join(wanted, "id", "left_semi").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("id", "no")).alias("wanted")).toDF("wdoc", "wtid", "wanted")
     rows = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
-    found = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("wdoc")) & (F.col("tid") == F.col("wtid"))).select("doc_id", "tid", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("no"))
-    words = F.array_remove(F.array_distinct(_words(F.get("lines", F.col("no")))), "")
-    full = materialise(found.select(*_PLACE, words.alias("words")).dropDuplicates(_PLACE))
-    earlier = full.toDF(*_EARLIER, "ewords")
-    both = pairs.join(full.toDF("pdoc", "ptid", "pno", "words"), _same(_PLACE, ("pdoc", "ptid", "pno"))).join(earlier.toDF("qdoc", "qtid", "qno", "ewords"), _same(_EARLIER, ("qdoc", "qtid", "qno")))
+    found = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("wdoc")) & (F.col("tid") == F.col("wtid"))).select("doc_id", "tid", F.split(_lowered(F.col("text")), "\n").alias("lines"), F.explode("wanted").alias("w"))
+    full = materialise(found.select(F.col("w.id").alias("id"), F.struct("doc_id", "tid", "w.no").alias("place"), _words(F.get("lines", F.col("w.no"))).alias("words")).dropDuplicates(["id"]))
+    both = pairs.join(full, "id").join(full.toDF("eid", "eplace", "ewords"), "eid")
     shared = F.size(F.array_intersect("words", "ewords"))
-    return materialise(both.where(shared * 100 >= (F.size("words") + F.size("ewords") - shared) * percent).select(*_PLACE).distinct())
+    alike = both.where(shared * 100 >= (F.size("words") + F.size("ewords") - shared) * percent)
+    out = materialise(alike.select(F.when(F.col("place") > F.col("eplace"), F.col("id")).otherwise(F.col("eid")).alias("id")).distinct())
+    discard(pairs, full)
+    return out
 
 
-def without_similar_lines(docs: DataFrame, percent: int = PERCENT, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``columns`` of every row, ``text`` without the later matches, ``n_lines`` and ``n_removed``."""
+def reduced(docs: DataFrame, percent: int = PERCENT, columns: Sequence[str] | None = None) -> DataFrame:
+    """``row`` (a struct of ``columns``, all if not named), ``text`` without the later matches, ``n_lines`` and ``n_removed``."""
     lines, late = similar_lines(docs, percent)
-    place = F.struct("doc_id", "tid", "no")
-    firsts = lines.groupBy("set_a", "set_b").agg(F.min(place).alias("first")).select("*", *[F.col(f"first.{c}").alias(f"f{c}") for c in _PLACE])
-    marked = firsts.join(late.withColumn("late", F.lit(True)), _same([f"f{c}" for c in _PLACE], _PLACE), "left").select("set_a", "set_b", "first", "late")
-    gone = lines.join(marked, ["set_a", "set_b"]).where(F.coalesce("late", F.lit(False)) | (place > F.col("first")))
-    removed = materialise(gone.groupBy("doc_id", "tid").agg(F.collect_set("no").alias("_removed"))).toDF("_id", "_rtid", "_removed")
-    rows = docs.select(*columns, F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.xxhash64("text").alias("_tid"))
-    split = F.split("_text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_removed"))
-    text = F.when(F.col("_removed").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
-    found = rows.join(removed, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_tid") == F.col("_rtid")), "left")
-    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(split)).cast("long")
-    return found.select(*columns, text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"))
+    place = F.struct(*_PLACE)
+    firsts = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("members"))
+    marked = firsts.join(late.withColumn("late", F.lit(True)), "key", "left").where("late or members > 1")
+    gone = lines.join(marked, "key").where(F.coalesce("late", F.lit(False)) | (place > F.col("first")))
+    removed = materialise(gone.groupBy("doc_id", "tid").agg(F.collect_set("no").alias("removed"))).toDF("rdoc", "rtid", "removed")
+    rows = docs.select(packed(docs, columns), F.col("doc_id").alias("doc"), F.col("text").alias("old"), F.xxhash64("text").alias("tid"))
+    split = F.split("old", "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed"))
+    text = F.when(F.col("removed").isNull(), F.col("old")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
+    found = rows.join(removed, F.col("doc").eqNullSafe(F.col("rdoc")) & (F.col("tid") == F.col("rtid")), "left")
+    n_lines = F.when(F.col("old").isNull(), 0).otherwise(F.size(split)).cast("long")
+    return found.select("row", text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def without_similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, text, n_lines, n_removed`` of every row."""
+    found = reduced(docs, percent, ["doc_id"])
+    return found.select("row.doc_id", "text", "n_lines", "n_removed")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

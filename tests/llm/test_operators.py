@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,8 +11,10 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+import xxhash
 
 from locusframe.llm import byte_bpe, components, language, lines, minhash, mixing, neighbours, registry, sharding, simhash, substrings, wavelet
+from locusframe.llm._common import materialise
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tid string, key string"
@@ -207,7 +210,21 @@ def test_mixing(spark, docs, empty):
     assert sorted(map(tuple, mixing.op6_mixing(spark, SF).collect())) == sorted(duck.sql(mixing.ORACLE_SQL).fetchall())
 
 
+def _plain_simhash(text):
+    votes = [0.0] * 64
+    terms = re.findall(r"\w+", text.lower())
+    for term in dict.fromkeys(terms):
+        h = xxhash.xxh3_64(term.encode()).intdigest()
+        for b in range(64):
+            votes[b] += (1 + math.log(terms.count(term))) * (1 if h >> b & 1 else -1)
+    return sum(1 << b for b in range(64) if votes[b] > 1e-9), [b for b in range(64) if abs(votes[b]) <= 1e-9]
+
+
 def test_simhash(spark, docs, empty):
+    for t in ["", "one", "a b a c a", "12 x_y Ünder the the THE", *[_prose(k) for k in (2, 9, 70)]]:
+        want, even = _plain_simhash(t)
+        mask = ~sum(1 << b for b in even)
+        assert simhash.fingerprint(t) & mask == want & mask
     text = {k: t or "" for k, t in ROWS}
     order = sorted(text, reverse=True)
     got = rows(simhash.compare_edits(docs))
@@ -251,12 +268,82 @@ def test_sharding(docs, empty):
     assert sharding.shard_by_bytes(empty).count() == 0
 
 
+def test_sharding_law(spark):
+    """Totals far over 32 bits, a tiny last row: shards stay below their number and near equal, in order."""
+    rnd = random.Random(3)
+    sizes = [rnd.randrange(8, 4_000_000_000_000) for _ in range(3000)] + [8]
+    rows = spark.createDataFrame([(i, n, i % 7) for i, n in enumerate(sizes)], "doc_id long, size long, text_crc32 long")
+    got = sorted(sharding.cut_evenly(rows, 24).collect(), key=lambda r: r.doc_id)
+    assert [r.shard for r in got] == sorted(r.shard for r in got) and {r.shard for r in got} == set(range(24))
+    held = [sum(r.size for r in got if r.shard == s) for s in range(24)]
+    assert all(abs(24 * h - sum(sizes)) <= 24 * max(sizes) for h in held)
+    upto = 0
+    for r in got:
+        assert r.shard == (upto + r.size - r.size // 2 - 1) * 24 // sum(sizes)
+        upto += r.size
+    ties = spark.createDataFrame([(1, 10, 5)] * 6 + [(None, 10, 5)] * 2, "doc_id long, size long, text_crc32 long")
+    assert sorted((r.shard, r.slot) for r in sharding.cut_evenly(ties, 4).collect()) == [(s, k) for s in range(4) for k in range(2)]
+
+
+def test_awkward_rows(spark):
+    """Repeated and null ids, null and empty texts, and extra columns named like an operator's own: whole results, no error."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    data = [(3, _BASE), (3, _BASE), (3, "other words"), (None, _BASE), (None, None), (4, ""), (None, ""), (5, "x " * 70), (5, None)]
+    names = "_tid _id n_lines n_removed _copy _score row key id place taken size words old bits part shard h".split()
+    schema = "doc_id long, text string, source string, lang string, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(k, t, None if k == 3 else "s", "en", *names) for k, t in data], schema)
+    n = len(data)
+    assert minhash.near_duplicates(docs).count() == n
+    assert byte_bpe.round_trip(docs, path, P.PATTERN).count() == n
+    assert substrings.without_repeats(docs).count() == n
+    assert mixing.mix(docs).count() == n
+    assert simhash.count_near(materialise(simhash.compare_edits(docs))).count() == n
+    assert sharding.shard_by_bytes(docs).count() == n
+    assert wavelet.read_shards(wavelet.write_shards(docs, P.path("byte_bpe_50k.json"))).count() == n
+    assert language.predict(docs, language.learn(docs)).count() == n
+    kept = lines.reduced(docs)
+    assert sorted((r.row.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(0, _BASE), (0, ""), (0, ""), (3, ""), (3, ""), (3, "other words"), (4, ""), (5, "x " * 70), (5, "")])
+    assert all(r.row[c] == c for r in kept.collect() for c in names)
+    again = mixing.repeated(docs)
+    assert again.columns == docs.columns and all(r[c] == c for r in again.collect() for c in names)
+    assert sorted((r.doc_id or 0, r.text) for r in again.collect()) == sorted((r.doc_id or 0, r.text) for r in mixing.repeated(docs).collect())
+
+
+def test_many_similar_lines(spark):
+    """A group of hundreds of lines that are alike in part, beside as many that are not: the same lines go as by brute force."""
+    rnd = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(400)]
+    base = rnd.sample(vocabulary, 30)
+    data = []
+    for k in range(400):
+        words = list(base)
+        for at in rnd.sample(range(30), rnd.randrange(0, 8)):
+            words[at] = f"e{rnd.randrange(5000)}"
+        rnd.shuffle(words)
+        data.append((k, " ".join(words) + "\n" + " ".join(rnd.sample(vocabulary, rnd.randrange(1, 40)))))
+    seen, want = [], {}
+    for k, t in data:
+        kept = []
+        for line in t.split("\n"):
+            words = set(line.split())
+            if all(5 * len(words & s) < 4 * len(words | s) for s in seen):
+                kept.append(line)
+            seen.append(words)
+        want[k] = "\n".join(kept)
+    assert {k: r.text for k, r in rows(lines.without_similar_lines(spark.createDataFrame(data, "doc_id long, text string"))).items()} == want
+
+
+def test_vectors_of_several_lengths(spark):
+    data = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.01, 0.0]), (5, [1.0]), (6, [0.0, 1.0, 0.0])]
+    got = rows(neighbours.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")), "vec_id")
+    assert {k: (r.n_links, r.component_id, r.kept) for k, r in got.items()} == {1: (1, 1, True), 2: (1, 1, False), 3: (1, 3, True), 4: (1, 3, False), 5: (0, 5, True), 6: (0, 6, True)}
+
+
 def test_wavelet(docs, empty):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     got, start = rows(wavelet.read_shards(wavelet.write_shards(docs, path, shard_tokens=500))), 0
     for k, t in sorted(ROWS):
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
@@ -280,11 +367,15 @@ def test_wavelet_added_token_and_width():
 def test_wavelet_queries():
     ids = np.random.default_rng(2).integers(0, 50, 9000)
     matrix, _, names = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids, 16).to_bytes(np.array([0]), [7]))
-    assert names == [7] and (matrix.restore() == ids).all()
+    long = np.random.default_rng(2).integers(0, 50, 2_000_000)
+    part, _, _ = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(long, 16).to_bytes(np.array([0]), [7]))
+    assert part.unpacked == 0 and part.access(1_234_567) == long[1_234_567] and part.unpacked <= 32 < 16 * 8
+    assert names == [7]
     for at in (0, 1, 4095, 4096, 8999):
         assert matrix.access(at) == ids[at] and matrix.rank(int(ids[at]), at) == (ids[:at] == ids[at]).sum()
     places = np.flatnonzero(ids == 7)
     assert [matrix.select(7, k) for k in (0, 5, len(places) - 1, len(places))] == [*places[[0, 5, -1]], -1]
+    assert (matrix.restore() == ids).all() and (part.restore() == long).all()
 
 
 def test_language(spark, docs, empty):
@@ -301,5 +392,22 @@ def test_language(spark, docs, empty):
     assert abs(sum(mixture.predict("some words here to mix of the two")[2].values()) - 1) < 1e-9
 
 
+def test_language_mixture_is_the_likeliest():
+    """The shares found by expectation-maximisation against a search of all shares in small steps."""
+    rng = np.random.default_rng(5)
+    table = rng.dirichlet(np.full(language.DIMS, 0.05), 2).T + 1e-9
+    model = language.LanguageModel(["x", "y"], table / table.sum(0), steps=200)
+    likely, counts = model.table[rng.integers(0, language.DIMS, 300)], rng.integers(1, 5, 300).astype(float)
+    share, value = model._mix(likely, counts)
+    every = [float(counts @ np.log(likely @ np.array([a, 1 - a]))) for a in np.linspace(0.0005, 0.9995, 2000)]
+    assert value >= max(every) - 1e-3 and abs(share[0] - np.linspace(0.0005, 0.9995, 2000)[int(np.argmax(every))]) < 0.01
+
+
+def test_language_without_letters():
+    model = language.LanguageModel(["x", "y"], np.full((language.DIMS, 2), 1 / language.DIMS))
+    assert [model.predict(t)[0] for t in ("½", "②", "Ⅷ", "12 - _", "", None)] == ["und"] * 6
+    assert model.predict("a ½")[0] == "x"  # ties go to the first
+
+
 def test_registry():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()] == list(range(1, 11))
