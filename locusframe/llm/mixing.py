@@ -11,7 +11,7 @@ first words only, so a source's words meet its rounded target exactly.
 
 Defined cases: a null or blank text has size 0 and takes 0; a null source is a source of its own
 and the last; a source of size 0 has target 0; repeated rows count each for itself; null
-``doc_id`` hashes as an empty string; an empty table gives an empty table; other columns are not
+``doc_id`` hashes as a digest of the text; an empty table gives an empty table; other columns are not
 looked at.
 """
 
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import read_table
+from ._common import packed, read_table, unpacked
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Hash buckets of a source (three hexadecimal digits): no window holds more than one of them.
@@ -30,9 +30,10 @@ BUCKET_DIGITS = 3
 
 
 def with_size(docs: DataFrame, text_hash: bool = False) -> DataFrame:
-    """``doc_id, source, size``: words of each text; on demand ``_tid``, a hash that tells texts of one doc_id apart."""
+    """``doc_id, source, key, size``: words of each text; on demand ``_tid``, a hash that tells texts of one doc_id apart."""
     extra = [F.xxhash64("text").alias("_tid")] if text_hash else []
-    return docs.select("doc_id", "source", *extra, F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    return docs.select("doc_id", "source", *extra, key.alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
@@ -66,11 +67,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         F.col("source").alias("s"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long").alias("whole"),
     ).withColumn("rest", words - F.col("whole") * F.col("source_size"))
-    hashed = sized.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
+    hashed = sized.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), "key"))).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     sums = hashed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", *["_tid"] * text_hash).rowsBetween(Window.unboundedPreceding, -1)
     placed = hashed.withColumn("c", F.coalesce(F.sum("size").over(within), F.lit(0)))
     known = placed.join(starts, placed["source"].eqNullSafe(starts["s"]) & (placed["bucket"] == starts["b"])).drop("s", "b")
     known = known.join(per_source, known["source"].eqNullSafe(per_source["s"])).drop("s")
@@ -83,18 +84,19 @@ def repeated(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
 
     The columns of ``docs`` stay, with ``n_chars``, where there is one, counted anew.
     """
-    source = docs.select("*", F.xxhash64("text").alias("_tid"))
     mixed = mix(docs.select("doc_id", "source", "text"), weights, share, max_epochs, seed, text_hash=True)
-    # Rows of one doc_id and text are alike in size; what the mix takes of them together is dealt out evenly to one row each.
-    plan = mixed.groupBy("doc_id", "_tid", "source").agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size")).where("_taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("_tid").alias("_t"), F.col("source").alias("_s"), "_taken", "_size")
-    one = source.dropDuplicates(["doc_id", "source", "_tid"])
-    found = one.join(plan, one["doc_id"].eqNullSafe(plan["_id"]) & one["source"].eqNullSafe(plan["_s"]) & (one["_tid"] == plan["_t"]))
-    copies = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
-    rows = found.withColumn("_copy", F.explode(copies)).withColumn("_words", F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")))
-    first = F.array_join(F.slice(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""), F.lit(1), F.col("_words").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), first).otherwise(F.col("text")))
-    return rows.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    # Rows of one doc_id and text are alike in size; what the mix takes of them together is dealt out to one row.
+    plan = mixed.groupBy("doc_id", "_tid", "source").agg(F.sum("taken").alias("taken"), F.first("size").alias("size")).where("taken > 0").toDF("d", "t", "s", "taken", "size")
+    one = docs.select(packed(docs), "doc_id", "source", "text", F.xxhash64("text").alias("tid")).dropDuplicates(["doc_id", "source", "tid"])
+    found = one.join(plan, one["doc_id"].eqNullSafe(plan["d"]) & one["source"].eqNullSafe(plan["s"]) & (one["tid"] == plan["t"]))
+    copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
+    rows = found.withColumn("copy", F.explode(copies)).withColumn("words", F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")))
+    first = F.array_join(F.slice(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""), F.lit(1), F.col("words").cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("words") < F.col("size"), first).otherwise(F.col("text")))
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*unpacked(docs.columns, **changed))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +106,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same rows in DuckDB: the running sums, seeded order and rounding are stated once more.
 ORACLE_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'x', 'g'), '[\x20\x09-\x0D]+', '', 'g')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, text, coalesce(length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'x', 'g'), '[\x20\x09-\x0D]+', '', 'g')), 0)::BIGINT AS size FROM documents
 ), weighed AS (
   SELECT source, source_size, ([5.0, 2.0, 1.0]::DOUBLE[])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, source_size * 2.0::DOUBLE AS cap
   FROM (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source)
@@ -117,7 +119,7 @@ WITH sized AS (
 ), parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS whole FROM goal
 ), placed AS (
-  SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('7:' || coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM sized
+  SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('7:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM sized
 )
 SELECT doc_id, size, source_size, target,
   (whole * size + greatest(0, least(size, floor(target + 0.5)::BIGINT - whole * source_size - c)))::BIGINT AS taken
