@@ -22,18 +22,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import map_pandas, ship_package, read_table, renamed_apart
+from ._common import map_pandas, packed, read_table, renamed_apart, ship_package
 
 DIMS = 1 << 14
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+_BETWEEN = re.compile(r"[\W\d_]+")
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte n-grams (1 to 3, within blank-separated words) and their counts."""
-    plain = b" " + _NO_LETTERS.sub(" ", text.lower()).strip().encode() + b" "
-    if len(plain) < 3:
+    words = _BETWEEN.sub(" ", text.lower()).strip()
+    if not any(map(str.isalpha, words)):  # what is left can be fractions or other numerals
         return np.zeros(0, np.int64), np.zeros(0)
-    x = np.frombuffer(plain, dtype=np.uint8).astype(np.uint32)
+    x = np.frombuffer(b" " + words.encode() + b" ", dtype=np.uint8).astype(np.uint32)
     two = x[:-1] * np.uint32(257) + x[1:]
     three = two[:-1] * np.uint32(263) + x[2:]
     keys = np.concatenate([x, two + np.uint32(1 << 20), three + np.uint32(1 << 28)])
@@ -123,7 +123,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def predict_rows(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs`` with ``_lang_pred`` and ``_score`` beside them."""
+    """``row`` (a struct of all columns of ``docs``), ``lang_pred`` and ``score``."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -132,7 +132,7 @@ def predict_rows(docs: DataFrame, model: LanguageModel) -> DataFrame:
         found = [shared.value.predict(t) for t in texts]
         return pd.DataFrame({"lang": [x[0] for x in found], "score": [x[1] for x in found]})
 
-    return docs.withColumn("_judged", judge("text")).withColumns({"_lang_pred": F.col("_judged.lang"), "_score": F.col("_judged.score")})
+    return docs.select(packed(docs), judge("text").alias("judged")).select("row", F.col("judged.lang").alias("lang_pred"), "judged.score")
 
 
 def held_out(doc_id: str = "doc_id"):
