@@ -12,8 +12,8 @@ Edges at or over the threshold are kept and form components.  A node whose whole
 threshold is saturated: its list is enlarged to its component, block by block, so that links are
 counted completely without any list or pair table of that size.
 
-Equal vectors form one class.  Vectors that are null, empty, zero, of another length than most, or
-that hold null or non-finite components link with nothing.
+Equal vectors form one class.  Vectors of different lengths are compared apart and never link.
+Vectors that are null, empty or zero, or that hold null or non-finite components link with nothing.
 
 Defined cases: repeated rows of a vec_id are counted each as a vector; null vec_id rows keep null
 component and link with nothing; an empty table gives an empty table; other columns are not
@@ -23,6 +23,7 @@ looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -243,32 +244,35 @@ def link_counts(nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFr
     return met.groupBy("component", "i", "j").applyInPandas(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
+def _linked(nodes: DataFrame, count: int, threshold: float, tables: int, rounds: int, recall: float, tries: int) -> DataFrame:
+    """``node, component, n`` of those of ``count`` nodes of one length that have links."""
+    sample = audit_sample(nodes, count)
+    centre, top, links, share = _matrix(sample["unit"]).mean(0), None, None, 0.0
+    for attempt in range(tries):
+        edges = materialise(hyperplane_tables(nodes, count, tables, 1000 + attempt, threshold, centre))
+        edges = edges if links is None else edges.unionByName(top).unionByName(links)
+        top, links = refine(nodes, edges, count, threshold, rounds)
+        reached = materialise(connected_components(links.where(F.col("a") < F.col("b")).select("a", "b")))
+        share = audit(nodes, reached, sample, threshold)
+        if share >= recall:
+            break
+    else:
+        raise RuntimeError(f"the audit found {share:.4f} of the links of a class of vectors after {tries} tries; the goal is {recall}")
+    return reached.join(link_counts(nodes, reached, threshold), "node", "left")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, column: str = "embedding", tables: int = 16, rounds: int = 12, recall: float = 0.98, tries: int = 8) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``."""
     units = materialise(unit_vectors(vectors, column))
     usable = units.where("unit is not null and vec_id is not null")
-    width = usable.groupBy(F.octet_length("unit").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    usable = usable.where(F.octet_length("unit") == (width["w"] if width else 0))
     # One row for each different direction; its smallest vec_id stands for all.
     nodes = materialise(usable.groupBy("unit").agg(F.min("vec_id").cast("long").alias("node"), F.count("*").alias("copies")))
-    count = nodes.count()
-    if count:
-        sample = audit_sample(nodes, count)
-        centre, top, links, share = _matrix(sample["unit"]).mean(0), None, None, 0.0
-        for attempt in range(tries):
-            edges = materialise(hyperplane_tables(nodes, count, tables, 1000 + attempt, threshold, centre))
-            edges = edges if links is None else edges.unionByName(top).unionByName(links)
-            top, links = refine(nodes, edges, count, threshold, rounds)
-            reached = materialise(connected_components(links.where(F.col("a") < F.col("b")).select("a", "b")))
-            share = audit(nodes, reached, sample, threshold)
-            if share >= recall:
-                break
-        else:
-            raise RuntimeError(f"the audit found {share:.4f} of the links of a class of vectors after {tries} tries; the goal is {recall}")
-        counts = link_counts(nodes, reached, threshold)
-        groups = nodes.drop("unit").join(reached, "node", "left").join(counts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("n", F.lit(0)).alias("n"), "copies")
-    else:
-        groups = nodes.select("node", F.col("node").alias("component"), F.lit(0).alias("n"), "copies")
+    lengths = {r["w"]: r["n"] for r in nodes.groupBy(F.octet_length("unit").alias("w")).agg(F.count("*").alias("n")).orderBy("w").collect()}
+    # Vectors of different lengths can't be compared; those alone in theirs have no links.
+    found = [_linked(nodes.where(F.octet_length("unit") == w), n, threshold, tables, rounds, recall, tries) for w, n in lengths.items() if n > 1]
+    none = nodes.limit(0).select("node", F.col("node").alias("component"), F.lit(0).cast("long").alias("n"))
+    known = reduce(DataFrame.unionByName, found, none)
+    groups = nodes.select("node", "copies").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("n", F.lit(0)).alias("n"), "copies")
     of_unit = nodes.select("node", "unit").join(groups, "node")
     full = units.join(of_unit, (units["unit"] == of_unit["unit"]) & units["vec_id"].isNotNull(), "left")
     out = full.select("vec_id", F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").cast("long").alias("component_id"))
