@@ -131,6 +131,23 @@ def test_minhash(docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_near_the_threshold(spark):
+    """Hundreds of pairs just over and just under the threshold: all links of the brute force, no other."""
+    rnd = random.Random(6)
+    data = []
+    for k in range(250):
+        words = [f"v{rnd.randrange(100_000)}" for _ in range(160)]
+        other = list(words)
+        for at in rnd.sample(range(10, 150, 10), rnd.choice([3, 4, 4, 5])):
+            other[at] = "z" + other[at]
+        data += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    sets = {k: _shingles(t) for k, t in data}
+    links = [(k, k + 1) for k in range(0, 500, 2) if 100 * len(sets[k] & sets[k + 1]) >= 75 * len(sets[k] | sets[k + 1])]
+    assert 50 < len(links) < 250
+    got = rows(minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")))
+    assert {k: r.component_id for k, r in got.items()} == union_find(sets, links)
+
+
 def test_byte_bpe(docs, empty):
     import tiktoken
 
