@@ -113,11 +113,16 @@ query("mat14_subtract", f"WITH {_TRI} SELECT i, j, round(r.value - a.value, 6) A
 query("mat15_check_square", f"WITH {C} SELECT run, max(i) AS max_i, max(j) AS max_j, count(*) AS cells, max(i) = max(j) AND count(*) = (max(i) + 1) * (max(j) + 1) AS square FROM c GROUP BY run")(lambda s, d: contacts.check_square(V.contacts(s, d)))
 MINMAX = f"{C}, mm AS (SELECT run, i, j, (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) AS value FROM c WINDOW w AS (PARTITION BY run))"
 query("prj19_minmax", f"WITH {MINMAX} SELECT run, i, j, round(value, 6) AS value FROM mm")(lambda s, d: contacts.minmax(V.contacts(s, d)))
-query("mat11_gaussian")(lambda s, d: contacts.gaussian_smooth(V.contacts(s, d), B, 1.0))
+_FOLD = lambda c: f"CASE WHEN ({c} + k + {2 * B}) % {2 * B} >= {B} THEN {2 * B - 1} - ({c} + k + {2 * B}) % {2 * B} ELSE ({c} + k + {2 * B}) % {2 * B} END"
+query("mat11_gaussian", f"""WITH {C}, g AS (SELECT k::INT AS k, exp(-0.5 * k * k) / sum(exp(-0.5 * k * k)) OVER () AS w FROM range(-4, 5) t(k)),
+gi AS (SELECT run, {_FOLD("i")} AS i, j, sum(value * w) AS value FROM c, g GROUP BY ALL), gj AS (SELECT run, i, {_FOLD("j")} AS j, sum(value * w) AS value FROM gi, g GROUP BY ALL) SELECT run, i::INT AS i, j::INT AS j, round(value, 6) AS value FROM gj""")(lambda s, d: contacts.gaussian_smooth(V.contacts(s, d), B, 1.0))
 
 # Scores.
 query("scr01_insulation", f"WITH {INS} SELECT run, bin, round(value, 6) AS value FROM ins")(_insulation)
-query("scr02_insulation_correl")(lambda s, d: scores.insulation_correl(V.contacts(s, d), B, W))
+CORREL = f"""{MINMAX}, wm AS (SELECT run, i, j, value, sum(value) OVER r / {B} AS m, sum(value * value) OVER r AS ss FROM mm WINDOW r AS (PARTITION BY run, i)),
+rc AS (SELECT run, i, j, (xy - mx * my * {B}) / (sqrt(sx - mx * mx * {B}) * sqrt(sy - my * my * {B})) AS value FROM (
+SELECT x.run, x.i, y.i AS j, sum(x.value * y.value) AS xy, any_value(x.m) AS mx, any_value(y.m) AS my, any_value(x.ss) AS sx, any_value(y.ss) AS sy FROM wm x JOIN wm y ON x.run = y.run AND x.j = y.j WHERE abs(x.i - y.i) <= {W} GROUP BY x.run, x.i, y.i))"""
+query("scr02_insulation_correl", "WITH " + INS.replace(C, CORREL).replace("FROM c WHERE abs", "FROM rc WHERE abs") + " SELECT run, bin, round(value, 6) AS value FROM ins")(lambda s, d: scores.insulation_correl(V.contacts(s, d), B, W))
 query("scr03_insulation_exp", "WITH " + INS.replace(C, f"{MINMAX}, k AS (SELECT run, i, j, exp(value) AS value FROM mm)").replace("FROM c WHERE abs", "FROM k WHERE abs") + " SELECT run, bin, round(value, 6) AS value FROM ins")(lambda s, d: scores.insulation_exp(V.contacts(s, d), B, W))
 
 
