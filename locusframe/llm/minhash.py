@@ -235,3 +235,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+#: The same rows in DuckDB by brute force: shingles as strings, all pairs that share one, and what they reach.
+ORACLE_SQL = r"""
+WITH RECURSIVE listed AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM listed
+), shingles AS MATERIALIZED (
+  SELECT doc_id, unnest(s) AS g FROM sets
+), links AS MATERIALIZED (
+  SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL) p
+  JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y WHERE 100 * n >= 75 * (len(a.s) + len(b.s) - n)
+), reach(doc_id, node) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.node = l.x
+)
+SELECT doc_id, any_value(len(s)) AS n_shingles, min(node) AS component_id, doc_id = min(node) AS kept FROM reach JOIN sets USING (doc_id) GROUP BY doc_id
+"""

@@ -281,3 +281,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, column: str = "embe
 
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+#: The same rows in DuckDB by brute force: all pairs and what they reach.
+ORACLE_SQL = r"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), usable AS MATERIALIZED (
+  SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(vec_id, node) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.y FROM reach r JOIN links l ON r.node = l.x
+), component AS (
+  SELECT vec_id, min(node) AS component_id FROM reach GROUP BY vec_id
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM component
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.ORACLE_SQL}
+    return {"op1_near_vectors": neighbours.ORACLE_SQL, "op2_minhash": minhash.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op8_sharding": sharding.ORACLE_SQL}

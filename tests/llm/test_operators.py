@@ -222,9 +222,17 @@ def test_mixing(spark, docs, empty):
         assert abs(sum(r.taken for r in part) - part[0].target) <= 1
     assert mixing.mix(empty).count() == 0
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in mixing.repeated(docs).collect()) == sum(r.taken for r in got.values())
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_against_sql(spark, name):
     duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    assert sorted(map(tuple, mixing.op6_mixing(spark, SF).collect())) == sorted(duck.sql(mixing.ORACLE_SQL).fetchall())
+    for table in ("documents", "embeddings"):
+        duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    got = registry.queries()[name](spark, SF)
+    want = duck.sql(registry.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
 
 
 def _plain_simhash(text):
