@@ -7,7 +7,8 @@ them, so equality joins on every such choice of blocks (the permuted tables) fin
 The query searches every hundredth document's fingerprint in those of all documents.
 
 Defined cases: a null text counts as empty; a text without terms has fingerprint 0; equal texts
-have equal fingerprints; repeated rows are fingerprinted each for itself; an empty table gives an
+have equal fingerprints; repeated rows are fingerprinted each for itself; of rows with equal
+``doc_id`` the order is that of their texts' checksums, then texts; an empty table gives an
 empty table; other columns are not looked at.
 """
 
@@ -182,7 +183,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
 
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").desc_nulls_last(), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))]
-    dealt = source.repartitionByRange(ranges, *order).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text")
+    dealt = source.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "text")
     rows = materialise(map_pandas(dealt, run, f"{fields}, part int, edge boolean, text string, first_text string, first_print string"))
 
     edges = rows.where("edge")
