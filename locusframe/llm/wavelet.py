@@ -1,12 +1,15 @@
 """Token ids in wavelet-matrix files (operator 9).
 
 Documents are dealt to key ranges, encoded, ended by one end id and cut into shards.  A shard is
-one compressed blob: for each bit, from the highest down, a bit-plane of the ids as sorted stably
-by the planes before it, with a running count of ones for every block.  From it single tokens are
-read (``access``), occurrences counted (``rank``) and found (``select``), or all ids restored.
+one compressed file: for each bit, from the highest down, a bit-plane of the ids as sorted stably
+by the planes before it, with a stored running count of ones for every block.  From it single tokens
+are read (``access``), occurrences counted (``rank``) and found (``select``), or all ids restored;
+planes are compressed in chunks, of which a look-up unpacks a few.  The files are kept as cells of a
+written table, one row for each, because only Spark reaches every store.
 
 Defined cases: a null text counts as empty (only the end id is stored); null ``doc_id`` comes
-before all others; of rows with equal ``doc_id`` the order is that of their texts; an empty table
+before all others; of rows with equal ``doc_id`` the order is that of their texts' checksums, then
+texts; ids that do not fit the width are an error; an empty table
 gives no shard and no row; other columns are not looked at.  The string of an added token in a text
 is that token, as the library has it by default; no segment is cut inside of it.
 """
@@ -30,12 +33,17 @@ from ._common import map_pandas, materialise, read_table, renamed_apart
 from .segments import SegmentEncoder, batches
 
 BLOCK = 4096  # bits between two stored counts
+CHUNK = 1 << 15  # bytes of a plane that are compressed together, a multiple of BLOCK // 8
 
 
 class WaveletMatrix:
-    """Bit-planes over ``ids`` of ``width`` bits, with rank and select."""
+    """Bit-planes over ``ids`` of ``width`` bits, with rank and select.
 
-    def __init__(self, size: int, planes: list[np.ndarray], zeros: list[int], counts: list[np.ndarray]):
+    A plane is a list of chunks, each an array or still compressed; a chunk is unpacked when it is
+    first needed, so single look-ups read a small part of a file.
+    """
+
+    def __init__(self, size: int, planes: list[list], zeros: list[int], counts: list[np.ndarray]):
         self.size, self.planes, self.zeros, self.counts = size, planes, zeros, counts
 
     @classmethod
@@ -46,8 +54,9 @@ class WaveletMatrix:
         planes, zeros, counts = [], [], []
         for bit in range(width - 1, -1, -1):
             ones = (now & now.dtype.type(1 << bit)) != 0
-            planes.append(np.packbits(ones, bitorder="little"))
-            counts.append(cls._counts(planes[-1]))
+            plane = np.packbits(ones, bitorder="little")
+            planes.append([plane[a : a + CHUNK] for a in range(0, len(plane), CHUNK)])
+            counts.append(cls._counts(plane))
             low = now[~ones]
             zeros.append(len(low))
             now = np.concatenate([low, now[ones]])
@@ -55,22 +64,38 @@ class WaveletMatrix:
 
     @staticmethod
     def _counts(plane: np.ndarray) -> np.ndarray:
+        """Ones before each block, and in all."""
         per_byte = np.bitwise_count(plane)
         edges = np.arange(0, len(plane), BLOCK // 8)
         sums = np.add.reduceat(per_byte, edges, dtype=np.int64) if len(plane) else np.zeros(0, np.int64)
-        return np.concatenate([[0], np.cumsum(sums)]).astype(np.int64)
+        return np.concatenate([[0], np.cumsum(sums)]).astype("<u4")
+
+    def _chunk(self, level: int, k: int) -> np.ndarray:
+        found = self.planes[level][k]
+        if isinstance(found, bytes | memoryview):
+            found = self.planes[level][k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(found), dtype=np.uint8)
+        return found
+
+    @property
+    def unpacked(self) -> int:
+        """Chunks that were unpacked or never compressed."""
+        return sum(isinstance(x, np.ndarray) for plane in self.planes for x in plane)
 
     def _ones_before(self, level: int, at: int) -> int:
         block = at // BLOCK
-        start, stop = block * BLOCK // 8, at // 8
-        n = int(self.counts[level][block]) + int(np.bitwise_count(self.planes[level][start:stop]).sum())
-        return n + (int(self.planes[level][stop]) & (1 << at % 8) - 1).bit_count() if at % 8 else n
+        n, rest = int(self.counts[level][block]), at % BLOCK
+        if not rest:
+            return n
+        chunk, start = self._chunk(level, block * BLOCK // 8 // CHUNK), block * BLOCK // 8 % CHUNK
+        stop = start + rest // 8
+        n += int(np.bitwise_count(chunk[start:stop]).sum())
+        return n + (int(chunk[stop]) & (1 << at % 8) - 1).bit_count() if at % 8 else n
 
     def access(self, at: int) -> int:
         """The id at position ``at``."""
         value = 0
         for level, zeros in enumerate(self.zeros):
-            bit = int(self.planes[level][at // 8]) >> at % 8 & 1
+            bit = int(self._chunk(level, at // 8 // CHUNK)[at // 8 % CHUNK]) >> at % 8 & 1
             ones = self._ones_before(level, at)
             at = zeros + ones if bit else at - ones
             value = value << 1 | bit
@@ -109,7 +134,9 @@ class WaveletMatrix:
         """All ids, by undoing the stable partitions from the lowest plane up."""
         now, kind = None, np.uint16 if len(self.planes) <= 16 else np.uint32
         for level in range(len(self.planes) - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level], count=self.size, bitorder="little").view(bool)
+            parts = [self._chunk(level, k) for k in range(len(self.planes[level]))]
+            plane = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+            ones = np.unpackbits(plane, count=self.size, bitorder="little").view(bool)
             bit = kind(1 << len(self.planes) - 1 - level)
             if now is None:
                 now = np.where(ones, bit, kind(0))
@@ -121,27 +148,31 @@ class WaveletMatrix:
         return now if now is not None else np.zeros(0, kind)
 
     def to_bytes(self, starts: np.ndarray, doc_ids: list) -> bytes:
-        """Header, document offsets and planes; each plane compressed for itself."""
+        """Header, document offsets, counts of ones and planes, each chunk compressed for itself."""
         pack = zstandard.ZstdCompressor(level=1).compress
-        body = [pack(p.tobytes()) for p in self.planes]
-        offsets = pack(np.asarray(starts, dtype="<u8").tobytes())
-        names = pack(json.dumps(doc_ids).encode())
-        head = json.dumps({"size": self.size, "zeros": self.zeros, "planes": [len(x) for x in body], "offsets": len(offsets), "docs": len(names)}).encode()
-        return b"WVM1" + struct.pack("<I", len(head)) + head + offsets + names + b"".join(body)
+        body = [[pack(x.tobytes()) for x in plane] for plane in self.planes]
+        front = [pack(np.asarray(starts, dtype="<u8").tobytes()), pack(json.dumps(doc_ids).encode()), pack(b"".join(c.tobytes() for c in self.counts))]
+        head = json.dumps({"size": self.size, "zeros": self.zeros, "front": [len(x) for x in front], "planes": [[len(x) for x in plane] for plane in body]}).encode()
+        return b"WVM2" + struct.pack("<I", len(head)) + head + b"".join(front) + b"".join(x for plane in body for x in plane)
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> tuple[WaveletMatrix, np.ndarray, list]:
-        if blob[:4] != b"WVM1":
+        if blob[:4] != b"WVM2":
             raise ValueError("not a wavelet-matrix shard")
-        unpack = zstandard.ZstdDecompressor().decompress
         at = 8 + struct.unpack("<I", blob[4:8])[0]
         head = json.loads(blob[8:at])
-        starts = np.frombuffer(unpack(blob[at : (at := at + head["offsets"])]), dtype="<u8").astype(np.int64)
-        docs = json.loads(unpack(blob[at : (at := at + head["docs"])]))
-        planes = []
-        for n in head["planes"]:
-            planes.append(np.frombuffer(unpack(blob[at : (at := at + n)]), dtype=np.uint8))
-        return cls(head["size"], planes, head["zeros"], [cls._counts(p) for p in planes]), starts, docs
+        view = memoryview(blob)
+
+        def take(n: int) -> memoryview:
+            nonlocal at
+            at += n
+            return view[at - n : at]
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        starts, docs, counts = (unpack(take(n)) for n in head["front"])
+        planes = [[take(n) for n in plane] for plane in head["planes"]]
+        rows = np.frombuffer(counts, dtype="<u4").reshape(len(planes), -1)
+        return cls(head["size"], planes, head["zeros"], list(rows)), np.frombuffer(starts, dtype="<u8").astype(np.int64), json.loads(docs)
 
 
 @lru_cache(maxsize=2)
@@ -193,7 +224,8 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, width: int = 16, s
     source = renamed_apart(docs, "doc_id", "text")
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = source.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))]
+    dealt = source.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "text")
     return materialise(map_pandas(dealt, run, "part int, shard int, n_docs int, n_tokens long, blob binary"))
 
 
