@@ -11,8 +11,10 @@ with a smaller id, or earlier in the same one.
    What follows the anchor and, reversed, what precedes it are sorted as suffixes: a mergesort
    whose comparisons find the common extension by binary search over prefix polynomial hashes.
    Extensions of sorted neighbours, checked byte by byte, tell for every window which others equal it.
-4. Grams with more than ``MOST`` classes are not gathered: each of their windows is hashed and dealt
-   out by its hash, so no task holds such a group.
+4. A task holds ``MOST`` occurrences of a gram at most.  Larger groups are split by the bytes around
+   the gram: windows that hold it near their end share what stands before it, the others what stands
+   after it, and so on by halves.  What shares all bytes of a window needs no sorting; equal windows
+   meet by their bytes.
 
 Defined cases: a null text counts as empty; documents shorter than ``LENGTH`` lose nothing; rows of
 a repeated or null ``doc_id`` are ordered by text and count as documents of their own; an empty
@@ -22,7 +24,8 @@ table gives an empty table; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -264,8 +267,11 @@ class Suffixes:
         return order, shared
 
 
-def repeats(group: np.ndarray, after: Suffixes, ahead: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (in order of place) with a window that an earlier row of the group holds too: row, most and least bytes before the anchor."""
+def repeats(group: np.ndarray, after: Suffixes, ahead: Suffixes, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (in order of place) with a window that an earlier row of the group holds too: row, most and least bytes before the anchor.
+
+    Of a row only windows with ``low`` to ``high`` bytes before the anchor are looked at.
+    """
     n = len(group)
     most, fewest = np.full(n, -1), np.full(n, LENGTH + 1)
     sorted_after, sorted_ahead = after.sorted_groups(group), ahead.sorted_groups(group)
@@ -281,7 +287,7 @@ def repeats(group: np.ndarray, after: Suffixes, ahead: Suffixes) -> tuple[np.nda
         return out
 
     for back in range(LEFT + 1):
-        rows = np.flatnonzero((ahead.sizes >= back) & (after.sizes >= LENGTH - back))
+        rows = np.flatnonzero((ahead.sizes >= back) & (after.sizes >= LENGTH - back) & (low <= back) & (back <= high))
         if len(rows) < 2:
             continue
         both = classes(sorted_after, LENGTH - back)[rows] * (n + 1) + classes(sorted_ahead, back)[rows]
@@ -295,7 +301,7 @@ def repeats(group: np.ndarray, after: Suffixes, ahead: Suffixes) -> tuple[np.nda
 
 
 def _compare_surroundings(cut: DataFrame) -> DataFrame:
-    """Ranges ``doc, start, stop`` from rows ``key, doc, at, left, bytes`` of grams with several classes."""
+    """Ranges ``doc, start, stop`` from rows ``key, doc, at, low, high, left, bytes`` of grams with several classes."""
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         left, sizes = pdf["left"].to_numpy(), pdf["bytes"].map(len).to_numpy() - pdf["left"].to_numpy()
@@ -304,7 +310,7 @@ def _compare_surroundings(cut: DataFrame) -> DataFrame:
             x = np.frombuffer(b, np.uint8)
             after[i, : len(x) - n] = x[n:]
             ahead[i, :n] = x[:n][::-1]
-        rows, most, fewest = repeats(pdf["key"].to_numpy(), Suffixes(after, sizes), Suffixes(ahead, left))
+        rows, most, fewest = repeats(pdf["key"].to_numpy(), Suffixes(after, sizes), Suffixes(ahead, left), pdf["low"].to_numpy(), pdf["high"].to_numpy())
         at, doc = pdf["at"].to_numpy()[rows], pdf["doc"].to_numpy()[rows]
         d, a, b = _merged(doc, at - most, at - fewest + LENGTH)
         return pd.DataFrame({"doc": d, "start": a.astype(np.int32), "stop": b.astype(np.int32)})
@@ -338,38 +344,63 @@ def numbered(docs: DataFrame) -> DataFrame:
     return materialise(source.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"))
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """``doc, start, stop``: byte ranges to remove; ranges of a document may overlap."""
-    sifted = materialise(_sift(_anchor_rows(docs.select("doc", "text"))))
-    open_ = sifted.where("key is not null")
-    many = open_.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("key", F.lit(True).alias("many"))
-    places = open_.join(many, "key", "left").groupBy("doc").agg(F.collect_list(F.struct("key", "at", F.coalesce("many", F.lit(False)).alias("many"))).alias("places"))
+def _at_places(docs: DataFrame, places: DataFrame, of: Callable, schema: str) -> DataFrame:
+    """``of(doc, bytes, place)`` yields rows of ``schema`` for each of ``places`` (``key, doc, at, low, high``)."""
+    by_doc = places.groupBy("doc").agg(F.collect_list(F.struct("key", "at", "low", "high")).alias("places"))
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out, spread = [], []
+            out = []
             for doc, text, found in zip(pdf["doc"], pdf["text"], pdf["places"], strict=True):
-                data = (text or "").encode()
-                hashes = None
-                for place in found:
-                    key, at, several = place["key"], place["at"], place["many"]
-                    left = min(at, LEFT)
-                    if several:
-                        hashes = hashes or PrefixHashes(np.frombuffer(data, np.uint8))
-                        p = np.arange(at - left, min(at, len(data) - LENGTH) + 1)
-                        spread.append((p, np.full(len(p), doc), hashes.of(p, p + LENGTH), hashes.of(p, p + LENGTH // 2)))
-                    else:
-                        out.append((key, doc, at, left, data[at - left : at + LENGTH]))
-            yield pd.DataFrame(out, columns=["key", "doc", "at", "left", "bytes"]).assign(around=0)
-            if spread:
-                p, d, h, g = (np.concatenate(x) for x in zip(*spread, strict=True))
-                yield pd.DataFrame({"key": h.view(np.int64), "doc": d, "at": p, "left": -1, "bytes": b"", "around": g.view(np.int64)})
-
-    cut_out = materialise(map_pandas(docs.select("doc", "text").join(places, "doc"), cut, "key long, doc long, at int, left int, bytes binary, around long"))
-    compared = _compare_surroundings(cut_out.where("left >= 0").drop("around"))
-    windows = cut_out.where("left < 0").select("key", "around", "doc", "at", F.lit(LENGTH).alias("span")).distinct()
-    ranges = sifted.where("key is null").select("doc", F.col("at").alias("start"), "stop").unionByName(compared)
-    return ranges.unionByName(_sift(windows).where("key is null").select("doc", F.col("at").alias("start"), "stop"))
+                out += of(doc, (text or "").encode(), found)
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+
+    return map_pandas(docs.select("doc", "text").join(by_doc, "doc"), run, schema)
+
+
+def _halves(doc: int, data: bytes, places: list) -> Iterator[tuple]:
+    """Each place twice: with fewer and with more bytes before the anchor, keyed by what all those windows share."""
+    hashes = PrefixHashes(np.frombuffer(data, np.uint8))
+    for place in places:
+        at, low, high = place["at"], place["low"], place["high"]
+        for a, b in ((low, (low + high) // 2), ((low + high) // 2 + 1, high)):
+            if a <= at and at - b + LENGTH <= len(data):
+                shared = hashes.of(np.array([at - a]), np.array([at - b + LENGTH])) + np.uint64(a * 1000 + b)
+                yield int(_mixed(shared).view(np.int64)[0]), doc, at, a, b
+
+
+def _equal_windows(windows: DataFrame) -> DataFrame:
+    """Ranges ``doc, start, stop`` of all but the first of equal ``bytes`` at ``doc, at``."""
+    place = F.struct("doc", "at")
+    first = windows.groupBy("bytes").agg(F.min(place).alias("first"))
+    later = windows.join(first, "bytes").where(place > F.col("first"))
+    return later.select("doc", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("stop"))
+
+
+def repeated_ranges(docs: DataFrame) -> DataFrame:
+    """``doc, start, stop``: byte ranges to remove; ranges of a document may overlap."""
+    sifted = materialise(_sift(_anchor_rows(docs.select("doc", "text"))))
+    ranges = sifted.where("key is null").select("doc", F.col("at").alias("start"), "stop")
+    rest = sifted.where("key is not null").select("key", "doc", "at", F.lit(0).alias("low"), F.lit(LEFT).alias("high"))
+    ready = []
+    while True:
+        many = materialise(rest.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("key"))
+        if many.isEmpty():
+            ready.append(rest)
+            break
+        ready.append(rest.join(many, "key", "left_anti"))
+        halves = materialise(_at_places(docs, rest.join(many, "key", "left_semi"), _halves, "key long, doc long, at int, low int, high int"))
+        whole = _at_places(docs, halves.where("low = high"), lambda doc, data, places: [(doc, p["at"] - p["low"], data[p["at"] - p["low"] : p["at"] - p["low"] + LENGTH]) for p in places], "doc long, at int, bytes binary")
+        ranges = ranges.unionByName(_equal_windows(whole))
+        rest = halves.where("low < high")
+
+    def around(doc: int, data: bytes, places: list) -> Iterator[tuple]:
+        for p in places:
+            left = min(p["at"], LEFT)
+            yield p["key"], doc, p["at"], p["low"], p["high"], left, data[p["at"] - left : p["at"] + LENGTH]
+
+    cut_out = materialise(_at_places(docs, reduce(DataFrame.unionByName, ready), around, "key long, doc long, at int, low int, high int, left int, bytes binary"))
+    return ranges.unionByName(_compare_surroundings(cut_out))
 
 
 def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
