@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language, lines, minhash, mixing, neighbours, sharding, simhash, substrings, wavelet
+from . import byte_bpe, language, lexical, lines, minhash, mixing, neighbours, sharding, simhash, substrings, token_counts, wavelet, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_wavelet_tokens": wavelet.op9_wavelet_tokens,
         "op10_language_id": language.op10_language_id,
+        "op11_token_counts": token_counts.op11_token_counts,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_lexical_search": lexical.op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_vectors": neighbours.ORACLE_SQL, "op2_minhash": minhash.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op8_sharding": sharding.ORACLE_SQL}
+    return {"op1_near_vectors": neighbours.ORACLE_SQL, "op2_minhash": minhash.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op8_sharding": sharding.ORACLE_SQL, "op13_lexical_search": lexical.ORACLE_SQL}
