@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.functions.scan import dealt, running, scanned
+
 
 def rebase(df: DataFrame, chrom: str, start: int, end: int, rename: str = "fake_{}") -> DataFrame:
     """Intervals inside a region, relative to its start, on a chromosome named by ``rename``, such as ``fake_chr({})``."""
@@ -35,58 +36,115 @@ def parse_order(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"[\[\]\s]", ""), "[,:]").cast("array<int>")
 
 
-def _reach(keys: Sequence[str]) -> Column:
-    before = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    return F.max("end").over(before)
+def _reach(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with the largest end among the rows before each, NULL for the first one of its keys."""
+    return running(df, keys, ["start", "end"], reach=("max", "end"))
 
 
 def complement(df: DataFrame, sizes: DataFrame) -> DataFrame:
     """The gaps between intervals, up to each chromosome's size (``chrom, size``)."""
-    gaps = df.withColumn("reach", F.coalesce(_reach(["chrom"]), F.lit(0))).where("start > reach").select("chrom", F.col("reach").alias("start"), F.col("start").alias("end"))
-    last = sizes.join(df.groupBy("chrom").agg(F.max("end").alias("reach")), "chrom", "left").select("chrom", F.coalesce("reach", F.lit(0)).alias("start"), F.col("size").alias("end"))
+    places = df.select("chrom", "start", "end").distinct()
+    gaps = _reach(places, ["chrom"]).withColumn("reach", F.coalesce("reach", F.lit(0))).where("start > reach").select("chrom", F.col("reach").alias("start"), F.col("start").alias("end"))
+    last = sizes.join(places.groupBy("chrom").agg(F.max("end").alias("reach")), "chrom", "left").select("chrom", F.coalesce("reach", F.lit(0)).alias("start"), F.col("size").alias("end"))
     return gaps.unionByName(last.where("start < end"))
 
 
+def cut_out(free: DataFrame, taken: DataFrame) -> DataFrame:
+    """What is left of the stretches ``free``, which don't overlap, without all places of ``taken``."""
+    ends = free.groupBy("chrom").agg(F.max("end").alias("size"))
+    blocked = complement(free, ends).unionByName(taken.where("start < end").select("chrom", "start", "end"))
+    left = complement(blocked, ends).join(ends, "chrom").select("chrom", "start", F.least("end", "size").alias("end"))
+    return left.where("start < end")
+
+
+def carve(free: DataFrame, inside: DataFrame) -> DataFrame:
+    """``cut_out`` where no two of ``inside`` overlap and each lies in one stretch: one scan."""
+    taken = inside.where("start < end")
+    opens = free.select("chrom", F.col("start").alias("at")).unionByName(taken.select("chrom", F.col("end").alias("at")))
+    shuts = free.select("chrom", F.col("end").alias("at")).unionByName(taken.select("chrom", F.col("start").alias("at")))
+    edges = opens.withColumns({"kind": F.lit(0), "open": F.col("at")}).unionByName(shuts.withColumns({"kind": F.lit(1), "open": F.lit(None).cast("long")}))
+    return running(edges, ["chrom"], ["at", "kind"], open=("last", "open")).where("kind = 1 and open < at").select("chrom", F.col("open").alias("start"), F.col("at").alias("end"))
+
+
 def find_overlaps(df: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """Intervals that start before one that sorts earlier has ended."""
-    return df.withColumn("reach", _reach(keys)).where("start < reach")
+    return _reach(df, keys).where("start < reach")
+
+
+def _events(df: DataFrame, at: str, kind: int, side: str, **others: Column) -> DataFrame:
+    """Rows of ``df`` as places on a chromosome: ``_side`` has their columns, ``_tie`` tells those of one place apart."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(F.col("chrom").alias("_chrom"), F.col(at).alias("_at"), F.lit(kind).alias("_kind"), F.xxhash64(row).alias("_tie"), F.lit(side).alias("_side"), row.alias(f"_{side}"), *[c.alias(n) for n, c in others.items()])
+
+
+def _placed(b: DataFrame) -> DataFrame:
+    return b.where("chrom is not null and start is not null and end is not null")
 
 
-def _spread(df: DataFrame, size: int) -> DataFrame:
-    return df.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))))
+#: Widths of nested bins as powers of two, the last for one bin that holds all places.
+SHIFTS = (9, 12, 15, 18, 21, 24, 27, 30, 33, 36, 62)
 
 
-def overlap_join(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
+def _homed(df: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows with the width ``_shift`` of the smallest bin that holds them whole, and a place ``_low`` in it."""
+    low, last = F.col(start).cast("long"), F.greatest(F.col(start), F.col(end) - 1).cast("long")
+    bits = F.length(F.bin(low.bitwiseXOR(last)))
+    shift = F.lit(SHIFTS[-1])
+    for s in SHIFTS[-2::-1]:
+        shift = F.when(bits <= s, s).otherwise(shift)
+    return df.where(F.col("chrom").isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull()).withColumns({"_low": low, "_shift": shift})
+
+
+def _binned(df: DataFrame) -> DataFrame:
+    at = F.when(F.col("_shift") == SHIFTS[-1], F.lit(0).cast("long")).otherwise(F.call_function("shiftright", F.col("_low"), F.col("_shift")))
+    return df.withColumn("_bin", at).drop("_low")
+
+
+def _around(df: DataFrame, other: DataFrame, own: bool) -> DataFrame:
+    """Rows once for each bin around their home (and the home itself if ``own``) of a width that ``other`` lives in."""
+    widths = sorted(r["_shift"] for r in other.select("_shift").distinct().collect())  # of SHIFTS
+    wider = F.filter(F.array(*map(F.lit, widths)).cast("array<int>"), lambda w: (w >= F.col("_shift")) if own else (w > F.col("_shift")))
+    return _binned(df.withColumn("_shift", F.explode(wider)))
+
+
+def overlap_join(a: DataFrame, b: DataFrame) -> DataFrame:
     """Overlapping pairs of ``a`` and ``b`` (whose interval becomes ``ostart, oend``), each once.
 
-    Both go to the grid cells they touch, an equi-join; a pair counts in the first cell it shares.
+    An interval is at home in the smallest of nested bins that holds it whole.  Of two that overlap, the home
+    of one lies in the other's, so an interval looks for partners at home in the bins around its own: a
+    handful of keys however long it is.  A bin with very many rows is split where rows are joined:
+    adaptive execution cuts its larger side in pieces and gives each the other side.
     """
-    right = _spread(b, size).withColumnsRenamed({"start": "ostart", "end": "oend"})
-    pairs = _spread(a, size).join(right, ["chrom", "cell"]).where("start < oend and ostart < end")
-    return pairs.where(F.col("cell") == F.floor(F.greatest("start", "ostart") / size)).drop("cell")
+    left, right = _homed(a, "start", "end"), _homed(b.withColumnsRenamed({"start": "ostart", "end": "oend"}), "ostart", "oend")
+    key = ["chrom", "_shift", "_bin"]
+    pairs = _around(left, right, True).join(_binned(right), key).unionByName(_binned(left).join(_around(right, left, False), key))
+    others = [c for c in b.columns if c not in ("chrom", "start", "end")]
+    return pairs.where("start < oend and ostart < end").select(*a.columns, "ostart", "oend", *others)
 
 
-def _touching(a: DataFrame, b: DataFrame, size: int, inside: bool) -> DataFrame:
-    right = _spread(b.select("chrom", F.col("start").alias("ostart"), F.col("end").alias("oend")).withColumnsRenamed({"ostart": "start", "oend": "end"}), size).withColumnsRenamed({"start": "ostart", "end": "oend"})
-    rule = "ostart <= start and end <= oend" if inside else "start < oend and ostart < end"
-    return _spread(a, size).join(right, ["chrom", "cell"]).where(rule).select(*a.columns).distinct()
+def _reached(df: DataFrame, domains: DataFrame, at: str, kinds: tuple[int, int]) -> DataFrame:
+    """``_row`` of ``df`` and the largest ``_reach`` of domains that start before its column ``at``, at ``kinds`` of (row, domain) in one place."""
+    rows = _events(df, at, kinds[0], "row").withColumn("_end", F.lit(None).cast("long"))
+    starts = _placed(domains).groupBy("chrom", "start").agg(F.max("end").alias("end"))
+    marks = starts.select(F.col("chrom").alias("_chrom"), F.col("start").alias("_at"), F.lit(kinds[1]).alias("_kind"), F.lit(0).cast("long").alias("_tie"), F.lit("domain").alias("_side"), F.col("end").cast("long").alias("_end"))
+    found = running(rows.unionByName(marks, allowMissingColumns=True), ["_chrom"], ["_at", "_kind", "_tie"], _reach=("max", "_end"))
+    return found.where("_side = 'row'")
 
 
-def _matched(df: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Rows of ``df`` that are (not) among ``found``; a NULL in any column equals a NULL."""
-    other = found.toDF(*[f"found_{k}" for k in range(len(df.columns))])
-    same = reduce(Column.__and__, [df[c].eqNullSafe(other[f"found_{k}"]) for k, c in enumerate(df.columns)])
-    return df.join(other, same, how)
+def exclude(df: DataFrame, domains: DataFrame) -> DataFrame:
+    """Intervals that overlap no domain; those without a place stay.
 
-
-def exclude(df: DataFrame, domains: DataFrame, size: int) -> DataFrame:
-    """Intervals that overlap no domain."""
-    return _matched(df, _touching(df, domains, size, False), "left_anti")
+    One scan: an interval meets a domain if, of the domains that start before its end, the one that
+    reaches farthest ends after its start.
+    """
+    found = _reached(df, domains, "end", (0, 1))
+    return found.where(F.coalesce(F.col("_reach") <= F.col("_row.start"), F.lit(True))).select("_row.*")
 
 
-def include(df: DataFrame, domains: DataFrame, size: int) -> DataFrame:
-    """Intervals that lie inside a domain."""
-    return _matched(df, _touching(df, domains, size, True), "left_semi")
+def include(df: DataFrame, domains: DataFrame) -> DataFrame:
+    """Intervals that lie inside a domain, by the same scan."""
+    found = _reached(df, domains, "start", (1, 0))
+    return found.where(F.col("_reach") >= F.col("_row.end")).select("_row.*")
 
 
 def _per_bin(mutations: DataFrame, start: int, binsize: int, bins: int) -> DataFrame:
@@ -112,14 +170,14 @@ def mutated_fraction(mutations: DataFrame, start: int, binsize: int, bins: int,
 
 
 def nearest_distance(mutations: DataFrame, start: int, binsize: int, bins: int, keys: Sequence[str] = ("run",)) -> DataFrame:
-    """Bins to the nearest edge of a mutation, from one sort in each direction."""
+    """Bins to the nearest edge of a mutation, from one scan in each direction."""
     edges = mutations.select(*keys, F.explode(F.array(pos_to_bin(F.col("start"), start, binsize), pos_to_bin(F.col("end"), start, binsize))).alias("bin")).distinct().withColumn("edge", F.col("bin"))
     every = mutations.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin")).withColumn("edge", F.lit(None).cast("long"))
-    order = Window.partitionBy(*keys).orderBy("bin")
-    back = F.last("edge", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("edge", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
-    found = edges.unionByName(every).withColumns({"back": back, "ahead": ahead}).where("edge is null")
-    return found.select(*keys, "bin", F.least(F.col("bin") - F.col("back"), F.col("ahead") - F.col("bin")).alias("distance"))
+    # Edges of a bin come before the bin itself in both directions; they are in one range.
+    ranges = dealt(edges.unionByName(every).withColumn("kind", F.col("edge").isNull().cast("int")), [*keys, "bin"])
+    back = scanned(ranges, keys, ["bin", "kind"], back=("last", "edge"))
+    both = scanned(back.withColumn("kind", 1 - F.col("kind")), keys, ["bin", "kind"], reverse=True, ahead=("last", "edge"))
+    return both.where("edge is null").select(*keys, "bin", F.least(F.col("bin") - F.col("back"), F.col("ahead") - F.col("bin")).alias("distance"))
 
 
 def mutated_bp(mutations: DataFrame, low: int, high: int, closed: bool = False, keys: Sequence[str] = ("run",)) -> DataFrame:

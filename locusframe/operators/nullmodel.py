@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.lineage import cut
+from locusframe.functions.scan import running
 
-from .intervals import assign_bins, exclude, find_overlaps, include, overlap_join
+from .intervals import assign_bins, carve, complement, cut_out, find_overlaps
 from .sequence import draw, random_sequence
 
 
@@ -45,21 +47,92 @@ def rotate_bins(df: DataFrame, n: int, binsize: int, bins: int, seed: int) -> Da
     return moved.join(chosen, "shift")
 
 
-def random_intervals(sizes: DataFrame, size: int, seed: int, domains: DataFrame | None = None, attempts: int = 10, cell: int = 1000) -> DataFrame:
-    """``wanted`` intervals of fixed length on each chromosome (``chrom, size, wanted``): ``chrom, draw, start, end``.
+BITS = 60  # of a drawn number
 
-    ``attempts`` times as many are drawn.  Draws that touch a domain or an earlier draw outside of
-    the domains are lost; of the others the first ``wanted`` stay, all if there are fewer.
+
+def uniform(key: Column, below: Column) -> Column:
+    """A number from 0 to ``below - 1`` drawn by a key, each as likely; NULL where the draw is void.
+
+    Void are the few numbers past the last whole multiple of ``below``, which would make some results likelier.
     """
-    drawn = sizes.where((F.col("size") >= size) & (F.col("wanted") > 0)).select("chrom", "size", "wanted", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wanted") * attempts - 1)).alias("draw"))
-    start = draw(F.concat(F.lit(f"{seed}:"), F.col("chrom"), F.lit(":"), F.col("draw").cast("string"))) % (F.col("size") - size + 1)
-    placed = drawn.select("chrom", "draw", "wanted", start.alias("start"), (start + size).alias("end"))
-    placed = placed if domains is None else exclude(placed, domains, cell)
-    near = placed.withColumn("cell", F.explode(F.array(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size)))).dropDuplicates(["chrom", "draw", "cell"])
-    other = near.select("chrom", "cell", F.col("draw").alias("odraw"), F.col("start").alias("ostart"))
-    lost = near.join(other, ["chrom", "cell"]).where((F.col("odraw") < F.col("draw")) & (F.abs(F.col("ostart") - F.col("start")) < size)).select("chrom", "draw").distinct()
-    rank = F.row_number().over(Window.partitionBy("chrom").orderBy("draw"))
-    return placed.join(lost, ["chrom", "draw"], "left_anti").withColumn("rank", rank).where("rank <= wanted").select("chrom", "draw", "start", "end")
+    drawn = F.conv(F.substring(F.md5(key), 1, BITS // 4), 16, 10).cast("long")
+    return F.when((below > 0) & (drawn < F.lit(1 << BITS) - F.lit(1 << BITS) % below), drawn % below)
+
+
+def _shrunk(length: Column, k: int) -> Column:
+    """The length by which free places are measured: its leading bits, more of them from round to round, then zeros."""
+    spare = F.greatest(F.floor(F.log2(length)).cast("int") - k // 2, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", length, spare), spare)
+
+
+def _rooms(waiting: DataFrame, free: DataFrame) -> DataFrame:
+    """Free stretches for each ``shrunk`` length that waits there, with the number of starts in each as ``room``."""
+    met = free.join(waiting.select("on", "shrunk").distinct(), "on")
+    return met.withColumn("room", F.col("end") - F.col("start") - F.col("shrunk") + 1).where("room > 0")
+
+
+def _drawn_places(waiting: DataFrame, free: DataFrame, key: Column) -> DataFrame:
+    """``id, chrom, start, end`` drawn for ``waiting``; rows whose draw is void or doesn't fit are left out.
+
+    Starts that leave room for a length are numbered along all free stretches; a drawn number is
+    looked up among the stretches' first numbers by one scan.
+    """
+    room = _rooms(waiting, free)
+    numbered = running(room, ["on", "shrunk"], ["chrom", "start"], first=("sum", "room"))
+    whole = room.groupBy("on", "shrunk").agg(F.sum("room").alias("whole"))
+    drawn = waiting.join(whole, ["on", "shrunk"]).withColumn("u", uniform(key, F.col("whole"))).where("u is not null")
+    marks = numbered.select("on", "shrunk", F.col("first").alias("u"), F.lit(0).alias("kind"), F.lit("").alias("id"), F.struct("first", "chrom", "start", "end").alias("mark"))
+    asked = drawn.select("on", "shrunk", "u", F.lit(1).alias("kind"), "id", "length")
+    found = running(marks.unionByName(asked, allowMissingColumns=True), ["on", "shrunk"], ["u", "kind", "id"], mark=("last", "mark")).where("kind = 1")
+    start = F.col("mark.start") + F.col("u") - F.col("mark.first")
+    return found.where(start + F.col("length") <= F.col("mark.end")).select("id", "mark.chrom", start.alias("start"), (start + F.col("length")).alias("end"))
+
+
+def place(waiting: DataFrame, free: DataFrame, seed: int, by_chrom: bool = False, rounds: int = 1000) -> DataFrame:
+    """A place for each ``id`` (of ``length`` over 0) at uniform free starts, none overlapping another: ``id, chrom, start, end``.
+
+    ``free`` are the stretches ``chrom, start, end`` that may be used; ``by_chrom`` keeps an interval on
+    its own ``chrom``.  A round draws among the starts that are left, for all that wait or
+    for as many as the free places can hold; a draw that meets one before it waits for the next
+    round.  It is an error if no start is left for one that waits.
+    """
+    waiting = cut(waiting.select("id", (F.col("chrom") if by_chrom else F.lit("")).alias("on"), "length"))
+    parts, before = [], -1
+    for k in range(rounds):
+        needs = waiting.groupBy("on").agg(F.count("*").alias("n"), F.sum("length").alias("needed"))
+        count = needs.agg(F.sum("n").alias("n")).first()["n"] or 0
+        if not count:
+            break
+        here = free.withColumn("on", F.col("chrom") if by_chrom else F.lit(""))
+        if count == before:
+            exact = waiting.withColumn("shrunk", F.col("length"))
+            if not exact.join(_rooms(exact, here).select("on", "shrunk").distinct(), ["on", "shrunk"], "left_anti").isEmpty():
+                raise RuntimeError("no place is left for some of the intervals")
+        before = count
+        share = needs.join(here.groupBy("on").agg(F.sum(F.col("end") - F.col("start")).alias("room")), "on").select("on", (F.col("room") / F.col("needed")).alias("share"))
+        key = F.concat(F.lit(f"{seed}:{k}:"), F.col("id"))
+        going = waiting.join(share, "on").where(draw(F.concat(F.lit("t"), key)) < F.col("share") * 4294967296.0)
+        drawn = _drawn_places(going.select("id", "on", "length", _shrunk(F.col("length"), k).alias("shrunk")), here, key)
+        kept = cut(running(drawn, ["chrom"], ["start", "end", "id"], reach=("max", "end")).where("reach is null or reach <= start").select("id", "chrom", "start", "end"))
+        parts.append(kept)
+        waiting = cut(waiting.join(kept.select("id"), "id", "left_anti"))
+        free = carve(free, kept)
+    else:
+        raise RuntimeError("some intervals found no place")
+    none = free.limit(0).select(F.lit("").alias("id"), "chrom", "start", "end")
+    return reduce(DataFrame.unionByName, parts, none)
+
+
+def random_intervals(sizes: DataFrame, size: int, seed: int, domains: DataFrame | None = None) -> DataFrame:
+    """``wanted`` intervals of fixed length at uniform places of each chromosome (``chrom, size, wanted``): ``chrom, draw, start, end``.
+
+    None touches a domain or another one.  All ``wanted`` are placed; it is an error if no room is left.
+    """
+    fits = sizes.where(F.col("wanted") > 0)
+    wanted = fits.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wanted") - 1)).alias("draw")).select(F.concat_ws(":", "chrom", "draw").alias("id"), "chrom", F.lit(size).cast("long").alias("length"))
+    free = fits.select("chrom", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end"))
+    found = place(wanted, free if domains is None else cut_out(free, domains), seed, by_chrom=True)
+    return found.select("chrom", F.substring_index("id", ":", -1).cast("long").alias("draw"), "start", "end")
 
 
 def shuffle_bins(df: DataFrame, n: int, binsize: int, bins: int, seed: int, candidates: int = 4, rounds: int = 250_000) -> DataFrame:
@@ -99,36 +172,18 @@ def shuffle_bins(df: DataFrame, n: int, binsize: int, bins: int, seed: int, cand
     return moved(orders(sorted(chosen.items())))
 
 
-def global_shuffle(df: DataFrame, sizes: DataFrame, seed: int, excl: DataFrame | None = None, incl: DataFrame | None = None, cell: int = 1000, rounds: int = 60) -> DataFrame:
+def global_shuffle(df: DataFrame, sizes: DataFrame, seed: int, excl: DataFrame | None = None, incl: DataFrame | None = None) -> DataFrame:
     """Intervals of the same lengths at uniform places of the genome that overlap no other one.
 
     ``df`` has ``chrom, start, end, name`` with a unique name; ``sizes`` has a row for each
-    chromosome.  A draw is lost if it passes the chromosome's end, touches ``excl``, lies in no
-    domain of ``incl``, or overlaps a placed interval or a draw of smaller name; lost ones are drawn anew.
+    chromosome.  Places touch no interval of ``excl`` and lie within one of ``incl``.
     """
-    edges, total = [], 0
-    for r in sizes.orderBy("chrom").collect():
-        edges.append(F.struct(F.lit(r["chrom"]).alias("chrom"), F.lit(total).cast("long").alias("base"), F.lit(r["size"]).cast("long").alias("size")))
-        total += r["size"]
-    names = df.columns
-    waiting, placed = cut(df), None
-    for k in range(rounds):
-        if waiting.isEmpty():
-            return df.limit(0) if placed is None else placed
-        at = draw(F.concat(F.lit(f"{seed}:{k}:"), F.col("name"))) % total
-        on = F.element_at(F.filter(F.array(*edges), lambda e: e["base"] <= F.col("at")), -1)
-        drawn = waiting.withColumn("at", at).withColumn("on", on).withColumn("length", F.col("end") - F.col("start"))
-        drawn = drawn.withColumns({"chrom": F.col("on.chrom"), "start": F.col("at") - F.col("on.base")}).withColumn("end", F.col("start") + F.col("length"))
-        fits = drawn.where(F.col("end") <= F.col("on.size")).select(*names)
-        fits = exclude(fits, excl, cell) if excl is not None else include(fits, incl, cell) if incl is not None else fits
-        fits = exclude(fits, placed.select("chrom", "start", "end"), cell) if placed is not None else fits
-        fits = cut(fits)
-        other = fits.select("chrom", "start", "end", F.col("name").alias("oname"))
-        lost = overlap_join(fits, other, cell).where("oname < name").select("name").distinct()
-        kept = fits.join(lost, "name", "left_anti").select(*names)
-        placed = cut(kept if placed is None else placed.unionByName(kept))
-        waiting = cut(waiting.join(placed.select("name"), "name", "left_anti").select(*names))
-    raise RuntimeError("some intervals found no place")
+    whole = sizes.select("chrom", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end"))
+    free = whole if incl is None else cut_out(whole, complement(incl.select("chrom", "start", "end"), sizes))
+    free = free if excl is None else cut_out(free, excl)
+    found = place(df.select(F.col("name").alias("id"), (F.col("end") - F.col("start")).cast("long").alias("length")), free, seed)
+    moved = found.select(F.col("id").alias("name"), F.struct("chrom", "start", "end").alias("new"))
+    return df.join(moved, "name").select(*[F.col(f"new.{c}").alias(c) if c in ("chrom", "start", "end") else F.col(c) for c in df.columns])
 
 
 def random_content(df: DataFrame, seed: int, sequence: str | None = None, keys: Sequence[str] = ()) -> DataFrame:

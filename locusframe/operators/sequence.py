@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.functions.scan import running
+
 LETTERS, PAIRED = "ACGTNacgtn", "TGCANtgcan"  # fixed values: bases and their complements
 
 
@@ -57,12 +59,16 @@ def permute_within(seq: Column, binsize: int, key: Column | None = None, order:
 
 
 def permute_between(df: DataFrame, seed: int, keys=("chrom",)) -> DataFrame:
-    """Sequences exchanged within a group by a cyclic shift of a drawn order: none keeps its own if there are two."""
-    order = Window.partitionBy(*keys).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id")
-    whole = Window.partitionBy(*keys)
-    ranked = df.withColumns({"r": F.row_number().over(order), "n": F.count("*").over(whole)})
-    donors = ranked.select(*keys, (F.col("r") % F.col("n") + 1).alias("r"), F.col("id").alias("donor"), F.col("seq").alias("new_seq"))
-    return ranked.join(donors, [*keys, "r"]).select(*keys, "id", "donor", "new_seq")
+    """Sequences exchanged within a group by a cyclic shift of a drawn order: none keeps its own if there are two.
+
+    Places in the order are counted by a scan over ids alone; letters join by id afterwards.
+    """
+    drawn = df.select(*keys, "id", F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))).alias("drawn"), F.lit(1).cast("long").alias("r"))
+    ranked = running(drawn, keys, ["drawn", "id"], r=("sum", "r"))
+    sizes = drawn.groupBy(*keys).agg(F.count("*").alias("n"))
+    receivers = ranked.join(sizes, list(keys)).select(*keys, "id", ((F.col("r") + 1) % F.col("n")).alias("r"))
+    donors = ranked.withColumnRenamed("id", "donor").join(df.select(*keys, F.col("id").alias("donor"), F.col("seq").alias("new_seq")), [*keys, "donor"])
+    return receivers.join(donors, [*keys, "r"]).select(*keys, "id", "donor", "new_seq")
 
 
 def gc_fraction(seq: Column) -> Column:

@@ -217,9 +217,9 @@ REACH = f"{IV}, x AS (SELECT *, max(\"end\") OVER (PARTITION BY chrom ORDER BY s
 query("int01_complement", f"WITH {REACH}, {V.SIZES} SELECT chrom, coalesce(reach, 0) AS start, start AS \"end\" FROM x WHERE start > coalesce(reach, 0) UNION ALL SELECT chrom, max(\"end\"), any_value(size) FROM v JOIN s USING (chrom) GROUP BY chrom HAVING max(\"end\") < any_value(size)")(lambda s, d: intervals.complement(V.intervals(s, d), V.sizes(s, d)))
 query("int02_overlaps", f"WITH {REACH} SELECT chrom, start, \"end\", name, reach FROM x WHERE start < reach")(lambda s, d: intervals.find_overlaps(V.intervals(s, d).select(*_cols)))
 ON = "v.chrom = d.chrom AND v.start < d.\"end\" AND d.start < v.\"end\""
-query("int03_exclude", f"WITH {IV}, {V.DOMAINS} SELECT chrom, start, \"end\", name FROM v WHERE NOT EXISTS (SELECT 1 FROM d WHERE {ON})")(lambda s, d: intervals.exclude(V.intervals(s, d).select(*_cols), V.domains(s, d), 1000))
-query("int04_include", f"WITH {IV}, {V.DOMAINS} SELECT chrom, start, \"end\", name FROM v WHERE EXISTS (SELECT 1 FROM d WHERE v.chrom = d.chrom AND d.start <= v.start AND v.\"end\" <= d.\"end\")")(lambda s, d: intervals.include(V.intervals(s, d).select(*_cols), V.domains(s, d), 1000))
-query("int05_overlap_join", f"WITH {IV}, {V.DOMAINS} SELECT v.chrom, v.start, v.\"end\", name, d.start AS ostart, d.\"end\" AS oend FROM v JOIN d ON {ON}")(lambda s, d: intervals.overlap_join(V.intervals(s, d).select(*_cols), V.domains(s, d), 1000).select(*_cols, "ostart", "oend"))
+query("int03_exclude", f"WITH {IV}, {V.DOMAINS} SELECT chrom, start, \"end\", name FROM v WHERE NOT EXISTS (SELECT 1 FROM d WHERE {ON})")(lambda s, d: intervals.exclude(V.intervals(s, d).select(*_cols), V.domains(s, d)))
+query("int04_include", f"WITH {IV}, {V.DOMAINS} SELECT chrom, start, \"end\", name FROM v WHERE EXISTS (SELECT 1 FROM d WHERE v.chrom = d.chrom AND d.start <= v.start AND v.\"end\" <= d.\"end\")")(lambda s, d: intervals.include(V.intervals(s, d).select(*_cols), V.domains(s, d)))
+query("int05_overlap_join", f"WITH {IV}, {V.DOMAINS} SELECT v.chrom, v.start, v.\"end\", name, d.start AS ostart, d.\"end\" AS oend FROM v JOIN d ON {ON}")(lambda s, d: intervals.overlap_join(V.intervals(s, d).select(*_cols), V.domains(s, d)).select(*_cols, "ostart", "oend"))
 MB = f"{V.MUTATIONS}, k AS (SELECT m.*, unnest(range(floor(start / {SIZE})::BIGINT, floor((\"end\" - 1) / {SIZE})::BIGINT + 1)) AS bin FROM m), kk AS (SELECT * FROM k WHERE bin BETWEEN 0 AND {NB - 1}), msp AS (SELECT run, bin::BIGINT AS bin FROM (SELECT DISTINCT run FROM m), range({NB}) r(bin))"
 _mut = (0, SIZE, NB)
 FRACTION = f"{MB}, fr AS (SELECT msp.run, msp.bin, coalesce(sum(least(\"end\", (kk.bin + 1) * {SIZE}) - greatest(start, kk.bin * {SIZE})), 0) / {float(SIZE)} AS value FROM msp LEFT JOIN kk USING (run, bin) GROUP BY ALL)"
@@ -299,13 +299,45 @@ ok AS (SELECT chrom, shift, row_number() OVER (PARTITION BY chrom ORDER BY md5('
 SELECT chrom, replicate::INT AS replicate, shift::INT AS shift, start, "end" FROM mv JOIN ok USING (chrom, shift) WHERE replicate < 2""")(
     lambda s, d: _every_chrom(s, d, lambda x, bins: nullmodel.rotate_bins(x, 2, DSIZE, bins, 3).select("replicate", "shift", "start", "end"))
 )
-query("smp07_random_intervals", f"""WITH {IV}, {V.SIZES}, {V.DOMAINS}, w AS (SELECT chrom, count(*) // 4 AS wanted FROM v GROUP BY chrom),
-p AS (SELECT chrom, r AS draw, wanted, {H("'5:' || chrom || ':' || r")} % (size - 311) AS start FROM s JOIN w USING (chrom), unnest(range(0, wanted * 10)) t(r)),
-f AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.chrom = p.chrom AND d.start < p.start + 312 AND p.start < d."end")),
-k AS (SELECT chrom, draw, start, wanted, row_number() OVER (PARTITION BY chrom ORDER BY draw) AS rank FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE a.chrom = b.chrom AND b.draw < a.draw AND abs(a.start - b.start) < 312))
-SELECT chrom, draw, start, start + 312 AS "end" FROM k WHERE rank <= wanted""")(
+
+
+def _free_sql(name: str, free: str, taken: str) -> str:
+    """``name``: the stretches ``free`` without the places of ``taken``, both ``chrom, start, "end"``."""
+    return f"""{name}_t AS (SELECT chrom, start, max("end") AS "end" FROM {taken} GROUP BY ALL),
+{name}_e AS MATERIALIZED (SELECT chrom, start AS pos, "end" AS reach, true AS taken FROM {name}_t UNION SELECT chrom, start, NULL, false FROM {free} UNION SELECT chrom, "end", NULL, NULL FROM {free} UNION SELECT chrom, t."end", NULL, false FROM {name}_t t ASOF JOIN {free} f USING (chrom, start) WHERE t."end" < f."end" UNION SELECT t.chrom, t."end", NULL, false FROM {name}_t t JOIN {free} f ON t.chrom = f.chrom AND t.start < f.start AND t."end" >= f.start AND t."end" < f."end"),
+{name} AS MATERIALIZED (SELECT DISTINCT chrom, pos AS start, shut AS "end" FROM (SELECT chrom, pos, taken, coalesce(max(reach) OVER (PARTITION BY chrom ORDER BY pos), 0) AS reach, min(CASE WHEN taken IS DISTINCT FROM false THEN pos END) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS shut FROM {name}_e) WHERE NOT taken AND reach <= pos AND pos < shut)"""
+
+
+def _place_sql(seed: int, by_chrom: bool, rounds: int = 8) -> str:
+    """``kept``: the places ``id, chrom, start, "end"`` of ``w0`` (``id, "on", length``) within ``f0``, in so many rounds."""
+    steps = []
+    for k in range(rounds):
+        bits = lambda key, n: f"('0x' || substr(md5({key}), 1, {n}))::BIGINT"
+        steps.append(f"""sh{k} AS (SELECT *, (length >> greatest(floor(log2(length))::INT - {k // 2}, 0)) << greatest(floor(log2(length))::INT - {k // 2}, 0) AS shrunk FROM w{k}),
+h{k} AS (SELECT *, {'chrom' if by_chrom else "''"} AS "on" FROM f{k}),
+nb{k} AS MATERIALIZED (SELECT *, sum(room) OVER (PARTITION BY "on", shrunk ORDER BY chrom, start) - room AS first, sum(room) OVER (PARTITION BY "on", shrunk) AS whole FROM (SELECT "on", shrunk, chrom, start, "end", "end" - start - shrunk + 1 AS room FROM h{k} JOIN (SELECT DISTINCT "on", shrunk FROM sh{k}) USING ("on")) WHERE room > 0),
+th{k} AS (SELECT "on", room / needed AS share FROM (SELECT "on", sum(length)::DOUBLE AS needed FROM sh{k} GROUP BY "on") JOIN (SELECT "on", sum("end" - start)::DOUBLE AS room FROM h{k} GROUP BY "on") USING ("on")),
+dr{k} AS MATERIALIZED (SELECT id, "on", shrunk, length, (x % whole)::BIGINT AS u FROM (SELECT *, {bits(f"'{seed}:{k}:' || id", 15)} AS x FROM sh{k}) JOIN (SELECT DISTINCT "on", shrunk, whole FROM nb{k}) USING ("on", shrunk) JOIN th{k} USING ("on") WHERE x < {1 << 60} - {1 << 60} % whole AND {bits(f"'t{seed}:{k}:' || id", 8)} < share * 4294967296.0),
+lk{k} AS (SELECT id, chrom, (n.start + u - n.first)::BIGINT AS start, (n.start + u - n.first + length)::BIGINT AS "end", n."end" AS lim FROM dr{k} d ASOF JOIN nb{k} n ON d."on" = n."on" AND d.shrunk = n.shrunk AND d.u >= n.first),
+kp{k} AS MATERIALIZED (SELECT id, chrom, start, "end" FROM (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM lk{k} WHERE "end" <= lim) WHERE reach IS NULL OR reach <= start),
+w{k + 1} AS MATERIALIZED (SELECT * FROM w{k} ANTI JOIN kp{k} USING (id))""")
+        steps.append(_free_sql(f"f{k + 1}", f"f{k}", f"kp{k}"))
+    return ",\n".join(steps) + ",\nkept AS (" + " UNION ALL ".join(f"SELECT * FROM kp{k}" for k in range(rounds)) + ")"
+
+
+query("smp07_random_intervals", f"""WITH {IV}, {V.SIZES}, {V.DOMAINS}, n AS (SELECT chrom, count(*) // 4 AS wanted FROM v GROUP BY chrom),
+w0 AS MATERIALIZED (SELECT chrom || ':' || r AS id, chrom AS "on", 312::BIGINT AS length FROM n, unnest(range(0, wanted)) t(r)), z AS (SELECT chrom, 0::BIGINT AS start, size AS "end" FROM s),
+{_free_sql("f0", "z", "d")},
+{_place_sql(5, True)}
+SELECT chrom, split_part(id, ':', -1)::BIGINT AS draw, start, "end" FROM kept""")(
     lambda s, d: nullmodel.random_intervals(V.sizes(s, d).join(V.intervals(s, d).groupBy("chrom").agg(F.floor(F.count("*") / 4).cast("long").alias("wanted")), "chrom"), 312, 5, V.domains(s, d))
 )
+query("smp05_global_shuffle", f"""WITH {IV}, {V.SIZES}, {V.DOMAINS}, w0 AS MATERIALIZED (SELECT name AS id, '' AS "on", "end" - start AS length FROM v), z AS (SELECT chrom, 0::BIGINT AS start, size * 4 AS "end" FROM s),
+{_free_sql("f0", "z", "d")},
+{_place_sql(7, False)}
+SELECT chrom, start, "end", id AS name FROM kept""")(
+    lambda s, d: nullmodel.global_shuffle(V.intervals(s, d).select(*_cols), V.sizes(s, d).withColumn("size", F.col("size") * 4), 7, excl=V.domains(s, d))
+)
 
 
 # Coarse maps, analysis tables and checks of mutations.
@@ -358,7 +390,6 @@ ok AS (SELECT chrom, r, min(k) AS k FROM (SELECT chrom, r, k FROM x GROUP BY ALL
 SELECT chrom, r::INT AS replicate, start, "end" FROM mv JOIN ok USING (chrom, r, k)""")(
     lambda s, d: _every_chrom(s, d, lambda x, bins: nullmodel.shuffle_bins(x, 2, DSIZE, bins, 3, candidates=16).select("replicate", "start", "end"))
 )
-query("smp05_global_shuffle")(lambda s, d: nullmodel.global_shuffle(V.intervals(s, d).select(*_cols), V.sizes(s, d).withColumn("size", F.col("size") * 4), 7, excl=V.domains(s, d)))
 _letter = f"list_reduce(list_transform(range(1, (\"end\" - start)::INT + 1), lambda i: CASE WHEN {H('key || i')} < 0.22 * 4294967296 THEN 'A' WHEN {H('key || i')} < 0.5 * 4294967296 THEN 'C' WHEN {H('key || i')} < 0.78 * 4294967296 THEN 'G' ELSE 'T' END), lambda a, b: a || b)"
 query("smp08_random_content", f"""WITH {V.MUTATIONS}, o AS (SELECT DISTINCT run, run AS chrom, start, "end", CASE WHEN run LIKE '%1' OR start % 2 = 0 THEN 'permutations_inter' ELSE 'mask' END AS op FROM m),
 k AS (SELECT *, bool_and(op = 'permutations_inter') OVER (PARTITION BY run) AS alone, '9:' || run || ':' || chrom || ':' || start || ':' || "end" || '::' AS key FROM o)

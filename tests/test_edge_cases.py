@@ -17,8 +17,8 @@ def test_humanise_rounds_as_the_double_does(spark):
 def test_exclude_and_include_with_nulls(spark):
     rows = spark.createDataFrame([("c", 10, 20, None), ("c", 10, 20, "x"), ("c", 500, 510, None)], "chrom string, start long, end long, name string")
     found = spark.createDataFrame([("c", 5, 30)], "chrom string, start long, end long")
-    assert [r.start for r in intervals.exclude(rows, found, 100).collect()] == [500]
-    assert sorted(r.start for r in intervals.include(rows, found, 100).collect()) == [10, 10]
+    assert [r.start for r in intervals.exclude(rows, found).collect()] == [500]
+    assert sorted(r.start for r in intervals.include(rows, found).collect()) == [10, 10]
 
 
 def test_natural_key_of_long_numbers(spark):

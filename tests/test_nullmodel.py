@@ -1,6 +1,7 @@
 """Random replicates: what SQL text does not state."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from locusframe.operators import nullmodel
 
@@ -22,6 +23,34 @@ def test_global_shuffle(spark):
     assert nullmodel.global_shuffle(df.limit(0), sizes, 3).count() == 0
 
 
+@pytest.mark.parametrize("million", [125, 250])
+def test_places_are_uniform_at_genome_scale(spark, million):
+    """Chi-square over 25 equal chromosomes, and over ten parts of them; 24 and 9 degrees of freedom."""
+    sizes = spark.range(25).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("chrom"), F.lit(million * 1_000_000).cast("long").alias("size"))
+    df = spark.range(20_000).select(F.lit("c1").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 200).alias("end"), F.concat(F.lit("n"), "id").alias("name"))
+    placed = nullmodel.global_shuffle(df, sizes, 4).select("chrom", F.floor(F.col("start") / (million * 100_000)).alias("tenth")).collect()
+    for column, cells, most in (("chrom", 25, 43), ("tenth", 10, 22)):
+        counts = {}
+        for r in placed:
+            counts[r[column]] = counts.get(r[column], 0) + 1
+        assert len(counts) == cells and sum(counts.values()) == 20_000
+        assert sum((n - 20_000 / cells) ** 2 / (20_000 / cells) for n in counts.values()) < most
+
+
+def test_tight_places_are_filled(spark):
+    """All 200 of 312 bases on 100 kb, and an interval that only just fits one stretch."""
+    rows = sorted((r.start, r.end) for r in nullmodel.random_intervals(spark.createDataFrame([("a", 100_000, 200)], "chrom string, size long, wanted long"), 312, 5).collect())
+    assert len(rows) == 200 and all(x[1] <= y[0] for x, y in zip(rows, rows[1:], strict=False)) and rows[-1][1] <= 100_000
+    df = spark.createDataFrame([("a", 0, 100, "x")], "chrom string, start long, end long, name string")
+    sizes = spark.createDataFrame([("a", 99), ("b", 100), ("c", 64)], "chrom string, size long")
+    assert [(r.chrom, r.start, r.end) for r in nullmodel.global_shuffle(df, sizes, 1).collect()] == [("b", 0, 100)]
+
+
+def test_no_room_is_an_error(spark):
+    with pytest.raises(RuntimeError):
+        nullmodel.random_intervals(spark.createDataFrame([("a", 1000, 5)], "chrom string, size long, wanted long"), 312, 5)
+
+
 def test_shuffle_bins_draws_again(spark):
     # Bin 0 spills into bin 1: only orders that leave the next place free are valid.
     df = spark.createDataFrame([("a", 5, 14), ("a", 22, 28), ("a", 31, 39)], "chrom string, start long, end long")
