@@ -75,6 +75,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(build: Callable[[], DataFrame]) -> DataFrame:
+    """The written result of ``build``, without the tables that were written on the way to it."""
+    with tracked() as tables:
+        out = materialise(build())
+    discard(*[t for t in tables if t.stage_path != out.stage_path])
+    return out
+
+
 def packed(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """The columns of ``df`` as one struct ``row``: their names can't clash with an operator's own."""
     return F.struct(*[F.col(f"`{c}`") for c in (df.columns if columns is None else columns)]).alias("row")

@@ -12,12 +12,15 @@ Edges at or over the threshold are kept and form components.  A node whose whole
 threshold is saturated: its list is enlarged to its component, block by block, so that links are
 counted completely without any list or pair table of that size.
 
-Equal vectors form one class.  Vectors of different lengths are compared apart and never link.
+Equal directions form one class with a number of its own, so that a ``vec_id`` may stand for several
+vectors.  Vectors of different lengths are compared apart and never link.
 Vectors that are null, empty or zero, or that hold null or non-finite components link with nothing.
 
-Defined cases: repeated rows of a vec_id are counted each as a vector; null vec_id rows keep null
-component and link with nothing; an empty table gives an empty table; other columns are not
-looked at.
+Defined cases: a row is a vector, so rows of one ``vec_id`` are counted each and a component's id is the
+smallest ``vec_id`` of its rows; null ``vec_id`` rows keep null component and link with nothing; pairs at
+exactly the threshold link, and of equally near neighbours the larger number comes first in a list, which
+changes no link; an empty table gives an empty table; other columns are not looked at, whatever
+their names, and a very long text beside a vector is never read.
 """
 
 from __future__ import annotations
@@ -30,11 +33,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import map_pandas, materialise, read_table, renamed_apart
+from ._common import map_pandas, materialise, read_table, settled
 from .components import connected_components
 
 LIST = 8  # length of a neighbour list
 BLOCK = 256  # most vectors compared at once
+MEET = 4096  # rows of a component that one side of a count holds
+SALTS = 16  # ways in which the rows of a component are dealt
 AUDIT = 400  # most vectors of the audit
 FEW = 0.001  # descent ends when a round brings at most so many new links a node
 MORE_BITS = 40  # further bits of a sign code, for buckets that are too large
@@ -220,12 +225,13 @@ def audit(nodes: DataFrame, reached: DataFrame, sample: pd.DataFrame, threshold:
 def link_counts(nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """``node, n``: vectors of other classes linked with a node, all within its component, counted by blocks.
 
-    A component is cut at random into blocks; a block meets each block of its component once, and
-    only sums leave it.
+    A component is cut at random into parts of about ``MEET`` rows; a part meets each part of its component
+    once, product by product of ``BLOCK`` rows, and only sums leave it.  A row is copied once for
+    each part of its component.
     """
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    placed = groups.join(sizes, "component").join(nodes, "node").withColumn("parts", F.ceil(F.col("size") / (2 * BLOCK)).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    # Block i meets block j >= i; a row goes to each of its block's meetings.
+    placed = groups.join(sizes, "component").join(nodes, "node").withColumn("parts", F.ceil(F.col("size") / MEET).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # Part i meets part j >= i; a row goes to each of its part's meetings.
     i = F.least(F.col("part"), F.col("other"))
     j = F.greatest(F.col("part"), F.col("other"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("component", i.alias("i"), j.alias("j"), "part", "node", "copies", "unit")
@@ -233,13 +239,18 @@ def link_counts(nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFr
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         x, y = pdf[pdf["part"] == i], pdf[pdf["part"] == j]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"node": [], "n": []}).astype("int64")
-        linked = _matrix(x["unit"]) @ _matrix(y["unit"]).T >= threshold
+        held, copies = _matrix(y["unit"]), y["copies"].to_numpy()
+        of_x, of_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        for a in range(0, len(x), BLOCK):
+            few = x.iloc[a : a + BLOCK]
+            linked = _matrix(few["unit"]) @ held.T >= threshold
+            if i == j:
+                linked[np.arange(len(few)), np.arange(a, a + len(few))] = False
+            of_x[a : a + BLOCK] = linked @ copies
+            of_y += linked.T @ few["copies"].to_numpy()
         if i == j:
-            np.fill_diagonal(linked, False)
-            return pd.DataFrame({"node": x["node"], "n": linked @ y["copies"].to_numpy()})
-        return pd.DataFrame({"node": np.concatenate([x["node"], y["node"]]), "n": np.concatenate([linked @ y["copies"].to_numpy(), linked.T @ x["copies"].to_numpy()])})
+            return pd.DataFrame({"node": x["node"], "n": of_x})
+        return pd.DataFrame({"node": np.concatenate([x["node"], y["node"]]), "n": np.concatenate([of_x, of_y])})
 
     return met.groupBy("component", "i", "j").applyInPandas(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
@@ -265,36 +276,40 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, column: str = "embe
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``."""
     units = materialise(unit_vectors(vectors, column))
     usable = units.where("unit is not null and vec_id is not null")
-    # One row for each different direction; its smallest vec_id stands for all.
-    nodes = materialise(usable.groupBy("unit").agg(F.min("vec_id").cast("long").alias("node"), F.count("*").alias("copies")))
+    # One row for each different direction, numbered as it is written; rows are led back by the direction.
+    alike = usable.groupBy("unit").agg(F.min("vec_id").cast("long").alias("least"), F.count("*").alias("copies"))
+    nodes = materialise(alike.withColumn("node", F.monotonically_increasing_id()))
     lengths = {r["w"]: r["n"] for r in nodes.groupBy(F.octet_length("unit").alias("w")).agg(F.count("*").alias("n")).orderBy("w").collect()}
     # Vectors of different lengths can't be compared; those alone in theirs have no links.
     found = [_linked(nodes.where(F.octet_length("unit") == w), n, threshold, tables, rounds, recall, tries) for w, n in lengths.items() if n > 1]
     none = nodes.limit(0).select("node", F.col("node").alias("component"), F.lit(0).cast("long").alias("n"))
     known = reduce(DataFrame.unionByName, found, none)
-    groups = nodes.select("node", "copies").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("n", F.lit(0)).alias("n"), "copies")
-    of_unit = nodes.select("node", "unit").join(groups, "node")
+    groups = nodes.select("node", "least", "copies").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("n", F.lit(0)).alias("n"), "least", "copies")
+    # A component's smallest vec_id goes back to its nodes by several ways, as one may hold most of them.
+    ids = groups.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = groups.withColumn("way", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(ids, ["component", "way"])
+    of_unit = nodes.select("node", "unit").join(named.select("node", "n", "copies", "component_id"), "node")
     full = units.join(of_unit, (units["unit"] == of_unit["unit"]) & units["vec_id"].isNotNull(), "left")
-    out = full.select("vec_id", F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").cast("long").alias("component_id"))
+    out = full.select("vec_id", F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+    return settled(lambda: near_vectors(read_table(spark, sf_dir, "embeddings")))
 
 
-#: The same rows in DuckDB by brute force: all pairs and what they reach.
+#: The same rows in DuckDB by brute force: all pairs of rows and what they reach.
 ORACLE_SQL = r"""
 WITH RECURSIVE v AS MATERIALIZED (
-  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings
 ), usable AS MATERIALIZED (
-  SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+  SELECT r, e FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), links AS MATERIALIZED (
-  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9
-), reach(vec_id, node) AS (
-  SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.y FROM reach r JOIN links l ON r.node = l.x
+  SELECT a.r AS x, b.r AS y FROM usable a JOIN usable b ON len(a.e) = len(b.e) AND a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(r, node) AS (
+  SELECT r, r FROM v UNION SELECT p.r, l.y FROM reach p JOIN links l ON p.node = l.x
 ), component AS (
-  SELECT vec_id, min(node) AS component_id FROM reach GROUP BY vec_id
+  SELECT p.r, min(o.vec_id) AS component_id FROM reach p JOIN v o ON p.node = o.r GROUP BY p.r
 )
-SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM component
+SELECT vec_id, (SELECT count(*) FROM links WHERE x = v.r) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM component JOIN v USING (r)
 """

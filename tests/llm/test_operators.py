@@ -86,6 +86,40 @@ def test_near_vectors(spark):
     assert neighbours.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_near_vectors_of_repeated_ids(spark):
+    rows = [(5, [1.0, 0.0, 0.0], "x"), (5, [0.0, 1.0, 0.0], "y"), (7, [0.0, 1.0, 0.01], "z"), (9, [0.0, 0.0, 1.0], "x")]
+    got = sorted(tuple(r) for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string")).collect())
+    assert got == [(5, 0, 5, True), (5, 1, 5, True), (7, 1, 5, False), (9, 0, 9, True)]
+
+
+def test_near_vectors_sql_on_a_table_with_links(spark):
+    """The query's SQL against the operator where there are links, repeated and null ids and clashing names."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((60, 12))
+    data = [(int(i) % 230, (base[i % 60] + rng.standard_normal(12) * 0.15).tolist()) for i in range(300)]
+    data += [(3, data[7][1]), (3, data[7][1]), (None, data[8][1]), (None, None), (500, [0.0] * 12), (501, None), (502, [1.0] * 5), (502, [1.0] * 5)]
+    table = spark.createDataFrame([(k, v, 1, 2, "t" * 100_000 if i < 2 else None) for i, (k, v) in enumerate(data)], "vec_id long, embedding array<double>, node long, component long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", data)
+    want = con.sql(neighbours.ORACLE_SQL).fetchall()
+    assert sum(r[1] for r in want) > 500
+    assert sorted(map(tuple, neighbours.near_vectors(table).collect()), key=str) == sorted(want, key=str)
+
+
+def test_link_counts_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MEET", 40)
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal(8) + rng.standard_normal((150, 8)) * 0.4
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, u.tobytes(), 1 + i % 3) for i, u in enumerate(unit)], "node long, unit binary, copies long")
+    groups = spark.createDataFrame([(i, 0) for i in range(150)], "node long, component long")
+    hit = unit @ unit.T >= 0.9
+    np.fill_diagonal(hit, False)
+    assert {r.node: r.n for r in neighbours.link_counts(nodes, groups, 0.9).collect()} == dict(enumerate((hit @ (1 + np.arange(150) % 3)).tolist()))
+
+
 def test_near_vectors_in_a_hot_bucket(spark):
     """Small groups in one sign bucket of the whole table, beside a hot group: nearly all of their links are found."""
     rng = np.random.default_rng(8)
