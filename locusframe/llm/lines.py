@@ -12,8 +12,9 @@ word's hash bucket, so that the table of counts has a fixed size however large t
 
 Defined cases: lines without words stay and match nothing; a null text stays null with no lines; an
 empty text is one line without words; rows of equal ``doc_id`` are ordered by a hash of their text,
-and equal rows keep and lose the same lines; null ``doc_id`` comes first; an empty table gives an
-empty table; other columns are not looked at, whatever their names.
+and equal rows keep and lose the same lines; of lines in one place of the order (equal rows) none is
+earlier; null ``doc_id`` comes first; an empty table gives an empty table; texts of any length are
+read whole, and a very long line is one set; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -127,14 +128,18 @@ def _postings(of: DataFrame, part: int) -> DataFrame:
     return of.select("id", "doc_id", "n", *_BITS, F.posexplode("prefix").alias("i", "token")).where(F.pmod("token", F.lit(PASSES)) == part)
 
 
+def _list_parts() -> Column:
+    """Parts of about ``PART`` rows for the posting list of ``token``: its class bounds the length."""
+    return F.ceil(F.pow(F.lit(2.0), F.shiftright("token", _TOKEN_BITS) / _STEPS) / PART).cast("long")
+
+
 def _near_heads(firsts: DataFrame, percent: int, part: int) -> DataFrame:
     """``id, d, eid``: for each line the likeliest ``TRIES`` matches before it, among the first members of its words' lists and its neighbours there.
 
     Each list stands in a random order of its own, so lists of the same lines give different
     neighbours.  Long lists are cut by hash into parts; the class of a word bounds its list's length.
     """
-    parts = F.ceil(F.pow(F.lit(2.0), F.shiftright("token", _TOKEN_BITS) / _STEPS) / PART).cast("long")
-    postings = _postings(firsts, part).withColumn("salt", F.pmod(F.xxhash64("id"), parts))
+    postings = _postings(firsts, part).withColumn("salt", F.pmod(F.xxhash64("id"), _list_parts()))
     listed = Window.partitionBy("token", "salt")
     mixed = listed.orderBy(F.xxhash64("token", "id"))
     line = F.struct("doc_id", "id", "n", "i", *_BITS)
@@ -154,7 +159,8 @@ def _open_pairs(unsettled: DataFrame, firsts: DataFrame, percent: int, part: int
     """``id, eid`` that may match: lines of ``unsettled`` with any that do not come in later documents.
 
     Sizes are dealt to classes so wide that similar sets are at most one apart.  The smaller of two
-    sets need only show the words that it has in front of all sets that are not smaller.
+    sets need only show the words that it has in front of all sets that are not smaller.  A long
+    list is cut by hash into parts, and the few lines that are not settled go to each of them.
     """
     def size_class(n: Column) -> Column:
         return F.floor(F.log(n) / F.log(F.lit(100.1 / percent))).cast("int")
@@ -164,12 +170,12 @@ def _open_pairs(unsettled: DataFrame, firsts: DataFrame, percent: int, part: int
 
     own = size_class(F.col("n"))
     classes = F.when(F.col("shown"), F.array(own - 1, own, own + 1)).otherwise(F.array(own - 1, own))
-    left = shown(_postings(unsettled, part)).withColumn("c", F.explode(classes))
-    right = shown(_postings(firsts, part)).select(F.col("doc_id").alias("edoc"), *[F.col(a).alias(b) for a, b in _OTHER.items()], "token", F.col("shown").alias("eshown"), own.alias("c"))
+    left = shown(_postings(unsettled, part)).withColumn("c", F.explode(classes)).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), _list_parts() - 1)))
+    right = shown(_postings(firsts, part)).select(F.col("doc_id").alias("edoc"), *[F.col(a).alias(b) for a, b in _OTHER.items()], "token", F.col("shown").alias("eshown"), own.alias("c"), F.pmod(F.xxhash64("id"), _list_parts()).alias("salt"))
     n, m = F.col("n"), F.col("m")
     reach = ((n >= m) & F.col("eshown")) | ((n <= m) & F.col("shown"))
     order = (F.col("id") != F.col("eid")) & (F.struct("doc_id") >= F.struct("edoc"))
-    return left.join(right, ["token", "c"]).where(order & reach & _may_match(percent)).select("id", "eid").distinct()
+    return left.join(right, ["token", "c", "salt"]).where(order & reach & _may_match(percent)).select("id", "eid").distinct()
 
 
 def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
