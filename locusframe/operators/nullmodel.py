@@ -24,27 +24,54 @@ def fan_out(mutations: DataFrame, n: int) -> DataFrame:
     return fanned.withColumn("run", F.when(F.col("replicate") < 0, "Wtd_mut").otherwise(F.concat(F.lit("Rdm_mut_"), F.col("replicate").cast("string"))))
 
 
-def rotations(df: DataFrame, binsize: int, bins: int) -> DataFrame:
-    """Every cyclic shift but the identity: rows with ``shift`` and their new ``start, end``; in-bin offsets stay."""
-    placed = assign_bins(df, binsize).select("*", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))).alias("shift"))
-    moved = (F.pmod(F.col("bin") - F.col("shift"), F.lit(bins)) - F.col("bin")) * binsize
-    return placed.withColumns({"start": F.col("start") + moved, "end": F.col("end") + moved})
+def bin_hulls(placed: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
+    """What counts of a bin when bins move as a whole: ``keys, bin, low, high``, from its first start to its last end.
 
+    Both are relative to the bin and may lie outside of it.  ``placed`` has ``bin, spill_left`` and
+    ``offset``, the start within the bin.  Groups in one of whose bins intervals overlap are left out:
+    no arrangement of them is valid.
+    """
+    hulls = placed.groupBy(*keys, "bin").agg(F.min("offset").alias("low"), F.max(F.col("offset") + F.col("end") - F.col("start")).alias("high"))
+    broken = find_overlaps(placed.select(*keys, "bin", "start", "end"), [*keys, "bin"]).select(*keys).distinct()
+    return hulls.join(broken, list(keys), "left_anti")
+
+
+def _in_bins(df: DataFrame, binsize: int) -> DataFrame:
+    placed = assign_bins(df, binsize)
+    return placed.withColumn("offset", F.col("start") - F.col("bin") * binsize)
+
+
+def valid_arrangements(moved: DataFrame, binsize: int, bins: int, keys: Sequence[str]) -> DataFrame:
+    """``keys`` of arrangements of hulls (``place, low, high``) without overlap, negative start or end past the last bin.
+
+    Of bins in two places the one before reaches the other if its last end lies after the other's first start.
+    """
+    at = moved.withColumns({"first": F.col("place") * binsize + F.col("low"), "last": F.col("place") * binsize + F.col("high")})
+    reach = F.max("last").over(Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, -1))  # a row for each bin
+    bad = F.coalesce(F.col("first") < reach, F.lit(False)) | (F.col("first") < 0) | (F.col("last") > binsize * bins)
+    return at.withColumn("bad", bad).groupBy(*keys).agg(F.bool_or("bad").alias("bad")).where("not bad").drop("bad")
+
+
+def _moved(placed: DataFrame, binsize: int) -> DataFrame:
+    """Intervals at their bin's new ``place``; offsets in the bin stay."""
+    shift = (F.col("place") - F.col("bin")) * binsize
+    return placed.withColumns({"start": F.col("start") + shift, "end": F.col("end") + shift}).drop("offset", "place")
 
-def valid_arrangements(moved: DataFrame, binsize: int, bins: int, keys: Sequence[str] = ("shift",)) -> DataFrame:
-    """Arrangements without an overlap, a negative start or an end past the last bin."""
-    bad = find_overlaps(moved, keys).select(*keys).unionByName(moved.where((F.col("start") < 0) | (F.col("end") > binsize * bins)).select(*keys)).distinct()
-    return moved.select(*keys).distinct().join(bad, list(keys), "left_anti")
 
+def rotate_bins(df: DataFrame, n: int, binsize: int, bins: int, seed: int, keys: Sequence[str] = ("chrom",)) -> DataFrame:
+    """``n`` replicates of each group, each a different valid cyclic ``shift`` of its bins in drawn order.
 
-def rotate_bins(df: DataFrame, n: int, binsize: int, bins: int, seed: int) -> DataFrame:
-    """``n`` replicates, each a different valid rotation in drawn order."""
-    moved = rotations(df, binsize, bins)
-    rank = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("shift").cast("string")))))
-    chosen = cut(valid_arrangements(moved, binsize, bins).select("shift", (rank - 1).alias("replicate")).where(F.col("replicate") < n))
-    if (found := chosen.count()) < n and not df.isEmpty():
-        raise ValueError(f"only {found} of {n} rotations are valid")
-    return moved.join(chosen, "shift")
+    All shifts but the identity are judged on one row for each bin; only the chosen ones move intervals.
+    """
+    placed = cut(_in_bins(df, binsize))
+    every = bin_hulls(placed, keys).select("*", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))).alias("shift"))
+    turned = every.withColumn("place", F.pmod(F.col("bin") - F.col("shift"), F.lit(bins)))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("shift").cast("string")))))
+    chosen = cut(valid_arrangements(turned, binsize, bins, [*keys, "shift"]).select(*keys, "shift", (rank - 1).alias("replicate")).where(F.col("replicate") < n))
+    short = placed.select(*keys).distinct().join(chosen.groupBy(*keys).agg(F.count("*").alias("found")), list(keys), "left").where(F.coalesce("found", F.lit(0)) < n)
+    if (first := short.first()) is not None:
+        raise ValueError(f"only {first['found'] or 0} of {n} rotations are valid in a group: {first}")
+    return _moved(placed.join(chosen, list(keys)).withColumn("place", F.pmod(F.col("bin") - F.col("shift"), F.lit(bins))), binsize)
 
 
 BITS = 60  # of a drawn number
@@ -135,41 +162,42 @@ def random_intervals(sizes: DataFrame, size: int, seed: int, domains: DataFrame
     return found.select("chrom", F.substring_index("id", ":", -1).cast("long").alias("draw"), "start", "end")
 
 
-def shuffle_bins(df: DataFrame, n: int, binsize: int, bins: int, seed: int, candidates: int = 4, rounds: int = 250_000) -> DataFrame:
-    """``n`` replicates, each the first valid one of its drawn orders of all bins; in-bin offsets stay.
+def _orders(drawn: DataFrame, bins: int, seed: int) -> DataFrame:
+    """``replicate, candidate, bin, place``: a drawn order of all bins for each row of ``drawn``."""
+    every = drawn.select("replicate", "candidate", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), "replicate", "candidate", "bin"))
+    place = F.row_number().over(Window.partitionBy("replicate", "candidate").orderBy(key, "bin")) - 1
+    placed = every.withColumn("place", place)
+    # The order that all bins have now is none.
+    return placed.join(placed.where("place <> bin").select("replicate", "candidate").distinct(), ["replicate", "candidate"], "left_semi")
+
+
+def shuffle_bins(df: DataFrame, n: int, binsize: int, bins: int, seed: int, candidates: int = 4, tries: int = 250_000, keys: Sequence[str] = ("chrom",)) -> DataFrame:
+    """``n`` replicates of each group, each the first valid one of its drawn orders of all bins; in-bin offsets stay.
 
-    A round tries ``candidates`` orders of each replicate still without one.  Only the numbers of
-    the chosen orders, ``n`` at most, reach the driver.
+    Orders are judged on one row for each bin, for all groups and replicates that have none yet; each round
+    draws twice as many as the one before, so a few rounds make ``tries``.
     """
     spark = df.sparkSession
-    placed = cut(assign_bins(df, binsize))
+    placed = cut(_in_bins(df, binsize))
     if not placed.where(~F.col("bin").between(0, bins - 1)).isEmpty():
         raise ValueError("intervals outside of the bins")
-
-    def moved(orders: DataFrame) -> DataFrame:
-        every = orders.select("replicate", "candidate", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-        drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), "replicate", "candidate", "bin"))
-        place = F.row_number().over(Window.partitionBy("replicate", "candidate").orderBy(drawn, "bin")) - 1
-        shift = (F.col("place") - F.col("bin")) * binsize
-        every = every.withColumn("place", place)
-        # The order that all bins have now is none.
-        other = every.where("place <> bin").select("replicate", "candidate").distinct()
-        return placed.join(every.join(other, ["replicate", "candidate"], "left_semi"), "bin").withColumns({"start": F.col("start") + shift, "end": F.col("end") + shift})
-
-    def orders(rows: list) -> DataFrame:
-        return spark.createDataFrame(rows, "replicate int, candidate int")
-
-    chosen: dict[int, int] = {}
-    for k in range(rounds):
-        left = [r for r in range(n) if r not in chosen]
-        if not left or (k == 0 and placed.isEmpty()):
-            break
-        tried = moved(orders([(r, c) for r in left for c in range(k * candidates, (k + 1) * candidates)]))
-        valid = valid_arrangements(tried, binsize, bins, ("replicate", "candidate"))
-        chosen |= {r.replicate: r.candidate for r in valid.groupBy("replicate").agg(F.min("candidate").alias("candidate")).collect()}
-    else:
+    hulls = cut(bin_hulls(placed, keys))
+    group = [*keys, "replicate"]
+    waiting = cut(placed.select(*keys).distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
+    chosen, at = [], 0
+    while at < tries and not waiting.isEmpty():
+        drawn = waiting.select("replicate").distinct().withColumn("candidate", F.explode(F.sequence(F.lit(at), F.lit(at + candidates - 1))))
+        tried = hulls.join(waiting, list(keys)).join(_orders(drawn, bins, seed), ["replicate", "bin"])
+        valid = valid_arrangements(tried, binsize, bins, [*group, "candidate"])
+        chosen.append(cut(valid.groupBy(*group).agg(F.min("candidate").alias("candidate"))))
+        waiting = cut(waiting.join(chosen[-1], group, "left_anti"))
+        at, candidates = at + candidates, candidates * 2
+    if not waiting.isEmpty():
         raise RuntimeError("no valid order of bins was drawn for every replicate")
-    return moved(orders(sorted(chosen.items())))
+    found = reduce(DataFrame.unionByName, chosen) if chosen else waiting.withColumn("candidate", F.lit(0))
+    orders = _orders(found.select("replicate", "candidate").distinct(), bins, seed)
+    return _moved(placed.join(found, list(keys)).join(orders, ["replicate", "candidate", "bin"]), binsize)
 
 
 def global_shuffle(df: DataFrame, sizes: DataFrame, seed: int, excl: DataFrame | None = None, incl: DataFrame | None = None) -> DataFrame:

@@ -286,18 +286,16 @@ _DB = f"(SELECT ceil(max(\"end\") / {float(DSIZE)})::BIGINT FROM d)"
 PLACED = f"{V.DOMAINS}, a AS (SELECT chrom, start, \"end\", CASE WHEN floor(start / {DSIZE}) = floor((\"end\" - 1) / {DSIZE}) OR ((floor(start / {DSIZE}) + 1) * {DSIZE} - start) * 2 >= \"end\" - start THEN floor(start / {DSIZE})::BIGINT ELSE floor((\"end\" - 1) / {DSIZE})::BIGINT END AS bin FROM d)"
 
 
-def _every_chrom(s, d, f):
-    """``f(domains of a chromosome, bins)`` for each chromosome; bins reach the end of the last domain."""
-    table = V.domains(s, d)
-    bins = int(table.agg(F.ceil(F.max("end") / DSIZE)).first()[0])
-    return reduce(DataFrame.unionByName, [f(table.where(F.col("chrom") == c), bins).withColumn("chrom", F.lit(c)) for c in V.CHROMS])
+def _bins(s, d):
+    """Bins up to the end of the last domain."""
+    return int(V.domains(s, d).agg(F.ceil(F.max("end") / DSIZE)).first()[0])
 
 
 query("smp02_rotate_bins", f"""WITH {PLACED}, mv AS (SELECT chrom, k AS shift, start + ((bin - k + {_DB}) % {_DB} - bin) * {DSIZE} AS start, "end" + ((bin - k + {_DB}) % {_DB} - bin) * {DSIZE} AS "end" FROM a, unnest(range(1, {_DB})) t(k)),
 x AS (SELECT *, max("end") OVER (PARTITION BY chrom, shift ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM mv),
 ok AS (SELECT chrom, shift, row_number() OVER (PARTITION BY chrom ORDER BY md5('3:' || shift)) - 1 AS replicate FROM (SELECT chrom, shift FROM x GROUP BY ALL HAVING NOT bool_or(coalesce(start < reach, false) OR start < 0 OR "end" > {DSIZE} * {_DB})))
 SELECT chrom, replicate::INT AS replicate, shift::INT AS shift, start, "end" FROM mv JOIN ok USING (chrom, shift) WHERE replicate < 2""")(
-    lambda s, d: _every_chrom(s, d, lambda x, bins: nullmodel.rotate_bins(x, 2, DSIZE, bins, 3).select("replicate", "shift", "start", "end"))
+    lambda s, d: nullmodel.rotate_bins(V.domains(s, d), 2, DSIZE, _bins(s, d), 3).select("chrom", "replicate", "shift", "start", "end")
 )
 
 
@@ -388,7 +386,7 @@ mv AS (SELECT chrom, r, k, start + (place - bin) * {DSIZE} AS start, "end" + (pl
 x AS (SELECT *, max("end") OVER (PARTITION BY chrom, r, k ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM mv),
 ok AS (SELECT chrom, r, min(k) AS k FROM (SELECT chrom, r, k FROM x GROUP BY ALL HAVING NOT bool_or(coalesce(start < reach, false) OR start < 0 OR "end" > {DSIZE} * {_DB})) GROUP BY ALL)
 SELECT chrom, r::INT AS replicate, start, "end" FROM mv JOIN ok USING (chrom, r, k)""")(
-    lambda s, d: _every_chrom(s, d, lambda x, bins: nullmodel.shuffle_bins(x, 2, DSIZE, bins, 3, candidates=16).select("replicate", "start", "end"))
+    lambda s, d: nullmodel.shuffle_bins(V.domains(s, d), 2, DSIZE, _bins(s, d), 3).select("chrom", "replicate", "start", "end")
 )
 _letter = f"list_reduce(list_transform(range(1, (\"end\" - start)::INT + 1), lambda i: CASE WHEN {H('key || i')} < 0.22 * 4294967296 THEN 'A' WHEN {H('key || i')} < 0.5 * 4294967296 THEN 'C' WHEN {H('key || i')} < 0.78 * 4294967296 THEN 'G' ELSE 'T' END), lambda a, b: a || b)"
 query("smp08_random_content", f"""WITH {V.MUTATIONS}, o AS (SELECT DISTINCT run, run AS chrom, start, "end", CASE WHEN run LIKE '%1' OR start % 2 = 0 THEN 'permutations_inter' ELSE 'mask' END AS op FROM m),

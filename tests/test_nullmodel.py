@@ -61,6 +61,6 @@ def test_shuffle_bins_draws_again(spark):
         assert [e - s for s, e in sorted(placed, key=lambda x: x[1] - x[0])] == [6, 8, 9]
         assert placed[0][0] >= 0 and placed[-1][1] <= 80 and all(x[1] <= y[0] for x, y in zip(placed, placed[1:], strict=False))
     with pytest.raises(RuntimeError):
-        nullmodel.shuffle_bins(df.where("start = 5"), 1, 10, 1, 1, rounds=2)
+        nullmodel.shuffle_bins(df.where("start = 5"), 1, 10, 1, 1, tries=8)
     with pytest.raises(ValueError):
         nullmodel.shuffle_bins(df, 1, 10, 2, 1)
