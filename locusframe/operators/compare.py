@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.functions.quantiles import quantiles
+
 from .scores import phase
 
 
@@ -116,8 +119,10 @@ def dispersion(df: DataFrame, value: str, keys: Sequence[str], probs: Sequence[f
     """
     df = merge_runs(df, merged_by) if merged_by else df
     names = [f"p{round(p * 1000):03d}" for p in probs]
-    stats = df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, probs))).alias("p"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
-    return stats.select(*keys, *[F.get("p", k).alias(n) for k, n in enumerate(names)], "low", "high", "mean", "sd", "n")
+    stats = df.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
+    found = quantiles(df, value, keys, probs).withColumnsRenamed({k: f"q_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"q_{k}")) for k in keys])
+    return stats.join(found, same, "left").select(*keys, *[F.get("quantiles", k).alias(n) for k, n in enumerate(names)], "low", "high", "mean", "sd", "n")
 
 
 def value_range(df: DataFrame, keys: Sequence[str]) -> DataFrame:

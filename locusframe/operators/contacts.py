@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from locusframe.functions.lineage import cut
+
 KEYS = ("run",)
 
 
@@ -174,16 +176,23 @@ def gaussian_smooth(contacts: DataFrame, bins: int, sigma: float = 1.0, keys: Se
 def coarsegrain(contacts: DataFrame, cutoff: float, levels: int = 12, keys: Sequence[str] = KEYS) -> DataFrame:
     """Each cell's ``value`` as the mean of its smallest block of ``2**level`` bins whose ``raw`` counts reach ``cutoff``.
 
-    NULL where no block has enough.  Blocks are summed before the shuffle, so that a large one costs no more.
+    NULL where no block has enough.  A pyramid: each level is summed from the one below, four blocks to
+    one, and from the top down a block without enough counts takes what holds around it.
     """
-    at = [F.floor(F.col(c) / F.pow(F.lit(2), "level")).cast("int").alias(f"block_{c}") for c in "ij"]
-    cells = contacts.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    cells = cells.select(*keys, "i", "j", "level", *at, "value", "raw")
-    block = [*keys, "level", "block_i", "block_j"]
-    means = cells.groupBy(*block).agg(F.avg("value").alias("mean"), F.sum("raw").alias("count"))
-    found = cells.drop("value", "raw").join(means, block)
-    enough = F.col("count") >= cutoff
-    return found.groupBy(*keys, "i", "j").agg(F.min_by("mean", F.when(enough, F.col("level"))).alias("value"))
+    block, around = [*keys, "block_i", "block_j"], [*keys, "around_i", "around_j"]
+    half = [F.shiftright(F.col(f"block_{c}"), 1).alias(f"around_{c}") for c in "ij"]
+    level = contacts.groupBy(*keys, F.col("i").alias("block_i"), F.col("j").alias("block_j")).agg(F.sum("value").alias("total"), F.count("value").alias("n"), F.sum("raw").alias("raw"))
+    pyramid = [cut(level)]
+    for _ in range(levels - 1):
+        above = pyramid[-1].select(*keys, *half, "total", "n", "raw").withColumnsRenamed({"around_i": "block_i", "around_j": "block_j"})
+        pyramid.append(cut(above.groupBy(*block).agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("raw").alias("raw"))))
+    own = F.when(F.col("raw") >= cutoff, F.try_divide("total", "n"))
+    enough = F.coalesce(F.col("raw") >= cutoff, F.lit(False))
+    found = pyramid[-1].select(*block, own.alias("value"))
+    for level in pyramid[-2::-1]:
+        outer = found.toDF(*around, "outer")
+        found = level.select("*", *half).join(outer, around).select(*block, F.when(enough, own).otherwise(F.col("outer")).alias("value"))
+    return contacts.select(*keys, "i", "j").join(found.withColumnsRenamed({"block_i": "i", "block_j": "j"}), [*keys, "i", "j"])
 
 
 def matrix_kind(source: Column, use: str) -> Column:
