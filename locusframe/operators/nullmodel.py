@@ -12,7 +12,7 @@ from locusframe.functions.lineage import cut
 from locusframe.functions.scan import running
 
 from .intervals import assign_bins, carve, complement, cut_out, find_overlaps
-from .sequence import draw, random_sequence
+from .sequence import draw, drawn_order, random_sequence
 
 
 def fan_out(mutations: DataFrame, n: int) -> DataFrame:
@@ -214,15 +214,32 @@ def global_shuffle(df: DataFrame, sizes: DataFrame, seed: int, excl: DataFrame |
     return df.join(moved, "name").select(*[F.col(f"new.{c}").alias(c) if c in ("chrom", "start", "end") else F.col(c) for c in df.columns])
 
 
-def random_content(df: DataFrame, seed: int, sequence: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
+def first_valid(tries: DataFrame, keys: Sequence[str] = ("run",), on: Sequence[str] = (), strict: bool = True) -> DataFrame:
+    """Of each replicate (``keys``) the intervals of its smallest ``attempt`` in which no two overlap.
+
+    ``tries`` has all attempts of all replicates; intervals are compared within ``on``, such as a
+    chromosome.  A replicate without a valid one is an error, or left out if not ``strict``.
+    """
+    tries = cut(tries)
+    bad = find_overlaps(tries.select(*keys, "attempt", *on, "start", "end"), [*keys, "attempt", *on]).select(*keys, "attempt").distinct()
+    good = tries.select(*keys, "attempt").distinct().join(bad, [*keys, "attempt"], "left_anti").groupBy(*keys).agg(F.min("attempt").alias("attempt"))
+    if strict and (first := tries.select(*keys).distinct().join(good, list(keys), "left_anti").first()) is not None:
+        raise RuntimeError(f"every attempt of a replicate overlaps itself: {first}")
+    return tries.join(good, [*keys, "attempt"], "left_semi")
+
+
+def random_content(df: DataFrame, seed: int, sequence: str | None = None, keys: Sequence[str] = (), binsize: int = 128_000) -> DataFrame:
     """The same places with random letters (or ``sequence``) inserted and names led by ``rdm_``.
 
-    A list (rows of equal ``keys``) that only permutes between intervals keeps its operation.
+    A list (rows of equal ``keys``, such as experiment and replicate) that only permutes between intervals keeps
+    its operation, and each replicate has a drawn order of its pieces of ``binsize`` letters in ``bin_order``.
     """
-    alone = F.min(F.col("op").eqNullSafe("permutations_inter")).over(Window.partitionBy(*keys))
+    alone = df.groupBy(*keys).agg(F.min(F.col("op").eqNullSafe("permutations_inter")).alias("_alone"))
+    listed = df.join(alone.withColumnsRenamed({k: f"_{k}" for k in keys}), reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.lit(True))).drop(*[f"_{k}" for k in keys])
     name = F.concat(F.lit("rdm_"), F.coalesce(F.nullif("name", F.lit("")), F.concat_ws("_", "chrom", "start", "end")))
     key = F.concat_ws(":", F.lit(str(seed)), *keys, "chrom", "start", "end", F.coalesce("name", F.lit("")))
     letters = F.lit(sequence) if sequence else random_sequence((F.col("end") - F.col("start")).cast("int"), key)
-    # The letters come first: they are drawn by the old name.
-    lettered = df.withColumn("_alone", alone).withColumn("sequence", F.when(F.col("_alone"), F.lit(sequence).cast("string")).otherwise(letters))
+    order = drawn_order(F.floor((F.col("end") - F.col("start")) / binsize), F.concat(key, F.lit(":")))
+    # Letters and orders come first: they are drawn by the old name.
+    lettered = listed.withColumns({"sequence": F.when(F.col("_alone"), F.lit(sequence).cast("string")).otherwise(letters), "bin_order": F.when(F.col("_alone"), order)})
     return lettered.withColumns({"op": F.when(F.col("_alone"), F.col("op")).otherwise("insertion"), "name": name}).drop("_alone")

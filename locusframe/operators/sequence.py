@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,10 +147,12 @@ def mutation_counts(mutations: DataFrame, keys=("seq_id",)) -> DataFrame:
 def splice_chunks(chunks: DataFrame, mutations: DataFrame, chunk: int) -> DataFrame:
     """Chunks ``seq_id, chunk_id, chunk_start, seq`` with each ``variant_seq`` in place of ``[start, end)``, cut anew to ``chunk`` letters.
 
-    Mutations do not overlap; one whose ``variant_seq`` is NULL keeps the letters.  A chunk meets only the mutations
+    Mutations do not overlap; one whose ``variant_seq`` is NULL keeps the letters.  Of several empty intervals in
+    one place ``nth``, if there is such a column, gives the order.  A chunk meets only the mutations
     that touch it, and only places and lengths of pieces, not letters, are summed along a sequence.
     """
-    done = mutations.where("variant_seq is not null").select("seq_id", "start", "end", "variant_seq")
+    nth = (F.col("nth") if "nth" in mutations.columns else F.lit(0)).cast("long").alias("nth")
+    done = mutations.where("variant_seq is not null").select("seq_id", "start", "end", nth, "variant_seq")
     last = F.floor(F.greatest(F.col("end") - 1, F.col("start")) / chunk).cast("int")
     touched = done.select("seq_id", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / chunk).cast("int"), last)).alias("chunk_id"))
     cuts = touched.groupBy("seq_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
@@ -158,11 +162,11 @@ def splice_chunks(chunks: DataFrame, mutations: DataFrame, chunk: int) -> DataFr
     highs = F.concat(F.transform(own, lambda c: c["start"].cast("long")), F.array(F.col("stop").cast("long")))
     kept = whole.select("seq_id", "chunk_start", "stop", "seq", F.explode(F.arrays_zip(lows.alias("a"), highs.alias("b"))).alias("k"))
     a, b = F.greatest("k.a", "chunk_start"), F.least("k.b", "stop")
-    pieces = kept.where(b > a).select("seq_id", a.alias("at"), F.lit(1).alias("kind"), F.substr("seq", (a - F.col("chunk_start") + 1).cast("int"), (b - a).cast("int")).alias("p"))
-    pieces = pieces.unionByName(done.where("variant_seq <> ''").select("seq_id", F.col("start").cast("long").alias("at"), F.lit(0).alias("kind"), F.col("variant_seq").alias("p")))
-    along = Window.partitionBy("seq_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    places = pieces.select("seq_id", "at", "kind", F.length("p").alias("n")).withColumn("to", F.coalesce(F.sum("n").over(along), F.lit(0))).drop("n")
-    moved = pieces.join(places, ["seq_id", "at", "kind"])
+    pieces = kept.where(b > a).select("seq_id", a.alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("nth"), F.substr("seq", (a - F.col("chunk_start") + 1).cast("int"), (b - a).cast("int")).alias("p"))
+    pieces = pieces.unionByName(done.where("variant_seq <> ''").select("seq_id", F.col("start").cast("long").alias("at"), F.lit(0).alias("kind"), "nth", F.col("variant_seq").alias("p")))
+    place = ["at", "kind", "nth"]
+    places = running(pieces.select("seq_id", *place, F.length("p").cast("long").alias("to")), ["seq_id"], place, to=("sum", "to"))
+    moved = pieces.join(places, ["seq_id", *place])
     cells = moved.withColumn("chunk_id", F.explode(F.sequence(F.floor(F.col("to") / chunk).cast("int"), F.floor((F.col("to") + F.length("p") - 1) / chunk).cast("int"))))
     low = F.greatest(F.col("chunk_id") * chunk - F.col("to"), F.lit(0))
     high = F.least((F.col("chunk_id") + 1) * chunk - F.col("to"), F.length("p"))
@@ -194,21 +198,85 @@ def validate_mutations(df: DataFrame) -> DataFrame:
     return df.withColumn("reason", reason)
 
 
-def verify_splice(before: DataFrame, after: DataFrame, mutations: DataFrame) -> DataFrame:
-    """Stretches between mutations, ``seq_id, start, end``, that a splice has changed though it should not."""
-    by = Window.partitionBy("seq_id").orderBy("start")
-    gaps = mutations.select("seq_id", F.coalesce(F.lag("end").over(by), F.lit(0)).alias("a"), F.col("start").alias("b"))
-    tails = mutations.groupBy("seq_id").agg(F.max("end").alias("a")).select("seq_id", "a", F.lit(None).cast("int").alias("b"))
-    both = before.select("seq_id", F.col("seq").alias("old")).join(after.select("seq_id", F.col("seq").alias("new")), "seq_id")
-    end = F.coalesce("b", F.greatest(F.length("old"), F.length("new")))
-    part = lambda c: F.substr(c, (F.col("a") + 1).cast("int"), (F.col("end") - F.col("a")).cast("int"))
-    found = gaps.unionByName(tails).join(both, "seq_id").withColumn("end", end).where("end > a")
-    return found.where(part("old") != part("new")).select("seq_id", F.col("a").alias("start"), "end")
-
-
-def revert(mutated: DataFrame, trace: DataFrame) -> DataFrame:
-    """Sequences with each ``ref_seq`` of the trace back in its place."""
-    return splice(mutated, trace.drop("variant_seq").withColumnRenamed("ref_seq", "variant_seq"))
+def shifted(mutations: DataFrame) -> DataFrame:
+    """Mutations with ``shift``, by how much those before have moved them, and ``reach``, where the last one before ends."""
+    grown = F.coalesce(F.length("variant_seq").cast("long") - (F.col("end") - F.col("start")), F.lit(0))
+    return running(mutations.withColumns({"shift": grown, "reach": F.col("end").cast("long")}), ["seq_id"], ["start", "end"], shift=("sum", "shift"), reach=("max", "reach"))
+
+
+#: Fixed values of the fingerprint of a stretch: two moduli with a base for each.
+MODULI, BASES = (2_147_483_647, 2_147_483_629), (911_382_323, 972_663_749)
+
+
+def stretch_prints(stretches: DataFrame, chunks: DataFrame, chunk: int) -> DataFrame:
+    """``id, n, x, y``: letters and fingerprint of stretches ``id, seq_id, a, b``, added up from the chunks that they touch.
+
+    A fingerprint is a polynomial in the letters modulo a prime, so the parts of a stretch are computed where
+    their chunk lies, each raised by its place in the stretch, and only numbers are summed.
+    """
+    ids = F.sequence(F.floor(F.col("a") / chunk).cast("int"), F.floor((F.col("b") - 1) / chunk).cast("int"))
+    touched = stretches.where("b > a").select("id", "seq_id", "a", "b", F.explode(ids).alias("chunk_id")).join(chunks, ["seq_id", "chunk_id"])
+    low, high = F.greatest(F.col("a"), F.col("chunk_start")), F.least(F.col("b"), F.col("chunk_start") + F.length("seq"))
+    parts = touched.withColumns({"low": low, "n": high - low}).where("n > 0").select("id", (F.col("low") - F.col("a")).alias("offset"), "n", F.substr("seq", (F.col("low") - F.col("chunk_start") + 1).cast("int"), F.col("n").cast("int")).alias("p"))
+    moduli, bases = MODULI, BASES
+
+    @F.pandas_udf("struct<x: long, y: long>")
+    def printed(parts: pd.Series, offsets: pd.Series) -> pd.DataFrame:
+        longest = int(parts.str.len().max()) if len(parts) else 0
+        out = []
+        for p, base in zip(moduli, bases, strict=True):
+            powers = np.ones(longest + 1, np.uint64)
+            for k in range(longest):
+                powers[k + 1] = powers[k] * np.uint64(base) % np.uint64(p)
+            sums = []
+            for text, offset in zip(parts, offsets, strict=True):
+                codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+                whole = int((codes * powers[: len(codes)] % np.uint64(p)).sum()) % p
+                sums.append(whole * pow(base, int(offset), p) % p)
+            out.append(sums)
+        return pd.DataFrame({"x": pd.Series(out[0], dtype="int64"), "y": pd.Series(out[1], dtype="int64")})
+
+    found = parts.select("id", "n", printed("p", "offset").alias("f"))
+    return found.groupBy("id").agg(F.sum("n").alias("n"), (F.sum("f.x") % moduli[0]).alias("x"), (F.sum("f.y") % moduli[1]).alias("y"))
+
+
+def verify_chunks(before: DataFrame, after: DataFrame, mutations: DataFrame, chunk: int) -> DataFrame:
+    """Stretches between mutations, ``seq_id, start, end``, that have other letters after a splice than before.
+
+    Stretches are compared by length and fingerprint at their places before and after, so no two
+    sequences meet; a change goes unseen about once in 10^18.  Both tables have chunks of ``chunk`` letters.
+    """
+    moved = shifted(mutations)
+    first = moved.select("seq_id", F.coalesce("reach", F.lit(0)).alias("a"), F.col("start").cast("long").alias("b"), "shift")
+    grown = F.coalesce(F.length("variant_seq").cast("long") - (F.col("end") - F.col("start")), F.lit(0))
+    sizes = [t.groupBy("seq_id").agg(F.max(F.col("chunk_start") + F.length("seq")).cast("long").alias(n)) for t, n in ((before, "old"), (after, "new"))]
+    tails = mutations.groupBy("seq_id").agg(F.max("end").cast("long").alias("a"), F.sum(grown).alias("shift")).join(sizes[0], "seq_id", "left").join(sizes[1], "seq_id", "left")
+    last = tails.select("seq_id", "a", F.greatest(F.coalesce("old", F.lit(0)), F.coalesce("new", F.lit(0)) - F.col("shift")).alias("b"), "shift")
+    stretches = first.unionByName(last).where("b > a").withColumn("id", F.struct("seq_id", "a", "b"))
+    old = stretch_prints(stretches.select("id", "seq_id", "a", "b"), before, chunk)
+    new = stretch_prints(stretches.select("id", "seq_id", (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b")), after, chunk)
+    both = stretches.select("id").join(old, "id", "left").join(new.toDF("id", "m", "u", "v"), "id", "left")
+    same = F.col("n").eqNullSafe(F.col("m")) & F.col("x").eqNullSafe(F.col("u")) & F.col("y").eqNullSafe(F.col("v"))
+    return both.where(~same).select("id.seq_id", F.col("id.a").alias("start"), F.col("id.b").alias("end"))
+
+
+def verify_splice(before: DataFrame, after: DataFrame, mutations: DataFrame, chunk: int = 4096) -> DataFrame:
+    """``verify_chunks`` on whole strings."""
+    return verify_chunks(chunked(before, chunk), chunked(after, chunk), mutations, chunk)
+
+
+def revert_chunks(mutated: DataFrame, trace: DataFrame, chunk: int) -> DataFrame:
+    """Chunks with each ``ref_seq`` of the trace back where its variant now is, whatever the lengths of those before."""
+    back = shifted(trace).where("variant_seq is not null").select(
+        "seq_id", (F.col("start") + F.col("shift")).alias("start"), (F.col("start") + F.col("shift") + F.length("variant_seq")).alias("end"), F.col("start").alias("nth"), F.col("ref_seq").alias("variant_seq")
+    )
+    return splice_chunks(mutated, back, chunk)
+
+
+def revert(mutated: DataFrame, trace: DataFrame, chunk: int = 4096) -> DataFrame:
+    """``revert_chunks`` on whole strings."""
+    parts = revert_chunks(chunked(mutated, chunk), trace, chunk).groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    return mutated.select("seq_id").join(parts, "seq_id", "left").select("seq_id", F.coalesce("seq", F.lit("")).alias("seq"))
 
 
 def extract_region(chunks: DataFrame, seq_id, start: int, end: int) -> DataFrame:

@@ -373,6 +373,25 @@ def _verified(s, d):
 
 query("seq11_verify_splice", f"WITH {VAR} SELECT seq_id, b::INT AS start, (length(seq) + 1)::INT AS \"end\" FROM va WHERE seq_id % 4 = 0")(_verified)
 query("seq12_revert", f"WITH {VAR} SELECT seq_id, seq FROM va")(lambda s, d: (lambda m: sequence.revert(sequence.splice(*m), m[1]))(_mutated(s, d)))
+
+
+def _resized(s, d):
+    """Sequences and mutations of which every second one grows and the others shrink."""
+    seqs, rows = _mutated(s, d)
+    return seqs, rows.withColumn("variant_seq", F.when(F.col("seq_id") % 2 == 0, F.concat("variant_seq", F.lit("ACGT"))).otherwise(F.substring("variant_seq", 1, 3)))
+
+
+def _resized_verified(s, d):
+    seqs, rows = _resized(s, d)
+    after = sequence.splice_chunks(sequence.chunked(seqs, 64), rows, 64)
+    broken = after.withColumn("seq", F.when((F.col("seq_id") % 4 == 1) & (F.col("chunk_id") == 0) & (F.length("seq") > 0), F.concat(F.lit("N"), F.expr("substr(seq, 2)"))).otherwise(F.col("seq")))
+    return sequence.verify_chunks(sequence.chunked(seqs, 64), broken, rows, 64)
+
+
+query("seq11_verify_chunks", f"WITH {VAR} SELECT seq_id, 0::BIGINT AS start, a::BIGINT AS \"end\" FROM va WHERE seq_id % 4 = 1 AND left(seq, 1) <> 'N'")(_resized_verified)
+query("seq12_revert_chunks", f"WITH {VAR} SELECT seq_id, k::INT AS chunk_id, (k * 64)::INT AS chunk_start, substr(seq, k * 64 + 1, 64) AS seq FROM mu, unnest(range(0, (length(seq) + 63) // 64)) t(k)")(
+    lambda s, d: (lambda m: sequence.revert_chunks(sequence.splice_chunks(sequence.chunked(m[0], 64), m[1], 64), m[1], 64))(_resized(s, d))
+)
 query("smp06_extent_range", f"""WITH {IV}, {V.SIZES}, w AS (SELECT chrom, min(start) AS low, max("end") AS high, max("end" - start) AS longest, any_value(size) AS size FROM v JOIN s USING (chrom) GROUP BY chrom), x AS (SELECT *, greatest(8000000 - (high - low), 0) AS short FROM w)
 SELECT chrom, greatest(low - short // 2, 0) AS start, least(greatest(low - short // 2, 0) + high - low + short, size) AS "end", longest FROM x""")(lambda s, d: intervals.extent_range(V.intervals(s, d), V.sizes(s, d), 8_000_000))
 query("seq14_extract_region", f"WITH {Q}, r AS (SELECT seq_id, substr(seq, 101, 300) AS seq FROM q WHERE seq_id = (SELECT max(seq_id) FROM q WHERE length(seq) >= 400)), t AS (SELECT * FROM (VALUES (0, 28), (28, 128), (156, 128), (284, 16)) x(a, n)) SELECT seq_id, a::INT AS chunk_start, substr(seq, a + 1, n) AS seq FROM r, t")(
@@ -389,12 +408,19 @@ SELECT chrom, r::INT AS replicate, start, "end" FROM mv JOIN ok USING (chrom, r,
     lambda s, d: nullmodel.shuffle_bins(V.domains(s, d), 2, DSIZE, _bins(s, d), 3).select("chrom", "replicate", "start", "end")
 )
 _letter = f"list_reduce(list_transform(range(1, (\"end\" - start)::INT + 1), lambda i: CASE WHEN {H('key || i')} < 0.22 * 4294967296 THEN 'A' WHEN {H('key || i')} < 0.5 * 4294967296 THEN 'C' WHEN {H('key || i')} < 0.78 * 4294967296 THEN 'G' ELSE 'T' END), lambda a, b: a || b)"
-query("smp08_random_content", f"""WITH {V.MUTATIONS}, o AS (SELECT DISTINCT run, run AS chrom, start, "end", CASE WHEN run LIKE '%1' OR start % 2 = 0 THEN 'permutations_inter' ELSE 'mask' END AS op FROM m),
+query("smp08_random_content", f"""WITH {V.MUTATIONS}, o AS (SELECT DISTINCT run || ':' || r AS run, run AS chrom, start, "end", CASE WHEN run LIKE '%1' OR start % 2 = 0 THEN 'permutations_inter' ELSE 'mask' END AS op FROM m, range(2) t(r)),
 k AS (SELECT *, bool_and(op = 'permutations_inter') OVER (PARTITION BY run) AS alone, '9:' || run || ':' || chrom || ':' || start || ':' || "end" || '::' AS key FROM o)
-SELECT run, start, "end", 'rdm_' || chrom || '_' || start || '_' || "end" AS name, CASE WHEN alone THEN op ELSE 'insertion' END AS op, CASE WHEN NOT alone THEN {_letter} END AS sequence FROM k""")(
+SELECT run, start, "end", 'rdm_' || chrom || '_' || start || '_' || "end" AS name, CASE WHEN alone THEN op ELSE 'insertion' END AS op, CASE WHEN NOT alone THEN {_letter} END AS sequence,
+CASE WHEN alone THEN array_to_string(list_transform(list_sort(list_transform(range(greatest(("end" - start) // 12, 1)), lambda b: md5(key || ':' || b) || lpad(b::VARCHAR, 9, '0'))), lambda x: x[33:]::INT), ',') END AS bin_order FROM k""")(
     lambda s, d: nullmodel.random_content(
-        V.mutations(s, d).distinct().select("run", F.col("run").alias("chrom"), "start", "end", F.lit(None).cast("string").alias("name"), F.when(F.col("run").endswith("1") | (F.col("start") % 2 == 0), "permutations_inter").otherwise("mask").alias("op")), 9, keys=("run",)
-    ).drop("chrom")
+        V.mutations(s, d).distinct().withColumn("r", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.concat_ws(":", "run", "r").alias("run"), F.col("run").alias("chrom"), "start", "end", F.lit(None).cast("string").alias("name"), F.when(F.col("run").endswith("1") | (F.col("start") % 2 == 0), "permutations_inter").otherwise("mask").alias("op")), 9, keys=("run",), binsize=12
+    ).drop("chrom").withColumn("bin_order", F.array_join("bin_order", ","))
+)
+_TRIES = f"{V.MUTATIONS}, tr AS (SELECT run, k::INT AS attempt, start + {H('run || start || k')} % 2000 AS start, start + {H('run || start || k')} % 2000 + (\"end\" - start) // 12 AS \"end\" FROM (SELECT DISTINCT * FROM m), range(6) t(k))"
+query("smp09_first_valid", f"""WITH {_TRIES}, x AS (SELECT run, attempt, coalesce(start < max("end") OVER (PARTITION BY run, attempt ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS bad FROM tr),
+ok AS (SELECT run, min(attempt) AS attempt FROM (SELECT run, attempt FROM x GROUP BY ALL HAVING NOT bool_or(bad)) GROUP BY run) SELECT run, attempt, start, "end" FROM tr JOIN ok USING (run, attempt)""")(
+    lambda s, d: (lambda m, u: nullmodel.first_valid(m.select("run", "attempt", (F.col("start") + u).alias("start"), (F.col("start") + u + F.floor((F.col("end") - F.col("start")) / 12)).alias("end")), ("run",), strict=False))(
+        V.mutations(s, d).distinct().withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(5)))), sequence.draw(F.concat("run", F.col("start").cast("string"), F.col("attempt").cast("string"))) % 2000)
 )
 query("prj10_matrix_kind", f"WITH {OE} SELECT run, i, j, CASE WHEN run = 'R' THEN 'obs_o_exp' ELSE 'log_obs_o_exp' END AS kind, round(CASE WHEN run = 'R' THEN value ELSE ln(value) END, 6) AS value FROM oe")(
     lambda s, d: contacts.for_use(V.contacts(s, d), F.when(F.col("run") == "R", "plain").when(F.col("run") == "N", "measured").otherwise("predicted"), "heatmap")
