@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,32 +24,34 @@ def union_runs(ref: DataFrame, comp: DataFrame) -> DataFrame:
     return ref.withColumn("is_ref", F.lit(True)).unionByName(comp.withColumn("is_ref", F.lit(False)))
 
 
-def phase_to(scores: DataFrame, reference: str) -> DataFrame:
+def phase_to(scores: DataFrame, reference: str, keys: Sequence[str] = ()) -> DataFrame:
     """Runs turned so that each goes up and down with the reference by rank; the reference stays."""
     ref = scores.where(F.col("run") == reference)
-    track = ref.select("bin", F.col("value").alias("track"))
-    rest = phase(scores.where(F.col("run") != reference).select("run", "bin", "value"), track)
-    return ref.select("run", "bin", "value").unionByName(rest)
+    track = ref.select(*keys, "bin", F.col("value").alias("track"))
+    rest = phase(scores.where(F.col("run") != reference).select(*keys, "run", "bin", "value"), track, [*keys, "run"], [*keys, "bin"])
+    return ref.select(*keys, "run", "bin", "value").unionByName(rest)
 
 
-def regress(scores: DataFrame, reference: str, phased: bool = False) -> DataFrame:
+def regress(scores: DataFrame, reference: str, phased: bool = False, keys: Sequence[str] = ()) -> DataFrame:
     """Linear fit of each run on the reference: ``slope, intercept, r, ssd``; pairs with a NULL are left out.
 
-    ``phased`` turns each run towards the reference first.
+    Runs meet the reference of their own ``keys``, such as experiment and resolution.  ``phased`` turns each
+    run towards the reference first.
     """
-    scores = phase_to(scores, reference) if phased else scores
-    ref = scores.where(F.col("run") == reference).select("bin", F.col("value").alias("x"))
-    both = scores.where(F.col("run") != reference).join(ref, "bin").where("value is not null and x is not null")
+    scores = phase_to(scores, reference, keys) if phased else scores
+    ref = scores.where(F.col("run") == reference).select(*keys, "bin", F.col("value").alias("x"))
+    both = scores.where(F.col("run") != reference).join(ref, [*keys, "bin"]).where("value is not null and x is not null")
     ssd = F.expr("regr_syy(value, x) - regr_sxy(value, x) * regr_sxy(value, x) / regr_sxx(value, x)")
-    return both.groupBy("run").agg(F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("intercept"), F.corr("value", "x").alias("r"), ssd.alias("ssd"))
+    return both.groupBy(*keys, "run").agg(F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("intercept"), F.corr("value", "x").alias("r"), ssd.alias("ssd"))
 
 
-def regress_wanted(scores: DataFrame, reference: str, wanted: str) -> DataFrame:
-    """Every run's points with the fit of the wanted run: ``predicted, residual``."""
-    fit = regress(scores.where(F.col("run").isin(reference, wanted)), reference).select("slope", "intercept")
-    ref = scores.where(F.col("run") == reference).select("bin", F.col("value").alias("x"))
-    points = scores.where(F.col("run") != reference).join(ref, "bin").join(F.broadcast(fit))  # a single row
-    return points.select("run", "bin", "x", "value", (F.col("slope") * F.col("x") + F.col("intercept")).alias("predicted"), (F.col("value") - F.col("slope") * F.col("x") - F.col("intercept")).alias("residual"))
+def regress_wanted(scores: DataFrame, reference: str, wanted: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Every run's points with the fit of the wanted run of its ``keys``: ``predicted, residual``."""
+    fit = regress(scores.where(F.col("run").isin(reference, wanted)), reference, keys=keys).select(*keys, "slope", "intercept")
+    ref = scores.where(F.col("run") == reference).select(*keys, "bin", F.col("value").alias("x"))
+    points = scores.where(F.col("run") != reference).join(ref, [*keys, "bin"])
+    points = points.join(fit, list(keys)) if keys else points.join(F.broadcast(fit))  # a single row
+    return points.select(*keys, "run", "bin", "x", "value", (F.col("slope") * F.col("x") + F.col("intercept")).alias("predicted"), (F.col("value") - F.col("slope") * F.col("x") - F.col("intercept")).alias("residual"))
 
 
 def role(run: Column) -> Column:
@@ -178,16 +180,31 @@ def pool_experiments(scores: DataFrame, resolution: str, reference: str, names:
     return name_map(names, out, "hue_name") if names else out
 
 
-def pair_scores(scores: DataFrame, a: str, b: str, check: bool = True, phased: bool = False) -> DataFrame:
-    """Two runs side by side: ``bin, first, second``; runs of different lengths are an error.
+def pool_maps(maps: dict[str, tuple[DataFrame, int]], resolution: str, score: Callable[[DataFrame, int], DataFrame], reference: str, names: str = "") -> DataFrame:
+    """``pool_experiments`` from maps: ``maps`` has for each resolution its contacts and bins, of which one is scored."""
+    found, bins = maps[resolution]
+    return pool_experiments(score(found, bins).withColumn("resolution", F.lit(resolution)), resolution, reference, names)
+
+
+def pair_scores(scores: DataFrame, a: str, b: str, check: bool = True, phased: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+    """Two runs side by side: ``keys, bin, first, second``; runs of different lengths in any of ``keys`` are an error.
 
     ``phased`` turns the second towards the first.
     """
-    scores = phase_to(scores.where(F.col("run").isin(a, b)), a) if phased else scores
+    scores = phase_to(scores.where(F.col("run").isin(a, b)), a, keys) if phased else scores
     left, right = (scores.where(F.col("run") == x) for x in (a, b))
-    if check and left.count() != right.count():
-        raise ValueError("the runs have different numbers of bins")
-    return left.select("bin", F.col("value").alias("first")).join(right.select("bin", F.col("value").alias("second")), "bin")
+    if check:
+        sizes = scores.where(F.col("run").isin(a, b)).groupBy(*keys).agg(F.count_if(F.col("run") == a).alias("n"), F.count_if(F.col("run") == b).alias("m"))
+        if not sizes.where("n <> m").isEmpty():
+            raise ValueError("the runs have different numbers of bins")
+    return left.select(*keys, "bin", F.col("value").alias("first")).join(right.select(*keys, "bin", F.col("value").alias("second")), [*keys, "bin"])
+
+
+def check_headers(predicted: DataFrame, expected: DataFrame, on: str, columns: Sequence[str]) -> DataFrame:
+    """``on, differ``: predictions whose header differs from that of their expected matrix, with the names of the fields; one without an expected matrix differs in all."""
+    other = expected.select(on, *[F.col(c).alias(f"expected_{c}") for c in columns])
+    named = F.filter(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"expected_{c}")), F.lit(c)) for c in columns]), lambda x: x.isNotNull())
+    return predicted.join(other, on, "left").select(on, named.alias("differ")).where(F.size("differ") > 0)
 
 
 def repartition_of_mutations(fractions: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ from .contacts import KEYS, fill_cells, minmax, row_correlation, spine
 
 
 def insulation(contacts: DataFrame, bins: int, w: int = 5, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Mean of the row's cells within ``w`` of the diagonal, times their number; edges and gaps get the map's mean."""
-    band = contacts.where(F.abs(F.col("i") - F.col("j")) <= w).groupBy(*keys, F.col("i").alias("bin")).agg((F.avg("value") * (2 * w + 1)).alias("raw"))
+    """Mean of the row's finite cells within ``w`` of the diagonal, times their number; edges and gaps get the map's mean."""
+    finite = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
+    band = contacts.withColumn("value", finite).where(F.abs(F.col("i") - F.col("j")) <= w).groupBy(*keys, F.col("i").alias("bin")).agg((F.avg("value") * (2 * w + 1)).alias("raw"))
     inner = F.when(F.col("bin").between(w, bins - w - 1), F.col("raw"))
     scored = spine(contacts, bins, keys).join(band, [*keys, "bin"], "left").withColumn("inner", inner)
     return scored.select(*keys, "bin", F.coalesce("inner", F.avg("inner").over(Window.partitionBy(*keys))).alias("value"))
@@ -50,9 +51,9 @@ def pc1(contacts: DataFrame, bins: int, keys: Sequence[str] = KEYS) -> DataFrame
     return contacts.groupBy(*keys).applyInPandas(decompose, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "bin int, value double"]))
 
 
-def phase(scores: DataFrame, track: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Scores times the sign of their rank correlation with a track (``bin, track``)."""
-    both = scores.join(track, "bin").where("value is not null and track is not null")
+def phase(scores: DataFrame, track: DataFrame, keys: Sequence[str] = KEYS, on: Sequence[str] = ("bin",)) -> DataFrame:
+    """Scores times the sign of their rank correlation with a track (``on, track``)."""
+    both = scores.join(track, list(on)).where("value is not null and track is not null")
 
     def rank(c: str):
         same = Window.partitionBy(*keys, c)

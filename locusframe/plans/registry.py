@@ -16,7 +16,7 @@ _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
 C, B, W = V.contacts_sql(), V.BINS, 5
-SIZE, NB = V.MUT_BINSIZE, V.MUT_BINS
+NB = V.MUT_BINS
 
 
 def query(name: str, sql: str | None = None):
@@ -73,8 +73,10 @@ query("mat01_spine", f"WITH {C}, {SPINE} SELECT run, bin FROM sp")(lambda s, d:
 query("mat01_symmetrise", f"WITH {C} SELECT run, i, j, round(value, 6) AS value FROM c WHERE i <= j UNION ALL SELECT run, j, i, value FROM c WHERE i < j")(lambda s, d: contacts.symmetrise(V.contacts(s, d)))
 query("mat03_expected", f"WITH {EXPECT} SELECT run, distance, round(expected, 6) AS expected FROM e")(lambda s, d: contacts.expected_by_distance(V.contacts(s, d)))
 query("mat04_obs_over_exp", f"WITH {OE} SELECT run, i, j, round(value, 6) AS value FROM oe")(lambda s, d: contacts.obs_over_exp(V.contacts(s, d)))
-query("mat05_geometric", f"""WITH {C}, p AS (SELECT *, CASE WHEN i = j THEN -1 ELSE floor(ln(abs(i - j)::DOUBLE) / ln(1.5::DOUBLE) + 1e-9)::INT END AS level FROM c)
-SELECT run, i, j, round(value / (sum(value) OVER w / count(value) OVER w), 6) AS value FROM p WINDOW w AS (PARTITION BY run, level)""")(lambda s, d: contacts.obs_over_exp_geometric(V.contacts(s, d), 1.5))
+query("mat05_geometric", f"""WITH {C}, p AS (SELECT *, CASE WHEN i = j THEN -1 ELSE floor(ln(abs(i - j)::DOUBLE) / ln(1.03::DOUBLE) + 1e-9)::INT END AS level FROM c WHERE i % 9 <> 4 AND j % 9 <> 4 AND i IN (SELECT x.i FROM c x WHERE x.run = c.run AND x.j % 9 <> 4) AND j IN (SELECT x.i FROM c x WHERE x.run = c.run AND x.j % 9 <> 4))
+SELECT run, i, j, round(value / (sum(value) OVER w / count(value) OVER w), 6) AS value FROM p WINDOW w AS (PARTITION BY run, level)""")(
+    lambda s, d: contacts.obs_over_exp_geometric(V.contacts(s, d).withColumn("value", F.when((F.col("i") % 9 != 4) & (F.col("j") % 9 != 4), F.col("value")).otherwise(0.0)))  # every ninth row is empty
+)
 query("prj20_log_obs", f"WITH {C} SELECT run, i, j, round(CASE WHEN value > 0 THEN ln(value) ELSE 0 END, 6) AS value FROM c")(lambda s, d: contacts.log_obs(V.contacts(s, d)))
 query("mat06_reconstruct", f"""WITH {OE}, z AS (SELECT run, distance, CASE WHEN distance % 5 = 3 THEN 0 ELSE expected END AS expected FROM e), f AS (SELECT run, distance, CASE WHEN expected > 0 THEN expected ELSE 0.01::DOUBLE * avg(expected) OVER (PARTITION BY run) END AS expected FROM z)
 SELECT run, i, j, round(value * expected, 6) AS value FROM oe JOIN f USING (run) WHERE distance = abs(i - j)""")(
@@ -86,8 +88,10 @@ SELECT run, i, j, round(value * expected, 6) AS value FROM oe JOIN f USING (run)
 query("prj20_log_oe", f"WITH {OE} SELECT run, i, j, round(CASE WHEN value > 0 THEN ln(value) ELSE 0 END, 6) AS value FROM oe")(lambda s, d: contacts.log_oe(V.contacts(s, d)))
 query("mat07_balance", f"WITH {C}, {V.TRACK} SELECT run, i, j, round(value * x.track * y.track, 6) AS value FROM c JOIN t x ON x.bin = i JOIN t y ON y.bin = j")(lambda s, d: contacts.balance(V.contacts(s, d), V.track(s, d)).select("run", "i", "j", "value"))
 _H = f"least(4, h.i, h.j, {B - 1} - h.i, {B - 1} - h.j)"
-query("mat09_fill_cells", f"""WITH {C}, h AS (SELECT run, i, j, CASE WHEN (i * 3 + j) % 7 = 0 THEN NULL ELSE value END AS value FROM c)
-SELECT h.run, h.i, h.j, round(coalesce(any_value(h.value), avg(n.value)), 6) AS value FROM h LEFT JOIN h n ON h.run = n.run AND CASE WHEN {_H} = 0 THEN abs(h.i - n.i) + abs(h.j - n.j) = 1 ELSE n.i BETWEEN h.i - {_H} AND h.i + {_H} - 1 AND n.j BETWEEN h.j - {_H} AND h.j + {_H} - 1 END GROUP BY h.run, h.i, h.j""")(
+query("mat09_fill_cells", f"""WITH {C}, h AS (SELECT run, i, j, CASE WHEN (i * 3 + j) % 7 = 0 THEN NULL ELSE value END AS value FROM c), st AS (SELECT a::INT AS a, b::INT AS b FROM range(-4, 4) x(a), range(-4, 4) y(b)),
+o AS (SELECT h.run, h.i, h.j, h.i + a AS ni, h.j + b AS nj FROM h, st WHERE h.value IS NULL AND CASE WHEN {_H} = 0 THEN abs(a) + abs(b) = 1 ELSE a BETWEEN -{_H} AND {_H} - 1 AND b BETWEEN -{_H} AND {_H} - 1 END),
+f AS (SELECT o.run, o.i, o.j, avg(n.value) AS mean FROM o JOIN h n ON n.run = o.run AND n.i = ni AND n.j = nj GROUP BY ALL)
+SELECT h.run, h.i, h.j, round(coalesce(value, mean), 6) AS value FROM h LEFT JOIN f USING (run, i, j)""")(
     lambda s, d: contacts.fill_cells(V.contacts(s, d).withColumn("value", F.when((F.col("i") * 3 + F.col("j")) % 7 != 0, F.col("value"))), B)
 )
 query("mat10_fill_bins", f"""WITH {INS}, h AS (SELECT run, bin, CASE WHEN bin % 6 NOT IN (0, 2) THEN value END AS value FROM ins), k AS (SELECT *, least(bin, {B - 1} - bin) AS inner_ FROM h)
@@ -185,17 +189,62 @@ query("cmp13_pair_order", f"WITH {V.MUTATIONS}, n AS (SELECT DISTINCT 'exp' || s
     lambda s, d: compare.pair_order(compare.relabel_experiments(V.mutations(s, d).withColumn("experiment", F.concat(F.lit("exp"), F.col("start") % 12))))
 )
 query("cmp08_consistency", "SELECT o_orderpriority AS chrom, count(DISTINCT o_orderstatus) AS n_o_orderstatus FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")(lambda s, d: compare.check_consistency(V.table(s, d, "orders").withColumnRenamed("o_orderpriority", "chrom"), ["chrom"], ["o_orderstatus"]))
-#: Experiments and resolutions of the score tables: bins of one parity are an experiment, and each bin has one of three resolutions.
-_LEVELS = ["1Mb", "4Mb", "8Mb"]
-SWEEP = f"{ALL_SCORES}, sw AS (SELECT 'exp' || (bin % 2) AS experiment, ({_LEVELS})[bin % 3 + 1] AS resolution, * FROM al)"
+#: Maps of a sweep: their experiments, and the bins a side at each resolution.
+EXPERIMENTS, SIDES = 2, {"2Mb": 100, "4Mb": 50, "8Mb": 25}
+
+
+def _sweep_sql() -> str:
+    """``sw``: insulation of every experiment, resolution and run, and its square as a second score."""
+    steps = []
+    for r, b in SIDES.items():
+        steps.append(f"""b{r} AS (SELECT l_orderkey AS o, l_returnflag AS run, CAST(floor(l_partkey * {b} / (SELECT count(*) FROM part)) AS INT) AS bin FROM lineitem),
+c{r} AS (SELECT 'exp' || (x.o % {EXPERIMENTS}) AS experiment, x.run, x.bin AS i, y.bin AS j, count(*)::DOUBLE AS value FROM b{r} x JOIN b{r} y ON x.o = y.o AND x.run = y.run GROUP BY ALL),
+w{r} AS (SELECT experiment, run, i AS bin, avg(value) * {2 * W + 1} AS raw FROM c{r} WHERE abs(i - j) <= {W} GROUP BY ALL),
+n{r} AS (SELECT k.experiment, k.run, r.bin::INT AS bin, CASE WHEN r.bin BETWEEN {W} AND {b - W - 1} THEN raw END AS x FROM (SELECT DISTINCT experiment, run FROM c{r}) k, range({b}) r(bin) LEFT JOIN w{r} w ON w.experiment = k.experiment AND w.run = k.run AND w.bin = r.bin),
+s{r} AS (SELECT experiment, '{r}' AS resolution, run, bin, coalesce(x, avg(x) OVER (PARTITION BY experiment, run)) AS value FROM n{r})""")
+    both = " UNION ALL ".join(f"SELECT * FROM s{r}" for r in SIDES)
+    return ", ".join(steps) + f", un AS MATERIALIZED ({both}), sw AS (SELECT *, 'insulation' AS score_type FROM un UNION ALL SELECT experiment, resolution, run, bin, value * value, 'PC1' FROM un)"
+
+
+SWEEP = _sweep_sql()
+_MAP = ["experiment", "run"]
+
+
+def _sweep_maps(s, d):
+    return {r: (V.contacts(s, d, b, EXPERIMENTS), b) for r, b in SIDES.items()}
+
+
+def _map_scores(c, b):
+    ins = scores.insulation(c, b, W, _MAP)
+    return scores.all_scores({"insulation": ins, "PC1": ins.withColumn("value", F.col("value") * F.col("value"))}, _MAP)
 
 
 def _sweep(s, d):
-    return _all_scores(s, d).select(F.concat(F.lit("exp"), F.col("bin") % 2).alias("experiment"), F.get(F.array(*map(F.lit, _LEVELS)), F.col("bin") % 3).alias("resolution"), "*")
+    parts = [_map_scores(c, b).select("experiment", F.lit(r).alias("resolution"), "run", "bin", "value", "score_type") for r, (c, b) in _sweep_maps(s, d).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
-query("prj09_select_runs", f"WITH {SWEEP} SELECT experiment, resolution, run, bin, round(value, 6) AS value, score_type FROM sw WHERE run IN ('A', 'N') AND resolution IN ('1Mb', '8Mb') AND (score_type = 'PC1') = (resolution = '8Mb') OR run IN ('A', 'N') AND score_type = 'insulation' AND resolution = '4Mb'")(lambda s, d: compare.select_runs(_sweep(s, d), ["A", "N"]))
-query("cmp12_pool_experiments", f"WITH {SWEEP} SELECT x.experiment, CASE x.experiment WHEN 'exp1' THEN 'odd' ELSE x.experiment END AS hue_name, x.score_type, x.run, x.bin, round(x.value - y.value, 6) AS value FROM sw x JOIN sw y USING (experiment, score_type, bin) WHERE x.resolution = '4Mb' AND y.resolution = '4Mb' AND x.run <> 'N' AND y.run = 'N'")(lambda s, d: compare.pool_experiments(_sweep(s, d), "4Mb", "N", "exp1:odd"))
+_LEVEL = ["experiment", "resolution"]
+LEVELS = f"{SWEEP}, lv AS (SELECT x.experiment, x.resolution, x.run, x.bin, x.value, y.value AS reference FROM un x JOIN un y USING (experiment, resolution, bin) WHERE x.run <> 'N' AND y.run = 'N')"
+query("prj09_select_runs", f"WITH {SWEEP} SELECT experiment, resolution, run, bin, round(value, 6) AS value, score_type FROM sw WHERE run IN ('A', 'N') AND (score_type = 'PC1') = (resolution = '8Mb')")(lambda s, d: compare.select_runs(_sweep(s, d), ["A", "N"]))
+query("cmp04_regress_levels", f"WITH {LEVELS} SELECT experiment, resolution, run, round(regr_slope(value, reference), 6) AS slope, round(regr_intercept(value, reference), 6) AS intercept, round(corr(value, reference), 6) AS r, round(regr_syy(value, reference) - regr_sxy(value, reference) ^ 2 / regr_sxx(value, reference), 6) AS ssd FROM lv GROUP BY ALL")(
+    lambda s, d: compare.regress(_sweep(s, d).where("score_type = 'insulation'"), "N", keys=_LEVEL)
+)
+query("cmp05_regress_wanted_levels", f"WITH {LEVELS}, f AS (SELECT experiment, resolution, {FIT} FROM lv WHERE run = 'A' GROUP BY ALL) SELECT experiment, resolution, run, bin, round(reference, 6) AS x, round(value, 6) AS value, round(slope * reference + intercept, 6) AS predicted, round(value - slope * reference - intercept, 6) AS residual FROM lv JOIN f USING (experiment, resolution)")(
+    lambda s, d: compare.regress_wanted(_sweep(s, d).where("score_type = 'insulation'"), "N", "A", keys=_LEVEL)
+)
+query("cmp14_pair_levels", f"WITH {SWEEP} SELECT experiment, resolution, bin, round(x.value, 6) AS first, round(y.value, 6) AS second FROM un x JOIN un y USING (experiment, resolution, bin) WHERE x.run = 'N' AND y.run = 'A'")(
+    lambda s, d: compare.pair_scores(_sweep(s, d).where("score_type = 'insulation'"), "N", "A", keys=_LEVEL)
+)
+query("cmp12_pool_experiments", f"WITH {SWEEP} SELECT x.experiment, CASE x.experiment WHEN 'exp1' THEN 'odd' ELSE x.experiment END AS hue_name, x.score_type, x.run, x.bin, round(x.value - y.value, 6) AS value FROM sw x JOIN sw y USING (experiment, resolution, score_type, bin) WHERE resolution = '4Mb' AND x.run <> 'N' AND y.run = 'N'")(
+    lambda s, d: compare.pool_maps(_sweep_maps(s, d), "4Mb", _map_scores, "N", "exp1:odd")
+)
+query("cmp08_headers", """WITH l AS (SELECT l_orderkey, min(l_linestatus) AS status, count(*) AS n FROM lineitem GROUP BY 1), x AS (SELECT o_orderkey, o_orderstatus IS DISTINCT FROM status AS a, (o_custkey % 7) IS DISTINCT FROM n AS b FROM orders LEFT JOIN l ON o_orderkey = l_orderkey)
+SELECT o_orderkey AS path, array_to_string([CASE WHEN a THEN 'status' END, CASE WHEN b THEN 'n' END], ',') AS differ FROM x WHERE a OR b""")(
+    lambda s, d: compare.check_headers(
+        V.table(s, d, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 7).alias("n")), V.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("path")).agg(F.min("l_linestatus").alias("status"), F.count("*").alias("n")), "path", ["status", "n"]
+    ).withColumn("differ", F.array_join("differ", ","))
+)
 
 # Intervals.
 IV = f"{V.INTERVALS}"
@@ -220,12 +269,17 @@ ON = "v.chrom = d.chrom AND v.start < d.\"end\" AND d.start < v.\"end\""
 query("int03_exclude", f"WITH {IV}, {V.DOMAINS} SELECT chrom, start, \"end\", name FROM v WHERE NOT EXISTS (SELECT 1 FROM d WHERE {ON})")(lambda s, d: intervals.exclude(V.intervals(s, d).select(*_cols), V.domains(s, d)))
 query("int04_include", f"WITH {IV}, {V.DOMAINS} SELECT chrom, start, \"end\", name FROM v WHERE EXISTS (SELECT 1 FROM d WHERE v.chrom = d.chrom AND d.start <= v.start AND v.\"end\" <= d.\"end\")")(lambda s, d: intervals.include(V.intervals(s, d).select(*_cols), V.domains(s, d)))
 query("int05_overlap_join", f"WITH {IV}, {V.DOMAINS} SELECT v.chrom, v.start, v.\"end\", name, d.start AS ostart, d.\"end\" AS oend FROM v JOIN d ON {ON}")(lambda s, d: intervals.overlap_join(V.intervals(s, d).select(*_cols), V.domains(s, d)).select(*_cols, "ostart", "oend"))
-MB = f"{V.MUTATIONS}, k AS (SELECT m.*, unnest(range(floor(start / {SIZE})::BIGINT, floor((\"end\" - 1) / {SIZE})::BIGINT + 1)) AS bin FROM m), kk AS (SELECT * FROM k WHERE bin BETWEEN 0 AND {NB - 1}), msp AS (SELECT run, bin::BIGINT AS bin FROM (SELECT DISTINCT run FROM m), range({NB}) r(bin))"
-_mut = (0, SIZE, NB)
-FRACTION = f"{MB}, fr AS (SELECT msp.run, msp.bin, coalesce(sum(least(\"end\", (kk.bin + 1) * {SIZE}) - greatest(start, kk.bin * {SIZE})), 0) / {float(SIZE)} AS value FROM msp LEFT JOIN kk USING (run, bin) GROUP BY ALL)"
-query("int06_fraction", f"WITH {FRACTION} SELECT run, bin, round(value, 6)::DOUBLE AS value FROM fr")(lambda s, d: intervals.mutated_fraction(V.mutations(s, d), *_mut))
-query("int07_counts", f"WITH {MB} SELECT run, bin, count(*) AS n FROM kk GROUP BY ALL")(lambda s, d: intervals.mutation_counts(V.mutations(s, d), *_mut))
-query("int08_nearest", f"""WITH {MB}, ed AS (SELECT run, floor(start / {SIZE})::BIGINT AS e FROM m UNION SELECT run, floor("end" / {SIZE})::BIGINT FROM m) SELECT run, bin, min(abs(bin - e)) AS distance FROM msp JOIN ed USING (run) GROUP BY ALL""")(lambda s, d: intervals.nearest_distance(V.mutations(s, d), *_mut))
+MB = f"{V.MUTATIONS}, zz AS (SELECT {V.mutation_binsize_sql()} AS z), k AS (SELECT m.*, z, unnest(range(floor(start / z)::BIGINT, floor((\"end\" - 1) / z)::BIGINT + 1)) AS bin FROM m, zz), kk AS (SELECT * FROM k WHERE bin BETWEEN 0 AND {NB - 1}), msp AS (SELECT run, bin::BIGINT AS bin FROM (SELECT DISTINCT run FROM m), range({NB}) r(bin))"
+
+
+def _mut(s, d):
+    return 0, V.mutation_binsize(s, d), NB
+
+
+FRACTION = f"{MB}, fr AS (SELECT msp.run, msp.bin, coalesce(sum(least(\"end\", (kk.bin + 1) * z) - greatest(start, kk.bin * z)), 0) / (SELECT z FROM zz)::DOUBLE AS value FROM msp LEFT JOIN kk USING (run, bin) GROUP BY ALL)"
+query("int06_fraction", f"WITH {FRACTION} SELECT run, bin, round(value, 6)::DOUBLE AS value FROM fr")(lambda s, d: intervals.mutated_fraction(V.mutations(s, d), *_mut(s, d)))
+query("int07_counts", f"WITH {MB} SELECT run, bin, count(*) AS n FROM kk GROUP BY ALL")(lambda s, d: intervals.mutation_counts(V.mutations(s, d), *_mut(s, d)))
+query("int08_nearest", f"""WITH {MB}, ed AS (SELECT run, floor(start / z)::BIGINT AS e FROM m, zz UNION SELECT run, floor("end" / z)::BIGINT FROM m, zz) SELECT run, bin, min(abs(bin - e)) AS distance FROM msp JOIN ed USING (run) GROUP BY ALL""")(lambda s, d: intervals.nearest_distance(V.mutations(s, d), *_mut(s, d)))
 query("int09_mutated_bp", f"WITH {V.MUTATIONS} SELECT run, sum(\"end\" - start + 1)::BIGINT AS bp FROM m WHERE start >= 1000 AND \"end\" <= 100000 GROUP BY run")(lambda s, d: intervals.mutated_bp(V.mutations(s, d), 1000, 100000, closed=True))
 query("int10_assign_bins", f"""WITH {IV}, a AS (SELECT name, start, "end", CASE WHEN floor(start / 250) = floor(("end" - 1) / 250) OR ((floor(start / 250) + 1) * 250 - start) * 2 >= "end" - start THEN floor(start / 250)::BIGINT ELSE floor(("end" - 1) / 250)::BIGINT END AS bin FROM v)
 SELECT name, start, "end", bin, greatest(0, bin * 250 - start) AS spill_left, greatest(0, "end" - (bin + 1) * 250) AS spill_right FROM a""")(lambda s, d: intervals.assign_bins(V.intervals(s, d).select("name", "start", "end"), 250))
@@ -236,11 +290,11 @@ query("int11_in_region", f"WITH {V.DOMAINS}, e AS (SELECT n_nationkey AS experim
     ).select(F.col("n_name").alias("experiment"))
 )
 query("prj06_in_region", f"WITH {IV} SELECT name, \"end\" BETWEEN 50000 AND 700000 AS share, start BETWEEN 50000 AND 700000 AND \"end\" BETWEEN 50000 AND 700000 AS bases FROM v")(lambda s, d: V.intervals(s, d).select("name", intervals.in_region(50_000, 700_000).alias("share"), intervals.in_region(50_000, 700_000, "both").alias("bases")))
-query("int12_mutated_bins", f"WITH {MB} SELECT DISTINCT run, bin FROM kk")(lambda s, d: intervals.mutated_bins(V.mutations(s, d), *_mut))
+query("int12_mutated_bins", f"WITH {MB} SELECT DISTINCT run, bin FROM kk")(lambda s, d: intervals.mutated_bins(V.mutations(s, d), *_mut(s, d)))
 query("int13_oversize", f"WITH {IV} SELECT chrom, max(\"end\" - start) AS longest, max(\"end\" - start) > 250 AS too_long FROM v GROUP BY chrom")(lambda s, d: intervals.oversize(V.intervals(s, d), 250))
 query("cmp09_equal_bp", f"WITH {V.MUTATIONS}, z AS (SELECT run, sum(\"end\" - start)::BIGINT AS bp FROM m GROUP BY run) SELECT 'all' AS experiment, min(bp) AS low, max(bp) AS high FROM z HAVING min(bp) <> max(bp)")(lambda s, d: compare.check_equal(intervals.mutated_bp(V.mutations(s, d), -1, 1 << 60).withColumn("experiment", F.lit("all")), "bp", ["experiment"]))
 query("cmp06_run_set", f"WITH {V.MUTATIONS}, x AS (SELECT DISTINCT run, 'e' || start // 4000 AS experiment FROM m) SELECT experiment, count(*) FILTER (run = 'Wtd_mut') AS wanted, count(*) FILTER (run <> 'Wtd_mut') AS random, 0::BIGINT AS others FROM x GROUP BY experiment HAVING wanted <> 1 OR random < 1")(lambda s, d: compare.check_run_set(V.mutations(s, d).select("run", F.concat(F.lit("e"), F.floor(F.col("start") / 4000)).alias("experiment")).distinct()))
-query("cmp15_repartition", f"WITH {FRACTION} SELECT run, bin, round(value, 6)::DOUBLE AS value, CASE WHEN run = 'Wtd_mut' THEN 'wtd' ELSE 'rdm' END AS role, round(max(value) OVER (), 6)::DOUBLE AS most FROM fr")(lambda s, d: compare.repartition_of_mutations(intervals.mutated_fraction(V.mutations(s, d), *_mut)))
+query("cmp15_repartition", f"WITH {FRACTION} SELECT run, bin, round(value, 6)::DOUBLE AS value, CASE WHEN run = 'Wtd_mut' THEN 'wtd' ELSE 'rdm' END AS role, round(max(value) OVER (), 6)::DOUBLE AS most FROM fr")(lambda s, d: compare.repartition_of_mutations(intervals.mutated_fraction(V.mutations(s, d), *_mut(s, d))))
 query("prj08_merge_runs", f"WITH {V.MUTATIONS} SELECT CASE WHEN run LIKE '%Rdm%' THEN 'merged_Rdm' ELSE run END AS run, run AS run_name, start, \"end\" FROM m")(lambda s, d: compare.merge_runs(V.mutations(s, d), "Rdm"))
 
 # Sequences.
@@ -341,21 +395,21 @@ SELECT chrom, start, "end", id AS name FROM kept""")(
 # Coarse maps, analysis tables and checks of mutations.
 query("mat08_coarsegrain", f"""WITH {C}, k AS (SELECT run, i, j, l::INT AS level, i // (2 ** l)::INT AS bi, j // (2 ** l)::INT AS bj, value FROM c, range(5) t(l)), n AS (SELECT run, level, bi, bj, avg(value) AS mean, sum(value) AS cnt FROM k GROUP BY ALL)
 SELECT run, i, j, round(min_by(mean, CASE WHEN cnt >= 40 THEN level END), 6) AS value FROM k JOIN n USING (run, level, bi, bj) GROUP BY run, i, j""")(lambda s, d: contacts.coarsegrain(V.contacts(s, d).withColumn("raw", F.col("value")), 40, 5))
-_WIDE = SIZE * NB // B
+_WIDE = V.mutation_binsize_sql(B)
 NEAR = f"{V.MUTATIONS}, big AS (SELECT * FROM m WHERE run = 'Wtd_mut' AND \"end\" - start >= 576), eb AS (SELECT floor(start / {_WIDE})::BIGINT AS e FROM big UNION SELECT floor(\"end\" / {_WIDE})::BIGINT FROM big), nd AS (SELECT b::INT AS bin, min(abs(b - e)) AS distance FROM range({B}) t(b), eb GROUP BY b)"
 LONG = f"{DEV}, {NEAR}, lt AS (SELECT run AS name, '32Mb' AS resolution, 'insulation' AS score_type, bin, deviation AS \"values\", reference, distance AS mutation_distance FROM dev LEFT JOIN nd USING (bin))"
 
 
 def _long(s, d):
     big = V.mutations(s, d).where("run = 'Wtd_mut' and end - start >= 576")
-    return compare.analysis_table(_deviation(s, d), intervals.nearest_distance(big, 0, _WIDE, B), "insulation", "32Mb")
+    return compare.analysis_table(_deviation(s, d), intervals.nearest_distance(big, 0, V.mutation_binsize(s, d, B), B), "insulation", "32Mb")
 
 
 query("cmp03_analysis_table", f"WITH {LONG} SELECT name, resolution, score_type, bin, round(\"values\", 6) AS \"values\", round(reference, 6) AS reference, mutation_distance FROM lt")(_long)
 query("cmp11_dispersion_by_distance", f"""WITH {LONG} SELECT name, mutation_distance, {', '.join(f'round(quantile_cont("values", {p}), 6) AS p{round(p * 1000):03d}' for p in (.125, .25, .5, .75, .875))},
 round(min("values"), 6) AS low, round(max("values"), 6) AS high, round(avg("values"), 6) AS mean, round(stddev_samp("values"), 6) AS sd, count("values") AS n FROM lt GROUP BY ALL""")(lambda s, d: compare.dispersion_by_distance(_long(s, d)))
-query("cmp16_bp_report", f"WITH {V.MUTATIONS}, r AS (SELECT run, sum(\"end\" - start)::BIGINT AS bp FROM m WHERE start >= 0 AND \"end\" <= 1000000 AND run <> 'Wtd_mut' GROUP BY run) SELECT run, bp, CASE WHEN bp > 1e6 THEN printf('%.1f', bp / 1e6) || 'Mb' WHEN bp > 1e3 THEN printf('%.1f', bp / 1e3) || 'kb' ELSE bp || 'pb' END AS readable FROM r")(
-    lambda s, d: compare.bp_report(intervals.mutated_bp(V.mutations(s, d), 0, 1000000))
+query("cmp16_bp_report", f"WITH {V.MUTATIONS}, r AS (SELECT run, sum(\"end\" - start)::BIGINT AS bp FROM m WHERE start >= 0 AND \"end\" <= (SELECT max(\"end\") FROM m) AND run <> 'Wtd_mut' GROUP BY run) SELECT run, bp, CASE WHEN bp > 1e6 THEN printf('%.1f', bp / 1e6) || 'Mb' WHEN bp > 1e3 THEN printf('%.1f', bp / 1e3) || 'kb' ELSE bp || 'pb' END AS readable FROM r")(
+    lambda s, d: compare.bp_report(intervals.mutated_bp(V.mutations(s, d), 0, V.mutation_binsize(s, d, 1)))
 )
 query("prj18_numeric", "SELECT o_orderkey, try_cast(o_orderpriority AS DOUBLE) AS p, try_cast(o_custkey AS DOUBLE) AS c, (o_orderpriority IS NOT NULL AND try_cast(o_orderpriority AS DOUBLE) IS NULL)::INT AS bad FROM orders")(
     lambda s, d: compare.ensure_numeric(V.table(s, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("p"), F.col("o_custkey").cast("string").alias("c")), ["p", "c"])

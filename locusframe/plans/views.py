@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BINS = 25  # of a contact map
-MUT_BINS, MUT_BINSIZE = 250, 512
+BINS = 100  # of a contact map
+MUT_BINS = 250  # over the whole range of mutations, whatever it is
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def contacts(spark: SparkSession, sf_dir: str, bins: int = BINS) -> DataFrame:
-    """Two lines of one order in the same run (return flag; N is the reference) are a contact of their parts' bins."""
+def contacts(spark: SparkSession, sf_dir: str, bins: int = BINS, experiments: int = 0) -> DataFrame:
+    """Two lines of one order in the same run (return flag; N is the reference) are a contact of their parts' bins.
+
+    Orders are dealt to so many ``experiments``, if any.
+    """
     parts = table(spark, sf_dir, "part").agg(F.count("*")).scalar()
     at = F.floor(F.col("l_partkey") * bins / parts).cast("int")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("run"), at.alias("i"))
     pairs = lines.join(lines.withColumnRenamed("i", "j"), ["l_orderkey", "run"])
-    return pairs.groupBy("run", "i", "j").agg(F.count("*").cast("double").alias("value"))
+    keys = [F.concat(F.lit("exp"), F.col("l_orderkey") % experiments).alias("experiment")] if experiments else []
+    return pairs.groupBy(*keys, "run", "i", "j").agg(F.count("*").cast("double").alias("value"))
 
 
 def contacts_sql(bins: int = BINS) -> str:
@@ -62,6 +66,15 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(run.alias("run"), start.alias("start"), (start + F.col("p_size") * 12).alias("end"))
 
 
+def mutation_binsize(spark: SparkSession, sf_dir: str, bins: int = MUT_BINS) -> int:
+    """Width of ``bins`` bins that reach the end of the last mutation."""
+    return int(mutations(spark, sf_dir).agg(F.ceil(F.max("end") / bins)).first()[0])
+
+
+def mutation_binsize_sql(bins: int = MUT_BINS) -> str:
+    return f'(SELECT ceil(max("end") / {bins}.0)::BIGINT FROM m)'
+
+
 MUTATIONS = r"""m AS (SELECT CASE WHEN p_brand = 'Brand#1' THEN 'Wtd_mut' ELSE 'Rdm_mut_' || regexp_extract(p_brand, '(\d+)$', 1) END AS run, p_partkey * 64 + p_size * 3 AS start, p_partkey * 64 + p_size * 15 AS "end" FROM part)"""
 
 
