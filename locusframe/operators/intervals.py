@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from locusframe.functions.scan import dealt, running, scanned
 
 
-def rebase(df: DataFrame, chrom: str, start: int, end: int, rename: str = "fake_{}") -> DataFrame:
-    """Intervals inside a region, relative to its start, on a chromosome named by ``rename``, such as ``fake_chr({})``."""
-    inside = df.where((F.col("chrom") == chrom) & (F.col("start") >= start) & (F.col("end") <= end))
+def rebase(df: DataFrame, chrom: str, start: int, end: int, rename: str = "fake_{}", closed: bool = True) -> DataFrame:
+    """Intervals inside a region, relative to its start, on a chromosome named by ``rename``, such as ``fake_chr({})``.
+
+    An interval may touch the region's ends, unless they are not ``closed``.
+    """
+    low, high = (F.col("start") >= start, F.col("end") <= end) if closed else (F.col("start") > start, F.col("end") < end)
+    inside = df.where((F.col("chrom") == chrom) & low & high)
     return inside.withColumns({"chrom": F.lit(rename.format(chrom)), "start": F.col("start") - start, "end": F.col("end") - start})
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .contacts import KEYS, fill_cells, minmax, row_correlation, spine
+from .contacts import KEYS, fill_cells, fill_neighbours, minmax, row_correlation, spine
 
 
 def insulation(contacts: DataFrame, bins: int, w: int = 5, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -34,21 +34,28 @@ def insulation_correl(contacts: DataFrame, bins: int, w: int = 5, keys: Sequence
 def pc1(contacts: DataFrame, bins: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Unit eigenvector of ``value - 1`` whose eigenvalue is largest in size; its largest entry is positive.
 
-    A map of ``bins`` squared cells is decomposed as a whole in one task; all maps of a table run
-    side by side.  Absent and NULL cells count as 0 after the subtraction; fill them before.
+    Bins without any contact are masked: they take no part and then get the mean of the bins around them
+    (``fill_neighbours``).  A map of ``bins`` squared cells is decomposed as a whole in one task; all maps of a table run
+    side by side.  Other absent and NULL cells count as 0 after the subtraction; fill them before.
     """
     kinds = {f.name: f.dataType.simpleString() for f in contacts.schema.fields}
 
     def decompose(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((bins, bins))
+        a, seen = np.zeros((bins, bins)), np.zeros(bins, dtype=bool)
         filled = pdf[pdf["value"].notna()]
-        a[filled["i"].to_numpy(), filled["j"].to_numpy()] = filled["value"].to_numpy() - 1
-        values, vectors = np.linalg.eigh((a + a.T) / 2)
-        v = vectors[:, np.argmax(np.abs(values))]
-        v = v * np.sign(v[np.argmax(np.abs(v))])
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "bin": np.arange(bins), "value": v})
-
-    return contacts.groupBy(*keys).applyInPandas(decompose, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "bin int, value double"]))
+        i, j, x = filled["i"].to_numpy(), filled["j"].to_numpy(), filled["value"].to_numpy()
+        a[i, j] = x - 1
+        seen[i[x != 0]] = seen[j[x != 0]] = True
+        out = np.full(bins, np.nan)
+        if seen.any():
+            part = a[np.ix_(seen, seen)]
+            values, vectors = np.linalg.eigh((part + part.T) / 2)
+            v = vectors[:, np.argmax(np.abs(values))]
+            out[seen] = v * np.sign(v[np.argmax(np.abs(v))])
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "bin": np.arange(bins), "value": out})
+
+    found = contacts.groupBy(*keys).applyInPandas(decompose, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "bin int, value double"]))
+    return fill_neighbours(found.withColumn("value", F.nanvl("value", F.lit(None).cast("double"))), bins, keys)
 
 
 def phase(scores: DataFrame, track: DataFrame, keys: Sequence[str] = KEYS, on: Sequence[str] = ("bin",)) -> DataFrame:

@@ -132,7 +132,7 @@ def mutate(df: DataFrame, key: Column, binsize: int = 128_000, seed: int = 0, gr
     reason = F.when(~F.coalesce(op.isin(*OPERATIONS), F.lit(False)), "unknown operation").when((op == "insertion") & ~F.coalesce(valid, F.lit(False)), "invalid insertion").when((op == "permutations_inter") & pieces.isNull(), "bin size does not divide the interval")
     alone = df.where(~moved).withColumns({"variant_seq": new, "reason": reason, "bin_order": order})
     # The next interval in a drawn order gives its letters; the first gives them to the last.
-    along = Window.partitionBy(*group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *group, "start")), "start")
+    along = Window.partitionBy(*group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *group, "start")), "start", *[c for c in ("seq_id",) if c in df.columns])
     donor = F.coalesce(F.lead("ref_seq").over(along), F.first("ref_seq").over(along))
     exchanged = df.where(moved).withColumns({"variant_seq": donor, "reason": F.lit(None).cast("string"), "bin_order": F.lit(None).cast("array<int>")})
     return alone.unionByName(exchanged)

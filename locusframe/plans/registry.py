@@ -329,6 +329,27 @@ query("seq09_splice_chunks", f"WITH {VAR}, z AS (SELECT seq_id, left(seq, a::INT
     lambda s, d: (lambda m: sequence.splice_chunks(sequence.chunked(m[0], 64), m[1].withColumn("variant_seq", F.when(F.col("seq_id") % 2 == 0, F.concat("variant_seq", F.lit("ACGT"))).otherwise(F.substring("variant_seq", 1, 3))), 64))(_mutated(s, d))
 )
 query("seq08_counts", f"WITH {VAR} SELECT (['mask', 'inversion', 'insertion'])[seq_id % 3 + 1] AS op, count(*) AS applied, 0::BIGINT AS rejected FROM va GROUP BY ALL")(lambda s, d: sequence.mutation_counts(_mutated(s, d)[1], ()))
+_SIX = ["mask", "inversion", "shuffle", "insertion", "permutations_inter", "permutations_intra", "insertion", "deletion"]
+
+
+def _six(s, d):
+    """Mutations of every operation, of one that is unknown and of an insertion that is no sequence; exchanges within every third sequence."""
+    seqs = V.sequences(s, d).where(F.length("seq") >= 8)
+    a, b = F.floor(F.length("seq") / 4).cast("int"), (F.floor(F.length("seq") / 4) + F.floor(F.length("seq") / 16) * 4 + 2 * (F.col("seq_id") % 2)).cast("int")
+    op = F.get(F.array(*map(F.lit, _SIX)), (F.col("seq_id") % 8).cast("int"))
+    rows = seqs.select("seq_id", (F.col("seq_id") % 3).alias("set"), a.alias("start"), b.alias("end"), F.substr("seq", a + 1, b - a).alias("ref_seq"), op.alias("op"), F.when(F.col("seq_id") % 8 == 6, "AXE").otherwise("AC").alias("sequence"), F.lit("-").alias("strand"))
+    return sequence.mutate(rows.where("end > start"), F.col("seq_id").cast("string"), binsize=4, seed=11, group=("set",))
+
+
+_ORDER = "list_sort(list_transform(range(n // 4), lambda b: md5(seq_id || ':' || b) || lpad(b::VARCHAR, 9, '0')))"
+SIX = f"""{Q}, mu AS (SELECT seq_id, seq_id % 3 AS grp, ({_SIX})[seq_id % 8 + 1] AS op, length(seq) // 4 AS a, length(seq) // 16 * 4 + 2 * (seq_id % 2) AS n, seq FROM q WHERE length(seq) >= 8), re AS (SELECT * EXCLUDE (seq), substr(seq, a + 1, n) AS ref FROM mu WHERE n > 0),
+ex AS (SELECT seq_id, coalesce(lead(ref) OVER o, first_value(ref) OVER o) AS donor FROM re WHERE op = 'permutations_intra' WINDOW o AS (PARTITION BY grp ORDER BY md5('11:' || grp || ':' || a), a, seq_id)),
+six AS (SELECT re.seq_id, op, a AS start, a + n AS "end", CASE WHEN op = 'mask' THEN repeat('N', n) WHEN op = 'inversion' THEN reverse(translate(ref, 'ACGTN', 'TGCAN'))
+WHEN op = 'shuffle' THEN list_reduce(list_transform(list_sort(list_transform(range(1, n + 1), lambda i: md5(re.seq_id || ':' || i) || ref[i])), lambda x: x[33:33]), lambda x, y: x || y)
+WHEN op = 'insertion' AND re.seq_id % 8 = 3 THEN left(repeat('GT', n), n) WHEN op = 'permutations_inter' AND n % 4 = 0 THEN array_to_string(list_transform({_ORDER.replace('seq_id', 're.seq_id')}, lambda x: substr(ref, x[33:]::INT * 4 + 1, 4)), '') WHEN op = 'permutations_intra' THEN donor END AS variant_seq,
+CASE WHEN op = 'deletion' THEN 'unknown operation' WHEN op = 'insertion' AND re.seq_id % 8 = 6 THEN 'invalid insertion' WHEN op = 'permutations_inter' AND n % 4 <> 0 THEN 'bin size does not divide the interval' END AS reason FROM re LEFT JOIN ex USING (seq_id))"""
+query("seq08_six_operations", f"WITH {SIX} SELECT seq_id, op, start::INT AS start, \"end\"::INT AS \"end\", variant_seq, reason FROM six")(lambda s, d: _six(s, d).select("seq_id", "op", "start", "end", "variant_seq", "reason"))
+query("seq08_six_counts", f"WITH {SIX} SELECT op, count(variant_seq) AS applied, count(*) - count(variant_seq) AS rejected FROM six GROUP BY op")(lambda s, d: sequence.mutation_counts(_six(s, d), ()))
 query("seq15_random", f"WITH {V.MUTATIONS}, z AS (SELECT DISTINCT run, start, (\"end\" - start)::INT AS n FROM m) SELECT run, start, list_reduce(list_transform(range(1, n + 1), lambda i: CASE WHEN {H("run || start || ':' || i")} < 0.22 * 4294967296 THEN 'A' WHEN {H("run || start || ':' || i")} < 0.5 * 4294967296 THEN 'C' WHEN {H("run || start || ':' || i")} < 0.78 * 4294967296 THEN 'G' ELSE 'T' END), lambda a, b: a || b) AS seq FROM z")(
     lambda s, d: V.mutations(s, d).select("run", "start", (F.col("end") - F.col("start")).cast("int").alias("n")).distinct().select("run", "start", sequence.random_sequence(F.col("n"), F.concat("run", F.col("start").cast("string"))).alias("seq"))
 )

@@ -18,13 +18,17 @@ def _table(spark: SparkSession, path: str, schema: str, header: bool = True) ->
     return spark.read.csv(path, schema=schema, sep="\t", header=header, comment="#", enforceSchema=False)
 
 
-def read_bed(spark: SparkSession, path: str) -> DataFrame:
-    """``chrom, start, end, name, strand`` of lines with three fields or more; the name defaults to the place, the strand to ``+``."""
+def read_bed(spark: SparkSession, path: str, op: str | None = None, sequence: str = ".") -> DataFrame:
+    """``chrom, start, end, name, strand`` of lines with three fields or more; the name defaults to the place, the strand to ``+``.
+
+    With ``op`` they are mutations: each has that ``op`` and ``sequence``, as ``sequence.mutate`` reads them.
+    """
     fields = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where(~F.trim("value").startswith("#")).select(fields.alias("f")).where(F.size("f") >= 3)
     at = lambda k: F.get("f", F.lit(k))
     named = F.coalesce(at(3), F.concat_ws("_", at(0), at(1), at(2)))
-    return rows.select(at(0).alias("chrom"), at(1).cast("long").alias("start"), at(2).cast("long").alias("end"), named.alias("name"), F.coalesce(at(5), F.lit("+")).alias("strand"))
+    mutation = [F.lit(op).alias("op"), F.lit(sequence).alias("sequence")] if op else []
+    return rows.select(at(0).alias("chrom"), at(1).cast("long").alias("start"), at(2).cast("long").alias("end"), named.alias("name"), F.coalesce(at(5), F.lit("+")).alias("strand"), *mutation)
 
 
 def read_domains(spark: SparkSession, path: str) -> DataFrame:
