@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,20 +119,44 @@ def fill_cells(contacts: DataFrame, bins: int, keys: Sequence[str] = KEYS) -> Da
     return contacts.join(means, [*keys, "i", "j"], "left").select(*keys, "i", "j", F.coalesce("value", "mean").alias("value"))
 
 
-def row_correlation(contacts: DataFrame, bins: int, band: int | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Pearson correlation of map rows; ``band`` keeps rows that close only. Absent cells count as 0."""
-    row = Window.partitionBy(*keys, "i")
-    mean = F.sum("value").over(row) / bins
-    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(row) - mean * mean * bins)
-    rows = contacts.select(*keys, "i", "j", "value", mean.alias("mean"), norm.alias("norm"))
-    left, right = rows.toDF(*keys, "i", "c", "x", "mx", "nx"), rows.toDF(*keys, "j", "c", "y", "my", "ny")
-    if band is None:
-        pairs = left.join(right, [*keys, "c"])
-    else:  # only rows of the band meet
-        around = F.sequence(F.greatest(F.col("i") - band, F.lit(0)), F.least(F.col("i") + band, F.lit(bins - 1)))
-        pairs = left.withColumn("j", F.explode(around)).join(right, [*keys, "c", "j"])
-    sums = pairs.groupBy(*keys, "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.first("mx").alias("mx"), F.first("my").alias("my"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-    return sums.select(*keys, "i", "j", F.try_divide(F.col("xy") - F.col("mx") * F.col("my") * bins, F.col("nx") * F.col("ny")).alias("value"))
+def row_correlation(contacts: DataFrame, bins: int, band: int | None = None, keys: Sequence[str] = KEYS, tile: int = 64) -> DataFrame:
+    """Pearson correlation of map rows that have a column in common; ``band`` keeps rows that close only. Absent cells count as 0.
+
+    Rows are dealt to tiles, and each pair of tiles is multiplied once: a cell goes to the tiles that
+    its own one meets, not to each row.
+    """
+    tiles = -(-bins // tile)
+    reach = tiles - 1 if band is None else min(tiles - 1, -(-band // tile))
+    own = F.floor(F.col("i") / tile).cast("int")
+    partners = F.sequence(F.greatest(own - reach, F.lit(0)), F.least(own + reach, F.lit(tiles - 1)))
+    met = contacts.select(*keys, "i", "j", F.col("value").cast("double").alias("value"), own.alias("_own"), F.explode(partners).alias("_with")).withColumns({"_a": F.least("_own", "_with"), "_b": F.greatest("_own", "_with")})
+    kinds = {f.name: f.dataType.simpleString() for f in contacts.schema.fields}
+
+    def rows(pdf: pd.DataFrame, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        part = pdf[pdf["_own"] == at]
+        x, held = np.zeros((tile, bins)), np.zeros((tile, bins))
+        i, j = part["i"].to_numpy() - at * tile, part["j"].to_numpy()
+        x[i, j], held[i, j] = part["value"].fillna(0.0).to_numpy(), 1
+        mean = x.sum(axis=1) / bins
+        return x, held, mean, np.sqrt(np.maximum((x * x).sum(axis=1) - mean * mean * bins, 0))
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = int(pdf["_a"].iloc[0]), int(pdf["_b"].iloc[0])
+        x, held_x, mx, nx = rows(pdf, a)
+        y, held_y, my, ny = rows(pdf, b)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = (x @ y.T - np.outer(mx, my) * bins) / np.outer(nx, ny)
+        i, j = np.nonzero(held_x @ held_y.T > 0)
+        value, i, j = value[i, j], i + a * tile, j + b * tile
+        if a != b:
+            i, j, value = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([value, value])
+        near = np.abs(i - j) <= (bins if band is None else band)
+        out = pd.DataFrame({"i": i[near].astype(np.int32), "j": j[near].astype(np.int32), "value": value[near]})
+        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "i", "j", "value"]]
+
+    found = met.groupBy(*keys, "_a", "_b").applyInPandas(multiply, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "i int, j int, value double"]))
+    undefined = F.isnan("value") | (F.abs("value") == float("inf"))
+    return found.withColumn("value", F.when(~undefined, F.col("value")))
 
 
 def join_triangles(upper: DataFrame, lower: DataFrame) -> DataFrame:

@@ -99,14 +99,27 @@ def borders(labels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return labels.withColumn("before", before).where("before <> label and before <> 'U' and label <> 'U'").select(*keys, "bin", "before", "label")
 
 
+def _quantile_groups(scores: DataFrame, q: int, keys: Sequence[str]) -> DataFrame:
+    """``keys, bin, g``: how many of the inner ``q``-quantiles of its map lie below a bin's score; a map has one buffer of its bins."""
+    cuts = scores.groupBy(*keys).agg(F.percentile("value", F.array(*[F.lit(k / q) for k in range(1, q)])).alias("edges"))
+    return scores.join(cuts, list(keys)).select(*keys, "bin", F.size(F.filter("edges", lambda e: e < F.col("value"))).alias("g"))
+
+
 def saddle(contacts: DataFrame, scores: DataFrame, q: int = 48, keys: Sequence[str] = KEYS) -> DataFrame:
     """Log of the mean cell for each pair of score quantile groups."""
-    cuts = scores.groupBy(*keys).agg(F.percentile("value", F.array(*[F.lit(k / q) for k in range(1, q)])).alias("edges"))
-    groups = scores.join(cuts, list(keys)).select(*keys, "bin", F.size(F.filter("edges", lambda e: e < F.col("value"))).alias("g"))
+    groups = _quantile_groups(scores, q, keys)
     rows, cols = groups.toDF(*keys, "i", "rq"), groups.toDF(*keys, "j", "cq")
     return contacts.join(rows, [*keys, "i"]).join(cols, [*keys, "j"]).groupBy(*keys, "rq", "cq").agg(F.log(F.avg("value")).alias("value"))
 
 
+def saddle_cells(contacts: DataFrame, scores: DataFrame, q: int = 48, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The map with rows and columns in descending order of score, ``keys, i, j``, each cell the ``saddle`` value of its groups."""
+    places = saddle_order(scores, keys).join(_quantile_groups(scores, q, keys), [*keys, "bin"])
+    rows, cols = (places.select(*keys, F.col("bin").alias(c), (F.col("place") - 1).alias(f"to_{c}"), F.col("g").alias(g)) for c, g in (("i", "rq"), ("j", "cq")))
+    placed = contacts.select(*keys, "i", "j").join(rows, [*keys, "i"]).join(cols, [*keys, "j"])
+    return placed.join(saddle(contacts, scores, q, keys), [*keys, "rq", "cq"]).select(*keys, F.col("to_i").alias("i"), F.col("to_j").alias("j"), "value")
+
+
 def saddle_order(scores: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Place of each bin in descending order of its score."""
     return scores.select(*keys, "bin", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("value"), "bin")).alias("place"))

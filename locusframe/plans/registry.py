@@ -157,6 +157,10 @@ query("scr08_saddle", f"""WITH {PC}, cu AS (SELECT run, quantile_cont(round(valu
 SELECT oe.run, r.g AS rq, k.g AS cq, round(ln(avg(value)), 6) AS value FROM oe JOIN g r ON oe.run = r.run AND oe.i = r.bin JOIN g k ON oe.run = k.run AND oe.j = k.bin GROUP BY ALL""")(
     lambda s, d: scores.saddle(contacts.obs_over_exp(V.contacts(s, d)), _pc1(s, d).withColumn("value", F.round("value", 9))).withColumns({"rq": F.col("rq").cast("long"), "cq": F.col("cq").cast("long")})
 )
+_GROUPS = f"{PC}, rp AS (SELECT run, bin, round(value, 9) AS value FROM pc), cu AS (SELECT run, quantile_cont(value, [k / 48.0 for k in range(1, 48)]) AS e FROM rp GROUP BY run), g AS (SELECT run, bin, len(list_filter(e, lambda x: x < value)) AS g, row_number() OVER (PARTITION BY run ORDER BY value DESC, bin) - 1 AS place FROM rp JOIN cu USING (run))"
+query("scr08_saddle_cells", f"WITH {_GROUPS} SELECT oe.run, r.place::INT AS i, k.place::INT AS j, round(ln(avg(value) OVER (PARTITION BY oe.run, r.g, k.g)), 6) AS value FROM oe JOIN g r ON oe.run = r.run AND oe.i = r.bin JOIN g k ON oe.run = k.run AND oe.j = k.bin")(
+    lambda s, d: scores.saddle_cells(contacts.obs_over_exp(V.contacts(s, d)), _pc1(s, d).withColumn("value", F.round("value", 9)))
+)
 query("scr09_saddle_order", f"WITH {INS} SELECT run, bin, row_number() OVER (PARTITION BY run ORDER BY round(value, 9) DESC, bin) AS place FROM ins")(lambda s, d: scores.saddle_order(_insulation(s, d).withColumn("value", F.round("value", 9))))
 query("scr10_borders", f"WITH {LABELS}, p AS (SELECT *, lag(label) OVER (PARTITION BY run ORDER BY bin) AS before FROM lab) SELECT run, bin, before, label FROM p WHERE before <> label AND before <> 'U' AND label <> 'U'")(lambda s, d: scores.borders(scores.compartments(_centred(s, d))))
 query("scr11_restore", f"WITH {INS} SELECT run, {B - 1} - bin AS bin, round(value, 6) AS value FROM ins")(
