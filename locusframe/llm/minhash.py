@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection (operator 2).
 
 A document's set holds the hashes of its distinct five-word shingles.  Documents with equal sets
-form a class, of which only the smallest doc_id goes on.  Many universal hash minima make a
+form a class with a number of its own, of which one document goes on.  Many universal hash minima make a
 signature; bands of it are bucket keys.  Candidates are verified by signature, then by their full
 sets; verified links are grouped by alternating large-star and small-star.
 
@@ -10,9 +10,11 @@ where members of a bucket are still in different components after that do pairs
 follow, so a large group of copies costs one link for each member and no link is lost to it.
 
 Defined cases: a text that is null or without words has an empty set and links with nothing; one
-of fewer than five words is one shingle; repeated rows of a doc_id are one document by its
-smallest set; rows without doc_id keep their own row, with null component and kept false; an
-empty table gives an empty table; other columns are not looked at.
+of fewer than five words is one shingle; rows of one doc_id are documents of their own, each linked by
+its own text, and a component's id is the smallest doc_id of its rows; rows without doc_id keep their
+own row, with null component and kept false; a pair at exactly the threshold links; very long texts are
+read whole, and few of them share a task; an empty table gives an empty table; other columns are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ._common import map_pandas, materialise, read_table, renamed_apart
+from ._common import map_pandas, materialise, read_table, renamed_apart, settled
 from .components import connected_components
 
 SHINGLE = 5
 ROWS, BANDS = 4, 32
 BLOCK = 1024  # documents of a family on one side of a meeting
+SIDE = 32 << 20  # bytes of full sets on one side of it
+SALTS = 16  # ways in which the documents of a component are dealt
 PART = 8  # members of a torn bucket that meet one drawn head
 #: A signature of 128 minima of a pair at similarity 0.75 agrees on fewer than this share once in a million times.
 SIGNATURE_LEAST = 0.55
@@ -60,6 +64,12 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+def _digest(items: bytes) -> tuple[int, int]:
+    """The 128-bit hash of a packed set as two signed numbers."""
+    whole = xxhash.xxh3_128_digest(items)
+    return int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True)
+
+
 def signature(found: np.ndarray) -> np.ndarray:
     """The minima of all universal hash functions over a set."""
     least = np.full(ROWS * BANDS, 0xFFFFFFFF, dtype=np.uint32)
@@ -77,10 +87,10 @@ def signatures(docs: DataFrame) -> DataFrame:
             sizes, a, b, sigs = [], [], [], []
             for text in pdf["text"]:
                 found = shingles(text)
-                whole = xxhash.xxh3_128_digest(found.tobytes())
+                first, second = _digest(found.tobytes())
                 sizes.append(len(found))
-                a.append(int.from_bytes(whole[:8], "big", signed=True))
-                b.append(int.from_bytes(whole[8:], "big", signed=True))
+                a.append(first)
+                b.append(second)
                 sigs.append(signature(found).tobytes() if len(found) else b"")
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": sizes, "set_a": a, "set_b": b, "sig": sigs})
 
@@ -112,29 +122,35 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([float(np.mean(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32))) for x, y in zip(a, b, strict=True)])
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc, items``: the packed shingle hashes of the documents in ``wanted``."""
+def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc, items``: the packed shingle hashes of the classes in ``wanted``, from a document of each."""
+    few = classes.join(wanted, "doc", "left_semi").select("doc", "set_a", "set_b", F.col("least").alias("doc_id"))
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"doc": pdf["doc_id"], "items": [shingles(t).tobytes() for t in pdf["text"]]})
+            items = [shingles(t).tobytes() for t in pdf["text"]]
+            a, b = zip(*map(_digest, items), strict=True) if items else ((), ())
+            yield pd.DataFrame({"set_a": a, "set_b": b, "items": items}).astype({"set_a": "int64", "set_b": "int64"})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    full = map_pandas(renamed_apart(docs, "doc_id", "text").join(wanted, "doc_id", "left_semi"), sets, f"doc {kind}, items binary")
-    return materialise(full.groupBy("doc").agg(F.min("items").alias("items")))
+    texts = renamed_apart(docs, "doc_id", "text").join(few.select("doc_id").distinct(), "doc_id", "left_semi")
+    # A doc_id may have several texts, of which the class's own is wanted.
+    full = map_pandas(texts, sets, "set_a long, set_b long, items binary").join(few.drop("doc_id"), ["set_a", "set_b"])
+    return materialise(full.groupBy("doc").agg(F.first("items").alias("items")))
 
 
 def _across_families(torn: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` across components, from all pairs of documents that torn buckets hold together.
 
-    Such documents form families; a family is cut into blocks and each block meets each other one.
+    Such documents form families; a family is cut into blocks, by number and by bytes of full sets, and each
+    block meets each other one.
     Only pairs that look similar enough leave a meeting, and of those only what joins components.
     """
     families = connected_components(torn.select(F.col("doc").alias("a"), F.col("head").alias("b"))).toDF("doc", "family")
-    sizes = families.groupBy("family").agg(F.count("*").alias("size"))
-    full = _full_sets(docs, families.select(F.col("doc").alias("doc_id")))
+    full = _full_sets(docs, classes, families.select("doc"))
+    held = families.join(full.select("doc", F.octet_length("items").alias("bytes")), "doc").groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = held.select("family", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / SIDE)).cast("int").alias("parts"))
     members = families.join(sizes, "family").join(torn.select("doc", "group").distinct(), "doc").join(classes.select("doc", "sig"), "doc").join(full, "doc")
-    placed = members.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    placed = members.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc", "group", "sig", "items")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -173,7 +189,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     close = materialise(
         pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").where(_agreement("sig_a", "sig_b") >= SIGNATURE_LEAST).select("a", "b")
     )
-    full = _full_sets(docs, close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    full = _full_sets(docs, classes, close.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -198,8 +214,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     every = materialise(signatures(docs))
     filled = every.where("n_shingles > 0 and doc_id is not null")
-    # One row for each different set; its smallest doc_id stands for all.
-    classes = materialise(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")))
+    # One row for each different set, numbered as it is written.
+    classes = materialise(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig")).withColumn("doc", F.monotonically_increasing_id()))
 
     keyed = materialise(_bands(classes))
     heads = keyed.groupBy("key").agg(F.min("doc").alias("head"), F.count("*").alias("n")).where("n > 1")
@@ -227,14 +243,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         labels = materialise(nodes.join(merged, "group", "left").select("doc", F.coalesce("merged", "group").alias("group")))
     groups = labels.toDF("node", "component")
 
-    of_class = classes.select("set_a", "set_b", F.col("doc").alias("node")).join(groups, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
+    placed = classes.select("set_a", "set_b", "least", F.col("doc").alias("node")).join(groups, "node", "left").withColumn("number", F.coalesce("component", "node"))
+    # A component's smallest doc_id goes back to its classes by several ways, as one may hold most of them.
+    ids = placed.groupBy("number").agg(F.min("least").alias("id")).withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of_class = placed.withColumn("way", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(ids, ["number", "way"]).select("set_a", "set_b", F.col("id").alias("component"))
     member = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     found = every.drop("sig").join(of_class, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", member.alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return settled(lambda: near_duplicates(read_table(spark, sf_dir, "documents")))
 
 
 #: The same rows in DuckDB by brute force: shingles as strings, all pairs that share one, and what they reach.

@@ -86,6 +86,18 @@ def test_near_vectors(spark):
     assert neighbours.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_minhash_of_repeated_ids_and_long_texts(spark):
+    """Rows of one doc_id are linked each by its own text; families of long texts are cut by bytes."""
+    rng = random.Random(21)
+    prose = lambda n: " ".join(rng.choices(_WORDS, k=n))
+    a, b, long = prose(80), prose(80), prose(150_000)
+    rows = [(3, a), (3, b), (8, a + " x"), (9, b + " y"), (1, long), (2, long + " z"), (5, prose(90))]
+    got = sorted(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, doc long, sig string")).collect())
+    sizes = {k: len(minhash.shingles(t)) for k, t in rows}
+    assert [(r[0], r[2], r[3]) for r in got] == [(1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True), (5, 5, True), (8, 3, False), (9, 3, False)]
+    assert [r[1] for r in got if r[0] != 3] == [sizes[r[0]] for r in got if r[0] != 3]
+
+
 def test_near_vectors_of_repeated_ids(spark):
     rows = [(5, [1.0, 0.0, 0.0], "x"), (5, [0.0, 1.0, 0.0], "y"), (7, [0.0, 1.0, 0.01], "z"), (9, [0.0, 0.0, 1.0], "x")]
     got = sorted(tuple(r) for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string")).collect())
