@@ -5,8 +5,9 @@ with a smaller id, or earlier in the same one.
 
 1. Every ``LENGTH``-byte window picks an anchor, its least hashed ``GRAM``-byte gram.  Equal
    windows pick the same anchor, so all repeats show up between occurrences of one gram.
-2. Occurrences whose whole surroundings are equal form a class (a large group of copies shrinks
-   to one); all but the first are repeats at once.
+2. Occurrences whose whole surroundings have the same 64-bit hash, beside the same 64-bit hash of the
+   gram, form a class (a large group of copies shrinks to one); all but the first are repeats at once, and
+   their bytes are not read again: this part is not verified, all others are.
 3. Of grams with several classes, the first occurrence of each is cut out with its surroundings.
    What follows the anchor and, reversed, what precedes it are sorted as suffixes: a mergesort
    whose comparisons find the common extension by binary search over prefix polynomial hashes.
@@ -17,8 +18,9 @@ with a smaller id, or earlier in the same one.
    meet by their bytes.
 
 Defined cases: a null text counts as empty; documents shorter than ``LENGTH`` lose nothing; rows of
-a repeated or null ``doc_id`` are ordered by text and count as documents of their own; an empty
-table gives an empty table; other columns are not looked at.
+a repeated or null ``doc_id`` are ordered by text and count as documents of their own; of equal strings
+only the one that starts first stays; texts of any length are read whole; an empty
+table gives an empty table; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
