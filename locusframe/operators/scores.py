@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.functions.lineage import cut
+
 from .contacts import KEYS, fill_cells, fill_neighbours, minmax, row_correlation, spine
 
 
@@ -58,6 +60,76 @@ def pc1(contacts: DataFrame, bins: int, keys: Sequence[str] = KEYS) -> DataFrame
     return fill_neighbours(found.withColumn("value", F.nanvl("value", F.lit(None).cast("double"))), bins, keys)
 
 
+def _ritz(now: np.ndarray, before: np.ndarray, left: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """A Rayleigh-Ritz step in the space of three blocks of vectors, each with its product: the best block, its remainders and how far the first is off.
+
+    ``now``, ``before`` and ``left`` have two slices: the vectors and the map times them.  Vectors that add nothing are dropped.
+    """
+    s, t = (np.concatenate([x[k] for x in (now, before, left)], axis=1) for k in range(2))
+    size = np.linalg.norm(s, axis=0)
+    s, t = s[:, size > 0] / size[size > 0], t[:, size > 0] / size[size > 0]
+    for _ in range(2):  # the second time undoes what rounding left
+        weight, turn = np.linalg.eigh(s.T @ s)
+        real = weight > weight[-1] * 1e-13
+        turn = turn[:, real] / np.sqrt(weight[real])
+        s, t = s @ turn, t @ turn
+    inner = s.T @ t
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    best = np.argsort(-np.abs(values))[:block]
+    x, ax, values = s @ vectors[:, best], t @ vectors[:, best], values[best]
+    rest = ax - x * values
+    return np.stack([x, ax]), rest, float(np.linalg.norm(rest[:, 0]) / max(abs(values[0]), 1e-300))
+
+
+def pc1_cells(contacts: DataFrame, bins: int, keys: Sequence[str] = KEYS, block: int = 8, tolerance: float = 1e-9, rounds: int = 200) -> DataFrame:
+    """``pc1`` of maps too large for one task: block subspace iteration on the table of cells, all maps at once.
+
+    A round multiplies every map with a block of vectors, as a join of cells and vectors and a sum over
+    columns; a task then holds ``bins`` rows of a few blocks, never a map, and takes a
+    Rayleigh-Ritz step in the space of the present vectors, those before and their remainders.  Rounds end when the first
+    vector of each map is an eigenvector to ``tolerance``.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in contacts.schema.fields}
+    ends = contacts.where("value is not null").select(*keys, "i", "j", (F.col("value") - 1).alias("x"), (F.col("value") != 0).alias("seen"))
+    turned = ends.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "x", "seen")
+    cells = cut(ends.unionByName(turned).select(*keys, "i", "j", (F.col("x") / 2).alias("x"), "seen"))
+    alive = cells.where("seen").select(*keys, F.col("i").alias("bin")).distinct()
+    kept = cells.join(alive.withColumnRenamed("bin", "i"), [*keys, "i"], "left_semi").join(alive.withColumnRenamed("bin", "j"), [*keys, "j"], "left_semi").drop("seen")
+    kept = cut(kept.groupBy(*keys, "i", "j").agg(F.sum("x").alias("x")))
+    fields = ["now", "anow", "before", "abefore", "left"]
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "bin int", *[f"{c} array<double>" for c in fields], "off double"])
+
+    def product(state: DataFrame) -> DataFrame:
+        vectors = state.select(*keys, F.col("bin").alias("j"), "left")
+        sums = F.array(*[F.sum(F.col("x") * F.get("left", F.lit(k))) for k in range(block)])
+        return kept.join(vectors, [*keys, "j"]).groupBy(*keys, F.col("i").alias("bin")).agg(sums.alias("aleft"))
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
+        n = len(pdf)
+        read = lambda c: np.stack([np.zeros(block) if x is None else np.asarray(x, dtype=float) for x in pdf[c]])
+        now, before = np.stack([read("now"), read("anow")]), np.stack([read("before"), read("abefore")])
+        found, rest, off = _ritz(now, before, np.stack([read("left"), read("aleft")]), block)
+        wide = lambda x: list(np.pad(x, ((0, 0), (0, block - x.shape[1]))))
+        out = pd.DataFrame({"bin": pdf["bin"].to_numpy(), "now": wide(found[0]), "anow": wide(found[1]), "before": list(now[0]), "abefore": list(now[1]), "left": wide(rest), "off": [off] * n})
+        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "bin", *fields, "off"]]
+
+    none = F.array(*[F.lit(0.0)] * block)
+    start = F.array(*[F.pmod(F.xxhash64("bin", F.lit(k)), F.lit(1 << 20)) / float(1 << 19) - 1 for k in range(block)])
+    state = alive.select(*keys, F.col("bin").cast("int").alias("bin"), *[none.alias(c) for c in fields[:-1]], start.alias("left"))
+    for _ in range(rounds):
+        state = cut(state.select(*keys, "bin", *fields).join(product(state), [*keys, "bin"], "left").groupBy(*keys).applyInPandas(step, schema))
+        worst = state.agg(F.max("off")).first()[0]
+        if worst is None or worst <= tolerance:
+            break
+    else:
+        raise RuntimeError(f"an eigenvector is still off by {worst} of its eigenvalue")
+    first = state.select(*keys, "bin", F.get("now", F.lit(0)).alias("v"))
+    sign = first.groupBy(*keys).agg(F.signum(F.max_by("v", F.abs("v"))).alias("s"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
+    signed = first.join(sign, list(keys)).select(*keys, "bin", (F.col("v") * F.col("s") / F.col("n")).alias("value"))
+    return fill_neighbours(spine(contacts, bins, keys).join(signed, [*keys, "bin"], "left"), bins, keys)
+
+
 def phase(scores: DataFrame, track: DataFrame, keys: Sequence[str] = KEYS, on: Sequence[str] = ("bin",)) -> DataFrame:
     """Scores times the sign of their rank correlation with a track (``on, track``)."""
     both = scores.join(track, list(on)).where("value is not null and track is not null")

@@ -148,6 +148,7 @@ def _pc1(s, d):
 
 
 query("scr04_pc1", f"WITH {PC} SELECT run, bin, round(value, 6) AS value FROM pc")(_pc1)
+query("scr04_pc1_cells", f"WITH {PC} SELECT run, bin, round(value, 6) AS value FROM pc")(lambda s, d: scores.pc1_cells(contacts.obs_over_exp(V.contacts(s, d)), B))
 query("scr05_phase", f"""WITH {INS}, {V.TRACK}, k AS (SELECT run, rank() OVER (PARTITION BY run ORDER BY value) + (count(*) OVER (PARTITION BY run, value) - 1) / 2.0 AS rv, rank() OVER (PARTITION BY run ORDER BY track) + (count(*) OVER (PARTITION BY run, track) - 1) / 2.0 AS rt FROM (SELECT run, bin, round(value, 9) AS value, track FROM ins JOIN t USING (bin))),
 g AS (SELECT run, sign(corr(rv, rt)) AS sg FROM k GROUP BY run) SELECT run, bin, round(round(value, 9) * sg, 6) AS value FROM ins JOIN g USING (run)""")(lambda s, d: scores.phase(_insulation(s, d).withColumn("value", F.round("value", 9)), V.track(s, d)))
 query("scr06_compartments", f"WITH {LABELS} SELECT run, bin, label FROM lab")(lambda s, d: scores.compartments(_centred(s, d)))
