@@ -68,7 +68,7 @@ def permute_between(df: DataFrame, seed: int, keys=("chrom",)) -> DataFrame:
     drawn = df.select(*keys, "id", F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))).alias("drawn"), F.lit(1).cast("long").alias("r"))
     ranked = running(drawn, keys, ["drawn", "id"], r=("sum", "r"))
     sizes = drawn.groupBy(*keys).agg(F.count("*").alias("n"))
-    receivers = ranked.join(sizes, list(keys)).select(*keys, "id", ((F.col("r") + 1) % F.col("n")).alias("r"))
+    receivers = ranked.join(sizes, list(keys)).select(*keys, "id", ((F.col("r") + F.col("n") - 1) % F.col("n")).alias("r"))
     donors = ranked.withColumnRenamed("id", "donor").join(df.select(*keys, F.col("id").alias("donor"), F.col("seq").alias("new_seq")), [*keys, "donor"])
     return receivers.join(donors, [*keys, "r"]).select(*keys, "id", "donor", "new_seq")
 

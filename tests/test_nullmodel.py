@@ -64,3 +64,35 @@ def test_shuffle_bins_draws_again(spark):
         nullmodel.shuffle_bins(df.where("start = 5"), 1, 10, 1, 1, tries=8)
     with pytest.raises(ValueError):
         nullmodel.shuffle_bins(df, 1, 10, 2, 1)
+
+
+def test_first_valid_attempt(spark):
+    rows = [("r1", 0, 0, 10), ("r1", 0, 5, 15), ("r1", 1, 0, 10), ("r1", 1, 10, 15), ("r2", 0, 3, 4), ("r2", 1, 8, 9), ("r3", 0, 0, 5), ("r3", 0, 4, 6)]
+    tries = spark.createDataFrame(rows, "run string, attempt int, start long, end long")
+    got = sorted(tuple(r) for r in nullmodel.first_valid(tries, strict=False).select("run", "attempt", "start", "end").collect())
+    assert got == [("r1", 1, 0, 10), ("r1", 1, 10, 15), ("r2", 0, 3, 4)]
+    with pytest.raises(RuntimeError):
+        nullmodel.first_valid(tries)
+
+
+def test_each_replicate_has_its_own_order(spark):
+    rows = [(f"r{k}", "c", 0, 640, None, "permutations_inter") for k in range(4)]
+    got = nullmodel.random_content(spark.createDataFrame(rows, "run string, chrom string, start long, end long, name string, op string"), 3, keys=("run",), binsize=64).collect()
+    assert all(sorted(r.bin_order) == list(range(10)) and r.sequence is None for r in got)
+    assert len({tuple(r.bin_order) for r in got}) > 1
+
+
+def test_bins_whose_intervals_overlap_are_never_arranged(spark):
+    df = spark.createDataFrame([("a", 2, 6), ("a", 5, 8)], "chrom string, start long, end long")
+    with pytest.raises(ValueError):
+        nullmodel.rotate_bins(df, 1, 10, 4, 1)
+
+
+def test_rotations_of_several_groups(spark):
+    """A bin that spills to the left can't come first; groups are judged apart."""
+    df = spark.createDataFrame([("a", 9, 15), ("a", 31, 35), ("b", 0, 10)], "chrom string, start long, end long")
+    got = {}
+    for r in nullmodel.rotate_bins(df, 2, 10, 4, 7).collect():
+        got.setdefault(r.chrom, {}).setdefault(r["shift"], []).append((r.start, r.end))
+    assert len(got["a"]) == len(got["b"]) == 2
+    assert set(got["a"]) <= {2, 3} and all(len(x) == 2 and min(s for s, _ in x) >= 0 for x in got["a"].values())

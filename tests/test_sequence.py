@@ -25,3 +25,28 @@ def test_permutations_and_rejected_mutations(spark):
     whole = {r.seq_id: r.seq for r in sequence.splice(seqs, done).collect()}
     assert whole[1] == "NNNN" + got[1, 4].variant_seq + SEQ[8:] and whole[3] == SEQ
     assert {r.seq for r in sequence.revert(sequence.splice(seqs, done), done).collect()} == {SEQ}
+
+
+def test_revert_after_variants_of_other_lengths(spark):
+    """Longer, shorter and vanished variants, two of them side by side, and one that was rejected."""
+    seq = "AACCGGTTAACC" * 5
+    rows = [(1, 2, 4, "TTTTT"), (1, 8, 10, "G"), (1, 14, 18, ""), (1, 18, 21, ""), (1, 30, 33, None), (1, 40, 40, "ACGT"), (1, 58, 60, "")]
+    trace = spark.createDataFrame([(k, a, b, seq[a:b], v) for k, a, b, v in rows], "seq_id long, start int, end int, ref_seq string, variant_seq string")
+    seqs = spark.createDataFrame([(1, seq), (2, "ACG")], "seq_id long, seq string")
+    for chunk in (4, 16, 4096):
+        mutated = sequence.splice_chunks(sequence.chunked(seqs, chunk), trace, chunk)
+        back = {}
+        for r in sequence.revert_chunks(mutated, trace, chunk).orderBy("seq_id", "chunk_id").collect():
+            back[r.seq_id] = back.get(r.seq_id, "") + r.seq
+        assert back == {1: seq, 2: "ACG"}
+        assert sequence.verify_chunks(sequence.chunked(seqs, chunk), mutated, trace, chunk).count() == 0
+
+
+def test_changes_between_mutations_are_seen(spark):
+    seq = "ACGTTGCAAC" * 10
+    edits = spark.createDataFrame([(1, 10, 13, "GGGGGGGG"), (1, 50, 60, "")], "seq_id long, start int, end int, variant_seq string")
+    after = seq[:10] + "GGGGGGGG" + seq[13:50] + seq[60:]
+    before = spark.createDataFrame([(1, seq)], "seq_id long, seq string")
+    for changed, want in ((after, []), ("T" + after[1:], [(0, 10)]), (after[:30] + "N" + after[31:], [(13, 50)]), (after + "A", [(60, 101)]), (after[:-1], [(60, 100)])):
+        got = sequence.verify_splice(before, spark.createDataFrame([(1, changed)], "seq_id long, seq string"), edits, 8).collect()
+        assert [(r.start, r.end) for r in got] == want
