@@ -4,7 +4,11 @@ A stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and re
 one's ``docs``.  It must be written before the next stage is called, which deletes the tables that
 the one before has left in the shared folder.  All but the last return the columns of ``documents``.
 Every stage works on an empty table and on null or empty texts: such a text has no language and
-leaves at the first stage, unless no row has a language label.
+leaves at the first stage, unless no row has a language label.  Rows of one doc_id are documents of
+their own until near-duplicates go, where all rows of an id stay or go together; equal rows are copies of one
+another.  Ties: of equally likely languages the first by name, of similar lines and near-duplicates the one of
+the smallest doc_id.  Texts of any length are read whole.  Other columns pass through
+all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
