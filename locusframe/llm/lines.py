@@ -8,7 +8,8 @@ the words themselves.  A line goes if a line that comes earlier, in a document o
 ``doc_id`` or before it in its own, is similar enough; earlier lines count whether they stay or not.
 
 Any order of words that is the same for all lines gives exact results.  Rarity is the count of the
-word's hash bucket, so that the table of counts has a fixed size however large the vocabulary is.
+word's hash bucket (in how many lines), so that the table of counts has a fixed size however large
+the vocabulary is.  The words of a line are hashed once, and stored until its prefix is known.
 
 Defined cases: lines without words stay and match nothing; a null text stays null with no lines; an
 empty text is one line without words; rows of equal ``doc_id`` are ordered by a hash of their text,
@@ -52,15 +53,14 @@ def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def frequency_classes(docs: DataFrame) -> Column:
-    """A constant array: for each hash bucket a class that grows with the bucket's count of words.
+def frequency_classes(hashed: DataFrame) -> Column:
+    """A constant array: for each hash bucket a class that grows with the number of words ``h`` of lines in it.
 
     Counts cover all lines; what reaches the driver is ``BUCKETS`` numbers, as one string.
     """
-    words = docs.select(F.explode(F.split(_lowered(F.col("text")), "[ \n]")).alias("w")).where("w <> ''")
-    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
+    counts = hashed.select(F.explode("h").alias("h")).groupBy(_bucket(F.col("h")).alias("b")).agg(F.count("*").alias("n"))
     classes = counts.select("b", F.floor(F.log2(F.col("n") + 1) * _STEPS).cast("long").alias("c"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(classes, "b", "left").select("b", F.coalesce("c", F.lit(0)).alias("c"))
+    every = hashed.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(classes, "b", "left").select("b", F.coalesce("c", F.lit(0)).alias("c"))
     listed = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "c"))), lambda e: F.shiftleft(e["c"], _TOKEN_BITS).cast("string")), ",")).first()[0]
     return F.split(F.lit(listed), ",").cast("array<long>")  # folded to a literal by the optimiser
 
@@ -80,22 +80,26 @@ _BITS = ("bits", "low", "high")
 _OTHER = {"id": "eid", "n": "m", "i": "j", **{x: f"e{x}" for x in _BITS}}  # columns of the other line of a pair
 
 
-def _line_table(docs: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, tid, no, key, n, bits, low, high, prefix`` of every line with words.
+def _hashed_lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, tid, no, key, h`` of every line with words: ``h`` are the distinct hashes of its words."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.posexplode(F.split(_lowered(F.col("text")), "\n")).alias("no", "line"))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return lines.select(*_PLACE, F.unhex(F.md5("line")).alias("key"), hashes.alias("h")).where(F.size("h") > 0)
+
+
+def _line_table(hashed: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, tid, no, key, n, bits, low, high, prefix`` of every line of ``_hashed_lines``.
 
     ``tid`` tells rows of equal doc_id apart, ``key`` is a digest of the lowered line, ``n`` the
     size of its set, ``prefix`` its rarest words, and ``bits`` has for each place the parity of how
     many words hash to it; so have ``low`` and ``high``, for sets of ``WIDE`` words and more.
     """
-    classes = frequency_classes(docs)
-    lines = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.posexplode(F.split(_lowered(F.col("text")), "\n")).alias("no", "line"))
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    hashed = lines.select(*_PLACE, F.unhex(F.md5("line")).alias("key"), hashes.alias("h")).where(F.size("h") > 0)
+    classes = frequency_classes(hashed)
     rest = F.lit((1 << _TOKEN_BITS) - 1)
     ordered = F.sort_array(F.transform("h", lambda h: F.get(classes, _bucket(h)).bitwiseOR(h.bitwiseAND(rest))))
     n = F.size("h")
     wide = [F.when(n >= WIDE, _parity(lambda h, k=k: F.when(h.bitwiseAND(F.lit(64)) == 64 * k, _bit(h.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long")))) for k in range(2)]
-    bits = [c.alias(x) for c, x in zip([_parity(lambda h: _bit(F.hash(h))), *wide], _BITS, strict=True)]
+    bits = [c.alias(x) for c, x in zip([_parity(lambda h: _bit(F.call_function("shiftrightunsigned", h, F.lit(58)).cast("int"))), *wide], _BITS, strict=True)]
     return hashed.select(*_PLACE, "key", n.alias("n"), *bits, F.slice(ordered, F.lit(1), _probe_length(n, percent)).alias("prefix"))
 
 
@@ -123,31 +127,39 @@ def _differ() -> Column:
     return F.greatest(flipped[0], F.coalesce(flipped[1] + flipped[2], F.lit(0)))
 
 
-def _postings(of: DataFrame, part: int) -> DataFrame:
-    """``id, doc_id, n, i, token`` and the bitmaps: a part of the posting lists, so that only that part is on disk at a time."""
-    return of.select("id", "doc_id", "n", *_BITS, F.posexplode("prefix").alias("i", "token")).where(F.pmod("token", F.lit(PASSES)) == part)
-
-
 def _list_parts() -> Column:
     """Parts of about ``PART`` rows for the posting list of ``token``: its class bounds the length."""
     return F.ceil(F.pow(F.lit(2.0), F.shiftright("token", _TOKEN_BITS) / _STEPS) / PART).cast("long")
 
 
-def _near_heads(firsts: DataFrame, percent: int, part: int) -> DataFrame:
-    """``id, d, eid``: for each line the likeliest ``TRIES`` matches before it, among the first members of its words' lists and its neighbours there.
+def _near(firsts: DataFrame, percent: int, part: int) -> DataFrame:
+    """Likely matches within the posting lists of one part of the words, and the postings of long lists.
 
     Each list stands in a random order of its own, so lists of the same lines give different
-    neighbours.  Long lists are cut by hash into parts; the class of a word bounds its list's length.
+    neighbours; a line meets the first member and the ``DRAWN`` before it.  In a list of ``DRAWN + 1``
+    members or fewer all meet; other lists are long, and so are lists that had to be cut by hash into
+    parts.  A match has ``id, eid, d, whole``, the last true if its list was not long; in a posting
+    ``eid`` is NULL and ``doc_id, n, i, token`` and the bitmaps are set.  Matches within a document come both ways.
     """
-    postings = _postings(firsts, part).withColumn("salt", F.pmod(F.xxhash64("id"), _list_parts()))
+    postings = firsts.select("id", "doc_id", "n", *_BITS, F.posexplode("prefix").alias("i", "token")).where(F.pmod("token", F.lit(PASSES)) == part)
     listed = Window.partitionBy("token", "salt")
     mixed = listed.orderBy(F.xxhash64("token", "id"))
     line = F.struct("doc_id", "id", "n", "i", *_BITS)
-    heads = F.array(F.min(line).over(listed), *[F.lag(line, k).over(mixed) for k in range(1, DRAWN + 1)])
-    met = postings.select(line.alias("x"), heads.alias("heads")).select("x", F.explode("heads").alias("e")).where("e.id <> x.id")
-    pairs = met.select(F.greatest("x", "e").alias("x"), F.least("x", "e").alias("e")).select(*[F.col(f"x.{a}").alias(a) for a in _OTHER], *[F.col(f"e.{a}").alias(b) for a, b in _OTHER.items()])
-    likely = pairs.where(_may_match(percent))
-    return _likeliest(likely.select("id", (_differ() / (F.col("n") + F.col("m"))).alias("d"), "eid"))
+    salted = postings.withColumn("parts", _list_parts()).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")))
+    before = [F.lag(line, k).over(mixed) for k in range(1, DRAWN + 1)]
+    long = (F.col("parts") > 1) | (F.count("*").over(listed) > DRAWN + 1)
+    drawn = salted.select(line.alias("x"), "token", long.alias("long"), F.min(line).over(listed).alias("head"), *[b.alias(f"e{k}") for k, b in enumerate(before)])
+    own = [F.when(F.col("long"), F.col(c)) for c in ("x", "head")]  # the line itself stands for its posting
+    met = drawn.where("long or e0 is not null").select("x", "token", "long", F.posexplode(F.array(*own, *[F.col(f"e{k}") for k in range(DRAWN)])).alias("k", "e")).where("k = 0 and long or e.id <> x.id")
+    sides = met.select("token", "long", (F.col("k") == 0).alias("posting"), F.greatest("x", "e").alias("x"), F.least("x", "e").alias("e"))
+    flat = sides.select("token", "long", "posting", "x.doc_id", *[F.col(f"x.{a}").alias(a) for a in _OTHER if a != "id"], F.col("x.id").alias("id"), F.col("e.doc_id").alias("edoc"), *[F.col(f"e.{a}").alias(b) for a, b in _OTHER.items()])
+    there, back = F.struct("id", "eid"), F.struct(F.col("eid").alias("id"), F.col("id").alias("eid"))
+    alone = F.struct("id", F.lit(None).cast("long").alias("eid"))
+    ways = F.when(F.col("posting"), F.array(alone)).when(F.col("doc_id").eqNullSafe(F.col("edoc")), F.array(there, back)).otherwise(F.array(there))
+    posting = ("doc_id", "n", "i", *_BITS, "token")
+    d = _differ() / (F.col("n") + F.col("m"))
+    found = flat.where(F.col("posting") | _may_match(percent))
+    return found.select(F.explode(ways).alias("way"), d.alias("d"), (~F.col("long")).alias("whole"), *[F.when(F.col("posting"), F.col(c)).alias(c) for c in posting]).select("way.*", "d", "whole", *posting)
 
 
 def _likeliest(pairs: DataFrame) -> DataFrame:
@@ -155,12 +167,12 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
     return best.select("id", F.explode("best").alias("e")).select("id", "e.d", "e.eid")
 
 
-def _open_pairs(unsettled: DataFrame, firsts: DataFrame, percent: int, part: int) -> DataFrame:
-    """``id, eid`` that may match: lines of ``unsettled`` with any that do not come in later documents.
+def _open_pairs(unsettled: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
+    """``id, eid`` that may match: lines of the postings ``unsettled`` with those of ``postings`` that do not come in later documents.
 
     Sizes are dealt to classes so wide that similar sets are at most one apart.  The smaller of two
-    sets need only show the words that it has in front of all sets that are not smaller.  A long
-    list is cut by hash into parts, and the few lines that are not settled go to each of them.
+    sets need only show the words that it has in front of all sets that are not smaller.  A hot list
+    is a skewed partition of the join, which adaptive execution splits.
     """
     def size_class(n: Column) -> Column:
         return F.floor(F.log(n) / F.log(F.lit(100.1 / percent))).cast("int")
@@ -170,34 +182,39 @@ def _open_pairs(unsettled: DataFrame, firsts: DataFrame, percent: int, part: int
 
     own = size_class(F.col("n"))
     classes = F.when(F.col("shown"), F.array(own - 1, own, own + 1)).otherwise(F.array(own - 1, own))
-    left = shown(_postings(unsettled, part)).withColumn("c", F.explode(classes)).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), _list_parts() - 1)))
-    right = shown(_postings(firsts, part)).select(F.col("doc_id").alias("edoc"), *[F.col(a).alias(b) for a, b in _OTHER.items()], "token", F.col("shown").alias("eshown"), own.alias("c"), F.pmod(F.xxhash64("id"), _list_parts()).alias("salt"))
+    left = shown(unsettled.select("id", "doc_id", "n", "i", *_BITS, "token")).withColumn("c", F.explode(classes))
+    right = shown(postings).select(F.col("doc_id").alias("edoc"), *[F.col(a).alias(b) for a, b in _OTHER.items()], "token", F.col("shown").alias("eshown"), own.alias("c"))
     n, m = F.col("n"), F.col("m")
     reach = ((n >= m) & F.col("eshown")) | ((n <= m) & F.col("shown"))
     order = (F.col("id") != F.col("eid")) & (F.struct("doc_id") >= F.struct("edoc"))
-    return left.join(right, ["token", "c", "salt"]).where(order & reach & _may_match(percent)).select("id", "eid").distinct()
+    return left.join(right, ["token", "c"]).where(order & reach & _may_match(percent)).select("id", "eid").distinct()
 
 
 def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """All lines with words (``doc_id, tid, no, key``) and the ``key`` of each class that an earlier line is similar to.
 
     First each line meets a few members of each of its words' lists, and the likeliest of them are
-    verified.  Only lines that are not settled so meet all members, so a group of many similar
-    lines never pairs off within itself and no match is missed.
+    verified.  Only lines that are not settled so meet the others: all that they have met in short
+    lists, and all members of the long ones.  So a group of many similar lines never pairs off
+    within itself and no match is missed.
     """
     source = docs.select("doc_id", "text")
-    wide = materialise(_line_table(source, percent))
+    hashed = materialise(_hashed_lines(source))
+    wide = materialise(_line_table(hashed, percent))
+    discard(hashed)
     place = F.min(F.struct(*_PLACE)).alias("place")
     grouped = wide.groupBy("key").agg(place, *[F.first(c).alias(c) for c in ("n", *_BITS, "prefix")])
     firsts = materialise(grouped.select(F.monotonically_increasing_id().alias("id"), *[F.col(f"place.{c}") for c in _PLACE], "key", "n", *_BITS, "prefix"))
     lines = materialise(wide.select(*_PLACE, "key"))
     discard(wide)
-    heads = [materialise(_near_heads(firsts, percent, part)) for part in range(PASSES)]
-    settled = _verified(source, firsts, _likeliest(reduce(DataFrame.unionByName, heads)).select("id", "eid"), percent)
-    discard(*heads)
-    unsettled = materialise(firsts.join(settled, "id", "left_anti"))
-    met = [materialise(_open_pairs(unsettled, firsts, percent, part)) for part in range(PASSES)]
-    discard(unsettled)
+    near = [materialise(_near(firsts, percent, part)) for part in range(PASSES)]
+    pairs = reduce(DataFrame.unionByName, near).where("eid is not null")
+    settled = _verified(source, firsts, _likeliest(pairs.select("id", "d", "eid")).select("id", "eid"), percent)
+    met = [materialise(pairs.where("whole").select("id", "eid").distinct().join(settled, "id", "left_anti"))]
+    for table in near:
+        postings = table.where("eid is null")
+        met.append(materialise(_open_pairs(postings.join(settled, "id", "left_anti"), postings, percent)))
+    discard(*near)
     rest = _verified(source, firsts, reduce(DataFrame.unionByName, met).distinct(), percent)
     discard(*met)
     late = settled.unionByName(rest).distinct()
@@ -208,7 +225,7 @@ def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int
     """``id`` of the later line of those ``pairs`` (``id, eid``) whose words are similar enough."""
     pairs = materialise(pairs)
     wanted = pairs.select("id").unionByName(pairs.select(F.col("eid").alias("id"))).distinct()
-    by_doc = firsts.join(wanted, "id", "left_semi").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("id", "no")).alias("wanted")).toDF("wdoc", "wtid", "wanted")
+    by_doc = firsts.join(wanted, "id", "left_semi").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("id", "no")).alias("wanted")).toDF("wdoc", "wtid", "wanted").hint("shuffle_hash")
     rows = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
     found = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("wdoc")) & (F.col("tid") == F.col("wtid"))).select("doc_id", "tid", F.split(_lowered(F.col("text")), "\n").alias("lines"), F.explode("wanted").alias("w"))
     full = materialise(found.select(F.col("w.id").alias("id"), F.struct("doc_id", "tid", "w.no").alias("place"), _words(F.get("lines", F.col("w.no"))).alias("words")).dropDuplicates(["id"]))
@@ -227,7 +244,7 @@ def reduced(docs: DataFrame, percent: int = PERCENT, columns: Sequence[str] | No
     firsts = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("members"))
     marked = firsts.join(late.withColumn("late", F.lit(True)), "key", "left").where("late or members > 1")
     gone = lines.join(marked, "key").where(F.coalesce("late", F.lit(False)) | (place > F.col("first")))
-    removed = materialise(gone.groupBy("doc_id", "tid").agg(F.collect_set("no").alias("removed"))).toDF("rdoc", "rtid", "removed")
+    removed = materialise(gone.groupBy("doc_id", "tid").agg(F.collect_set("no").alias("removed"))).toDF("rdoc", "rtid", "removed").hint("shuffle_hash")
     rows = docs.select(packed(docs, columns), F.col("doc_id").alias("doc"), F.col("text").alias("old"), F.xxhash64("text").alias("tid"))
     split = F.split("old", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed"))

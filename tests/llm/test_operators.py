@@ -404,6 +404,30 @@ def test_many_similar_lines(spark):
     assert {k: r.text for k, r in rows(lines.without_similar_lines(spark.createDataFrame(data, "doc_id long, text string"))).items()} == want
 
 
+@pytest.mark.parametrize("part", [8, 4096])
+def test_matches_in_long_posting_lists_are_found(spark, monkeypatch, part):
+    """Few words, so that lists are longer than what a line meets at once, with and without lists cut into parts."""
+    monkeypatch.setattr(lines, "PART", part)
+    draw = random.Random(4)
+    words = [f"w{k}" for k in range(30)]
+    drawn = [draw.sample(words, draw.randint(4, 14)) for _ in range(160)]
+    for k in range(0, 160, 4):  # a near copy of an earlier line, two words off at most
+        drawn.append((drawn[k] + draw.sample(words, 1))[draw.randint(0, 1):])
+    data = [(k // 4, [" ".join(x) for x in drawn[k : k + 4]]) for k in range(0, len(drawn), 4)]
+    sets, want = [], {}
+    for doc, texts in data:
+        kept = []
+        for text in texts:
+            mine = set(text.split())
+            if not any(100 * len(mine & x) >= 80 * len(mine | x) for x in sets):
+                kept.append(text)
+            sets.append(mine)
+        want[doc] = "\n".join(kept)
+    found = lines.without_similar_lines(spark.createDataFrame([(d, "\n".join(t)) for d, t in data], "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in found.collect()} == want
+    assert sum(t.count("\n") + 1 for t in want.values() if t) < len(drawn)
+
+
 def test_vectors_of_several_lengths(spark):
     data = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.01, 0.0]), (5, [1.0]), (6, [0.0, 1.0, 0.0])]
     got = rows(neighbours.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")), "vec_id")
