@@ -130,14 +130,22 @@ query("scr02_insulation_correl", "WITH " + INS.replace(C, CORREL).replace("FROM
 query("scr03_insulation_exp", "WITH " + INS.replace(C, f"{MINMAX}, k AS (SELECT run, i, j, exp(value) AS value FROM mm)").replace("FROM c WHERE abs", "FROM k WHERE abs") + " SELECT run, bin, round(value, 6) AS value FROM ins")(lambda s, d: scores.insulation_exp(V.contacts(s, d), B, W))
 
 
-def _eigen_sql(squarings: int = 16) -> str:
-    """``pc``: the leading eigenvector of O/E less one, from the matrix squared so often that nothing else is left."""
-    steps = ["p0 AS MATERIALIZED (SELECT run, i, j, value - 1 AS x FROM oe)"]
-    for k in range(squarings):
-        steps.append(f"q{k} AS MATERIALIZED (SELECT a.run, a.i, b.j, sum(a.x * b.x) AS x FROM p{k} a JOIN p{k} b ON a.run = b.run AND a.j = b.i GROUP BY ALL)")
-        steps.append(f"p{k + 1} AS MATERIALIZED (SELECT run, i, j, x / max(abs(x)) OVER (PARTITION BY run) AS x FROM q{k})")
-    best = f"cx AS (SELECT run, arg_max(j, x) AS j FROM p{squarings} WHERE i = j GROUP BY run), cv AS (SELECT p.run, p.i AS bin, p.x FROM p{squarings} p JOIN cx ON p.run = cx.run AND p.j = cx.j)"
-    return f"{OE}, {', '.join(steps)}, {best}, pc AS (SELECT run, bin, x * sign(arg_max(x, abs(x)) OVER w) / sqrt(sum(x * x) OVER w) AS value FROM cv WINDOW w AS (PARTITION BY run))"
+def _powers_sql(oe: str, name: str, tag: str = "", keys: tuple[str, ...] = ("run",), squarings: int = 16) -> str:
+    """``name``: the leading eigenvector of the table ``oe`` less one, from the matrix squared so often that nothing else is left."""
+    k, p, q = ", ".join(keys), f"p{tag}_" if tag else "p", f"q{tag}_" if tag else "q"
+    on = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in keys)
+    of = lambda x: ", ".join(f"{x}.{c}" for c in keys)
+    steps = [f"{p}0 AS MATERIALIZED (SELECT {k}, i, j, value - 1 AS x FROM {oe})"]
+    for n in range(squarings):
+        steps.append(f"{q}{n} AS MATERIALIZED (SELECT {of('a')}, a.i, b.j, sum(a.x * b.x) AS x FROM {p}{n} a JOIN {p}{n} b ON {on('a', 'b')} AND a.j = b.i GROUP BY ALL)")
+        steps.append(f"{p}{n + 1} AS MATERIALIZED (SELECT {k}, i, j, x / max(abs(x)) OVER (PARTITION BY {k}) AS x FROM {q}{n})")
+    best = f"cx{tag} AS (SELECT {k}, arg_max(j, x) AS j FROM {p}{squarings} WHERE i = j GROUP BY {k}), cv{tag} AS (SELECT {of('p')}, p.i AS bin, p.x FROM {p}{squarings} p JOIN {f'cx{tag} cx' if tag else 'cx'} ON {on('p', 'cx')} AND p.j = cx.j)"
+    return f"{', '.join(steps)}, {best}, {name} AS (SELECT {k}, bin, x * sign(arg_max(x, abs(x)) OVER w) / sqrt(sum(x * x) OVER w) AS value FROM cv{tag} WINDOW w AS (PARTITION BY {k}))"
+
+
+def _eigen_sql() -> str:
+    """``pc``: the leading eigenvector of O/E less one."""
+    return f"{OE}, {_powers_sql('oe', 'pc')}"
 
 
 PC = _eigen_sql()
@@ -212,6 +220,21 @@ s{r} AS (SELECT experiment, '{r}' AS resolution, run, bin, coalesce(x, avg(x) OV
 
 
 SWEEP = _sweep_sql()
+
+
+def _sweep_scores_sql() -> str:
+    """``SWEEP`` with the leading eigenvector of every map's O/E less one as second score of ``sw``, as ``_eigen_sql`` has it."""
+    maps, _ = SWEEP.rsplit(", sw AS ", 1)
+    found = []
+    for r in SIDES:
+        oe = f"""e{r} AS (SELECT experiment, run, distance, CASE WHEN distance = 0 THEN 1.0 ELSE x END AS expected FROM (SELECT experiment, run, abs(i - j) AS distance, avg(value) AS x FROM c{r} GROUP BY ALL)),
+oe{r} AS (SELECT c.experiment, c.run, i, j, CASE WHEN expected <> 0 THEN value / expected END AS value FROM c{r} c JOIN e{r} e ON c.experiment = e.experiment AND c.run = e.run AND e.distance = abs(i - j))"""
+        found.append(f"{oe}, {_powers_sql(f'oe{r}', f'pc{r}', r, ('experiment', 'run'))}")
+    both = " UNION ALL ".join(f"SELECT experiment, '{r}' AS resolution, run, bin, value, 'PC1' AS score_type FROM pc{r}" for r in SIDES)
+    return ", ".join([maps, *found, f"sw AS (SELECT *, 'insulation' AS score_type FROM un UNION ALL {both})"])
+
+
+SWEEP_SCORES = _sweep_scores_sql()
 _MAP = ["experiment", "run"]
 
 
@@ -220,6 +243,10 @@ def _sweep_maps(s, d):
 
 
 def _map_scores(c, b):
+    return scores.all_scores({"insulation": scores.insulation(c, b, W, _MAP), "PC1": scores.pc1(contacts.obs_over_exp(c, _MAP), b, _MAP)}, _MAP)
+
+
+def _map_squares(c, b):
     ins = scores.insulation(c, b, W, _MAP)
     return scores.all_scores({"insulation": ins, "PC1": ins.withColumn("value", F.col("value") * F.col("value"))}, _MAP)
 
@@ -231,7 +258,7 @@ def _sweep(s, d):
 
 _LEVEL = ["experiment", "resolution"]
 LEVELS = f"{SWEEP}, lv AS (SELECT x.experiment, x.resolution, x.run, x.bin, x.value, y.value AS reference FROM un x JOIN un y USING (experiment, resolution, bin) WHERE x.run <> 'N' AND y.run = 'N')"
-query("prj09_select_runs", f"WITH {SWEEP} SELECT experiment, resolution, run, bin, round(value, 6) AS value, score_type FROM sw WHERE run IN ('A', 'N') AND (score_type = 'PC1') = (resolution = '8Mb')")(lambda s, d: compare.select_runs(_sweep(s, d), ["A", "N"]))
+query("prj09_select_runs", f"WITH {SWEEP_SCORES} SELECT experiment, resolution, run, bin, round(value, 6) AS value, score_type FROM sw WHERE run IN ('A', 'N') AND (score_type = 'PC1') = (resolution = '8Mb')")(lambda s, d: compare.select_runs(_sweep(s, d), ["A", "N"]))
 query("cmp04_regress_levels", f"WITH {LEVELS} SELECT experiment, resolution, run, round(regr_slope(value, reference), 6) AS slope, round(regr_intercept(value, reference), 6) AS intercept, round(corr(value, reference), 6) AS r, round(regr_syy(value, reference) - regr_sxy(value, reference) ^ 2 / regr_sxx(value, reference), 6) AS ssd FROM lv GROUP BY ALL")(
     lambda s, d: compare.regress(_sweep(s, d).where("score_type = 'insulation'"), "N", keys=_LEVEL)
 )
@@ -242,7 +269,7 @@ query("cmp14_pair_levels", f"WITH {SWEEP} SELECT experiment, resolution, bin, ro
     lambda s, d: compare.pair_scores(_sweep(s, d).where("score_type = 'insulation'"), "N", "A", keys=_LEVEL)
 )
 query("cmp12_pool_experiments", f"WITH {SWEEP} SELECT x.experiment, CASE x.experiment WHEN 'exp1' THEN 'odd' ELSE x.experiment END AS hue_name, x.score_type, x.run, x.bin, round(x.value - y.value, 6) AS value FROM sw x JOIN sw y USING (experiment, resolution, score_type, bin) WHERE resolution = '4Mb' AND x.run <> 'N' AND y.run = 'N'")(
-    lambda s, d: compare.pool_maps(_sweep_maps(s, d), "4Mb", _map_scores, "N", "exp1:odd")
+    lambda s, d: compare.pool_maps(_sweep_maps(s, d), "4Mb", _map_squares, "N", "exp1:odd")
 )
 query("cmp08_headers", """WITH l AS (SELECT l_orderkey, min(l_linestatus) AS status, count(*) AS n FROM lineitem GROUP BY 1), x AS (SELECT o_orderkey, o_orderstatus IS DISTINCT FROM status AS a, (o_custkey % 7) IS DISTINCT FROM n AS b FROM orders LEFT JOIN l ON o_orderkey = l_orderkey)
 SELECT o_orderkey AS path, array_to_string([CASE WHEN a THEN 'status' END, CASE WHEN b THEN 'n' END], ',') AS differ FROM x WHERE a OR b""")(

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from locusframe.operators import scores
+from locusframe.plans import registry
+from locusframe.plans import views as V
 
 
 def _maps(n):
@@ -36,3 +38,28 @@ def test_pc1_equals_a_full_decomposition(spark, work):
     for b in dead[1:-1]:  # masked bins have the mean of three bins before and two after
         near = [want["plaid"][c] for c in range(b - 3, b + 3) if c in want["plaid"]]
         assert abs(got["plaid"][b] - np.mean(near)) < 1e-5
+
+
+@pytest.mark.parametrize("name,resolution,bins", [("prj09_select_runs", "8Mb", 25)])
+def test_sweep_scores_are_eigenvectors(spark, name, resolution, bins):
+    """The second score of a sweep is each map's eigenvector, not something made of its insulation."""
+    sf = "/root/testdata/sf0.001"
+    maps = V.contacts(spark, sf, bins, registry.EXPERIMENTS).toPandas()
+    want = {}
+    for key, m in maps.groupby(["experiment", "run"]):
+        a = np.zeros((bins, bins))
+        a[m["i"], m["j"]] = m["value"]
+        oe = np.zeros((bins, bins))
+        for i, j in zip(m["i"], m["j"], strict=True):
+            d = abs(i - j)
+            cells = m.loc[abs(m["i"] - m["j"]) == d, "value"]
+            oe[i, j] = a[i, j] / (1 if d == 0 else cells.mean()) - 1
+        values, vectors = np.linalg.eigh((oe + oe.T) / 2)
+        v = vectors[:, np.argmax(abs(values))]
+        want[key] = v * np.sign(v[np.argmax(abs(v))])
+    got = registry.queries()[name](spark, sf).where("score_type = 'PC1'").toPandas()
+    assert len(got) == (2 * 2 * bins)
+    for x in got.itertuples():
+        true = want[x.experiment, x.run][x.bin] - (want[x.experiment, "N"][x.bin] if name.startswith("cmp12") else 0)
+        assert getattr(x, "resolution", resolution) == resolution
+        assert abs(x.value - true) < 2e-6
