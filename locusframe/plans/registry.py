@@ -246,11 +246,6 @@ def _map_scores(c, b):
     return scores.all_scores({"insulation": scores.insulation(c, b, W, _MAP), "PC1": scores.pc1(contacts.obs_over_exp(c, _MAP), b, _MAP)}, _MAP)
 
 
-def _map_squares(c, b):
-    ins = scores.insulation(c, b, W, _MAP)
-    return scores.all_scores({"insulation": ins, "PC1": ins.withColumn("value", F.col("value") * F.col("value"))}, _MAP)
-
-
 def _sweep(s, d):
     parts = [_map_scores(c, b).select("experiment", F.lit(r).alias("resolution"), "run", "bin", "value", "score_type") for r, (c, b) in _sweep_maps(s, d).items()]
     return reduce(DataFrame.unionByName, parts)
@@ -268,8 +263,8 @@ query("cmp05_regress_wanted_levels", f"WITH {LEVELS}, f AS (SELECT experiment, r
 query("cmp14_pair_levels", f"WITH {SWEEP} SELECT experiment, resolution, bin, round(x.value, 6) AS first, round(y.value, 6) AS second FROM un x JOIN un y USING (experiment, resolution, bin) WHERE x.run = 'N' AND y.run = 'A'")(
     lambda s, d: compare.pair_scores(_sweep(s, d).where("score_type = 'insulation'"), "N", "A", keys=_LEVEL)
 )
-query("cmp12_pool_experiments", f"WITH {SWEEP} SELECT x.experiment, CASE x.experiment WHEN 'exp1' THEN 'odd' ELSE x.experiment END AS hue_name, x.score_type, x.run, x.bin, round(x.value - y.value, 6) AS value FROM sw x JOIN sw y USING (experiment, resolution, score_type, bin) WHERE resolution = '4Mb' AND x.run <> 'N' AND y.run = 'N'")(
-    lambda s, d: compare.pool_maps(_sweep_maps(s, d), "4Mb", _map_squares, "N", "exp1:odd")
+query("cmp12_pool_experiments", f"WITH {SWEEP_SCORES} SELECT x.experiment, CASE x.experiment WHEN 'exp1' THEN 'odd' ELSE x.experiment END AS hue_name, x.score_type, x.run, x.bin, round(x.value - y.value, 6) AS value FROM sw x JOIN sw y USING (experiment, resolution, score_type, bin) WHERE resolution = '4Mb' AND x.run <> 'N' AND y.run = 'N'")(
+    lambda s, d: compare.pool_maps(_sweep_maps(s, d), "4Mb", _map_scores, "N", "exp1:odd")
 )
 query("cmp08_headers", """WITH l AS (SELECT l_orderkey, min(l_linestatus) AS status, count(*) AS n FROM lineitem GROUP BY 1), x AS (SELECT o_orderkey, o_orderstatus IS DISTINCT FROM status AS a, (o_custkey % 7) IS DISTINCT FROM n AS b FROM orders LEFT JOIN l ON o_orderkey = l_orderkey)
 SELECT o_orderkey AS path, array_to_string([CASE WHEN a THEN 'status' END, CASE WHEN b THEN 'n' END], ',') AS differ FROM x WHERE a OR b""")(

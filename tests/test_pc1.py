@@ -40,7 +40,7 @@ def test_pc1_equals_a_full_decomposition(spark, work):
         assert abs(got["plaid"][b] - np.mean(near)) < 1e-5
 
 
-@pytest.mark.parametrize("name,resolution,bins", [("prj09_select_runs", "8Mb", 25)])
+@pytest.mark.parametrize("name,resolution,bins", [("prj09_select_runs", "8Mb", 25), ("cmp12_pool_experiments", "4Mb", 50)])
 def test_sweep_scores_are_eigenvectors(spark, name, resolution, bins):
     """The second score of a sweep is each map's eigenvector, not something made of its insulation."""
     sf = "/root/testdata/sf0.001"
