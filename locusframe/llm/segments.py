@@ -17,8 +17,11 @@ import numpy as np
 WHITE = "\t-\r \x85\xa0  -     　"
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 SEGMENT = re.compile(
-    f"[{WHITE}]*[{_LATIN}]+(?=[{WHITE}!-/:-@\\[-`{{-~]|\\Z)|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"
+    # What follows a quantifier never fits its own characters, so none gives any back (possessive).
+    f"[{WHITE}]*+[{_LATIN}]++(?=[{WHITE}!-/:-@\\[-`{{-~]|\\Z)|[{WHITE}]*+[^{WHITE}]++|[{WHITE}]++"
 )
+#: A segment that the pattern takes as one pre-token.
+WORD = re.compile(f" ?[{_LATIN}]+")
 
 
 class SegmentEncoder:

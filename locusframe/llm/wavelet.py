@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import map_pandas, materialise, read_table, renamed_apart
-from .segments import SegmentEncoder, batches
+from .segments import WORD, SegmentEncoder, batches
 
 BLOCK = 4096  # bits between two stored counts
 CHUNK = 1 << 15  # bytes of a plane that are compressed together, a multiple of BLOCK // 8
@@ -57,9 +57,9 @@ class WaveletMatrix:
             plane = np.packbits(ones, bitorder="little")
             planes.append([plane[a : a + CHUNK] for a in range(0, len(plane), CHUNK)])
             counts.append(cls._counts(plane))
-            low = now[~ones]
-            zeros.append(len(low))
-            now = np.concatenate([low, now[ones]])
+            zeros.append(len(ones) - int(np.count_nonzero(ones)))
+            if bit:  # a boolean index takes several times as long
+                now = np.concatenate([np.compress(~ones, now), np.compress(ones, now)])
         return cls(len(ids), planes, zeros, counts)
 
     @staticmethod
@@ -142,8 +142,8 @@ class WaveletMatrix:
                 now = np.where(ones, bit, kind(0))
                 continue
             up = np.empty_like(now)
-            up[~ones] = now[: self.zeros[level]]
-            up[ones] = now[self.zeros[level] :] | bit
+            up[np.flatnonzero(~ones)] = now[: self.zeros[level]]
+            up[np.flatnonzero(ones)] = now[self.zeros[level] :] | bit
             now = up
         return now if now is not None else np.zeros(0, kind)
 
@@ -178,11 +178,26 @@ class WaveletMatrix:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> SegmentEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    return SegmentEncoder(lambda xs: (e.ids for e in many(xs, add_special_tokens=False)) if xs else ())
+    kind = json.loads(tokenizer.to_str())
+    before = kind["pre_tokenizer"] or {}
+    whole = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and kind["normalizer"] is None
+    if not whole:
+        return SegmentEncoder(lambda xs: (e.ids for e in many(xs, add_special_tokens=False)) if xs else ())
+    # A word is one pre-token as it stands, so it is not searched for others.
+    plain = Tokenizer.from_file(path)
+    plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    words = getattr(plain, "encode_batch_fast", plain.encode_batch)
+
+    def encode(segments: list[str]) -> Iterator[list[int]]:
+        one = [WORD.fullmatch(x) is not None for x in segments]
+        found = [iter(f([x for x, w in zip(segments, one, strict=True) if w == k], add_special_tokens=False)) for k, f in ((False, many), (True, words))]
+        return (next(found[k]).ids for k in one)
+
+    return SegmentEncoder(encode)
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int = 0, width: int = 16, shard_tokens: int = 1_000_000) -> DataFrame:

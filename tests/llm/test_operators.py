@@ -13,7 +13,7 @@ import public_tokenizers as P
 import pytest
 import xxhash
 
-from locusframe.llm import byte_bpe, components, language, lines, minhash, mixing, neighbours, registry, sharding, simhash, substrings, wavelet
+from locusframe.llm import byte_bpe, components, language, lines, minhash, mixing, neighbours, registry, segments, sharding, simhash, substrings, wavelet
 from locusframe.llm._common import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -459,6 +459,19 @@ def test_wavelet_added_token_and_width():
         wavelet.WaveletMatrix.build(np.array([1, 65_536]), 16)
 
 
+def test_wavelet_words_are_single_pre_tokens():
+    """Words skip the pattern: each is one pre-token as it stands, and texts give the library's ids."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["don't we'll  x\n\nFoo Bar\u2019s", " \u00e9 \u00e8", "\tTab x1 y\u00b2\u00df", "\u00c0\u00d6\u00d8\u00d7\u00f7\u00f6 a<|endoftext|>b", "it's 's s'", "x\x1cy \u2003\u3000z", "", "  "]
+    cut = [s for t in texts for s in segments.SEGMENT.findall(t)]
+    words = [s for s in cut if segments.WORD.fullmatch(s)]
+    assert "".join(cut) == "".join(texts) and len(words) > 8
+    assert all(len(tokenizer.pre_tokenizer.pre_tokenize_str(w)) == 1 for w in words)
+    assert [x.tolist() for x in wavelet.encoder(P.path("byte_bpe_50k.json"))(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_wavelet_queries():
     ids = np.random.default_rng(2).integers(0, 50, 9000)
     matrix, _, names = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids, 16).to_bytes(np.array([0]), [7]))
