@@ -101,11 +101,13 @@ def search(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int =
     few bits in the others, so the same choice of blocks is made among these, with longer keys.
     """
     masks = _tables(radius, blocks)
-    keyed = _keys(prints, masks, "b")
     asked = _keys(queries, masks, "a")
-    # Only keys that a query has can meet; those that are too large are known before any pair is made.
-    hot = keyed.join(asked.select("t", "key").distinct(), ["t", "key"], "left_semi").groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n")
-    hot = materialise(hot)
+    # Only keys that a query has can meet: all keys are dealt once, and what meets none goes at once.
+    # Neither side is small for good, so none is broadcast.
+    wanted = asked.select("t", "key").distinct().hint("merge")
+    keyed = materialise(_keys(prints, masks, "b").join(wanted, ["t", "key"], "left_semi"))
+    # Keys that are too large are known before any pair is made.
+    hot = materialise(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n"))
     distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance")
 
     def pairs(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 
 from locusframe.llm import byte_bpe, components, language, lines, minhash, mixing, neighbours, registry, segments, sharding, simhash, substrings, wavelet
-from locusframe.llm._common import materialise
+from locusframe.llm._common import materialise, tracked
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tid string, key string"
@@ -314,6 +314,18 @@ def test_simhash(spark, docs, empty):
     assert found == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
 
 
+def test_simhash_search_keeps_only_keys_of_queries(spark):
+    """All keys are dealt once; what no query shares is gone before keys are counted or paired."""
+    rng = random.Random(3)
+    table = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(2000)], "fingerprint long")
+    asked = table.limit(5).localCheckpoint()
+    with tracked() as tables:
+        found = {(r.a, r.b) for r in simhash.search(asked, table).collect()}
+    assert {(r.fingerprint,) * 2 for r in asked.collect()} <= found
+    keys = {(r.t, r.key) for r in simhash._keys(asked, simhash._tables(3, 6), "a").collect()}
+    assert tables[0].columns == ["t", "key", "b"] and {(r.t, r.key) for r in tables[0].collect()} == keys
+
+
 def test_simhash_search(spark):
     """op7 searches its queries in all rows; keys that many fingerprints share are cut further and lose nothing."""
     got = simhash.op7_simhash(spark, SF).collect()
