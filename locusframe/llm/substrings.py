@@ -371,6 +371,31 @@ def _halves(doc: int, data: bytes, places: list) -> Iterator[tuple]:
                 yield int(_mixed(shared).view(np.int64)[0]), doc, at, a, b
 
 
+_PLACES = "key long, doc long, at int, low int, high int"
+
+
+def _gram_halves(docs: DataFrame, places: DataFrame, many: DataFrame) -> DataFrame:
+    """``_halves`` of the whole surroundings of ``places``, anchors whose grams are in ``many``.
+
+    Their documents' anchors are found again where the texts are read, so no text is shuffled for a few grams.  Each of
+    ``many`` has over ``MOST`` occurrences, so this list is short.
+    """
+    hot = np.array([r.key for r in many.collect()], np.int64)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for doc, text in zip(pdf["doc"], pdf["text"], strict=True):
+                data = (text or "").encode()
+                at, key, *_ = anchors(np.frombuffer(data, np.uint8))
+                at = at[np.isin(key.view(np.int64), hot)]
+                if len(at):
+                    out += _halves(doc, data, [{"at": a, "low": 0, "high": LEFT} for a in at.tolist()])
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in _PLACES.split(", ")])
+
+    return map_pandas(docs.select("doc", "text"), run, _PLACES).join(places.select("doc", "at"), ["doc", "at"], "left_semi").select("key", "doc", "at", "low", "high")
+
+
 def _equal_windows(windows: DataFrame) -> DataFrame:
     """Ranges ``doc, start, stop`` of all but the first of equal ``bytes`` at ``doc, at``."""
     place = F.struct("doc", "at")
@@ -391,10 +416,13 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
             ready.append(rest)
             break
         ready.append(rest.join(many, "key", "left_anti"))
-        halves = materialise(_at_places(docs, rest.join(many, "key", "left_semi"), _halves, "key long, doc long, at int, low int, high int"))
+        hot = rest.join(many, "key", "left_semi")
+        halves = materialise(_gram_halves(docs, hot, many) if len(ready) == 1 else _at_places(docs, hot, _halves, _PLACES))
+        rest = halves.where("low < high")
+        if halves.where("low = high").isEmpty():  # else the texts were shuffled to meet nothing
+            continue
         whole = _at_places(docs, halves.where("low = high"), lambda doc, data, places: [(doc, p["at"] - p["low"], data[p["at"] - p["low"] : p["at"] - p["low"] + LENGTH]) for p in places], "doc long, at int, bytes binary")
         ranges = ranges.unionByName(_equal_windows(whole))
-        rest = halves.where("low < high")
 
     def around(doc: int, data: bytes, places: list) -> Iterator[tuple]:
         for p in places:

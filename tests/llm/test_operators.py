@@ -314,6 +314,18 @@ def test_simhash(spark, docs, empty):
     assert found == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
 
 
+def test_substrings_split_grams_where_texts_are_read(spark, monkeypatch):
+    """The first halves of large grams equal those found by shuffling texts, and no text is shuffled for them."""
+    base = "the very same passage that all of these documents hold somewhere inside them, once"
+    docs = spark.createDataFrame([(i, f"{i * 7919:060d} {base} {i * 104729:070d}") for i in range(60)] + [(60, None), (61, "")], "doc long, text string")
+    sifted = materialise(substrings._sift(substrings._anchor_rows(docs)))
+    rest = sifted.where("key is not null").selectExpr("key", "doc", "at", "0 as low", f"{substrings.LEFT} as high")
+    many = rest.groupBy("key").count().where("count > 20").select("key")
+    hot = rest.join(many, "key", "left_semi")
+    want = sorted(map(tuple, substrings._at_places(docs, hot, substrings._halves, substrings._PLACES).collect()))
+    assert want and sorted(map(tuple, substrings._gram_halves(docs, hot, many).collect())) == want
+
+
 def test_simhash_search_keeps_only_keys_of_queries(spark):
     """All keys are dealt once; what no query shares is gone before keys are counted or paired."""
     rng = random.Random(3)
