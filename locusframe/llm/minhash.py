@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ._common import map_pandas, materialise, read_table, renamed_apart, settled
+from ._common import discard, map_pandas, materialise, read_table, renamed_apart, settled
 from .components import connected_components
 
 SHINGLE = 5
@@ -145,7 +145,7 @@ def _across_families(torn: DataFrame, classes: DataFrame, docs: DataFrame, perce
     block meets each other one.
     Only pairs that look similar enough leave a meeting, and of those only what joins components.
     """
-    families = connected_components(torn.select(F.col("doc").alias("a"), F.col("head").alias("b"))).toDF("doc", "family")
+    families = materialise(connected_components(torn.select(F.col("doc").alias("a"), F.col("head").alias("b"))).toDF("doc", "family"))
     full = _full_sets(docs, classes, families.select("doc"))
     held = families.join(full.select("doc", F.octet_length("items").alias("bytes")), "doc").groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     sizes = held.select("family", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / SIDE)).cast("int").alias("parts"))
@@ -180,7 +180,9 @@ def _across_families(torn: DataFrame, classes: DataFrame, docs: DataFrame, perce
         return pd.DataFrame(out, columns=["a", "b"])
 
     kind = torn.schema["doc"].dataType.simpleString()
-    return met.groupBy("family", "i", "j").applyInPandas(meet, f"a {kind}, b {kind}").distinct()
+    pairs = materialise(met.groupBy("family", "i", "j").applyInPandas(meet, f"a {kind}, b {kind}").distinct())
+    discard(families, full)
+    return pairs
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -189,6 +191,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     close = materialise(
         pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").where(_agreement("sig_a", "sig_b") >= SIGNATURE_LEAST).select("a", "b")
     )
+    if close.isEmpty():
+        return close
     full = _full_sets(docs, classes, close.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
 
     @F.pandas_udf("boolean")
@@ -200,7 +204,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
             out.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
         return pd.Series(out)
 
-    return close.join(full.toDF("a", "items_a"), "a").join(full.toDF("b", "items_b"), "b").where(alike("items_a", "items_b")).select("a", "b")
+    found = materialise(close.join(full.toDF("a", "items_a"), "a").join(full.toDF("b", "items_b"), "b").where(alike("items_a", "items_b")).select("a", "b"))
+    discard(close, full)
+    return found
 
 
 def _torn(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -220,6 +226,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     keyed = materialise(_bands(classes))
     heads = keyed.groupBy("key").agg(F.min("doc").alias("head"), F.count("*").alias("n")).where("n > 1")
     shared = materialise(keyed.join(heads, "key").select("key", "doc", "head"))  # buckets with more than one member
+    discard(keyed)
     met = shared.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
     labels = materialise(connected_components(_verified(met, classes, docs, percent)).toDF("doc", "group"))
 
@@ -227,6 +234,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # the bucket, then all pairs across components that are left are compared.
     for salt in (1, 2, None):
         torn = _torn(shared, labels)
+        if torn.isEmpty():
+            break
         if salt is None:
             pairs = _across_families(torn, classes, docs, percent)
         else:
@@ -236,11 +245,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             drawn = parts.join(heads, ["key", "part"]).where("group <> gb")
             pairs = drawn.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
         found = _verified(pairs, classes, docs, percent)
+        if found.isEmpty():
+            continue
         ends = [labels.toDF(x, f"g{x}") for x in "ab"]
         links = found.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
         merged = connected_components(links).toDF("group", "merged")
         nodes = labels.unionByName(found.select(F.explode(F.array("a", "b")).alias("doc")).select("doc", F.col("doc").alias("group")).join(labels, "doc", "left_anti").distinct())
-        labels = materialise(nodes.join(merged, "group", "left").select("doc", F.coalesce("merged", "group").alias("group")))
+        old, labels = labels, materialise(nodes.join(merged, "group", "left").select("doc", F.coalesce("merged", "group").alias("group")))
+        discard(old, torn, found)
+    discard(shared)
     groups = labels.toDF("node", "component")
 
     placed = classes.select("set_a", "set_b", "least", F.col("doc").alias("node")).join(groups, "node", "left").withColumn("number", F.coalesce("component", "node"))

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -149,6 +150,17 @@ def test_near_vectors_in_a_hot_bucket(spark):
     assert sum(got[i].n_links for i in small) >= 0.98 * hit[small].sum()
 
 
+def test_components_keep_one_table(spark):
+    """Rounds free what they wrote: in the shared folder only the last table is added."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    held = lambda: {p.parent for p in shared.rglob("part-*")}
+    before = held()
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    got = components.connected_components(edges)
+    assert {r.component for r in got.collect()} == {0} and got.count() == 41
+    assert len(held() - before) == 1
+
+
 def test_audit_sees_split_components(spark):
     rng = np.random.default_rng(9)
     base = rng.standard_normal((61, 16))
