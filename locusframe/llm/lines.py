@@ -84,7 +84,8 @@ def _hashed_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, tid, no, key, h`` of every line with words: ``h`` are the distinct hashes of its words."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.posexplode(F.split(_lowered(F.col("text")), "\n")).alias("no", "line"))
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return lines.select(*_PLACE, F.unhex(F.md5("line")).alias("key"), hashes.alias("h")).where(F.size("h") > 0)
+    # Asked of the line itself: a condition on ``h`` would be pushed below it, which hashes all words twice.
+    return lines.where(F.trim("line") != "").select(*_PLACE, F.unhex(F.md5("line")).alias("key"), hashes.alias("h"))
 
 
 def _line_table(hashed: DataFrame, percent: int) -> DataFrame:
@@ -246,11 +247,11 @@ def reduced(docs: DataFrame, percent: int = PERCENT, columns: Sequence[str] | No
     gone = lines.join(marked, "key").where(F.coalesce("late", F.lit(False)) | (place > F.col("first")))
     removed = materialise(gone.groupBy("doc_id", "tid").agg(F.collect_set("no").alias("removed"))).toDF("rdoc", "rtid", "removed").hint("shuffle_hash")
     rows = docs.select(packed(docs, columns), F.col("doc_id").alias("doc"), F.col("text").alias("old"), F.xxhash64("text").alias("tid"))
-    split = F.split("old", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed"))
-    text = F.when(F.col("removed").isNull(), F.col("old")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
-    found = rows.join(removed, F.col("doc").eqNullSafe(F.col("rdoc")) & (F.col("tid") == F.col("rtid")), "left")
-    n_lines = F.when(F.col("old").isNull(), 0).otherwise(F.size(split)).cast("long")
+    # A column of its own: within the function below a text would be split once for each line that stays.
+    found = rows.join(removed, F.col("doc").eqNullSafe(F.col("rdoc")) & (F.col("tid") == F.col("rtid")), "left").withColumn("split", F.split("old", "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), F.col("removed"))
+    text = F.when(F.col("removed").isNull(), F.col("old")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("split", i)), "\n"))
+    n_lines = F.when(F.col("old").isNull(), 0).otherwise(F.size("split")).cast("long")
     return found.select("row", text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"))
 
 

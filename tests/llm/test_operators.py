@@ -416,6 +416,17 @@ def test_awkward_rows(spark):
     assert sorted((r.doc_id or 0, r.text) for r in again.collect()) == sorted((r.doc_id or 0, r.text) for r in mixing.repeated(docs).collect())
 
 
+def test_lines_are_split_and_hashed_once(spark):
+    """No condition is pushed below the hashing of words, and no text is split within a function over its lines."""
+    docs = spark.createDataFrame([(1, "a b\nc d\n \t"), (2, "a b\n\nE f"), (3, None)], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(lines._hashed_lines(docs)).count("array_distinct(") == 1
+    assert sorted((r.doc_id, r.no, len(r.h)) for r in lines._hashed_lines(docs).collect()) == [(1, 0, 2), (1, 1, 2), (2, 0, 2), (2, 2, 2)]
+    kept = lines.reduced(docs)
+    assert "get(split(" not in plan(kept)
+    assert sorted((r.row.doc_id, r.text, r.n_lines, r.n_removed) for r in kept.collect()) == [(1, "a b\nc d\n \t", 3, 0), (2, "\nE f", 3, 1), (3, None, 0, 0)]
+
+
 def test_many_similar_lines(spark):
     """A group of hundreds of lines that are alike in part, beside as many that are not: the same lines go as by brute force."""
     rnd = random.Random(11)
