@@ -1,15 +1,17 @@
 """Near-duplicate lines by an exact set-similarity join (operator 4), in DataFrame operations only.
 
 A line is the set of its lower-cased words.  Equal lower-cased lines form a class, and only its
-first line goes on.  Words are ordered from rare to frequent, so that two similar sets share a word
-among their first few (prefix filter); sizes and the place of the shared word rule out most pairs
-(length and positional filters), a lossless bitmap of the set most others; the rest is verified on
-the words themselves.  A line goes if a line that comes earlier, in a document of smaller
-``doc_id`` or before it in its own, is similar enough; earlier lines count whether they stay or not.
-
-Any order of words that is the same for all lines gives exact results.  Rarity is the count of the
-word's hash bucket (in how many lines), so that the table of counts has a fixed size however large
-the vocabulary is.  The words of a line are hashed once, and stored until its prefix is known.
+first line goes on.  The words of a line stand in one order, long words first and equally long ones
+by hash, and its tokens are its words each with the word that follows it there.  A word that is in
+one of two sets only costs the other at most one token and its own two, so similar sets share a
+token among their first few (prefix filter on pairs of words, which long lists seldom share by
+chance); sizes and the place of the shared token rule out some pairs (length and positional filters),
+a lossless bitmap of the set nearly all others; the rest is verified on the words themselves.  A line
+goes if a line that comes earlier, in a document of smaller ``doc_id`` or before it in its own, is
+similar enough; earlier lines count whether they stay or not.
+
+Any order of words that is the same for all lines gives exact results; by length it needs no counts
+of words, so a line is split, hashed and ordered in one pass and only its first tokens are stored.
 
 Defined cases: lines without words stay and match nothing; a null text stays null with no lines; an
 empty text is one line without words; rows of equal ``doc_id`` are ordered by a hash of their text,
@@ -29,19 +31,23 @@ from pyspark.sql import functions as F
 from ._common import discard, materialise, packed, read_table
 
 PERCENT = 80
-BUCKETS = 1 << 17
-PASSES = 8
+BUCKETS = 1 << 15
+PASSES = 4
+SLICES = 2  # of the lines' digests, grouped one after the other
 DRAWN = 6  # neighbours in a list that a line meets first
 TRIES = 8  # matches of a line that are verified before it meets all members of its lists
-PART = 4096  # postings of a word that are expected in one part of its list
+PART = 4096  # postings of a token that are expected in one part of its list
 WIDE = 24  # words of sets that have the wider bitmap too
-_TOKEN_BITS = 47  # of a word's hash; the bits above hold its frequency class
-_STEPS = 1000  # frequency classes for each doubling
+_LONGEST = 31  # bytes of a word; longer ones count as equally long
+_WORD_BITS = 58  # of a word's hash; the bits above hold what its length lacks of ``_LONGEST``
+
 
 
 def _lowered(text: Column) -> Column:
     """Lower-cased, with a blank for every white-space character but the line end."""
-    return F.regexp_replace(F.lower(text), r"[\t\x0B\x0C\r]", " ")
+    blanks = "\t\x0b\x0c\r"
+    found = reduce(Column.__or__, [F.contains(text, F.lit(b)) for b in blanks])
+    return F.when(found, F.regexp_replace(F.lower(text), f"[{blanks}]", " ")).otherwise(F.lower(text))
 
 
 def _words(line: Column) -> Column:
@@ -49,30 +55,41 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(line, " ")), "")
 
 
-def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def _ordered(word: Column) -> Column:
+    """A number for the word: the longer it is the smaller, and among equally long ones a hash."""
+    short = (F.lit(_LONGEST) - F.least(F.octet_length(word), F.lit(_LONGEST))).cast("long")
+    return F.shiftleft(short, _WORD_BITS).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit((1 << _WORD_BITS) - 1)))
+
+
+def _bucket(token: Column) -> Column:
+    return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def frequency_classes(hashed: DataFrame) -> Column:
-    """A constant array: for each hash bucket a class that grows with the number of words ``h`` of lines in it.
+def list_parts(postings: DataFrame) -> Column:
+    """Into how many parts the list of ``token`` is cut: by what its hash bucket holds beyond twice the mean of all.
 
-    Counts cover all lines; what reaches the driver is ``BUCKETS`` numbers, as one string.
+    What reaches the driver is ``BUCKETS`` numbers, as one string.
     """
-    counts = hashed.select(F.explode("h").alias("h")).groupBy(_bucket(F.col("h")).alias("b")).agg(F.count("*").alias("n"))
-    classes = counts.select("b", F.floor(F.log2(F.col("n") + 1) * _STEPS).cast("long").alias("c"))
-    every = hashed.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(classes, "b", "left").select("b", F.coalesce("c", F.lit(0)).alias("c"))
-    listed = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "c"))), lambda e: F.shiftleft(e["c"], _TOKEN_BITS).cast("string")), ",")).first()[0]
-    return F.split(F.lit(listed), ",").cast("array<long>")  # folded to a literal by the optimiser
+    counts = postings.groupBy(_bucket(F.col("token")).alias("b")).agg(F.count("*").alias("n"))
+    every = postings.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("n", F.lit(0)).alias("n"))
+    held = every.agg(F.sort_array(F.collect_list(F.struct("b", "n"))).alias("held"), F.avg("n").alias("mean"))
+    parts = F.transform("held", lambda e: F.greatest(F.ceil((e["n"] - 2 * F.col("mean")) / PART), F.lit(1)).cast("string"))
+    listed = held.select(F.array_join(parts, ",")).first()[0]
+    return F.get(F.split(F.lit(listed), ",").cast("array<long>"), _bucket(F.col("token")))  # the array is folded to a literal by the optimiser
 
 
 def _probe_length(n: Column, percent: int) -> Column:
-    """So many of a set's rarest words hold one of any similar set's."""
-    return n - F.ceil(n * percent / 100).cast("int") + 1
+    """So many of a set's first tokens hold one of any similar set's.
+
+    Of ``n`` tokens at most twice the words that only it has and once those that only the other has
+    are lost: most where the other is as small as it may be, ``n * percent / 100`` words.
+    """
+    return F.least(n, F.floor(n * (2 * (100 - percent)) / 100).cast("int") + 1) if percent > 50 else n
 
 
 def _index_length(n: Column, percent: int) -> Column:
     """So many are enough against sets that are not smaller."""
-    return n - F.ceil(n * (2 * percent) / (100 + percent)).cast("int") + 1
+    return F.least(n, F.floor(n * (3 * (100 - percent)) / (100 + percent)).cast("int") + 1) if percent > 50 else n
 
 
 _PLACE = ("doc_id", "tid", "no")
@@ -81,31 +98,41 @@ _OTHER = {"id": "eid", "n": "m", "i": "j", **{x: f"e{x}" for x in _BITS}}  # col
 
 
 def _hashed_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, tid, no, key, h`` of every line with words: ``h`` are the distinct hashes of its words."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.posexplode(F.split(_lowered(F.col("text")), "\n")).alias("no", "line"))
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    """``doc_id, tid, no, key, h`` of every line with words: ``h`` are the numbers of its distinct words in order."""
+    # Beside ``posexplode`` a text would be carried along with each of its lines, and hashed for each.
+    split = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.split(_lowered(F.col("text")), "\n").alias("split"))
+    lines = split.select("doc_id", "tid", F.posexplode("split").alias("no", "line"))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), _ordered)), _ordered(F.lit("")))
     # Asked of the line itself: a condition on ``h`` would be pushed below it, which hashes all words twice.
-    return lines.where(F.trim("line") != "").select(*_PLACE, F.unhex(F.md5("line")).alias("key"), hashes.alias("h"))
+    return lines.where(F.trim("line") != "").select(*_PLACE, F.unhex(F.md5("line")).alias("key"), F.sort_array(hashes).alias("h"))
 
 
 def _line_table(hashed: DataFrame, percent: int) -> DataFrame:
     """``doc_id, tid, no, key, n, bits, low, high, prefix`` of every line of ``_hashed_lines``.
 
     ``tid`` tells rows of equal doc_id apart, ``key`` is a digest of the lowered line, ``n`` the
-    size of its set, ``prefix`` its rarest words, and ``bits`` has for each place the parity of how
+    size of its set, ``prefix`` the words of its first tokens, and ``bits`` has for each place the parity of how
     many words hash to it; so have ``low`` and ``high``, for sets of ``WIDE`` words and more.
     """
-    classes = frequency_classes(hashed)
-    rest = F.lit((1 << _TOKEN_BITS) - 1)
-    ordered = F.sort_array(F.transform("h", lambda h: F.get(classes, _bucket(h)).bitwiseOR(h.bitwiseAND(rest))))
     n = F.size("h")
-    wide = [F.when(n >= WIDE, _parity(lambda h, k=k: F.when(h.bitwiseAND(F.lit(64)) == 64 * k, _bit(h.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long")))) for k in range(2)]
-    bits = [c.alias(x) for c, x in zip([_parity(lambda h: _bit(F.call_function("shiftrightunsigned", h, F.lit(58)).cast("int"))), *wide], _BITS, strict=True)]
-    return hashed.select(*_PLACE, "key", n.alias("n"), *bits, F.slice(ordered, F.lit(1), _probe_length(n, percent)).alias("prefix"))
+    wide = [F.when(n >= WIDE, _parity(lambda h, k=k: F.when(h.bitwiseAND(F.lit(1 << 12)) == k << 12, _bit(F.shiftright(h, 6))).otherwise(F.lit(0).cast("long")))) for k in range(2)]
+    bits = [c.alias(x) for c, x in zip([_parity(_bit), *wide], _BITS, strict=True)]
+    return hashed.select(*_PLACE, "key", n.alias("n"), *bits, F.slice("h", F.lit(1), _probe_length(n, percent) + 1).alias("prefix"))
+
+
+def _tokens(lines: DataFrame, percent: int, *columns: str) -> DataFrame:
+    """``columns``, ``i`` and ``token`` for each of a line's first tokens: a word with the next one.
+
+    Where sets of half the words in common are enough it is a word alone.
+    """
+    words = lines.select(*{*columns, "n"}, "prefix", F.posexplode("prefix").alias("i", "word")).where(F.col("i") < _probe_length(F.col("n"), percent))
+    token = F.xxhash64("word", F.get("prefix", F.col("i") + 1)) if percent > 50 else F.xxhash64("word")
+    return words.select(*columns, "i", token.alias("token"))
 
 
-def _bit(place: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+def _bit(h: Column) -> Column:
+    """A bit at the place that the last six bits of ``h`` name."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def _parity(bit: Callable[[Column], Column]) -> Column:
@@ -128,13 +155,8 @@ def _differ() -> Column:
     return F.greatest(flipped[0], F.coalesce(flipped[1] + flipped[2], F.lit(0)))
 
 
-def _list_parts() -> Column:
-    """Parts of about ``PART`` rows for the posting list of ``token``: its class bounds the length."""
-    return F.ceil(F.pow(F.lit(2.0), F.shiftright("token", _TOKEN_BITS) / _STEPS) / PART).cast("long")
-
-
-def _near(firsts: DataFrame, percent: int, part: int) -> DataFrame:
-    """Likely matches within the posting lists of one part of the words, and the postings of long lists.
+def _near(firsts: DataFrame, percent: int, part: int, parts: Column) -> DataFrame:
+    """Likely matches within the posting lists of one part of the tokens, and the postings of long lists.
 
     Each list stands in a random order of its own, so lists of the same lines give different
     neighbours; a line meets the first member and the ``DRAWN`` before it.  In a list of ``DRAWN + 1``
@@ -142,13 +164,15 @@ def _near(firsts: DataFrame, percent: int, part: int) -> DataFrame:
     parts.  A match has ``id, eid, d, whole``, the last true if its list was not long; in a posting
     ``eid`` is NULL and ``doc_id, n, i, token`` and the bitmaps are set.  Matches within a document come both ways.
     """
-    postings = firsts.select("id", "doc_id", "n", *_BITS, F.posexplode("prefix").alias("i", "token")).where(F.pmod("token", F.lit(PASSES)) == part)
+    postings = _tokens(firsts, percent, "id", "doc_id", "n", *_BITS).where(F.pmod("token", F.lit(PASSES)) == part)
+    salted = postings.withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")))
     listed = Window.partitionBy("token", "salt")
     mixed = listed.orderBy(F.xxhash64("token", "id"))
+    # Most tokens are one line's alone: they go before anything else is done with a list.
+    salted = salted.withColumn("size", F.count("*").over(listed)).where("size > 1 or parts > 1")
     line = F.struct("doc_id", "id", "n", "i", *_BITS)
-    salted = postings.withColumn("parts", _list_parts()).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")))
     before = [F.lag(line, k).over(mixed) for k in range(1, DRAWN + 1)]
-    long = (F.col("parts") > 1) | (F.count("*").over(listed) > DRAWN + 1)
+    long = (F.col("parts") > 1) | (F.col("size") > DRAWN + 1)
     drawn = salted.select(line.alias("x"), "token", long.alias("long"), F.min(line).over(listed).alias("head"), *[b.alias(f"e{k}") for k, b in enumerate(before)])
     own = [F.when(F.col("long"), F.col(c)) for c in ("x", "head")]  # the line itself stands for its posting
     met = drawn.where("long or e0 is not null").select("x", "token", "long", F.posexplode(F.array(*own, *[F.col(f"e{k}") for k in range(DRAWN)])).alias("k", "e")).where("k = 0 and long or e.id <> x.id")
@@ -194,21 +218,18 @@ def _open_pairs(unsettled: DataFrame, postings: DataFrame, percent: int) -> Data
 def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """All lines with words (``doc_id, tid, no, key``) and the ``key`` of each class that an earlier line is similar to.
 
-    First each line meets a few members of each of its words' lists, and the likeliest of them are
+    First each line meets a few members of each of its tokens' lists, and the likeliest of them are
     verified.  Only lines that are not settled so meet the others: all that they have met in short
     lists, and all members of the long ones.  So a group of many similar lines never pairs off
     within itself and no match is missed.
     """
     source = docs.select("doc_id", "text")
-    hashed = materialise(_hashed_lines(source))
-    wide = materialise(_line_table(hashed, percent))
-    discard(hashed)
-    place = F.min(F.struct(*_PLACE)).alias("place")
-    grouped = wide.groupBy("key").agg(place, *[F.first(c).alias(c) for c in ("n", *_BITS, "prefix")])
-    firsts = materialise(grouped.select(F.monotonically_increasing_id().alias("id"), *[F.col(f"place.{c}") for c in _PLACE], "key", "n", *_BITS, "prefix"))
+    wide = materialise(_line_table(_hashed_lines(source), percent))
+    firsts = reduce(DataFrame.unionByName, [_firsts(wide, k) for k in range(SLICES)])
     lines = materialise(wide.select(*_PLACE, "key"))
     discard(wide)
-    near = [materialise(_near(firsts, percent, part)) for part in range(PASSES)]
+    parts = list_parts(_tokens(firsts, percent))
+    near = [materialise(_near(firsts, percent, part, parts)) for part in range(PASSES)]
     pairs = reduce(DataFrame.unionByName, near).where("eid is not null")
     settled = _verified(source, firsts, _likeliest(pairs.select("id", "d", "eid")).select("id", "eid"), percent)
     met = [materialise(pairs.where("whole").select("id", "eid").distinct().join(settled, "id", "left_anti"))]
@@ -222,13 +243,23 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     return lines, firsts.select("id", *_PLACE, "key").join(late, "id", "left_semi").select("key")
 
 
+def _firsts(lines: DataFrame, part: int) -> DataFrame:
+    """``id`` and the columns of ``lines`` for the first line of each class, in one part of the digests."""
+    place = F.min(F.struct(*_PLACE)).alias("place")
+    grouped = lines.where(F.pmod(F.xxhash64("key"), F.lit(SLICES)) == part).groupBy("key").agg(place, *[F.first(c).alias(c) for c in ("n", *_BITS, "prefix")])
+    number = F.monotonically_increasing_id() * SLICES + part
+    return materialise(grouped.select(number.alias("id"), *[F.col(f"place.{c}") for c in _PLACE], "key", "n", *_BITS, "prefix"))
+
+
 def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """``id`` of the later line of those ``pairs`` (``id, eid``) whose words are similar enough."""
     pairs = materialise(pairs)
     wanted = pairs.select("id").unionByName(pairs.select(F.col("eid").alias("id"))).distinct()
     by_doc = firsts.join(wanted, "id", "left_semi").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("id", "no")).alias("wanted")).toDF("wdoc", "wtid", "wanted").hint("shuffle_hash")
     rows = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
-    found = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("wdoc")) & (F.col("tid") == F.col("wtid"))).select("doc_id", "tid", F.split(_lowered(F.col("text")), "\n").alias("lines"), F.explode("wanted").alias("w"))
+    found = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("wdoc")) & (F.col("tid") == F.col("wtid")))
+    # Split before the wanted lines are exploded: beside ``explode`` it would be done for each of them.
+    found = found.select("doc_id", "tid", F.split(_lowered(F.col("text")), "\n").alias("lines"), "wanted").select("doc_id", "tid", "lines", F.explode("wanted").alias("w"))
     full = materialise(found.select(F.col("w.id").alias("id"), F.struct("doc_id", "tid", "w.no").alias("place"), _words(F.get("lines", F.col("w.no"))).alias("words")).dropDuplicates(["id"]))
     both = pairs.join(full, "id").join(full.toDF("eid", "eplace", "ewords"), "eid")
     shared = F.size(F.array_intersect("words", "ewords"))

@@ -427,6 +427,37 @@ def test_lines_are_split_and_hashed_once(spark):
     assert sorted((r.row.doc_id, r.text, r.n_lines, r.n_removed) for r in kept.collect()) == [(1, "a b\nc d\n \t", 3, 0), (2, "\nE f", 3, 1), (3, None, 0, 0)]
 
 
+def test_line_tokens(spark, monkeypatch):
+    """Only the first words of a line are stored, and similar lines share a token there: within the index length the smaller one."""
+    stored, write = [], lines.materialise
+    monkeypatch.setattr(lines, "materialise", lambda df: stored.append(df.columns) or write(df))
+    rnd = random.Random(5)
+    data, sets = [], []
+    for k in range(120):
+        n = rnd.randrange(1, 60)
+        base = [f"{'x' * rnd.randrange(6)}{rnd.randrange(10**6)}" for _ in range(n)]
+        for words in (base, base[rnd.randrange(n // 5 + 1) :] + [f"n{rnd.randrange(10**6)}" for _ in range(rnd.randrange(n // 4 + 1))]):
+            data.append((len(data), " ".join(words)))
+            sets.append(set(words))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert lines.without_similar_lines(docs).count() == len(data)
+    assert not any("h" in columns for columns in stored)
+    table = lines._line_table(lines._hashed_lines(docs), 80)
+    tokens = {k: [] for k, _ in data}
+    for r in sorted(lines._tokens(table, 80, "doc_id").collect()):
+        tokens[r.doc_id].append(r.token)
+    assert all(len(tokens[k]) == min(len(s), 40 * len(s) // 100 + 1) for k, s in enumerate(sets))
+    similar = 0
+    for a in range(0, len(data), 2):
+        b = a + 1
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            small, large = sorted((a, b), key=lambda k: len(sets[k]))
+            shown = min(len(sets[small]), 60 * len(sets[small]) // 180 + 1)
+            assert set(tokens[small][:shown]) & set(tokens[large])
+            similar += 1
+    assert 20 < similar < 120
+
+
 def test_many_similar_lines(spark):
     """A group of hundreds of lines that are alike in part, beside as many that are not: the same lines go as by brute force."""
     rnd = random.Random(11)
