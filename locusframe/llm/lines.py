@@ -34,7 +34,8 @@ PERCENT = 80
 BUCKETS = 1 << 15
 PASSES = 4
 SLICES = 2  # of the lines' digests, grouped one after the other
-DRAWN = 6  # neighbours in a list that a line meets first
+WHOLE = 32  # members of a list that all meet one another at once
+GROUP = 16  # members of a longer list, more or less, that a line meets first
 TRIES = 8  # matches of a line that are verified before it meets all members of its lists
 PART = 4096  # postings of a token that are expected in one part of its list
 WIDE = 24  # words of sets that have the wider bitmap too
@@ -158,30 +159,33 @@ def _differ() -> Column:
 def _near(firsts: DataFrame, percent: int, part: int, parts: Column) -> DataFrame:
     """Likely matches within the posting lists of one part of the tokens, and the postings of long lists.
 
-    Each list stands in a random order of its own, so lists of the same lines give different
-    neighbours; a line meets the first member and the ``DRAWN`` before it.  In a list of ``DRAWN + 1``
-    members or fewer all meet; other lists are long, and so are lists that had to be cut by hash into
-    parts.  A match has ``id, eid, d, whole``, the last true if its list was not long; in a posting
-    ``eid`` is NULL and ``doc_id, n, i, token`` and the bitmaps are set.  Matches within a document come both ways.
+    In a list of ``WHOLE`` members or fewer all meet.  Other lists are long, and so are lists that had
+    to be cut by hash into parts: their members are dealt to groups of about ``GROUP``, by a hash of
+    token and line, so lists of the same lines give different neighbours, and a line meets its group
+    and the first member of the list.  A match has ``id, eid, d, whole``, the last true if its list was
+    not long; in a posting ``eid`` is NULL and ``doc_id, n, i, token`` and the bitmaps are set.  Matches
+    within a document come both ways.
     """
     postings = _tokens(firsts, percent, "id", "doc_id", "n", *_BITS).where(F.pmod("token", F.lit(PASSES)) == part)
     salted = postings.withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")))
     listed = Window.partitionBy("token", "salt")
-    mixed = listed.orderBy(F.xxhash64("token", "id"))
     # Most tokens are one line's alone: they go before anything else is done with a list.
     salted = salted.withColumn("size", F.count("*").over(listed)).where("size > 1 or parts > 1")
-    line = F.struct("doc_id", "id", "n", "i", *_BITS)
-    before = [F.lag(line, k).over(mixed) for k in range(1, DRAWN + 1)]
-    long = (F.col("parts") > 1) | (F.col("size") > DRAWN + 1)
-    drawn = salted.select(line.alias("x"), "token", long.alias("long"), F.min(line).over(listed).alias("head"), *[b.alias(f"e{k}") for k, b in enumerate(before)])
-    own = [F.when(F.col("long"), F.col(c)) for c in ("x", "head")]  # the line itself stands for its posting
-    met = drawn.where("long or e0 is not null").select("x", "token", "long", F.posexplode(F.array(*own, *[F.col(f"e{k}") for k in range(DRAWN)])).alias("k", "e")).where("k = 0 and long or e.id <> x.id")
-    sides = met.select("token", "long", (F.col("k") == 0).alias("posting"), F.greatest("x", "e").alias("x"), F.least("x", "e").alias("e"))
-    flat = sides.select("token", "long", "posting", "x.doc_id", *[F.col(f"x.{a}").alias(a) for a in _OTHER if a != "id"], F.col("x.id").alias("id"), F.col("e.doc_id").alias("edoc"), *[F.col(f"e.{a}").alias(b) for a, b in _OTHER.items()])
+    groups = F.when(F.col("size") > WHOLE, F.ceil(F.col("size") / GROUP)).otherwise(F.lit(1))
+    line, long = F.struct("doc_id", "id", "n", "i", *_BITS), (F.col("parts") > 1) | (F.col("size") > WHOLE)
+    dealt = salted.select("token", "salt", line.alias("x"), long.alias("long"), F.pmod(F.xxhash64("token", "id"), groups).alias("group"))
+    head = F.min(F.when(F.col("long"), F.col("x"))).over(listed)
+    drawn = dealt.select("token", "x", "long", head.alias("head"), F.collect_list("x").over(Window.partitionBy("token", "salt", "group")).alias("all"))
+    members = F.when(F.col("long"), F.concat(F.array("x", "head"), F.col("all"))).otherwise(F.col("all"))  # of a long list first the line itself, for its posting
+    met = drawn.select("x", "token", "long", F.posexplode(members).alias("k", "e"))
+    met = met.where(F.when(F.col("long") & (F.col("k") < 2), (F.col("k") == 0) | (F.col("x.id") != F.col("e.id"))).otherwise(F.col("x.id") > F.col("e.id")))
+    posting = ("doc_id", "n", "i", *_BITS, "token")
+    own = (F.col("long") & (F.col("k") == 0)).alias("posting")
+    flat = met.select("token", "long", own, "x.doc_id", *[F.col(f"x.{a}").alias(a) for a in _OTHER], F.col("e.doc_id").alias("edoc"), *[F.col(f"e.{a}").alias(b) for a, b in _OTHER.items()])
     there, back = F.struct("id", "eid"), F.struct(F.col("eid").alias("id"), F.col("id").alias("eid"))
     alone = F.struct("id", F.lit(None).cast("long").alias("eid"))
-    ways = F.when(F.col("posting"), F.array(alone)).when(F.col("doc_id").eqNullSafe(F.col("edoc")), F.array(there, back)).otherwise(F.array(there))
-    posting = ("doc_id", "n", "i", *_BITS, "token")
+    one_way = F.when(F.struct("doc_id") > F.struct("edoc"), F.array(there)).otherwise(F.array(back))
+    ways = F.when(F.col("posting"), F.array(alone)).when(F.col("doc_id").eqNullSafe(F.col("edoc")), F.array(there, back)).otherwise(one_way)
     d = _differ() / (F.col("n") + F.col("m"))
     found = flat.where(F.col("posting") | _may_match(percent))
     return found.select(F.explode(ways).alias("way"), d.alias("d"), (~F.col("long")).alias("whole"), *[F.when(F.col("posting"), F.col(c)).alias(c) for c in posting]).select("way.*", "d", "whole", *posting)

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from locusframe.llm import byte_bpe, components, language, lines, minhash, mixing, neighbours, registry, segments, sharding, simhash, substrings, wavelet
 from locusframe.llm._common import materialise, tracked
@@ -506,6 +507,22 @@ def test_matches_in_long_posting_lists_are_found(spark, monkeypatch, part):
     assert sum(t.count("\n") + 1 for t in want.values() if t) < len(drawn)
 
 
+@pytest.mark.parametrize(("size", "long"), [(20, False), (32, False), (60, True)])
+def test_lists_of_medium_length_are_done_at_once(spark, size, long):
+    """All members of such a list meet at once and leave no postings to be joined later; those of longer ones do."""
+    shared = ["x" * 30, "y" * 29]
+    data = [(k, " ".join([*shared, *[f"a{k}b{j}" for j in range(8)]])) for k in range(size - 1)]
+    data.append((size - 1, data[3][1] + " more"))
+    table = materialise(lines._line_table(lines._hashed_lines(spark.createDataFrame(data, "doc_id long, text string")), 80))
+    firsts = lines._firsts(table, 0).unionByName(lines._firsts(table, 1))
+    ids = {r.id: r.doc_id for r in firsts.collect()}
+    found = [r for part in range(lines.PASSES) for r in lines._near(firsts, 80, part, F.lit(1).cast("long")).collect()]
+    assert sorted(ids[r.id] for r in found if r.eid is None) == (list(range(size)) if long else [])
+    matches = [(ids[r.id], ids[r.eid], r.whole) for r in found if r.eid is not None]
+    assert (size - 1, 3, True) in matches and all(a > b for a, b, _ in matches)
+    assert long or len({r.token for r in found}) == 1
+
+
 def test_vectors_of_several_lengths(spark):
     data = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.01, 0.0]), (5, [1.0]), (6, [0.0, 1.0, 0.0])]
     got = rows(neighbours.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")), "vec_id")
