@@ -196,23 +196,29 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
     return best.select("id", F.explode("best").alias("e")).select("id", "e.d", "e.eid")
 
 
+def _size_class(n: Column, percent: int) -> Column:
+    """Four times as wide, on the scale of logarithms, as the sizes of similar sets are apart."""
+    return F.floor(F.log(n) / (F.log(F.lit(100.1 / percent)) * 4)).cast("int")
+
+
+def _classes(n: Column, larger: Column, percent: int) -> Column:
+    """The classes of all sizes that sets similar to one of ``n`` words can have, those of larger sets only if ``larger``."""
+    least, most = F.ceil(n * percent / 100), F.when(larger, F.floor(n * 100 / percent)).otherwise(n)
+    return F.sequence(_size_class(least, percent), _size_class(most, percent))
+
+
 def _open_pairs(unsettled: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
     """``id, eid`` that may match: lines of the postings ``unsettled`` with those of ``postings`` that do not come in later documents.
 
-    Sizes are dealt to classes so wide that similar sets are at most one apart.  The smaller of two
-    sets need only show the words that it has in front of all sets that are not smaller.  A hot list
-    is a skewed partition of the join, which adaptive execution splits.
+    Sizes are dealt to classes so wide that most lines look for similar sets in one or two.  The smaller
+    of two sets need only show the words that it has in front of all sets that are not smaller.  A hot
+    list is a skewed partition of the join, which adaptive execution splits.
     """
-    def size_class(n: Column) -> Column:
-        return F.floor(F.log(n) / F.log(F.lit(100.1 / percent))).cast("int")
-
     def shown(postings: DataFrame) -> DataFrame:
         return postings.withColumn("shown", F.col("i") < _index_length(F.col("n"), percent))
 
-    own = size_class(F.col("n"))
-    classes = F.when(F.col("shown"), F.array(own - 1, own, own + 1)).otherwise(F.array(own - 1, own))
-    left = shown(unsettled.select("id", "doc_id", "n", "i", *_BITS, "token")).withColumn("c", F.explode(classes))
-    right = shown(postings).select(F.col("doc_id").alias("edoc"), *[F.col(a).alias(b) for a, b in _OTHER.items()], "token", F.col("shown").alias("eshown"), own.alias("c"))
+    left = shown(unsettled.select("id", "doc_id", "n", "i", *_BITS, "token")).withColumn("c", F.explode(_classes(F.col("n"), F.col("shown"), percent)))
+    right = shown(postings).select(F.col("doc_id").alias("edoc"), *[F.col(a).alias(b) for a, b in _OTHER.items()], "token", F.col("shown").alias("eshown"), _size_class(F.col("n"), percent).alias("c"))
     n, m = F.col("n"), F.col("m")
     reach = ((n >= m) & F.col("eshown")) | ((n <= m) & F.col("shown"))
     order = (F.col("id") != F.col("eid")) & (F.struct("doc_id") >= F.struct("edoc"))

@@ -523,6 +523,17 @@ def test_lists_of_medium_length_are_done_at_once(spark, size, long):
     assert long or len({r.token for r in found}) == 1
 
 
+def test_size_classes_hold_all_similar_sizes(spark):
+    """Each size that a similar set can have is in one of the classes, and most sizes look into one or two."""
+    sizes = spark.range(1, 400).select(F.col("id").cast("int").alias("n"))
+    one = {r.n: r for r in sizes.select("n", *[f(F.col("n")).alias(c) for c, f in {"own": lambda n: lines._size_class(n, 80), "up": lambda n: lines._classes(n, F.lit(True), 80), "down": lambda n: lines._classes(n, F.lit(False), 80)}.items()]).collect()}
+    for n, r in one.items():
+        near = [m for m in one if 100 * min(n, m) >= 80 * max(n, m)]
+        assert {one[m].own for m in near} <= set(r.up) and {one[m].own for m in near if m <= n} <= set(r.down)
+    assert max(len(r.up) for r in one.values()) <= 2
+    assert sum(len(r.up) for r in one.values()) < 1.8 * len(one)
+
+
 def test_vectors_of_several_lengths(spark):
     data = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.01, 0.0]), (5, [1.0]), (6, [0.0, 1.0, 0.0])]
     got = rows(neighbours.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")), "vec_id")
