@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.lineage import cut
-from locusframe.functions.scan import running
+from locusframe.functions.scan import dealt, running, scanned
 
 from .intervals import assign_bins, carve, complement, cut_out, find_overlaps
 from .sequence import draw, drawn_order, random_sequence
@@ -58,16 +58,44 @@ def _moved(placed: DataFrame, binsize: int) -> DataFrame:
     return placed.withColumns({"start": F.col("start") + shift, "end": F.col("end") + shift}).drop("offset", "place")
 
 
+def valid_shifts(hulls: DataFrame, binsize: int, bins: int, keys: Sequence[str]) -> DataFrame:
+    """``keys, shift``: cyclic shifts from 1 to ``bins - 1`` of hulls (``bin, low, high``) that ``valid_arrangements`` would keep.
+
+    A shift puts the bins from ``shift`` on before the others and leaves both parts in order, so what
+    counts is the first start and the last end of each part, and where bins of one part overlap: one scan in
+    each direction over bins and shifts, no row for each pair of them.
+    """
+    width = binsize * bins
+    own = hulls.where("bin is not null").select(*keys, F.col("bin").alias("at"), F.lit(1).alias("kind"), (F.col("bin") * binsize + F.col("low")).alias("first"), (F.col("bin") * binsize + F.col("high")).alias("last"))
+    every = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(bins - 1).cast("long")))
+    shifts = own.select(*keys).distinct().select(*keys, every.alias("at"), F.lit(0).alias("kind")).where(F.col("at").between(1, bins - 1))
+    order = ["at", "kind"]  # a shift comes before the bin that it puts first
+    ranges = dealt(own.withColumn("early", -F.col("first")).unionByName(shifts, allowMissingColumns=True), [*keys, *order])
+    head = scanned(ranges, keys, order, low=("max", "early"), high=("max", "last"))
+    both = scanned(head, keys, order, reverse=True, low_after=("max", "early"), high_after=("max", "last"))
+    both = both.withColumns({"low": -F.col("low"), "low_after": -F.col("low_after")})
+    # Bins that overlap have to come in different parts: the shift lies after the first of them and not after the second.
+    torn = both.where("kind = 1").groupBy(*keys).agg(F.max(F.when(F.col("last") > F.col("low_after"), F.col("at"))).alias("after"), F.min(F.when(F.col("first") < F.col("high"), F.col("at"))).alias("until"))
+    moved = F.col("at") * binsize
+    bad = [
+        F.col("at") <= F.col("after"), F.col("at") > F.col("until"), F.col("high_after") > F.col("low") + width,
+        F.col("low_after") < moved, F.col("high_after") > moved + width, F.col("low") + width < moved, F.col("high") > moved,
+    ]
+    judged = both.where("kind = 0").join(torn, list(keys)).withColumn("bad", reduce(Column.__or__, [F.coalesce(b, F.lit(False)) for b in bad]))
+    return judged.where("not bad").select(*keys, F.col("at").cast("int").alias("shift"))
+
+
 def rotate_bins(df: DataFrame, n: int, binsize: int, bins: int, seed: int, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """``n`` replicates of each group, each a different valid cyclic ``shift`` of its bins in drawn order.
 
-    All shifts but the identity are judged on one row for each bin; only the chosen ones move intervals.
+    All shifts but the identity are judged on one row for each bin and shift; only the chosen ones move intervals.
     """
     placed = cut(_in_bins(df, binsize))
-    every = bin_hulls(placed, keys).select("*", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))).alias("shift"))
-    turned = every.withColumn("place", F.pmod(F.col("bin") - F.col("shift"), F.lit(bins)))
+    # A bin past the last one takes the place of one before, as the shift does with it.
+    turned = placed.withColumns({"bin": F.pmod(F.col("bin"), F.lit(bins)), "start": F.col("offset"), "end": F.col("offset") + F.col("end") - F.col("start")})
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("shift").cast("string")))))
-    chosen = cut(valid_arrangements(turned, binsize, bins, [*keys, "shift"]).select(*keys, "shift", (rank - 1).alias("replicate")).where(F.col("replicate") < n))
+    drawn = valid_shifts(bin_hulls(turned, keys), binsize, bins, keys).withColumn("rank", rank).where(F.col("rank") <= n)
+    chosen = cut(drawn.select(*keys, "shift", (F.col("rank") - 1).alias("replicate")))
     short = placed.select(*keys).distinct().join(chosen.groupBy(*keys).agg(F.count("*").alias("found")), list(keys), "left").where(F.coalesce("found", F.lit(0)) < n)
     if (first := short.first()) is not None:
         raise ValueError(f"only {first['found'] or 0} of {n} rotations are valid in a group: {first}")

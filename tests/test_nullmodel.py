@@ -1,5 +1,7 @@
 """Random replicates: what SQL text does not state."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,20 @@ def test_rotations_of_several_groups(spark):
         got.setdefault(r.chrom, {}).setdefault(r["shift"], []).append((r.start, r.end))
     assert len(got["a"]) == len(got["b"]) == 2
     assert set(got["a"]) <= {2, 3} and all(len(x) == 2 and min(s for s, _ in x) >= 0 for x in got["a"].values())
+
+
+def test_shifts_are_judged_as_whole_arrangements_are(spark):
+    """Hulls that reach other bins, both ends of the range and each other, against every arrangement of every shift."""
+    rng, bins, rows = random.Random(6), 9, []
+    for g in range(60):
+        for k in sorted(rng.sample(range(bins), rng.randrange(1, bins))):
+            low = rng.choice([-4, -1, 0, 2, 5])
+            rows.append((f"g{g}", k, low, low + rng.choice([1, 3, 8, 10, 14] if g % 3 else [1, 3, 5])))
+    hulls = spark.createDataFrame(rows, "chrom string, bin long, low long, high long")
+    got = {tuple(r) for r in nullmodel.valid_shifts(hulls, 10, bins, ["chrom"]).collect()}
+    turned = hulls.withColumn("shift", F.explode(F.sequence(F.lit(1), F.lit(bins - 1)))).withColumn("place", F.pmod(F.col("bin") - F.col("shift"), F.lit(bins)))
+    assert got == {tuple(r) for r in nullmodel.valid_arrangements(turned, 10, bins, ["chrom", "shift"]).collect()} and 0 < len(got) < 60 * (bins - 1)
+    # 60,000 bins: pairs of bins and shifts would be 3.6 billion rows.
+    many = spark.range(60_000).select(F.lit("a").alias("chrom"), (F.col("id") * 10 + 2).alias("start"), (F.col("id") * 10 + 9).alias("end"))
+    moved = nullmodel.rotate_bins(many, 2, 10, 60_000, 3)
+    assert moved.count() == 120_000 and moved.select("replicate", "start").distinct().count() == 120_000
