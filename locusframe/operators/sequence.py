@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.functions.lineage import cut
 from locusframe.functions.scan import running
 
 LETTERS, PAIRED = "ACGTNacgtn", "TGCANtgcan"  # fixed values: bases and their complements
@@ -84,10 +85,15 @@ def random_sequence(length: Column, key: Column, weights=(0.22, 0.28, 0.28, 0.22
     return F.array_join(F.transform(F.sequence(F.lit(1), length), lambda i: letter(draw(F.concat(key, F.lit(":"), i.cast("string"))))), "")
 
 
+def pieces_of(seq: Column, chunk: int) -> Column:
+    """``seq`` cut to pieces of ``chunk`` letters, the last one shorter, in one pass: none for no letters."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+
+
 def chunked(seqs: DataFrame, chunk: int) -> DataFrame:
     """``seq_id, chunk_id, chunk_start, seq`` from ``seq_id, seq``."""
-    n = F.ceil(F.length("seq") / chunk).cast("int")
-    return seqs.where(F.length("seq") > 0).select("seq_id", "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_id")).select("seq_id", "chunk_id", (F.col("chunk_id") * chunk).alias("chunk_start"), F.substr("seq", F.col("chunk_id") * chunk + 1, F.lit(chunk)).alias("seq"))
+    cut_up = seqs.select("seq_id", F.posexplode(pieces_of(F.col("seq"), chunk)).alias("chunk_id", "seq"))
+    return cut_up.select("seq_id", "chunk_id", (F.col("chunk_id") * chunk).alias("chunk_start"), "seq")
 
 
 def gc_track(chunks: DataFrame, binsize: int) -> DataFrame:
@@ -144,35 +150,53 @@ def mutation_counts(mutations: DataFrame, keys=("seq_id",)) -> DataFrame:
     return mutations.groupBy(*keys, "op").agg(F.count_if(done).alias("applied"), F.count_if(~done).alias("rejected"))
 
 
+BLOCK_CHUNKS, BLOCK_LETTERS = 64, 1 << 20  # at most, of chunks that are handled together
+
+
+def _block(chunk: int) -> int:
+    """Letters of a block, a whole number of chunks."""
+    return chunk * max(1, min(BLOCK_CHUNKS, BLOCK_LETTERS // chunk))
+
+
 def splice_chunks(chunks: DataFrame, mutations: DataFrame, chunk: int) -> DataFrame:
     """Chunks ``seq_id, chunk_id, chunk_start, seq`` with each ``variant_seq`` in place of ``[start, end)``, cut anew to ``chunk`` letters.
 
     Mutations do not overlap; one whose ``variant_seq`` is NULL keeps the letters.  Of several empty intervals in
-    one place ``nth``, if there is such a column, gives the order.  A chunk meets only the mutations
-    that touch it, and only places and lengths of pieces, not letters, are summed along a sequence.
+    one place ``nth``, if there is such a column, gives the order.  Letters meet in blocks of a few chunks: a
+    chunk is cut by the mutations of its block, a block is put together from what its chunks keep and the variants that
+    start in it, and only lengths of blocks are summed along a sequence.  Then only the first and last chunk of a block are put
+    together from others.
     """
+    size = _block(chunk)
     nth = (F.col("nth") if "nth" in mutations.columns else F.lit(0)).cast("long").alias("nth")
-    done = mutations.where("variant_seq is not null").select("seq_id", "start", "end", nth, "variant_seq")
-    last = F.floor(F.greatest(F.col("end") - 1, F.col("start")) / chunk).cast("int")
-    touched = done.select("seq_id", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / chunk).cast("int"), last)).alias("chunk_id"))
-    cuts = touched.groupBy("seq_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    whole = chunks.join(cuts, ["seq_id", "chunk_id"], "left").withColumn("stop", F.col("chunk_start") + F.length("seq"))
-    own = F.coalesce("cuts", F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    lows = F.concat(F.array(F.col("chunk_start").cast("long")), F.transform(own, lambda c: c["end"].cast("long")))
-    highs = F.concat(F.transform(own, lambda c: c["start"].cast("long")), F.array(F.col("stop").cast("long")))
-    kept = whole.select("seq_id", "chunk_start", "stop", "seq", F.explode(F.arrays_zip(lows.alias("a"), highs.alias("b"))).alias("k"))
+    done = cut(mutations.where("variant_seq is not null and seq_id is not null").select("seq_id", F.col("start").cast("long"), F.col("end").cast("long"), nth, "variant_seq"))
+    block = lambda place: F.floor(place / size).cast("int")
+    touched = done.select("seq_id", "start", "end", F.explode(F.sequence(block(F.col("start")), block(F.greatest(F.col("end") - 1, F.col("start"))))).alias("block"))
+    cuts = touched.groupBy("seq_id", "block").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    whole = chunks.where("seq_id is not null").select("seq_id", block(F.col("chunk_start")).alias("block"), F.col("chunk_start").cast("long").alias("chunk_start"), (F.col("chunk_start") + F.length("seq")).cast("long").alias("stop"), "seq").join(cuts, ["seq_id", "block"], "left")
+    own = F.filter(F.coalesce("cuts", F.array().cast("array<struct<start:bigint,end:bigint>>")), lambda c: (c["start"] < F.col("stop")) & (F.greatest(c["end"], c["start"] + 1) > F.col("chunk_start")))
+    whole = whole.withColumn("own", own)
+    lows = F.concat(F.array("chunk_start"), F.transform("own", lambda c: c["end"]))
+    highs = F.concat(F.transform("own", lambda c: c["start"]), F.array("stop"))
+    kept = whole.select("seq_id", "block", "chunk_start", "stop", "seq", F.explode(F.arrays_zip(lows.alias("a"), highs.alias("b"))).alias("k"))
     a, b = F.greatest("k.a", "chunk_start"), F.least("k.b", "stop")
-    pieces = kept.where(b > a).select("seq_id", a.alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("nth"), F.substr("seq", (a - F.col("chunk_start") + 1).cast("int"), (b - a).cast("int")).alias("p"))
-    pieces = pieces.unionByName(done.where("variant_seq <> ''").select("seq_id", F.col("start").cast("long").alias("at"), F.lit(0).alias("kind"), "nth", F.col("variant_seq").alias("p")))
-    place = ["at", "kind", "nth"]
-    places = running(pieces.select("seq_id", *place, F.length("p").cast("long").alias("to")), ["seq_id"], place, to=("sum", "to"))
-    moved = pieces.join(places, ["seq_id", *place])
-    cells = moved.withColumn("chunk_id", F.explode(F.sequence(F.floor(F.col("to") / chunk).cast("int"), F.floor((F.col("to") + F.length("p") - 1) / chunk).cast("int"))))
-    low = F.greatest(F.col("chunk_id") * chunk - F.col("to"), F.lit(0))
-    high = F.least((F.col("chunk_id") + 1) * chunk - F.col("to"), F.length("p"))
-    part = cells.select("seq_id", "chunk_id", F.struct((F.col("to") + low).alias("a"), F.substr("p", (low + 1).cast("int"), (high - low).cast("int")).alias("s")).alias("x"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "")
-    return part.groupBy("seq_id", "chunk_id").agg(joined.alias("seq")).select("seq_id", "chunk_id", (F.col("chunk_id") * chunk).alias("chunk_start"), "seq")
+    piece = lambda at, kind, n, p: F.struct(at.alias("at"), F.lit(kind).alias("kind"), n.alias("nth"), p.alias("p"))
+    stays = kept.where(b > a).select("seq_id", "block", piece(a, 1, F.lit(0).cast("long"), F.substr("seq", (a - F.col("chunk_start") + 1).cast("int"), (b - a).cast("int"))).alias("x"))
+    comes = done.where("variant_seq <> ''").select("seq_id", block(F.col("start")).alias("block"), piece(F.col("start"), 0, F.col("nth"), F.col("variant_seq")).alias("x"))
+    lists = [t.groupBy("seq_id", "block").agg(F.collect_list("x").alias(n)) for t, n in ((stays, "xs"), (comes, "ys"))]
+    none = F.array().cast("array<struct<at:bigint,kind:int,nth:bigint,p:string>>")
+    pieces = F.sort_array(F.concat(F.coalesce("xs", none), F.coalesce("ys", none)))
+    blocks = cut(lists[0].join(lists[1], ["seq_id", "block"], "full").select("seq_id", "block", F.array_join(F.transform(pieces, lambda x: x["p"]), "").alias("text")))
+    places = running(blocks.select("seq_id", "block", F.length("text").cast("long").alias("to")), ["seq_id"], ["block"], to=("sum", "to"))
+    head = F.pmod(-F.col("to"), F.lit(chunk)).cast("int")  # letters up to the next chunk
+    moved = blocks.join(places, ["seq_id", "block"]).withColumn("head", head)
+    first = F.when(F.col("head") > 0, F.array(F.substr("text", F.lit(1), F.col("head")))).otherwise(F.array().cast("array<string>"))
+    cells = moved.select("seq_id", "to", F.posexplode(F.concat(first, pieces_of(F.substr("text", F.col("head") + 1), chunk))).alias("pos", "seq"))
+    cells = cells.select("seq_id", (F.floor(F.col("to") / chunk) + F.col("pos")).cast("int").alias("chunk_id"), "to", "seq")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("to", "seq"))), lambda x: x["seq"]), "")
+    parts = cells.where(F.length("seq") < chunk).groupBy("seq_id", "chunk_id").agg(joined.alias("seq"))
+    found = cells.where(F.length("seq") == chunk).select("seq_id", "chunk_id", "seq").unionByName(parts)
+    return found.select("seq_id", "chunk_id", (F.col("chunk_id") * chunk).alias("chunk_start"), "seq")
 
 
 def splice(seqs: DataFrame, mutations: DataFrame) -> DataFrame:
@@ -200,44 +224,68 @@ def validate_mutations(df: DataFrame) -> DataFrame:
 
 def shifted(mutations: DataFrame) -> DataFrame:
     """Mutations with ``shift``, by how much those before have moved them, and ``reach``, where the last one before ends."""
-    grown = F.coalesce(F.length("variant_seq").cast("long") - (F.col("end") - F.col("start")), F.lit(0))
-    return running(mutations.withColumns({"shift": grown, "reach": F.col("end").cast("long")}), ["seq_id"], ["start", "end"], shift=("sum", "shift"), reach=("max", "reach"))
+    return running(mutations.withColumns({"shift": grown(), "reach": F.col("end").cast("long")}), ["seq_id"], ["start", "end"], shift=("sum", "shift"), reach=("max", "reach"))
+
+
+def grown() -> Column:
+    """Letters that a mutation adds; a rejected one adds none."""
+    return F.coalesce(F.length("variant_seq").cast("long") - (F.col("end") - F.col("start")), F.lit(0))
 
 
 #: Fixed values of the fingerprint of a stretch: two moduli with a base for each.
 MODULI, BASES = (2_147_483_647, 2_147_483_629), (911_382_323, 972_663_749)
 
 
+def part_printer(most: int = 1 << 20):
+    """A function of texts and their places in a stretch to fingerprints; about ``most`` letters are held as numbers at once."""
+    moduli, bases = MODULI, BASES
+
+    def some(parts: pd.Series, sizes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        stops = np.cumsum(sizes)
+        starts = stops - sizes
+        codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        within = np.arange(len(codes)) - np.repeat(starts, sizes)
+        out = []
+        for modulus, base in zip(moduli, bases, strict=True):
+            p, powers, known = np.uint64(modulus), np.ones(max(int(sizes.max()), 1), np.uint64), 1
+            while known < len(powers):  # each step doubles those that are known
+                powers[known : 2 * known] = powers[: len(powers) - known][:known] * np.uint64(pow(base, known, modulus)) % p
+                known *= 2
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers[within] % p)])
+            found, left, square = (sums[stops] - sums[starts]) % p, offsets, base
+            while left.any():
+                found = np.where(left & 1, found * np.uint64(square) % p, found)
+                left, square = left >> 1, square * square % modulus
+            out.append(found.astype(np.int64))
+        return out
+
+    def printed(parts: pd.Series, offsets: pd.Series) -> pd.DataFrame:
+        sizes = parts.str.len().to_numpy(np.int64) if len(parts) else np.zeros(0, np.int64)
+        marks = (np.cumsum(sizes) - sizes) // most
+        edges = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(parts)] if len(parts) else [0]
+        found = [some(parts[a:b], sizes[a:b], offsets.to_numpy(np.int64)[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        return pd.DataFrame({c: np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k, c in enumerate("xy")})
+
+    return printed
+
+
 def stretch_prints(stretches: DataFrame, chunks: DataFrame, chunk: int) -> DataFrame:
     """``id, n, x, y``: letters and fingerprint of stretches ``id, seq_id, a, b``, added up from the chunks that they touch.
 
     A fingerprint is a polynomial in the letters modulo a prime, so the parts of a stretch are computed where
-    their chunk lies, each raised by its place in the stretch, and only numbers are summed.
+    their chunk lies, each raised by its place in the stretch, and only numbers are summed.  Stretches meet
+    chunks in blocks of a few chunks.
     """
-    ids = F.sequence(F.floor(F.col("a") / chunk).cast("int"), F.floor((F.col("b") - 1) / chunk).cast("int"))
-    touched = stretches.where("b > a").select("id", "seq_id", "a", "b", F.explode(ids).alias("chunk_id")).join(chunks, ["seq_id", "chunk_id"])
-    low, high = F.greatest(F.col("a"), F.col("chunk_start")), F.least(F.col("b"), F.col("chunk_start") + F.length("seq"))
-    parts = touched.withColumns({"low": low, "n": high - low}).where("n > 0").select("id", (F.col("low") - F.col("a")).alias("offset"), "n", F.substr("seq", (F.col("low") - F.col("chunk_start") + 1).cast("int"), F.col("n").cast("int")).alias("p"))
-    moduli, bases = MODULI, BASES
-
-    @F.pandas_udf("struct<x: long, y: long>")
-    def printed(parts: pd.Series, offsets: pd.Series) -> pd.DataFrame:
-        longest = int(parts.str.len().max()) if len(parts) else 0
-        out = []
-        for p, base in zip(moduli, bases, strict=True):
-            powers = np.ones(longest + 1, np.uint64)
-            for k in range(longest):
-                powers[k + 1] = powers[k] * np.uint64(base) % np.uint64(p)
-            sums = []
-            for text, offset in zip(parts, offsets, strict=True):
-                codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-                whole = int((codes * powers[: len(codes)] % np.uint64(p)).sum()) % p
-                sums.append(whole * pow(base, int(offset), p) % p)
-            out.append(sums)
-        return pd.DataFrame({"x": pd.Series(out[0], dtype="int64"), "y": pd.Series(out[1], dtype="int64")})
-
+    size = _block(chunk)
+    blocks = F.sequence(F.floor(F.col("a") / size).cast("int"), F.floor((F.col("b") - 1) / size).cast("int"))
+    touched = stretches.where("b > a").select("id", "seq_id", "a", "b", F.explode(blocks).alias("block"))
+    placed = chunks.select("seq_id", F.floor(F.col("chunk_start") / size).cast("int").alias("block"), "chunk_start", (F.col("chunk_start") + F.length("seq")).alias("stop"), "seq")
+    met = touched.join(placed, ["seq_id", "block"]).where("a < stop and chunk_start < b")
+    low = F.greatest(F.col("a"), F.col("chunk_start"))
+    parts = met.withColumns({"low": low, "n": F.least(F.col("b"), F.col("stop")) - low}).select("id", (F.col("low") - F.col("a")).alias("offset"), "n", F.substr("seq", (F.col("low") - F.col("chunk_start") + 1).cast("int"), F.col("n").cast("int")).alias("p"))
+    printed = F.pandas_udf(part_printer(), "struct<x: long, y: long>")
     found = parts.select("id", "n", printed("p", "offset").alias("f"))
-    return found.groupBy("id").agg(F.sum("n").alias("n"), (F.sum("f.x") % moduli[0]).alias("x"), (F.sum("f.y") % moduli[1]).alias("y"))
+    return found.groupBy("id").agg(F.sum("n").alias("n"), (F.sum("f.x") % MODULI[0]).alias("x"), (F.sum("f.y") % MODULI[1]).alias("y"))
 
 
 def verify_chunks(before: DataFrame, after: DataFrame, mutations: DataFrame, chunk: int) -> DataFrame:
@@ -246,13 +294,13 @@ def verify_chunks(before: DataFrame, after: DataFrame, mutations: DataFrame, chu
     Stretches are compared by length and fingerprint at their places before and after, so no two
     sequences meet; a change goes unseen about once in 10^18.  Both tables have chunks of ``chunk`` letters.
     """
-    moved = shifted(mutations)
+    edits = cut(mutations.select("seq_id", "start", F.col("end").cast("long").alias("end"), grown().alias("shift")))
+    moved = running(edits.withColumn("reach", F.col("end")), ["seq_id"], ["start", "end"], shift=("sum", "shift"), reach=("max", "reach"))
     first = moved.select("seq_id", F.coalesce("reach", F.lit(0)).alias("a"), F.col("start").cast("long").alias("b"), "shift")
-    grown = F.coalesce(F.length("variant_seq").cast("long") - (F.col("end") - F.col("start")), F.lit(0))
     sizes = [t.groupBy("seq_id").agg(F.max(F.col("chunk_start") + F.length("seq")).cast("long").alias(n)) for t, n in ((before, "old"), (after, "new"))]
-    tails = mutations.groupBy("seq_id").agg(F.max("end").cast("long").alias("a"), F.sum(grown).alias("shift")).join(sizes[0], "seq_id", "left").join(sizes[1], "seq_id", "left")
+    tails = edits.groupBy("seq_id").agg(F.max("end").alias("a"), F.sum("shift").alias("shift")).join(sizes[0], "seq_id", "left").join(sizes[1], "seq_id", "left")
     last = tails.select("seq_id", "a", F.greatest(F.coalesce("old", F.lit(0)), F.coalesce("new", F.lit(0)) - F.col("shift")).alias("b"), "shift")
-    stretches = first.unionByName(last).where("b > a").withColumn("id", F.struct("seq_id", "a", "b"))
+    stretches = cut(first.unionByName(last).where("b > a").withColumn("id", F.struct("seq_id", "a", "b")))
     old = stretch_prints(stretches.select("id", "seq_id", "a", "b"), before, chunk)
     new = stretch_prints(stretches.select("id", "seq_id", (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b")), after, chunk)
     both = stretches.select("id").join(old, "id", "left").join(new.toDF("id", "m", "u", "v"), "id", "left")

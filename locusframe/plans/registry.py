@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from locusframe.functions.lineage import cut
 from locusframe.operators import compare, contacts, intervals, nullmodel, scores, sequence
 
 from . import views as V
@@ -341,8 +342,10 @@ query("seq01_fetch", f"WITH {Q} SELECT seq_id AS id, seq_id, length(seq) // 4 AS
 )
 
 
-def _mutated(s, d):
-    seqs = V.sequences(s, d).where(F.length("seq") >= 4)
+def _mutated(s, d, stored=False):
+    """Sequences and a mutation of each; ``stored`` writes the sequences, where much else reads them, spread over all tasks."""
+    seqs = V.sequences(s, d)
+    seqs = (cut(seqs.repartition("seq_id")) if stored else seqs).where(F.length("seq") >= 4)
     a, b = F.floor(F.length("seq") / 4).cast("int"), F.floor(F.length("seq") / 2).cast("int")
     op = F.get(F.array(*map(F.lit, ["mask", "inversion", "insertion"])), (F.col("seq_id") % 3).cast("int"))
     rows = seqs.select("seq_id", a.alias("start"), b.alias("end"), F.substr("seq", a + 1, b - a).alias("ref_seq"), op.alias("op"), F.lit("A").alias("sequence"), F.lit("-").alias("strand"))
@@ -353,7 +356,7 @@ VAR = f"{Q}, mu AS (SELECT seq_id, seq, length(seq) // 4 AS a, length(seq) // 2
 query("seq08_apply", f"WITH {VAR} SELECT seq_id, a::INT AS start, b::INT AS \"end\", variant_seq FROM va")(lambda s, d: _mutated(s, d)[1].select("seq_id", "start", "end", "variant_seq"))
 query("seq09_splice", f"WITH {VAR} SELECT seq_id, left(seq, a::INT) || variant_seq || substr(seq, b + 1) AS seq FROM va")(lambda s, d: sequence.splice(*_mutated(s, d)))
 query("seq09_splice_chunks", f"WITH {VAR}, z AS (SELECT seq_id, left(seq, a::INT) || CASE WHEN seq_id % 2 = 0 THEN variant_seq || 'ACGT' ELSE left(variant_seq, 3) END || substr(seq, b + 1) AS seq FROM va) SELECT seq_id, b::INT AS chunk_id, (b * 64)::INT AS chunk_start, substr(seq, b * 64 + 1, 64) AS seq FROM z, unnest(range(0, (length(seq) + 63) // 64)) t(b)")(
-    lambda s, d: (lambda m: sequence.splice_chunks(sequence.chunked(m[0], 64), m[1].withColumn("variant_seq", F.when(F.col("seq_id") % 2 == 0, F.concat("variant_seq", F.lit("ACGT"))).otherwise(F.substring("variant_seq", 1, 3))), 64))(_mutated(s, d))
+    lambda s, d: (lambda m: sequence.splice_chunks(sequence.chunked(m[0], 64), m[1].withColumn("variant_seq", F.when(F.col("seq_id") % 2 == 0, F.concat("variant_seq", F.lit("ACGT"))).otherwise(F.substring("variant_seq", 1, 3))), 64))(_mutated(s, d, True))
 )
 query("seq08_counts", f"WITH {VAR} SELECT (['mask', 'inversion', 'insertion'])[seq_id % 3 + 1] AS op, count(*) AS applied, 0::BIGINT AS rejected FROM va GROUP BY ALL")(lambda s, d: sequence.mutation_counts(_mutated(s, d)[1], ()))
 _SIX = ["mask", "inversion", "shuffle", "insertion", "permutations_inter", "permutations_intra", "insertion", "deletion"]
@@ -479,7 +482,7 @@ query("seq12_revert", f"WITH {VAR} SELECT seq_id, seq FROM va")(lambda s, d: (la
 
 def _resized(s, d):
     """Sequences and mutations of which every second one grows and the others shrink."""
-    seqs, rows = _mutated(s, d)
+    seqs, rows = _mutated(s, d, True)
     return seqs, rows.withColumn("variant_seq", F.when(F.col("seq_id") % 2 == 0, F.concat("variant_seq", F.lit("ACGT"))).otherwise(F.substring("variant_seq", 1, 3)))
 
 
@@ -487,7 +490,7 @@ def _resized_verified(s, d):
     seqs, rows = _resized(s, d)
     after = sequence.splice_chunks(sequence.chunked(seqs, 64), rows, 64)
     broken = after.withColumn("seq", F.when((F.col("seq_id") % 4 == 1) & (F.col("chunk_id") == 0) & (F.length("seq") > 0), F.concat(F.lit("N"), F.expr("substr(seq, 2)"))).otherwise(F.col("seq")))
-    return sequence.verify_chunks(sequence.chunked(seqs, 64), broken, rows, 64)
+    return sequence.verify_chunks(sequence.chunked(seqs, 64), cut(broken), rows, 64)
 
 
 query("seq11_verify_chunks", f"WITH {VAR} SELECT seq_id, 0::BIGINT AS start, a::BIGINT AS \"end\" FROM va WHERE seq_id % 4 = 1 AND left(seq, 1) <> 'N'")(_resized_verified)

@@ -79,7 +79,7 @@ MUTATIONS = r"""m AS (SELECT CASE WHEN p_brand = 'Brand#1' THEN 'Wtd_mut' ELSE '
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGTN]", "").alias("seq"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGTN]+", "").alias("seq"))
 
 
 SEQUENCES = "q AS (SELECT doc_id AS seq_id, regexp_replace(upper(coalesce(text, '')), '[^ACGTN]', '', 'g') AS seq FROM documents)"
