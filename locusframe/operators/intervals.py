@@ -61,13 +61,13 @@ def cut_out(free: DataFrame, taken: DataFrame) -> DataFrame:
     return left.where("start < end")
 
 
-def carve(free: DataFrame, inside: DataFrame) -> DataFrame:
+def carve(free: DataFrame, inside: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """``cut_out`` where no two of ``inside`` overlap and each lies in one stretch: one scan."""
     taken = inside.where("start < end")
-    opens = free.select("chrom", F.col("start").alias("at")).unionByName(taken.select("chrom", F.col("end").alias("at")))
-    shuts = free.select("chrom", F.col("end").alias("at")).unionByName(taken.select("chrom", F.col("start").alias("at")))
+    opens = free.select(*keys, F.col("start").alias("at")).unionByName(taken.select(*keys, F.col("end").alias("at")))
+    shuts = free.select(*keys, F.col("end").alias("at")).unionByName(taken.select(*keys, F.col("start").alias("at")))
     edges = opens.withColumns({"kind": F.lit(0), "open": F.col("at")}).unionByName(shuts.withColumns({"kind": F.lit(1), "open": F.lit(None).cast("long")}))
-    return running(edges, ["chrom"], ["at", "kind"], open=("last", "open")).where("kind = 1 and open < at").select("chrom", F.col("open").alias("start"), F.col("at").alias("end"))
+    return running(edges, keys, ["at", "kind"], open=("last", "open")).where("kind = 1 and open < at").select(*keys, F.col("open").alias("start"), F.col("at").alias("end"))
 
 
 def find_overlaps(df: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,27 +123,88 @@ def _shrunk(length: Column, k: int) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", length, spare), spare)
 
 
-def _rooms(waiting: DataFrame, free: DataFrame) -> DataFrame:
-    """Free stretches for each ``shrunk`` length that waits there, with the number of starts in each as ``room``."""
-    met = free.join(waiting.select("on", "shrunk").distinct(), "on")
-    return met.withColumn("room", F.col("end") - F.col("start") - F.col("shrunk") + 1).where("room > 0")
-
+RANGE = "_range"
+#: Free stretches in a range, and draws that are looked up among them in one task, on average.
+STRETCHES, DRAWS = 100_000, 200_000
 
-def _drawn_places(waiting: DataFrame, free: DataFrame, key: Column) -> DataFrame:
-    """``id, chrom, start, end`` drawn for ``waiting``; rows whose draw is void or doesn't fit are left out.
 
-    Starts that leave room for a length are numbered along all free stretches; a drawn number is
-    looked up among the stretches' first numbers by one scan.
+def _rooms(waiting: DataFrame, free: DataFrame) -> DataFrame:
+    """``on, shrunk, _range, room``: starts in each range of free stretches for each ``shrunk`` length that waits there."""
+    met = free.join(F.broadcast(waiting.select("on", "shrunk").distinct()), "on").where(F.col("end") - F.col("start") >= F.col("shrunk"))
+    return met.groupBy("on", "shrunk", RANGE).agg(F.sum(F.col("end") - F.col("start") - F.col("shrunk") + 1).alias("room"))
+
+
+def _in_ranges(free: DataFrame, stretches: int) -> DataFrame:
+    """Free places in ranges of ``chrom, start`` with their numbers in ``_range``."""
+    ranges = max(int(free.sparkSession.conf.get("spark.sql.shuffle.partitions")), stretches // STRETCHES + 1)
+    return cut(free.select("chrom", "start", "end").repartitionByRange(ranges, "chrom", "start").withColumn(RANGE, F.spark_partition_id()))
+
+
+def _range_of(rooms: dict[tuple[str, int], list[tuple[int, int]]]):
+    """A function of ``on, shrunk, u`` to the range ``part`` that holds the start numbered ``u``, and its number ``local`` there; -1 for a negative ``u``."""
+    parts = {k: np.array([part for part, _ in sorted(v)]) for k, v in rooms.items()}
+    stops = {k: np.cumsum([room for _, room in sorted(v)]) for k, v in rooms.items()}
+
+    @F.pandas_udf("struct<part: int, local: long>")
+    def looked_up(on: pd.Series, shrunk: pd.Series, u: pd.Series) -> pd.DataFrame:
+        drawn = u.to_numpy(np.int64)
+        part, local = np.full(len(drawn), -1, np.int32), drawn.copy()
+        valid = np.flatnonzero(drawn >= 0)
+        for key, some in pd.DataFrame({"on": on.to_numpy()[valid], "shrunk": shrunk.to_numpy()[valid]}).groupby(["on", "shrunk"]).indices.items():
+            rows = valid[some]
+            at = np.searchsorted(stops[key], drawn[rows], side="right")
+            part[rows] = parts[key][at]
+            local[rows] -= np.where(at > 0, stops[key][at - 1], 0)
+        return pd.DataFrame({"part": part, "local": local})
+
+    return looked_up
+
+
+def _stretch_of(by_chrom: bool):
+    """A function of draws and the stretches of their range to places, where the drawn start leaves room for the whole length."""
+
+    def found(draws: pa.Table, stretches: pa.Table) -> pa.Table:
+        stretches = stretches.sort_by([("chrom", "ascending"), ("start", "ascending")])
+        low, high = stretches["start"].to_numpy(), stretches["end"].to_numpy()
+        ons, shrunk, local = draws["on"].to_pandas(), draws["shrunk"].to_numpy(), draws["local"].to_numpy()
+        chroms = stretches["chrom"].to_pandas().to_numpy() if by_chrom else None
+        at, start = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
+        for (on, size), rows in pd.DataFrame({"on": ons, "shrunk": shrunk}).groupby(["on", "shrunk"]).indices.items():
+            room = np.maximum(high - low - size + 1, 0)
+            if by_chrom:
+                room = np.where(chroms == on, room, 0)
+            stops = np.cumsum(room)
+            at[rows] = k = np.searchsorted(stops, local[rows], side="right")
+            start[rows] = low[k] + local[rows] - (stops[k] - room[k])
+        end = start + draws["length"].to_numpy()
+        fits = np.flatnonzero(end <= high[at])
+        at = at[fits]
+        return pa.table({"id": draws["id"].take(fits), "chrom": stretches["chrom"].take(at), "start": start[fits], "end": end[fits], "low": low[at], "high": high[at], RANGE: draws[RANGE].take(fits)})
+
+    return found
+
+
+def _drawn_places(waiting: DataFrame, going: DataFrame, free: DataFrame, key: Column, by_chrom: bool) -> DataFrame:
+    """``id, chrom, start, end`` drawn for ``going``, with the free stretch ``low, high`` and its range; rows whose draw is void or doesn't fit are left out.
+
+    Starts that leave room for a length are numbered along all free stretches of its ``on``.  What reaches the driver
+    is how many there are in each range; a drawn number goes to its range and is looked up among
+    the stretches there.  A range with many draws is given to several tasks.
     """
-    room = _rooms(waiting, free)
-    numbered = running(room, ["on", "shrunk"], ["chrom", "start"], first=("sum", "room"))
-    whole = room.groupBy("on", "shrunk").agg(F.sum("room").alias("whole"))
-    drawn = waiting.join(whole, ["on", "shrunk"]).withColumn("u", uniform(key, F.col("whole"))).where("u is not null")
-    marks = numbered.select("on", "shrunk", F.col("first").alias("u"), F.lit(0).alias("kind"), F.lit("").alias("id"), F.struct("first", "chrom", "start", "end").alias("mark"))
-    asked = drawn.select("on", "shrunk", "u", F.lit(1).alias("kind"), "id", "length")
-    found = running(marks.unionByName(asked, allowMissingColumns=True), ["on", "shrunk"], ["u", "kind", "id"], mark=("last", "mark")).where("kind = 1")
-    start = F.col("mark.start") + F.col("u") - F.col("mark.first")
-    return found.where(start + F.col("length") <= F.col("mark.end")).select("id", "mark.chrom", start.alias("start"), (start + F.col("length")).alias("end"))
+    rooms = cut(_rooms(waiting, free))
+    known: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for r in rooms.toLocalIterator():
+        known.setdefault((r["on"], r["shrunk"]), []).append((r[RANGE], r["room"]))
+    whole = rooms.groupBy("on", "shrunk").agg(F.sum("room").alias("whole"))
+    # Void draws are dropped after the look-up, so that a key is hashed once.
+    drawn = going.join(F.broadcast(whole), ["on", "shrunk"]).withColumn("u", F.coalesce(uniform(key, F.col("whole")), F.lit(-1)))
+    at = _range_of(known)("on", "shrunk", "u")
+    asked = cut(drawn.withColumn("at", at).where("at.part >= 0").select("id", "on", "shrunk", "length", F.col("at.part").alias(RANGE), F.col("at.local").alias("local")))
+    tasks = cut(asked.groupBy(RANGE).agg(F.ceil(F.count("*") / DRAWS).cast("int").alias("tasks")))  # a row for each range
+    draws = asked.join(F.broadcast(tasks), RANGE).withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).drop("tasks")
+    beside = free.join(F.broadcast(tasks), RANGE).select(RANGE, F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "chrom", "start", "end")
+    places = draws.groupBy(RANGE, "task").cogroup(beside.groupBy(RANGE, "task"))
+    return cut(places.applyInArrow(_stretch_of(by_chrom), f"id string, chrom string, start long, end long, low long, high long, {RANGE} int"))
 
 
 def place(waiting: DataFrame, free: DataFrame, seed: int, by_chrom: bool = False, rounds: int = 1000) -> DataFrame:
@@ -149,15 +213,26 @@ def place(waiting: DataFrame, free: DataFrame, seed: int, by_chrom: bool = False
     ``free`` are the stretches ``chrom, start, end`` that may be used; ``by_chrom`` keeps an interval on
     its own ``chrom``.  A round draws among the starts that are left, for all that wait or
     for as many as the free places can hold; a draw that meets one before it waits for the next
-    round.  It is an error if no start is left for one that waits.
+    round, and only stretches that were drawn are cut anew.  It is an error if no start is left for one that waits.
     """
     waiting = cut(waiting.select("id", (F.col("chrom") if by_chrom else F.lit("")).alias("on"), "length"))
-    parts, before = [], -1
+    free = cut(free.select("chrom", "start", "end"))
+    stretches = free.count()
+    free, added = _in_ranges(free, stretches), 0
+    parts, before, kept = [], -1, None
     for k in range(rounds):
-        needs = waiting.groupBy("on").agg(F.count("*").alias("n"), F.sum("length").alias("needed"))
+        needs = cut(waiting.groupBy("on").agg(F.count("*").alias("n"), F.sum("length").alias("needed")))
         count = needs.agg(F.sum("n").alias("n")).first()["n"] or 0
         if not count:
             break
+        if kept is not None and count != before:
+            stretches, added = stretches + before - count, added + before - count
+            used = kept.select("chrom", RANGE, F.col("low").alias("start"), F.col("high").alias("end")).distinct()
+            gone = used.select(F.col("chrom").alias("_chrom"), F.col("start").alias("_start"))
+            rest = free.join(gone, F.col("chrom").eqNullSafe(F.col("_chrom")) & (F.col("start") == F.col("_start")), "left_anti")
+            left = rest.unionByName(carve(used, kept, ("chrom", RANGE)))
+            # What is left of a stretch stays in its range; ranges are drawn anew where they have grown.
+            free, added = (_in_ranges(left, stretches), 0) if added * 5 > stretches else (cut(left), added)
         here = free.withColumn("on", F.col("chrom") if by_chrom else F.lit(""))
         if count == before:
             exact = waiting.withColumn("shrunk", F.col("length"))
@@ -166,12 +241,12 @@ def place(waiting: DataFrame, free: DataFrame, seed: int, by_chrom: bool = False
         before = count
         share = needs.join(here.groupBy("on").agg(F.sum(F.col("end") - F.col("start")).alias("room")), "on").select("on", (F.col("room") / F.col("needed")).alias("share"))
         key = F.concat(F.lit(f"{seed}:{k}:"), F.col("id"))
-        going = waiting.join(share, "on").where(draw(F.concat(F.lit("t"), key)) < F.col("share") * 4294967296.0)
-        drawn = _drawn_places(going.select("id", "on", "length", _shrunk(F.col("length"), k).alias("shrunk")), here, key)
-        kept = cut(running(drawn, ["chrom"], ["start", "end", "id"], reach=("max", "end")).where("reach is null or reach <= start").select("id", "chrom", "start", "end"))
-        parts.append(kept)
+        sized = waiting.withColumn("shrunk", _shrunk(F.col("length"), k))
+        going = sized.join(F.broadcast(share), "on").where((F.col("share") >= 1) | (draw(F.concat(F.lit("t"), key)) < F.col("share") * 4294967296.0))
+        drawn = _drawn_places(sized, going.drop("share"), here, key, by_chrom)
+        kept = cut(running(drawn, ["chrom"], ["start", "end", "id"], reach=("max", "end")).where("reach is null or reach <= start").drop("reach"))
+        parts.append(kept.select("id", "chrom", "start", "end"))
         waiting = cut(waiting.join(kept.select("id"), "id", "left_anti"))
-        free = carve(free, kept)
     else:
         raise RuntimeError("some intervals found no place")
     none = free.limit(0).select(F.lit("").alias("id"), "chrom", "start", "end")

@@ -1,5 +1,7 @@
 """Random replicates: what SQL text does not state."""
 
+import hashlib
+import math
 import random
 
 import pytest
@@ -115,3 +117,55 @@ def test_shifts_are_judged_as_whole_arrangements_are(spark):
     many = spark.range(60_000).select(F.lit("a").alias("chrom"), (F.col("id") * 10 + 2).alias("start"), (F.col("id") * 10 + 9).alias("end"))
     moved = nullmodel.rotate_bins(many, 2, 10, 60_000, 3)
     assert moved.count() == 120_000 and moved.select("replicate", "start").distinct().count() == 120_000
+
+
+def _drawn(key, digits):
+    return int(hashlib.md5(key.encode()).hexdigest()[:digits], 16)
+
+
+def _placed_one_by_one(waiting, free, seed, by_chrom):
+    """``place`` in plain Python: ``waiting`` has ``id: (chrom, length)``, ``free`` has ``(chrom, start, end)``."""
+    kept, k = {}, 0
+    while waiting:
+        drawn = []
+        for name, (chrom, length) in waiting.items():
+            mine = [x for x in waiting.values() if not by_chrom or x[0] == chrom]
+            here = sorted(f for f in free if not by_chrom or f[0] == chrom)
+            share = sum(e - s for _, s, e in here) / sum(n for _, n in mine)
+            spare = max(int(math.log2(length)) - k // 2, 0)
+            shrunk = length >> spare << spare
+            whole = sum(max(e - s - shrunk + 1, 0) for _, s, e in here)
+            x = _drawn(f"{seed}:{k}:{name}", 15)
+            if not whole or x >= (1 << 60) - (1 << 60) % whole or _drawn(f"t{seed}:{k}:{name}", 8) >= share * 2**32:
+                continue
+            u = x % whole
+            for c, s, e in here:
+                room = max(e - s - shrunk + 1, 0)
+                if u < room:
+                    if s + u + length <= e:
+                        drawn.append((c, s + u, s + u + length, name))
+                    break
+                u -= room
+        reach = {}
+        for c, s, e, name in sorted(drawn):
+            if reach.get(c, s) <= s:
+                kept[name] = (c, s, e)
+                del waiting[name]
+                free = [p for f in free for p in ([f] if not (f[0] == c and f[1] <= s and e <= f[2]) else [(c, f[1], s), (c, e, f[2])]) if p[1] < p[2]]
+            reach[c] = max(reach.get(c, e), e)
+        k += 1
+    return kept
+
+
+@pytest.mark.parametrize("by_chrom", [False, True])
+def test_places_in_many_ranges_and_tasks(spark, monkeypatch, by_chrom):
+    """Ranges of a few free stretches, a handful of draws in a task, one stretch that most draws meet, ranges drawn anew."""
+    monkeypatch.setattr(nullmodel, "STRETCHES", 7)
+    monkeypatch.setattr(nullmodel, "DRAWS", 5)
+    rng = random.Random(9)
+    free = [(c, s, s + rng.choice([1, 2, 9, 40])) for c in ("a", "b") for s in range(0, 2000, 50)] + [("a", 3000, 6000), ("b", 3000, 9000)]
+    waiting = {f"n{k}": (rng.choice("ab"), rng.choice([1, 3, 7, 8, 13])) for k in range(120)}
+    got = nullmodel.place(
+        spark.createDataFrame([(n, c, x) for n, (c, x) in waiting.items()], "id string, chrom string, length long"), spark.createDataFrame(free, "chrom string, start long, end long"), 4, by_chrom
+    ).collect()
+    assert len(got) == 120 and {r.id: (r.chrom, r.start, r.end) for r in got} == _placed_one_by_one(dict(waiting), free, 4, by_chrom)
